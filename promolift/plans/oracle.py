@@ -99,6 +99,177 @@ products AS (
 """
 
 
+
+def classify_ctes(min_units: int) -> str:
+    return f"""
+cls_in AS (SELECT *, units_sold >= {min_units} AS data_sufficient FROM products),
+vh AS (SELECT velocity_per_day AS v, COUNT(*) AS cnt FROM cls_in WHERE data_sufficient GROUP BY 1),
+vh2 AS (
+  SELECT v, cnt,
+         COALESCE(SUM(cnt) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum_before,
+         SUM(cnt) OVER () AS n
+  FROM vh),
+vs0 AS (SELECT COALESCE(MAX(n), 0) AS n, COUNT(*) AS n_distinct FROM vh2),
+vs AS (
+  SELECT vs0.n, vs0.n_distinct,
+         (SELECT MIN(v) FROM vh2) AS s0,
+         (SELECT MIN(v) FROM vh2 WHERE cum_before + cnt > (vs0.n - 1) // 3) AS sa,
+         (SELECT MIN(v) FROM vh2 WHERE cum_before + cnt > (vs0.n + 1) // 3) AS sb,
+         (SELECT MIN(v) FROM vh2 WHERE cum_before + cnt > (2 * (vs0.n - 1)) // 3) AS sc,
+         (SELECT MIN(v) FROM vh2 WHERE cum_before + cnt > (2 * vs0.n) // 3) AS sd,
+         (SELECT MAX(v) FROM vh2) AS smax
+  FROM vs0),
+vtop AS (
+  SELECT product_id AS top_id, title AS top_title FROM cls_in WHERE data_sufficient
+  ORDER BY velocity_per_day DESC, product_id, title LIMIT 1),
+vcls AS (
+  SELECT vh2.v,
+         CASE WHEN vs.n_distinct = 1 THEN 'slow'
+              WHEN vs.sb = vs.s0 OR vs.sa = vs.sd OR vs.sc = vs.smax THEN
+                CASE WHEN 6 * cum_before + 3 * cnt + 3 <= 2 * vh2.n THEN 'slow'
+                     WHEN 6 * cum_before + 3 * cnt + 3 <= 4 * vh2.n THEN 'medium' ELSE 'fast' END
+              WHEN vh2.v <= vs.sa THEN 'slow'
+              WHEN vh2.v <= vs.sc THEN 'medium' ELSE 'fast' END AS tertile_class
+  FROM vh2 CROSS JOIN vs),
+classified AS (
+  SELECT p.*,
+         CASE WHEN NOT p.data_sufficient THEN 'slow'
+              WHEN (SELECT n FROM vs) < 3 THEN
+                CASE WHEN p.product_id = (SELECT top_id FROM vtop) AND p.title = (SELECT top_title FROM vtop)
+                     THEN 'fast' ELSE 'slow' END
+              ELSE vcls.tertile_class END AS movement_class
+  FROM cls_in p LEFT JOIN vcls ON p.velocity_per_day = vcls.v)
+"""
+
+
+CAMPAIGNS = """
+att_line AS (
+  SELECT active_campaign_id AS campaign_id, order_id, product_id, quantity, line_margin_alloc,
+         createdAt, active_campaign_id
+  FROM lm WHERE active_campaign_id IN (SELECT id FROM sh_campaigns)),
+hit_ids AS (SELECT DISTINCT campaign_id FROM att_line),
+oc_fallback AS (
+  SELECT DISTINCT campaign_id, order_id FROM sh_pairs
+  WHERE campaign_id IN (SELECT id FROM sh_campaigns)
+    AND campaign_id NOT IN (SELECT campaign_id FROM hit_ids)),
+att AS (
+  SELECT * FROM att_line
+  UNION ALL
+  SELECT f.campaign_id, l.order_id, l.product_id, l.quantity, l.line_margin_alloc, l.createdAt,
+         l.active_campaign_id
+  FROM lm l JOIN oc_fallback f ON l.order_id = f.order_id),
+att_p AS (SELECT DISTINCT campaign_id, product_id FROM att),
+att_o AS (SELECT DISTINCT campaign_id, order_id FROM att),
+base AS (
+  SELECT ap.campaign_id, l.order_id, l.product_id, l.quantity, l.line_margin_alloc, l.createdAt,
+         l.active_campaign_id
+  FROM lm l JOIN att_p ap ON l.product_id = ap.product_id
+  WHERE l.active_campaign_id IS NULL
+    AND NOT EXISTS (SELECT 1 FROM att_o ao WHERE ao.campaign_id = ap.campaign_id AND ao.order_id = l.order_id)),
+camp_t AS (
+  SELECT campaign_id, COUNT(DISTINCT order_id) AS attributed_orders, SUM(quantity) AS units,
+         SUM(line_margin_alloc) AS margin, MIN(createdAt) AS f, MAX(createdAt) AS l, COUNT(*) AS n
+  FROM att GROUP BY campaign_id),
+base_t AS (
+  SELECT campaign_id, SUM(quantity) AS units, SUM(line_margin_alloc) AS margin,
+         MIN(createdAt) AS f, MAX(createdAt) AS l, COUNT(*) AS n
+  FROM base GROUP BY campaign_id),
+ship_t AS (
+  SELECT ao.campaign_id, SUM(o.shipping_discount_amount) AS impact
+  FROM att_o ao JOIN sh_orders o ON ao.order_id = o.order_id
+  WHERE ao.campaign_id IN (SELECT id FROM sh_campaigns WHERE type = 'shipping')
+  GROUP BY ao.campaign_id),
+meas0 AS (
+  SELECT c.id AS campaign_id, 'Campaign ' || c.id AS campaign_name, c.type, 'active' AS status,
+         c.campaign_pos, 0.0 AS reported_totalRevenue, 0.0 AS reported_marginPct,
+         CAST(CASE WHEN COALESCE(ct.n, 0) > 0 THEN (epoch_us(ct.l) - epoch_us(ct.f)) // 86400000000 + 1
+              ELSE 0 END AS BIGINT) AS window_days,
+         CAST(CASE WHEN COALESCE(bt.n, 0) > 0 THEN (epoch_us(bt.l) - epoch_us(bt.f)) // 86400000000 + 1
+              ELSE 0 END AS BIGINT) AS baseline_days,
+         CAST(COALESCE(ct.attributed_orders, 0) AS BIGINT) AS attributed_orders,
+         CAST(COALESCE(ct.units, 0) AS BIGINT) AS campaign_units,
+         CAST(COALESCE(bt.units, 0) AS BIGINT) AS baseline_units,
+         COALESCE(ct.margin, 0) - COALESCE(CASE WHEN c.type = 'shipping' AND COALESCE(ct.n, 0) > 0
+                                          THEN COALESCE(st.impact, 0) END, 0) AS campaign_margin_total,
+         COALESCE(bt.margin, 0) AS baseline_margin_total,
+         CASE WHEN c.type = 'shipping' AND COALESCE(ct.n, 0) > 0 THEN COALESCE(st.impact, 0) END
+           AS shipping_cost_impact
+  FROM sh_campaigns c LEFT JOIN camp_t ct ON c.id = ct.campaign_id
+       LEFT JOIN base_t bt ON c.id = bt.campaign_id LEFT JOIN ship_t st ON c.id = st.campaign_id),
+meas1 AS (
+  SELECT *,
+    CASE WHEN window_days > 0 THEN CAST(campaign_margin_total AS DOUBLE) / CAST(window_days AS DOUBLE)
+         ELSE 0.0 END AS campaign_margin_per_day,
+    CASE WHEN baseline_days > 0 THEN CAST(baseline_margin_total AS DOUBLE) / CAST(baseline_days AS DOUBLE)
+         ELSE 0.0 END AS baseline_margin_per_day,
+    CASE WHEN window_days > 0 THEN CAST(campaign_units AS DOUBLE) / CAST(window_days AS DOUBLE)
+         ELSE 0.0 END AS campaign_velocity,
+    CASE WHEN baseline_days > 0 THEN CAST(baseline_units AS DOUBLE) / CAST(baseline_days AS DOUBLE)
+         ELSE 0.0 END AS baseline_velocity
+  FROM meas0),
+measures AS (
+  SELECT *, CASE WHEN baseline_velocity > 0 THEN campaign_velocity / baseline_velocity ELSE 0.0 END AS units_lift
+  FROM meas1),
+suff0 AS (
+  SELECT *, list_filter([
+      CASE WHEN window_days < 3 THEN 'campaign_days=' || window_days || '<3' END,
+      CASE WHEN baseline_days < 3 THEN 'baseline_days=' || baseline_days || '<3' END,
+      CASE WHEN campaign_units < 20 THEN 'campaign_units=' || campaign_units || '<20' END,
+      CASE WHEN baseline_units < 20 THEN 'baseline_units=' || baseline_units || '<20' END,
+      CASE WHEN attributed_orders <= 0 THEN 'attributed_orders=0' END,
+      CASE WHEN baseline_days = 0 THEN 'baseline_margin_per_day_invalid' END,
+      CASE WHEN window_days = 0 THEN 'campaign_margin_per_day_invalid' END], lambda x: x IS NOT NULL) AS f0
+  FROM measures),
+suff AS (
+  SELECT * EXCLUDE (f0),
+         CASE WHEN len(f0) = 0 AND baseline_velocity = 0 THEN ['baseline_velocity_zero'] ELSE f0 END
+           AS sufficiency_failures
+  FROM suff0),
+verd AS (
+  SELECT *,
+    CASE WHEN type = 'shipping' THEN '|shipping_order_level_attribution_coarse' ELSE '' END AS sfx,
+    campaign_margin_per_day / baseline_margin_per_day AS lift
+  FROM suff),
+verd2 AS (
+  SELECT *,
+    CASE WHEN len(sufficiency_failures) > 0 THEN 'inconclusive'
+         WHEN baseline_margin_per_day = 0 THEN 'inconclusive'
+         WHEN lift >= CAST(1.2 AS DOUBLE) THEN 'success'
+         WHEN lift <= CAST(1.0 AS DOUBLE) THEN 'flop'
+         ELSE 'inconclusive' END AS verdict,
+    CASE WHEN len(sufficiency_failures) > 0 THEN 0.2
+         WHEN baseline_margin_per_day = 0 THEN 0.3
+         WHEN lift >= CAST(1.2 AS DOUBLE) THEN
+           CASE WHEN units_lift > CAST(1.1 AS DOUBLE) THEN (CASE WHEN type = 'shipping' THEN 0.7 ELSE 0.85 END)
+                WHEN units_lift <= CAST(1.0 AS DOUBLE) THEN 0.6
+                ELSE (CASE WHEN type = 'shipping' THEN 0.7 ELSE 0.75 END) END
+         WHEN lift <= CAST(1.0 AS DOUBLE) THEN (CASE WHEN type = 'shipping' THEN 0.65 ELSE 0.8 END)
+         ELSE (CASE WHEN type = 'shipping' THEN 0.45 ELSE 0.5 END) END AS conf,
+    CASE WHEN len(sufficiency_failures) > 0 THEN 'low_n:' || array_to_string(sufficiency_failures, '|')
+         WHEN baseline_margin_per_day = 0 THEN 'baseline_margin_per_day_zero'
+         WHEN lift >= CAST(1.2 AS DOUBLE) THEN
+           CASE WHEN units_lift > CAST(1.1 AS DOUBLE) THEN 'margin_lift|volume_lift'
+                WHEN units_lift <= CAST(1.0 AS DOUBLE) THEN 'margin_gain_without_volume_lift'
+                ELSE 'margin_lift' END || sfx
+         WHEN lift <= CAST(1.0 AS DOUBLE) THEN
+           CASE WHEN units_lift > CAST(1.1 AS DOUBLE) THEN 'volume_lift_margin_eroded' ELSE 'margin_erosion' END || sfx
+         ELSE 'margin_lift_below_threshold' || sfx END AS reason_code
+  FROM verd),
+campaign_eval AS (
+  SELECT campaign_id, campaign_name, type, status, window_days, attributed_orders, campaign_units,
+         baseline_units,
+         CAST(CAST(ROUND(campaign_margin_total, 2) AS DECIMAL(18,2)) AS DOUBLE) AS campaign_margin_total,
+         CAST(CAST(ROUND(baseline_margin_total, 2) AS DECIMAL(18,2)) AS DOUBLE) AS baseline_margin_total,
+         ROUND(campaign_margin_per_day, 4) AS margin_per_day_campaign,
+         ROUND(baseline_margin_per_day, 4) AS margin_per_day_baseline,
+         ROUND(units_lift, 4) AS units_lift_ratio,
+         CAST(CAST(ROUND(shipping_cost_impact, 2) AS DECIMAL(18,2)) AS DOUBLE) AS shipping_cost_impact,
+         verdict, CAST(ROUND(conf, 2) AS DOUBLE) AS confidence, reason_code,
+         reported_totalRevenue, reported_marginPct, campaign_pos, baseline_days
+  FROM verd2)
+"""
+
+
 def with_ctes(*fragments: str, select: str) -> str:
     body = ",\n".join(f.strip().rstrip(",") for f in fragments)
     return f"WITH {body}\n{select}"
@@ -110,4 +281,48 @@ BASE = (ADAPTER, LINE_METRICS)
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["product_metrics"] = with_ctes(*BASE, PRODUCTS, select="SELECT * FROM products")
+    cls = (*BASE, PRODUCTS, classify_ctes(MIN_UNITS_DEFAULT))
+    q["classify_products"] = with_ctes(*cls, select="SELECT * FROM classified")
+    q["class_counts"] = with_ctes(*cls, select=(
+        "SELECT movement_class, COUNT(*) AS n_products FROM classified GROUP BY movement_class"))
+    q["classify_rank_fallback"] = with_ctes(*cls, select="""
+SELECT p.*, CASE WHEN 6 * cum_before + 3 * cnt + 3 <= 2 * n THEN 'slow'
+                 WHEN 6 * cum_before + 3 * cnt + 3 <= 4 * n THEN 'medium' ELSE 'fast' END AS rank_class
+FROM cls_in p JOIN vh2 ON p.velocity_per_day = vh2.v WHERE p.data_sufficient""")
+    q["classify_identical"] = with_ctes(*cls, select="""
+SELECT n, n_distinct, n_distinct = 1 AS all_identical,
+       COALESCE(sb = s0 OR sa = sd OR sc = smax, FALSE) AS edges_repeated,
+       CASE WHEN n = 0 THEN 'none_sufficient' WHEN n < 3 THEN 'top_one_fast'
+            WHEN n_distinct = 1 THEN 'all_identical'
+            WHEN sb = s0 OR sa = sd OR sc = smax THEN 'rank_fallback'
+            ELSE 'quantile_tertiles' END AS method,
+       sa + (sb - sa) * (CAST(n - 1 AS DOUBLE) / 3.0 - FLOOR(CAST(n - 1 AS DOUBLE) / 3.0)) AS edge_low,
+       sc + (sd - sc) * (CAST(n - 1 AS DOUBLE) * 2.0 / 3.0 - FLOOR(CAST(n - 1 AS DOUBLE) * 2.0 / 3.0)) AS edge_high
+FROM vs""")
+    q["classify_few"] = with_ctes(*cls, select="""
+SELECT product_id, title, velocity_per_day FROM cls_in WHERE data_sufficient
+ORDER BY velocity_per_day DESC, product_id, title LIMIT 1""")
+    camp = (*BASE, CAMPAIGNS)
+    line_cols = "order_id, product_id, quantity, CAST(line_margin_alloc AS DOUBLE) AS line_margin_alloc, " \
+                "createdAt, active_campaign_id"
+    q["order_campaign_pairs"] = with_ctes(*BASE, select="SELECT campaign_id, order_id FROM sh_pairs")
+    q["attributed_lines"] = with_ctes(*camp, select=f"SELECT campaign_id, {line_cols} FROM att")
+    q["baseline_lines"] = with_ctes(*camp, select=f"SELECT campaign_id, {line_cols} FROM base")
+    q["campaign_windows"] = with_ctes(*camp, select=(
+        "SELECT campaign_id, window_days, baseline_days FROM measures"))
+    q["campaign_aggregates"] = with_ctes(*camp, select="""
+SELECT campaign_id, attributed_orders, campaign_units, baseline_units,
+       CAST(campaign_margin_total AS DOUBLE) AS campaign_margin_total,
+       CAST(baseline_margin_total AS DOUBLE) AS baseline_margin_total FROM measures""")
+    q["shipping_impact"] = with_ctes(*camp, select=(
+        "SELECT campaign_id, CAST(impact AS DOUBLE) AS shipping_cost_impact FROM ship_t"))
+    q["campaign_rates"] = with_ctes(*camp, select="""
+SELECT campaign_id, campaign_margin_per_day, baseline_margin_per_day, campaign_velocity,
+       baseline_velocity, units_lift FROM measures""")
+    q["campaign_sufficiency"] = with_ctes(*camp, select="""
+SELECT campaign_id, array_to_string(sufficiency_failures, '|') AS sufficiency_failures,
+       len(sufficiency_failures) = 0 AS is_sufficient FROM suff""")
+    q["campaign_eval"] = with_ctes(*camp, select="SELECT * FROM campaign_eval")
+    q["verdict_counts"] = with_ctes(*camp, select=(
+        "SELECT verdict, COUNT(*) AS n_campaigns FROM campaign_eval GROUP BY verdict"))
     return q

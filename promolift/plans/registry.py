@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..operators import campaigns as CE
+from ..operators import classify as C
 from ..operators import metrics as M
 from ..sources import testtables as tt
 
@@ -64,3 +66,119 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("product_metrics")
 def q_product_metrics(spark, sf_dir):
     return present(products(spark, sf_dir))
+
+
+# -- E: classification ----------------------------------------------------------
+
+def classified(spark, sf_dir, min_units: int = MIN_UNITS_DEFAULT) -> DataFrame:
+    return C.classify_products(products(spark, sf_dir), min_units=min_units)
+
+
+def sufficient_products(spark, sf_dir, min_units: int = MIN_UNITS_DEFAULT) -> DataFrame:
+    return C.with_sufficiency(products(spark, sf_dir), min_units).where(F.col("data_sufficient"))
+
+
+@register("classify_products")
+def q_classify_products(spark, sf_dir):
+    return present(classified(spark, sf_dir))
+
+
+@register("class_counts")
+def q_class_counts(spark, sf_dir):
+    return C.class_counts(classified(spark, sf_dir))
+
+
+@register("classify_rank_fallback")
+def q_classify_rank_fallback(spark, sf_dir):
+    """The rank-based tertile method applied to all sufficient products."""
+    return present(C.assign_tertiles_rank(sufficient_products(spark, sf_dir)))
+
+
+@register("classify_identical")
+def q_classify_identical(spark, sf_dir):
+    """Branch chooser: counts, identical/repeated-edge flags and chosen method."""
+    return C.classification_plan(sufficient_products(spark, sf_dir))
+
+
+@register("classify_few")
+def q_classify_few(spark, sf_dir):
+    """Arg-max used when fewer than three products are sufficient."""
+    return C.top_velocity_product(sufficient_products(spark, sf_dir))
+
+
+# -- F: campaign evaluation ------------------------------------------------------
+
+def shop_inputs(spark, sf_dir):
+    return tt.shop_orders(spark, sf_dir), tt.shop_campaigns(spark)
+
+
+def campaign_eval(spark, sf_dir) -> DataFrame:
+    orders, camps = shop_inputs(spark, sf_dir)
+    return CE.evaluate_campaigns(orders, line_margin(spark, sf_dir), camps)
+
+
+def campaign_measures(spark, sf_dir) -> DataFrame:
+    orders, camps = shop_inputs(spark, sf_dir)
+    return CE.with_verdicts(CE.campaign_measures(line_margin(spark, sf_dir), orders, camps))
+
+
+def attributed(spark, sf_dir) -> DataFrame:
+    orders, camps = shop_inputs(spark, sf_dir)
+    return CE.attributed_lines(line_margin(spark, sf_dir), orders, camps)
+
+
+@register("order_campaign_pairs")
+def q_order_campaign_pairs(spark, sf_dir):
+    return CE.order_campaign_pairs(tt.shop_orders(spark, sf_dir))
+
+
+@register("attributed_lines")
+def q_attributed_lines(spark, sf_dir):
+    return present(attributed(spark, sf_dir))
+
+
+@register("baseline_lines")
+def q_baseline_lines(spark, sf_dir):
+    return present(CE.baseline_lines(attributed(spark, sf_dir), line_margin(spark, sf_dir)))
+
+
+@register("campaign_windows")
+def q_campaign_windows(spark, sf_dir):
+    return campaign_measures(spark, sf_dir).select("campaign_id", "window_days", "baseline_days")
+
+
+@register("campaign_aggregates")
+def q_campaign_aggregates(spark, sf_dir):
+    return present(campaign_measures(spark, sf_dir).select(
+        "campaign_id", "attributed_orders", "campaign_units", "baseline_units",
+        "campaign_margin_total", "baseline_margin_total"))
+
+
+@register("shipping_impact")
+def q_shipping_impact(spark, sf_dir):
+    orders, camps = shop_inputs(spark, sf_dir)
+    return present(CE.shipping_impact(attributed(spark, sf_dir), orders, camps))
+
+
+@register("campaign_rates")
+def q_campaign_rates(spark, sf_dir):
+    return campaign_measures(spark, sf_dir).select(
+        "campaign_id", "campaign_margin_per_day", "baseline_margin_per_day", "campaign_velocity",
+        "baseline_velocity", "units_lift")
+
+
+@register("campaign_sufficiency")
+def q_campaign_sufficiency(spark, sf_dir):
+    return campaign_measures(spark, sf_dir).select(
+        "campaign_id", F.array_join("sufficiency_failures", "|").alias("sufficiency_failures"),
+        (F.size("sufficiency_failures") == 0).alias("is_sufficient"))
+
+
+@register("campaign_eval")
+def q_campaign_eval(spark, sf_dir):
+    return present(campaign_eval(spark, sf_dir))
+
+
+@register("verdict_counts")
+def q_verdict_counts(spark, sf_dir):
+    return CE.verdict_counts(campaign_eval(spark, sf_dir))
