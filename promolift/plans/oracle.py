@@ -8,8 +8,9 @@ to DOUBLE at the end (DECIMAL(18,s) first, so the conversion is exact).
 
 from __future__ import annotations
 
-from ..schemas import (CAMPAIGN_TYPE_TO_MECHANIC, CONFIDENCE_WEIGHT, EMAIL_PATTERN,
-                       MECHANIC_EFFORT, OPPORTUNITY_VALUE)
+from ..operators import rules as R
+from ..schemas import (CAMPAIGN_TYPE_TO_MECHANIC, CONFIDENCE_WEIGHT, EMAIL_PATTERN, FALLBACK_ORDER,
+                       MECHANIC_EFFORT, MECHANIC_TO_CAMPAIGN_TYPE, OPPORTUNITY_VALUE, POLICY_MATRIX)
 
 MIN_UNITS_DEFAULT = 500
 
@@ -109,7 +110,7 @@ vh2 AS (
          COALESCE(SUM(cnt) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum_before,
          SUM(cnt) OVER () AS n
   FROM vh),
-vs0 AS (SELECT COALESCE(MAX(n), 0) AS n, COUNT(*) AS n_distinct FROM vh2),
+vs0 AS (SELECT CAST(COALESCE(MAX(n), 0) AS BIGINT) AS n, COUNT(*) AS n_distinct FROM vh2),
 vs AS (
   SELECT vs0.n, vs0.n_distinct,
          (SELECT MIN(v) FROM vh2) AS s0,
@@ -181,7 +182,7 @@ ship_t AS (
   GROUP BY ao.campaign_id),
 meas0 AS (
   SELECT c.id AS campaign_id, 'Campaign ' || c.id AS campaign_name, c.type, 'active' AS status,
-         c.campaign_pos, 0.0 AS reported_totalRevenue, 0.0 AS reported_marginPct,
+         c.campaign_pos, CAST(0.0 AS DOUBLE) AS reported_totalRevenue, CAST(0.0 AS DOUBLE) AS reported_marginPct,
          CAST(CASE WHEN COALESCE(ct.n, 0) > 0 THEN (epoch_us(ct.l) - epoch_us(ct.f)) // 86400000000 + 1
               ELSE 0 END AS BIGINT) AS window_days,
          CAST(CASE WHEN COALESCE(bt.n, 0) > 0 THEN (epoch_us(bt.l) - epoch_us(bt.f)) // 86400000000 + 1
@@ -270,6 +271,201 @@ campaign_eval AS (
 """
 
 
+def lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else str(v)
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def case_map(mapping: dict, key: str, default=None) -> str:
+    whens = " ".join(f"WHEN {key} = {lit(k)} THEN {lit(v)}" for k, v in mapping.items())
+    return f"(CASE {whens} ELSE {lit(default)} END)"
+
+
+def vetoed_sql(m: str) -> str:
+    t = case_map(MECHANIC_TO_CAMPAIGN_TYPE, m)
+    return (f"(COALESCE(list_contains(flop_types, {t}), FALSE) OR "
+            f"(volume_lift_margin_eroded AND {m} IN ('Generic Discount', 'Order-level Discount')))")
+
+
+def fixed4(v: str) -> str:
+    return f"CAST(CAST(ROUND(CAST({v} AS DECIMAL(38,10)), 4) AS DECIMAL(38,4)) AS VARCHAR)"
+
+
+def margin_band_ctes() -> str:
+    return """
+mh AS (SELECT margin_pct AS v, COUNT(*) AS cnt FROM classified GROUP BY 1),
+mh2 AS (
+  SELECT v, cnt,
+         COALESCE(SUM(cnt) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum_before,
+         SUM(cnt) OVER () AS n
+  FROM mh),
+ms0 AS (SELECT CAST(COALESCE(MAX(n), 0) AS BIGINT) AS n FROM mh2),
+ms AS (
+  SELECT ms0.n,
+         (SELECT MIN(v) FROM mh2 WHERE cum_before + cnt > (ms0.n - 1) // 3) AS sa,
+         (SELECT MIN(v) FROM mh2 WHERE cum_before + cnt > (ms0.n + 1) // 3) AS sb,
+         (SELECT MIN(v) FROM mh2 WHERE cum_before + cnt > (2 * (ms0.n - 1)) // 3) AS sc,
+         (SELECT MIN(v) FROM mh2 WHERE cum_before + cnt > (2 * ms0.n) // 3) AS sd
+  FROM ms0),
+banded AS (
+  SELECT c.*,
+         CASE WHEN c.margin_pct >= ms.sd THEN 'high' WHEN c.margin_pct <= ms.sa THEN 'low' ELSE 'mid' END
+           AS margin_band,
+         ROUND(ms.sa + (ms.sb - ms.sa) * (CAST(ms.n - 1 AS DOUBLE) / 3.0 - FLOOR(CAST(ms.n - 1 AS DOUBLE) / 3.0)), 4)
+           AS _margin_p33,
+         ROUND(ms.sc + (ms.sd - ms.sc) * (CAST(ms.n - 1 AS DOUBLE) * 2.0 / 3.0
+                                         - FLOOR(CAST(ms.n - 1 AS DOUBLE) * 2.0 / 3.0)), 4) AS _margin_p67
+  FROM classified c CROSS JOIN ms)
+"""
+
+
+def rules_ctes(affinity_sql: str | None) -> str:
+    cells = ", ".join(
+        f"({lit(b)}, {lit(c)}, {lit(m)}, {lit(o)}, {lit(conf)}, {lit(R.RATIONALE[(b, c)][0])}, "
+        f"{lit(R.RATIONALE[(b, c)][1])})" for b, c, m, o, conf in POLICY_MATRIX)
+    fb = " ".join(
+        f"WHEN NOT ({lit(f)} = 'Free Shipping' AND NOT shipping_roi_positive) AND NOT {vetoed_sql(lit(f))} "
+        f"THEN {lit(f)}" for f in FALLBACK_ORDER)
+    ftype = case_map(MECHANIC_TO_CAMPAIGN_TYPE, "recommended_mechanic")
+    aff = (f"aff AS (SELECT DISTINCT product_id, TRUE AS is_aff FROM ({affinity_sql}))" if affinity_sql
+           else "aff AS (SELECT CAST(NULL AS BIGINT) AS product_id, TRUE AS is_aff WHERE FALSE)")
+    prio = lambda o, c, m: (f"ROUND({case_map(OPPORTUNITY_VALUE, o, 1.0)} * {case_map(CONFIDENCE_WEIGHT, c, 0.3)}"
+                            f" / {case_map(MECHANIC_EFFORT, m, 1.0)}, 4)")
+    return f"""
+ev AS (
+  SELECT list_sort(COALESCE(list(DISTINCT type) FILTER (WHERE verdict = 'success'), [])) AS success_types,
+         list_sort(COALESCE(list(DISTINCT type) FILTER (WHERE verdict = 'flop'), [])) AS flop_types,
+         list_sort(COALESCE(list(DISTINCT type) FILTER (WHERE verdict = 'inconclusive'), [])) AS inc0,
+         COALESCE(bool_or(verdict = 'flop' AND contains(reason_code, 'volume_lift_margin_eroded')), FALSE)
+           AS volume_lift_margin_eroded,
+         CAST(COUNT(*) FILTER (WHERE verdict = 'success') AS BIGINT) AS n_success,
+         CAST(COUNT(*) FILTER (WHERE verdict = 'flop') AS BIGINT) AS n_flop
+  FROM campaign_eval),
+evidence AS (
+  SELECT success_types, flop_types,
+         list_sort(list_filter(inc0, lambda x: NOT list_contains(success_types, x)
+                                          AND NOT list_contains(flop_types, x))) AS inconclusive_types,
+         list_contains(success_types, 'shipping') AS shipping_roi_positive,
+         list_contains(flop_types, 'order') AS order_discount_flopped,
+         volume_lift_margin_eroded, n_success, n_flop
+  FROM ev),
+cells AS (
+  SELECT * FROM (VALUES {cells}) AS t(margin_band, movement_class, matrix_mechanic, margin_opportunity,
+                                       base_confidence, rationale_code, base_rationale)),
+pol0 AS (
+  SELECT c.margin_band, c.movement_class, a.affinity, c.rationale_code, c.base_rationale, e.*,
+         CASE WHEN a.affinity THEN 'Bundle/Cross-sell'
+              WHEN c.matrix_mechanic = 'Free Shipping' AND NOT e.shipping_roi_positive THEN 'Leave/minimal discount'
+              ELSE c.matrix_mechanic END AS start_mechanic,
+         CASE WHEN a.affinity THEN 'high' ELSE c.margin_opportunity END AS margin_opportunity,
+         CASE WHEN a.affinity THEN 'high' ELSE c.base_confidence END AS conf0
+  FROM cells c CROSS JOIN (VALUES (FALSE), (TRUE)) AS a(affinity) CROSS JOIN evidence e),
+pol1 AS (
+  SELECT *, {vetoed_sql("start_mechanic")} AS vetoed, (CASE {fb} END) AS fallback FROM pol0),
+pol2 AS (
+  SELECT *,
+         CASE WHEN NOT vetoed THEN start_mechanic ELSE COALESCE(fallback, 'Leave/minimal discount') END
+           AS recommended_mechanic,
+         CASE WHEN NOT vetoed THEN conf0 WHEN fallback IS NOT NULL THEN 'medium' ELSE 'low' END AS conf1
+  FROM pol1),
+pol3 AS (SELECT *, {ftype} AS final_type FROM pol2),
+pol4 AS (
+  SELECT *, COALESCE(list_contains(success_types, final_type), FALSE) AS succ,
+         COALESCE(list_contains(flop_types, final_type), FALSE) AS flop,
+         volume_lift_margin_eroded AND recommended_mechanic IN ('Generic Discount', 'Order-level Discount')
+           AS eroded_risk
+  FROM pol3),
+pol5 AS (
+  SELECT *, CASE WHEN succ THEN (CASE conf1 WHEN 'medium' THEN 'high' WHEN 'low' THEN 'medium' ELSE conf1 END)
+                 ELSE conf1 END AS conf2
+  FROM pol4),
+pol6 AS (
+  SELECT *, CASE WHEN flop THEN (CASE conf2 WHEN 'high' THEN 'medium' WHEN 'medium' THEN 'low' ELSE conf2 END)
+                 ELSE conf2 END AS conf3
+  FROM pol5),
+pol7 AS (
+  SELECT *, CASE WHEN eroded_risk AND conf3 IN ('high', 'medium') THEN 'medium' ELSE conf3 END AS confidence_label,
+         list_filter([
+           CASE WHEN vetoed THEN (CASE WHEN fallback IS NOT NULL
+                 THEN 'base_mechanic_vetoed:' || start_mechanic || '->fallback:' || fallback
+                 ELSE 'all_fallbacks_vetoed:terminal_safe' END) END,
+           CASE WHEN succ THEN 'campaign_success_evidence:' || final_type END,
+           CASE WHEN succ AND final_type = 'shipping' THEN 'shipping_attribution_coarse' END,
+           CASE WHEN flop THEN 'campaign_flop_evidence:' || final_type END,
+           CASE WHEN eroded_risk THEN 'volume_lift_margin_eroded_risk' END,
+           CASE WHEN recommended_mechanic = 'Free Shipping' THEN 'shipping_attribution_coarse' END,
+           CASE WHEN affinity THEN 'affinity_override_applied' END], lambda x: x IS NOT NULL) AS tags
+  FROM pol6),
+policy AS (
+  SELECT margin_band, movement_class, affinity, start_mechanic, vetoed, recommended_mechanic, final_type,
+         margin_opportunity, confidence_label,
+         {case_map(CONFIDENCE_WEIGHT, "confidence_label", 0.6)} AS confidence,
+         rationale_code,
+         concat_ws(' ', base_rationale,
+                   CASE WHEN affinity THEN {lit("Strong purchase affinity: bundle it with its partner products.")} END,
+                   CASE WHEN vetoed THEN 'Campaign results ruled out ' || start_mechanic || '; using '
+                                         || recommended_mechanic || ' instead.' END,
+                   CASE WHEN succ AND final_type = 'shipping' THEN {lit(R.SHIPPING_TEXT)} END) AS rationale,
+         concat_ws(' ', {lit(R.CAVEAT_TEXT)},
+                   CASE WHEN list_contains(tags, 'shipping_attribution_coarse') THEN {lit(R.SHIPPING_TEXT)} END,
+                   CASE WHEN volume_lift_margin_eroded THEN {lit(R.ERODED_TEXT)} END) AS expected_effect,
+         tags,
+         {prio("margin_opportunity", "confidence_label", "recommended_mechanic")} AS priority_score
+  FROM pol7),
+crefs AS (
+  SELECT campaign_pos, type, verdict,
+         'campaign:' || campaign_id || '|type:' || type || '|verdict:' || verdict || '|rc:' || reason_code AS ref
+  FROM campaign_eval),
+policy_refs AS (
+  SELECT p.*, COALESCE((SELECT list(r.ref ORDER BY r.campaign_pos) FROM crefs r
+                        WHERE r.type = p.final_type OR r.verdict IN ('success', 'flop')), []) AS campaign_refs
+  FROM policy p),
+{aff},
+recs0 AS (
+  SELECT b.*, COALESCE(a.is_aff, FALSE) AS affinity_flag
+  FROM banded b LEFT JOIN aff a ON b.product_id = a.product_id),
+recommendations AS (
+  SELECT r.product_id, r.title, r.margin_band, r.movement_class, r.data_sufficient, r.units_sold,
+         r.velocity_per_day, r.margin_pct,
+         CASE WHEN rule0 THEN 'Collect more data' ELSE p.recommended_mechanic END AS recommended_mechanic,
+         CASE WHEN rule0 THEN 'low' ELSE p.margin_opportunity END AS margin_opportunity,
+         CASE WHEN rule0 THEN 'low' ELSE p.confidence_label END AS confidence_label,
+         CASE WHEN rule0 THEN CAST(0.3 AS DOUBLE) ELSE p.confidence END AS confidence,
+         CASE WHEN rule0 THEN 'rule0_insufficient_data' ELSE p.rationale_code END AS rationale_code,
+         CASE WHEN rule0 THEN 'Too few units sold to judge (' || CAST(r.units_sold AS VARCHAR)
+                              || ' of ' || {{min_units}} || ' needed); no discount call is made on product-level figures.'
+              ELSE p.rationale END AS rationale,
+         CASE WHEN rule0 THEN {lit("Sample too small for product-level claims. " + R.CAVEAT_TEXT)}
+              ELSE p.expected_effect END AS expected_effect,
+         CASE WHEN rule0 THEN {prio("'low'", "'low'", "'Collect more data'")} ELSE p.priority_score END
+           AS priority_score,
+         CASE WHEN rule0 THEN ['product_id:' || CAST(r.product_id AS VARCHAR),
+                               'units_sold:' || CAST(r.units_sold AS VARCHAR),
+                               'rule0_insufficient_data', {lit(R.CAVEAT_STRUCTURAL)}]
+              ELSE list_concat(['product_id:' || CAST(r.product_id AS VARCHAR),
+                                'movement_class:' || r.movement_class,
+                                'margin_band:' || r.margin_band,
+                                'units_sold:' || CAST(r.units_sold AS VARCHAR),
+                                'velocity_per_day:' || {fixed4("r.velocity_per_day")},
+                                'margin_pct:' || {fixed4("r.margin_pct")},
+                                'data_sufficient:' || CASE WHEN r.data_sufficient THEN 'True' ELSE 'False' END,
+                                'recommended_mechanic:' || p.recommended_mechanic,
+                                {lit(R.CAVEAT_STRUCTURAL)}], p.tags, p.campaign_refs) END AS evidence_refs
+  FROM (SELECT *, (NOT data_sufficient OR movement_class NOT IN ('fast', 'medium', 'slow')) AS rule0
+        FROM recs0) r
+  LEFT JOIN policy_refs p
+    ON r.margin_band = p.margin_band AND r.movement_class = p.movement_class AND r.affinity_flag = p.affinity)
+"""
+
+
+AFFINITY_SQL = "SELECT p_partkey AS product_id FROM part WHERE p_type = 'PROMO'"
+
+
 def with_ctes(*fragments: str, select: str) -> str:
     body = ",\n".join(f.strip().rstrip(",") for f in fragments)
     return f"WITH {body}\n{select}"
@@ -325,4 +521,49 @@ SELECT campaign_id, array_to_string(sufficiency_failures, '|') AS sufficiency_fa
     q["campaign_eval"] = with_ctes(*camp, select="SELECT * FROM campaign_eval")
     q["verdict_counts"] = with_ctes(*camp, select=(
         "SELECT verdict, COUNT(*) AS n_campaigns FROM campaign_eval GROUP BY verdict"))
+    cls_ce = (*cls, CAMPAIGNS.rstrip() , margin_band_ctes())
+    recs = (*cls_ce, rules_ctes(None).replace("{min_units}", str(MIN_UNITS_DEFAULT)))
+    recs_aff = (*cls_ce, rules_ctes(AFFINITY_SQL).replace("{min_units}", str(MIN_UNITS_DEFAULT)))
+    rec_cols = ("product_id, title, margin_band, movement_class, data_sufficient, units_sold, velocity_per_day, "
+                "margin_pct, recommended_mechanic, margin_opportunity, confidence_label, confidence, "
+                "rationale_code, rationale, expected_effect, priority_score, "
+                "array_to_string(evidence_refs, ';') AS evidence_refs")
+    q["recommendations"] = with_ctes(*recs, select=f"SELECT {rec_cols} FROM recommendations")
+    q["recommend_with_affinity"] = with_ctes(*recs_aff, select=f"SELECT {rec_cols} FROM recommendations")
+    q["campaign_evidence"] = with_ctes(*recs, select="""
+SELECT array_to_string(success_types, '|') AS success_types, array_to_string(flop_types, '|') AS flop_types,
+       array_to_string(inconclusive_types, '|') AS inconclusive_types, shipping_roi_positive,
+       order_discount_flopped, volume_lift_margin_eroded, n_success, n_flop FROM evidence""")
+    q["margin_bands"] = with_ctes(*cls_ce, select=(
+        "SELECT product_id, title, margin_pct, margin_band, _margin_p33, _margin_p67 FROM banded"))
+    q["policy_matrix"] = with_ctes(*recs, select="""
+SELECT p.margin_band, p.movement_class, p.start_mechanic AS base_mechanic, p.margin_opportunity,
+       c.base_confidence, p.rationale_code,
+       (SELECT CAST(COUNT(*) AS BIGINT) FROM banded b WHERE b.margin_band = p.margin_band
+          AND b.movement_class = p.movement_class AND b.data_sufficient) AS n_products
+FROM pol0 p JOIN cells c ON p.margin_band = c.margin_band AND p.movement_class = c.movement_class
+WHERE NOT p.affinity""")
+    q["mechanic_vetoes"] = with_ctes(*recs, select=f"""
+SELECT m.mechanic, {case_map(MECHANIC_TO_CAMPAIGN_TYPE, "m.mechanic")} AS campaign_type,
+       {vetoed_sql("m.mechanic")} AS vetoed,
+       (SELECT CAST(COUNT(*) AS BIGINT) FROM recommendations r JOIN policy p
+          ON r.margin_band = p.margin_band AND r.movement_class = p.movement_class AND NOT p.affinity
+        WHERE p.vetoed AND p.start_mechanic = m.mechanic AND NOT (NOT r.data_sufficient)) AS n_products_vetoed
+FROM (VALUES {", ".join(f"({lit(k)})" for k in MECHANIC_EFFORT)}) AS m(mechanic) CROSS JOIN evidence""")
+    q["policy_resolved"] = with_ctes(*recs, select="""
+SELECT margin_band, movement_class, affinity, start_mechanic, vetoed, recommended_mechanic, margin_opportunity,
+       confidence_label, confidence, priority_score, array_to_string(tags, ';') AS tags,
+       array_to_string(campaign_refs, ';') AS campaign_refs FROM policy_refs""")
+    q["evidence_refs"] = with_ctes(*recs, select="""
+SELECT product_id, title, array_to_string(evidence_refs, ';') AS evidence_refs,
+       CAST(len(evidence_refs) AS INTEGER) AS n_refs FROM recommendations""")
+    q["priority_scores"] = with_ctes(*recs, select="""
+SELECT product_id, title, recommended_mechanic, margin_opportunity, confidence_label, priority_score
+FROM recommendations""")
+    q["mechanic_counts"] = with_ctes(*recs, select=(
+        "SELECT recommended_mechanic, COUNT(*) AS n_products FROM recommendations GROUP BY 1"))
+    q["top_recommendations"] = with_ctes(*recs, select=f"""
+SELECT {rec_cols} FROM recommendations ORDER BY priority_score DESC, product_id, title LIMIT 20""")
+    q["campaign_mechanics"] = with_ctes(*camp, select=f"""
+SELECT campaign_id, type, verdict, {case_map(CAMPAIGN_TYPE_TO_MECHANIC, "type")} AS mechanic FROM campaign_eval""")
     return q

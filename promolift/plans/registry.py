@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..operators import campaigns as CE
 from ..operators import classify as C
 from ..operators import metrics as M
+from ..operators import rules as R
 from ..sources import testtables as tt
 
 MIN_UNITS_DEFAULT = 500
@@ -182,3 +183,121 @@ def q_campaign_eval(spark, sf_dir):
 @register("verdict_counts")
 def q_verdict_counts(spark, sf_dir):
     return CE.verdict_counts(campaign_eval(spark, sf_dir))
+
+
+# -- G: recommendation rules -------------------------------------------------------
+
+def affinity_input(spark, sf_dir) -> DataFrame:
+    """Stand-in affinity table: products whose part type is PROMO."""
+    part = spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet")
+    return part.where(F.col("p_type") == "PROMO").select(F.col("p_partkey").alias("product_id"))
+
+
+def recommendations(spark, sf_dir, with_affinity: bool = False) -> DataFrame:
+    aff = affinity_input(spark, sf_dir) if with_affinity else None
+    return R.recommend_for_products(classified(spark, sf_dir), campaign_eval(spark, sf_dir), aff,
+                                    min_units=MIN_UNITS_DEFAULT)
+
+
+def present_recs(df: DataFrame) -> DataFrame:
+    return present(df.withColumn("evidence_refs", F.array_join("evidence_refs", ";")))
+
+
+def banded(spark, sf_dir) -> DataFrame:
+    return R.margin_bands(classified(spark, sf_dir))
+
+
+def policy_table(spark, sf_dir) -> DataFrame:
+    return R.resolved_policy(banded(spark, sf_dir), campaign_eval(spark, sf_dir))
+
+
+@register("recommendations")
+def q_recommendations(spark, sf_dir):
+    return present_recs(recommendations(spark, sf_dir))
+
+
+@register("recommend_with_affinity")
+def q_recommend_with_affinity(spark, sf_dir):
+    return present_recs(recommendations(spark, sf_dir, with_affinity=True))
+
+
+@register("campaign_evidence")
+def q_campaign_evidence(spark, sf_dir):
+    ev = R.campaign_evidence(campaign_eval(spark, sf_dir))
+    return ev.select(*[F.array_join(c, "|").alias(c) for c in
+                       ("success_types", "flop_types", "inconclusive_types")],
+                     "shipping_roi_positive", "order_discount_flopped", "volume_lift_margin_eroded",
+                     "n_success", "n_flop")
+
+
+@register("margin_bands")
+def q_margin_bands(spark, sf_dir):
+    return banded(spark, sf_dir).select("product_id", "title", "margin_pct", "margin_band",
+                                        "_margin_p33", "_margin_p67")
+
+
+@register("policy_matrix")
+def q_policy_matrix(spark, sf_dir):
+    """Step A cells with the number of sufficient products falling in each."""
+    b = banded(spark, sf_dir)
+    ev = R.campaign_evidence(campaign_eval(spark, sf_dir))
+    counts = (b.where(F.col("data_sufficient")).groupBy("margin_band", "movement_class")
+              .agg(F.count(F.lit(1)).alias("n_products")))
+    base = R.base_policy(spark, ev)
+    return (base.join(counts, ["margin_band", "movement_class"], "left")
+            .select("margin_band", "movement_class", "base_mechanic", "margin_opportunity",
+                    "base_confidence", "rationale_code",
+                    F.coalesce(F.col("n_products"), F.lit(0)).cast("bigint").alias("n_products")))
+
+
+@register("mechanic_vetoes")
+def q_mechanic_vetoes(spark, sf_dir):
+    """Veto status of every mechanic and how many products had it vetoed."""
+    ev_df = R.campaign_evidence(campaign_eval(spark, sf_dir))
+    policy = R.resolve_policy(R.base_policy(spark, ev_df)).where(~F.col("affinity"))
+    b = banded(spark, sf_dir).where(F.col("data_sufficient"))
+    hits = (b.join(F.broadcast(policy.where(F.col("vetoed"))), ["margin_band", "movement_class"])
+            .groupBy(F.col("start_mechanic").alias("mechanic")).agg(F.count(F.lit(1)).alias("n")))
+    ev = R.as_scalar(ev_df)
+    mechs = spark.createDataFrame([(m,) for m in R.MECHANIC_EFFORT], "mechanic string")
+    return (mechs.join(hits, "mechanic", "left")
+            .select("mechanic", R.mechanic_type(F.col("mechanic")).alias("campaign_type"),
+                    R.is_vetoed(F.col("mechanic"), ev).alias("vetoed"),
+                    F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n_products_vetoed")))
+
+
+@register("policy_resolved")
+def q_policy_resolved(spark, sf_dir):
+    return policy_table(spark, sf_dir).select(
+        "margin_band", "movement_class", "affinity", "start_mechanic", "vetoed", "recommended_mechanic",
+        "margin_opportunity", "confidence_label", "confidence", "priority_score",
+        F.array_join("tags", ";").alias("tags"), F.array_join("campaign_refs", ";").alias("campaign_refs"))
+
+
+@register("evidence_refs")
+def q_evidence_refs(spark, sf_dir):
+    return recommendations(spark, sf_dir).select(
+        "product_id", "title", F.array_join("evidence_refs", ";").alias("evidence_refs"),
+        F.size("evidence_refs").alias("n_refs"))
+
+
+@register("priority_scores")
+def q_priority_scores(spark, sf_dir):
+    return recommendations(spark, sf_dir).select(
+        "product_id", "title", "recommended_mechanic", "margin_opportunity", "confidence_label",
+        "priority_score")
+
+
+@register("mechanic_counts")
+def q_mechanic_counts(spark, sf_dir):
+    return R.mechanic_counts(recommendations(spark, sf_dir))
+
+
+@register("top_recommendations")
+def q_top_recommendations(spark, sf_dir):
+    return present_recs(R.top_recommendations(recommendations(spark, sf_dir), 20))
+
+
+@register("campaign_mechanics")
+def q_campaign_mechanics(spark, sf_dir):
+    return R.campaign_mechanics(campaign_eval(spark, sf_dir))

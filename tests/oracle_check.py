@@ -63,6 +63,35 @@ def _rows(cols, rows):
     return [cols[i] for i in order], out
 
 
+_SPARK_TO_DUCK = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+    "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "float": "FLOAT",
+    "smallint": "SMALLINT", "tinyint": "TINYINT",
+}
+
+
+def _spark_type(dt_) -> str:
+    s = dt_.simpleString()
+    if s.startswith("array<"):
+        return "LIST"
+    if s.startswith("struct<"):
+        return "STRUCT"
+    if s.startswith("map<"):
+        return "MAP"
+    return _SPARK_TO_DUCK.get(s, s.upper())
+
+
+def _duck_type(t) -> str:
+    s = str(t)
+    if s.endswith("[]"):
+        return "LIST"
+    if s.startswith("STRUCT"):
+        return "STRUCT"
+    if s.startswith("MAP"):
+        return "MAP"
+    return s
+
+
 def _close(a, b) -> bool:
     if a == b:
         return True
@@ -89,6 +118,11 @@ def compare(spark, name: str, sf_dir: str, con=None, show: int = 3) -> dict:
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     res["oracle_rows"] = len(drows)
+    stypes = {f.name: _spark_type(f.dataType) for f in sdf.schema.fields}
+    dtypes = {d[0]: _duck_type(d[1]) for d in cur.description}
+    bad_types = {c: (stypes.get(c), dtypes.get(c)) for c in stypes if stypes.get(c) != dtypes.get(c)}
+    if bad_types:
+        res["types"] = bad_types
     scols, sn = _rows(sdf.columns, srows)
     dcols_s, dn = _rows(dcols, drows)
     if scols != dcols_s:
@@ -99,7 +133,7 @@ def compare(spark, name: str, sf_dir: str, con=None, show: int = 3) -> dict:
         res["status"] = "rowcount"
         return res
     if sn == dn:
-        res["status"] = "exact"
+        res["status"] = "exact" if not bad_types else "TYPES"
         return res
     diffs = [(a, b) for a, b in zip(sn, dn) if a != b]
     res["status"] = "close" if all(_close(a, b) for a, b in diffs) else "MISMATCH"
