@@ -477,6 +477,27 @@ BASE = (ADAPTER, LINE_METRICS)
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["product_metrics"] = with_ctes(*BASE, PRODUCTS, select="SELECT * FROM products")
+    d = lambda c, sc=6: f"CAST(CAST({c} AS DECIMAL(18,{sc})) AS DOUBLE)"
+    q["line_revenue"] = with_ctes(*BASE, select=f"""
+SELECT order_id, product_id, quantity, {d("price")} AS price, {d("total_discount")} AS total_discount,
+       {d("line_gross_revenue")} AS line_gross_revenue, {d("line_net_revenue")} AS line_net_revenue, net_clipped
+FROM lr""")
+    q["order_net_revenue"] = with_ctes(*BASE, select=(
+        f"SELECT order_id, {d('order_net_revenue')} AS order_net_revenue FROM onr"))
+    q["allocated_cost"] = with_ctes(*BASE, select=f"""
+SELECT order_id, product_id, quantity, {d("cost_total")} AS cost_total, {d("line_net_revenue")} AS line_net_revenue,
+       {d("allocated_cost")} AS allocated_cost FROM la""")
+    q["zero_revenue_orders"] = with_ctes(*BASE, select=(
+        f"SELECT order_id, {d('order_net_revenue')} AS order_net_revenue FROM onr WHERE order_net_revenue = 0"))
+    q["line_margin"] = with_ctes(*BASE, select=f"""
+SELECT order_id, product_id, quantity, {d("line_net_revenue")} AS line_net_revenue,
+       {d("allocated_cost")} AS allocated_cost, {d("line_margin_alloc")} AS line_margin_alloc, active_campaign_id
+FROM lm""")
+    q["dataset_window"] = with_ctes(*BASE, select=(
+        "SELECT dataset_first, dataset_last, CAST(window_days AS BIGINT) AS window_days FROM win"))
+    q["products_by_velocity"] = with_ctes(*BASE, PRODUCTS, select=(
+        "SELECT product_id, title, units_sold, velocity_per_day FROM products "
+        "ORDER BY velocity_per_day DESC, product_id, title"))
     cls = (*BASE, PRODUCTS, classify_ctes(MIN_UNITS_DEFAULT))
     q["classify_products"] = with_ctes(*cls, select="SELECT * FROM classified")
     q["class_counts"] = with_ctes(*cls, select=(
@@ -564,6 +585,51 @@ FROM recommendations""")
         "SELECT recommended_mechanic, COUNT(*) AS n_products FROM recommendations GROUP BY 1"))
     q["top_recommendations"] = with_ctes(*recs, select=f"""
 SELECT {rec_cols} FROM recommendations ORDER BY priority_score DESC, product_id, title LIMIT 20""")
+    q["pipeline_summary"] = with_ctes(*recs, select="""
+SELECT CAST(COUNT(*) AS BIGINT) AS n_recommendations,
+       CAST(COUNT(*) FILTER (WHERE data_sufficient) AS BIGINT) AS n_sufficient,
+       CAST(COUNT(*) FILTER (WHERE movement_class = 'fast') AS BIGINT) AS n_fast,
+       CAST(COUNT(*) FILTER (WHERE movement_class = 'medium') AS BIGINT) AS n_medium,
+       CAST(COUNT(*) FILTER (WHERE movement_class = 'slow') AS BIGINT) AS n_slow,
+       CAST(COUNT(*) FILTER (WHERE recommended_mechanic = 'Collect more data') AS BIGINT) AS n_collect_more_data,
+       (SELECT CAST(COUNT(*) AS BIGINT) FROM campaign_eval) AS n_campaigns,
+       (SELECT CAST(COUNT(*) FILTER (WHERE verdict = 'success') AS BIGINT) FROM campaign_eval) AS n_success,
+       (SELECT CAST(COUNT(*) FILTER (WHERE verdict = 'flop') AS BIGINT) FROM campaign_eval) AS n_flop,
+       (SELECT CAST(COUNT(*) FILTER (WHERE verdict = 'inconclusive') AS BIGINT) FROM campaign_eval) AS n_inconclusive,
+       (SELECT CAST(COUNT(*) AS BIGINT) FROM lm) AS n_lines,
+       (SELECT CAST(COUNT(DISTINCT order_id) AS BIGINT) FROM lm) AS n_orders_with_lines,
+       (SELECT CAST(window_days AS BIGINT) FROM win) AS window_days
+FROM recommendations""")
+    seg = """
+seg0 AS (
+  SELECT movement_class, margin_band, recommended_mechanic, CAST(COUNT(*) AS BIGINT) AS n_products,
+         MAX(priority_score) AS max_priority_score,
+         SUM(CAST(confidence AS DECIMAL(6,2))) AS conf_sum, MIN(product_id) AS first_product_id,
+         CAST(SUM(units_sold) AS BIGINT) AS units_sold
+  FROM recommendations GROUP BY 1, 2, 3),
+segments AS (
+  SELECT concat_ws('/', movement_class, margin_band, recommended_mechanic) AS segment_id,
+         margin_band || '-margin ' || movement_class || ' movers' AS segment_label,
+         recommended_mechanic AS discount_mechanic, movement_class, margin_band, n_products, units_sold,
+         first_product_id, max_priority_score,
+         ROUND(CAST(conf_sum AS DOUBLE) / CAST(n_products AS DOUBLE), 4) AS avg_confidence,
+         CAST(LEAST(5, DENSE_RANK() OVER (ORDER BY max_priority_score DESC, n_products DESC, movement_class,
+                                           margin_band, recommended_mechanic)) AS INTEGER) AS priority,
+         'Apply ' || recommended_mechanic || ' to ' || margin_band || '-margin ' || movement_class || ' movers.'
+           AS rationale,
+         'Qualitative: ' || recommended_mechanic || ' expected to suit ' || CAST(n_products AS VARCHAR)
+           || ' products.' AS expected_impact,
+         ['segment_products:' || CAST(n_products AS VARCHAR),
+          'max_priority_score:' || CAST(max_priority_score AS VARCHAR),
+          'mechanic:' || recommended_mechanic] AS supporting_evidence_refs
+  FROM seg0)
+"""
+    q["segment_proposals"] = with_ctes(*recs, seg, select="""
+SELECT * EXCLUDE (supporting_evidence_refs),
+       array_to_string(supporting_evidence_refs, ';') AS supporting_evidence_refs FROM segments""")
+    q["segment_members"] = with_ctes(*recs, select="""
+SELECT concat_ws('/', movement_class, margin_band, recommended_mechanic) AS segment_id, product_id, title,
+       priority_score FROM recommendations""")
     q["campaign_mechanics"] = with_ctes(*camp, select=f"""
 SELECT campaign_id, type, verdict, {case_map(CAMPAIGN_TYPE_TO_MECHANIC, "type")} AS mechanic FROM campaign_eval""")
     return q

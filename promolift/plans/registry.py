@@ -16,7 +16,9 @@ from ..operators import campaigns as CE
 from ..operators import classify as C
 from ..operators import metrics as M
 from ..operators import rules as R
+from ..operators import segments as S
 from ..sources import testtables as tt
+from .pipeline import PromoPipeline
 
 MIN_UNITS_DEFAULT = 500
 
@@ -54,29 +56,76 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tt.shop_lines(spark, sf_dir)
 
 
-def line_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.prepare_line_margin(lines(spark, sf_dir))
+def affinity_input(spark, sf_dir) -> DataFrame:
+    """Stand-in affinity table: products whose part type is PROMO."""
+    part = spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet")
+    return part.where(F.col("p_type") == "PROMO").select(F.col("p_partkey").alias("product_id"))
 
 
-def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.compute_product_metrics(line_margin(spark, sf_dir))
+def pipe(spark: SparkSession, sf_dir: str, with_affinity: bool = False) -> PromoPipeline:
+    """A fresh pipeline over the whole stand-in shop (stages computed once per query)."""
+    aff = affinity_input(spark, sf_dir) if with_affinity else None
+    return PromoPipeline(tt.shop_lines(spark, sf_dir), tt.shop_orders(spark, sf_dir),
+                         tt.shop_campaigns(spark), min_units=MIN_UNITS_DEFAULT, affinity=aff)
 
 
 # -- D: metrics ---------------------------------------------------------------
 
+@register("line_revenue")
+def q_line_revenue(spark, sf_dir):
+    return present(M.compute_line_revenue(lines(spark, sf_dir)).select(
+        "order_id", "product_id", "quantity", "price", "total_discount", "line_gross_revenue",
+        "line_net_revenue", "net_clipped"))
+
+
+@register("order_net_revenue")
+def q_order_net_revenue(spark, sf_dir):
+    return present(M.order_net_revenue(M.compute_line_revenue(lines(spark, sf_dir))))
+
+
+@register("allocated_cost")
+def q_allocated_cost(spark, sf_dir):
+    alloc = M.allocate_order_cost_to_lines(M.compute_line_revenue(lines(spark, sf_dir)))
+    return present(alloc.select("order_id", "product_id", "quantity", "cost_total", "line_net_revenue",
+                                "allocated_cost"))
+
+
+@register("zero_revenue_orders")
+def q_zero_revenue_orders(spark, sf_dir):
+    return present(M.zero_revenue_orders(M.compute_line_revenue(lines(spark, sf_dir))))
+
+
+@register("line_margin")
+def q_line_margin(spark, sf_dir):
+    lm = M.prepare_line_margin(lines(spark, sf_dir))
+    return present(lm.select("order_id", "product_id", "quantity", "line_net_revenue", "allocated_cost",
+                             "line_margin_alloc", "active_campaign_id"))
+
+
+@register("dataset_window")
+def q_dataset_window(spark, sf_dir):
+    return present(M.dataset_window(lines(spark, sf_dir)))
+
+
 @register("product_metrics")
 def q_product_metrics(spark, sf_dir):
-    return present(products(spark, sf_dir))
+    return present(pipe(spark, sf_dir).products)
+
+
+@register("products_by_velocity")
+def q_products_by_velocity(spark, sf_dir):
+    ranked = M.products_by_velocity(pipe(spark, sf_dir).products)
+    return present(ranked.select("product_id", "title", "units_sold", "velocity_per_day"))
 
 
 # -- E: classification ----------------------------------------------------------
 
-def classified(spark, sf_dir, min_units: int = MIN_UNITS_DEFAULT) -> DataFrame:
-    return C.classify_products(products(spark, sf_dir), min_units=min_units)
+def classified(spark, sf_dir) -> DataFrame:
+    return pipe(spark, sf_dir).classified
 
 
-def sufficient_products(spark, sf_dir, min_units: int = MIN_UNITS_DEFAULT) -> DataFrame:
-    return C.with_sufficiency(products(spark, sf_dir), min_units).where(F.col("data_sufficient"))
+def sufficient_products(spark, sf_dir) -> DataFrame:
+    return C.with_sufficiency(pipe(spark, sf_dir).products, MIN_UNITS_DEFAULT).where(F.col("data_sufficient"))
 
 
 @register("classify_products")
@@ -109,23 +158,13 @@ def q_classify_few(spark, sf_dir):
 
 # -- F: campaign evaluation ------------------------------------------------------
 
-def shop_inputs(spark, sf_dir):
-    return tt.shop_orders(spark, sf_dir), tt.shop_campaigns(spark)
-
-
 def campaign_eval(spark, sf_dir) -> DataFrame:
-    orders, camps = shop_inputs(spark, sf_dir)
-    return CE.evaluate_campaigns(orders, line_margin(spark, sf_dir), camps)
+    return pipe(spark, sf_dir).campaign_eval
 
 
 def campaign_measures(spark, sf_dir) -> DataFrame:
-    orders, camps = shop_inputs(spark, sf_dir)
-    return CE.with_verdicts(CE.campaign_measures(line_margin(spark, sf_dir), orders, camps))
-
-
-def attributed(spark, sf_dir) -> DataFrame:
-    orders, camps = shop_inputs(spark, sf_dir)
-    return CE.attributed_lines(line_margin(spark, sf_dir), orders, camps)
+    p = pipe(spark, sf_dir)
+    return CE.with_verdicts(CE.campaign_measures(p.line_margin, p.orders, p.campaigns))
 
 
 @register("order_campaign_pairs")
@@ -135,12 +174,14 @@ def q_order_campaign_pairs(spark, sf_dir):
 
 @register("attributed_lines")
 def q_attributed_lines(spark, sf_dir):
-    return present(attributed(spark, sf_dir))
+    p = pipe(spark, sf_dir)
+    return present(CE.attributed_lines(p.line_margin, p.orders, p.campaigns))
 
 
 @register("baseline_lines")
 def q_baseline_lines(spark, sf_dir):
-    return present(CE.baseline_lines(attributed(spark, sf_dir), line_margin(spark, sf_dir)))
+    p = pipe(spark, sf_dir)
+    return present(CE.baseline_lines(CE.attributed_lines(p.line_margin, p.orders, p.campaigns), p.line_margin))
 
 
 @register("campaign_windows")
@@ -157,8 +198,9 @@ def q_campaign_aggregates(spark, sf_dir):
 
 @register("shipping_impact")
 def q_shipping_impact(spark, sf_dir):
-    orders, camps = shop_inputs(spark, sf_dir)
-    return present(CE.shipping_impact(attributed(spark, sf_dir), orders, camps))
+    p = pipe(spark, sf_dir)
+    att = CE.attributed_lines(p.line_margin, p.orders, p.campaigns)
+    return present(CE.shipping_impact(att, p.orders, p.campaigns))
 
 
 @register("campaign_rates")
@@ -187,16 +229,8 @@ def q_verdict_counts(spark, sf_dir):
 
 # -- G: recommendation rules -------------------------------------------------------
 
-def affinity_input(spark, sf_dir) -> DataFrame:
-    """Stand-in affinity table: products whose part type is PROMO."""
-    part = spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet")
-    return part.where(F.col("p_type") == "PROMO").select(F.col("p_partkey").alias("product_id"))
-
-
 def recommendations(spark, sf_dir, with_affinity: bool = False) -> DataFrame:
-    aff = affinity_input(spark, sf_dir) if with_affinity else None
-    return R.recommend_for_products(classified(spark, sf_dir), campaign_eval(spark, sf_dir), aff,
-                                    min_units=MIN_UNITS_DEFAULT)
+    return pipe(spark, sf_dir, with_affinity).recommendations
 
 
 def present_recs(df: DataFrame) -> DataFrame:
@@ -204,11 +238,11 @@ def present_recs(df: DataFrame) -> DataFrame:
 
 
 def banded(spark, sf_dir) -> DataFrame:
-    return R.margin_bands(classified(spark, sf_dir))
+    return pipe(spark, sf_dir).banded
 
 
 def policy_table(spark, sf_dir) -> DataFrame:
-    return R.resolved_policy(banded(spark, sf_dir), campaign_eval(spark, sf_dir))
+    return pipe(spark, sf_dir).policy
 
 
 @register("recommendations")
@@ -239,8 +273,8 @@ def q_margin_bands(spark, sf_dir):
 @register("policy_matrix")
 def q_policy_matrix(spark, sf_dir):
     """Step A cells with the number of sufficient products falling in each."""
-    b = banded(spark, sf_dir)
-    ev = R.campaign_evidence(campaign_eval(spark, sf_dir))
+    p = pipe(spark, sf_dir)
+    b, ev = p.banded, p.evidence
     counts = (b.where(F.col("data_sufficient")).groupBy("margin_band", "movement_class")
               .agg(F.count(F.lit(1)).alias("n_products")))
     base = R.base_policy(spark, ev)
@@ -253,9 +287,10 @@ def q_policy_matrix(spark, sf_dir):
 @register("mechanic_vetoes")
 def q_mechanic_vetoes(spark, sf_dir):
     """Veto status of every mechanic and how many products had it vetoed."""
-    ev_df = R.campaign_evidence(campaign_eval(spark, sf_dir))
+    p = pipe(spark, sf_dir)
+    ev_df = p.evidence
     policy = R.resolve_policy(R.base_policy(spark, ev_df)).where(~F.col("affinity"))
-    b = banded(spark, sf_dir).where(F.col("data_sufficient"))
+    b = p.banded.where(F.col("data_sufficient"))
     hits = (b.join(F.broadcast(policy.where(F.col("vetoed"))), ["margin_band", "movement_class"])
             .groupBy(F.col("start_mechanic").alias("mechanic")).agg(F.count(F.lit(1)).alias("n")))
     ev = R.as_scalar(ev_df)
@@ -301,3 +336,20 @@ def q_top_recommendations(spark, sf_dir):
 @register("campaign_mechanics")
 def q_campaign_mechanics(spark, sf_dir):
     return R.campaign_mechanics(campaign_eval(spark, sf_dir))
+
+
+@register("pipeline_summary")
+def q_pipeline_summary(spark, sf_dir):
+    """End-to-end run (ingest-flat -> metrics -> classes -> verdicts -> recommendations)."""
+    return pipe(spark, sf_dir).summary()
+
+
+@register("segment_proposals")
+def q_segment_proposals(spark, sf_dir):
+    seg = pipe(spark, sf_dir).segments()
+    return seg.withColumn("supporting_evidence_refs", F.array_join("supporting_evidence_refs", ";"))
+
+
+@register("segment_members")
+def q_segment_members(spark, sf_dir):
+    return S.segment_members(pipe(spark, sf_dir).kept_recommendations)

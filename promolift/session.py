@@ -64,3 +64,14 @@ def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/promolift-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, label: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: cuts the lineage (a lost executor re-reads files instead of
+    recomputing upstream joins) and gives later scans column pruning and
+    file statistics for join planning."""
+    spark = df.sparkSession
+    path = staging_path(spark, label)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
