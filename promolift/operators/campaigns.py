@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import MONEY, as_double, elapsed_day_span, round_money
+from ..session import materialize
 from ..schemas import (MIN_BASELINE_DAYS, MIN_BASELINE_UNITS, MIN_CAMPAIGN_DAYS,
                        MIN_CAMPAIGN_UNITS, PROFIT_LIFT, UNITS_LIFT)
 
@@ -160,7 +161,9 @@ def verdict_struct(failures: Column, cmpd: Column, bmpd: Column, units_lift: Col
 def campaign_measures(line_margin: DataFrame, orders: DataFrame, campaigns: DataFrame) -> DataFrame:
     """One row per campaign (campaign table order kept in ``campaign_pos``) with
     unrounded totals, spans and rates (F5-F8)."""
-    attributed = attributed_lines(line_margin, orders, campaigns)
+    # attributed lines feed four consumers (totals, both baseline pair sets,
+    # shipping); write them once instead of re-deriving them for each
+    attributed = materialize(attributed_lines(line_margin, orders, campaigns), "attributed")
     baseline = baseline_lines(attributed, line_margin)
     camp = _totals(attributed, "campaign", True)
     base = _totals(baseline, "baseline", False)

@@ -79,6 +79,12 @@ def prepare_line_margin(lines: DataFrame) -> DataFrame:
                          F.round(F.col("line_net_revenue") - F.col("allocated_cost"), 6).cast(MONEY))
 
 
+# What downstream stages (product metrics, campaign evaluation) read from the
+# line-margin table; nested attribution lists and order-grain extras are left out.
+LINE_MARGIN_COLUMNS = ("order_id", "product_id", "title", "quantity", "createdAt", "active_campaign_id",
+                       "cost_total", "line_net_revenue", "allocated_cost", "line_margin_alloc")
+
+
 def zero_revenue_orders(lines_with_net: DataFrame) -> DataFrame:
     """Orders whose lines sum to zero net revenue (their cost is not allocated)."""
     return order_net_revenue(lines_with_net).where(F.col("order_net_revenue") == 0)

@@ -46,7 +46,8 @@ class PromoPipeline:
 
     @cached_property
     def line_margin(self) -> DataFrame:
-        return self._keep(M.prepare_line_margin(self.lines), "line-margin")
+        lm = M.prepare_line_margin(self.lines).select(*M.LINE_MARGIN_COLUMNS)
+        return self._keep(lm, "line-margin")
 
     @cached_property
     def products(self) -> DataFrame:

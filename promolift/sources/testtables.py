@@ -47,7 +47,16 @@ STAND_IN_TIME = dt.datetime(1995, 1, 1)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an under-partitioned scan (e.g. one file with a single row
+    group) over the cluster's cores; a scan that is already split is untouched."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def _campaign_type(cid: Column) -> Column:
