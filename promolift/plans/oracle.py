@@ -630,6 +630,132 @@ SELECT * EXCLUDE (supporting_evidence_refs),
     q["segment_members"] = with_ctes(*recs, select="""
 SELECT concat_ws('/', movement_class, margin_band, recommended_mechanic) AS segment_id, product_id, title,
        priority_score FROM recommendations""")
+    # -- intake, personal data, validation ---------------------------------------
+    q["flatten_orders"] = with_ctes(*BASE, select="""
+SELECT order_id, 'shop-test' AS shop_id, order_id AS order_number, 'USD' AS currency,
+       CAST(total_price AS DOUBLE) AS subtotal_price, CAST(0 AS DOUBLE) AS total_discounts,
+       CAST(total_price AS DOUBLE) AS total_price, oc_id IS NOT NULL AS has_active_campaign,
+       shipping_discount_amount > 0 AS is_free_shipping,
+       CAST(shipping_discount_amount AS DOUBLE) AS shipping_original_price,
+       CAST(0 AS DOUBLE) AS shipping_price_charged,
+       CAST(shipping_discount_amount AS DOUBLE) AS shipping_discount_amount,
+       '' AS applied_campaigns, COALESCE(oc_id, '') AS order_campaigns, CAST(cost_total AS DOUBLE) AS cost_total,
+       CAST(total_price - cost_total AS DOUBLE) AS revenue_with_cost, FALSE AS has_partial_cost, createdAt
+FROM sh_orders""")
+    q["flatten_lineitems"] = with_ctes(*BASE, select="""
+SELECT l.order_id, l.order_id AS order_number, 'shop-test' AS shop_id, l.createdAt, 'USD' AS currency,
+       CAST(o.total_price AS DOUBLE) AS order_total_price, CAST(0 AS DOUBLE) AS order_total_discounts,
+       CAST(o.cost_total AS DOUBLE) AS cost_total, CAST(o.total_price - o.cost_total AS DOUBLE) AS revenue_with_cost,
+       CAST(o.shipping_discount_amount AS DOUBLE) AS shipping_original_price,
+       CAST(0 AS DOUBLE) AS shipping_price_charged,
+       CAST(o.shipping_discount_amount AS DOUBLE) AS shipping_discount_amount,
+       o.shipping_discount_amount > 0 AS is_free_shipping,
+       l.product_id, l.variant_id, l.title, CAST(l.price AS DOUBLE) AS price, l.quantity,
+       CAST(l.total_discount AS DOUBLE) AS total_discount, CAST(l.price AS DOUBLE) AS compare_at_price,
+       l.active_campaign_id, COALESCE(l.active_campaign_id, '') AS active_campaign_ids,
+       COALESCE(l.active_campaign_id, '') AS campaign_discounts
+FROM sh_lines l JOIN sh_orders o ON l.order_id = o.order_id""")
+    q["src_export"] = with_ctes(*BASE, select="""
+SELECT order_id, product_id, quantity, CAST(price AS DOUBLE) AS price,
+       CAST(total_discount AS DOUBLE) AS total_discount, createdAt, active_campaign_id FROM sh_lines""")
+    em = lit(EMAIL_PATTERN)
+    q["pii_minimize"] = with_ctes(*BASE, select=f"""
+SELECT 'orders_raw' AS "table", 'shop_id' AS "column", COUNT(*) AS n_values,
+       COUNT(*) FILTER (WHERE regexp_matches('shop-test', {em})) AS n_matches FROM sh_orders
+UNION ALL SELECT 'orders_raw', 'currency', COUNT(*), COUNT(*) FILTER (WHERE regexp_matches('USD', {em})) FROM sh_orders
+UNION ALL SELECT 'orders_raw', 'customer_email', COUNT(*),
+       COUNT(*) FILTER (WHERE regexp_matches('buyer' || CAST(order_id AS VARCHAR) || '@example.com', {em}))
+       FROM sh_orders
+UNION ALL SELECT 'orders_clean', 'shop_id', COUNT(*), COUNT(*) FILTER (WHERE regexp_matches('shop-test', {em}))
+       FROM sh_orders
+UNION ALL SELECT 'orders_clean', 'currency', COUNT(*), COUNT(*) FILTER (WHERE regexp_matches('USD', {em}))
+       FROM sh_orders""")
+    scans = []
+    for t, cols in (("documents", ("text", "lang", "source")), ("conversations", ("role", "text")),
+                    ("pages", ("url", "html"))):
+        for c in cols:
+            scans.append(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", COUNT({c}) AS n_values, "
+                         f"COUNT(*) FILTER (WHERE regexp_matches({c}, {em})) AS n_matches FROM {t}")
+    q["pii_value_scan"] = "\nUNION ALL ".join(scans)
+    ord_req = {"id": "order_id", "shop_id": "'shop-test'", "order_number": "order_id", "currency": "'USD'",
+               "subtotal_price": "total_price", "total_discounts": "0", "total_price": "total_price",
+               "has_active_campaign": "(oc_id IS NOT NULL)", "is_free_shipping": "(shipping_discount_amount > 0)",
+               "shipping_original_price": "shipping_discount_amount", "shipping_price_charged": "0",
+               "shipping_discount_amount": "shipping_discount_amount", "cost_total": "cost_total",
+               "revenue_with_cost": "(total_price - cost_total)", "has_partial_cost": "FALSE",
+               "createdAt": "createdAt"}
+    rules = [(f"required:{k}", f"{v} IS NULL") for k, v in ord_req.items()]
+    rules += [(f"non_negative:{k}", f"{ord_req[k]} < 0") for k in
+              ("subtotal_price", "total_price", "cost_total", "shipping_discount_amount")]
+    parts = [f"SELECT 'orders' AS \"table\", '{r}' AS rule, COUNT(*) AS n_rows, "
+             f"COUNT(*) FILTER (WHERE {cond}) AS n_violations FROM sh_orders" for r, cond in rules]
+    parts.append("SELECT 'orders', 'unique:id', CAST(NULL AS BIGINT), CAST(COALESCE(SUM(c), 0) AS BIGINT) "
+                 "FROM (SELECT order_id, COUNT(*) AS c FROM sh_orders GROUP BY 1 HAVING COUNT(*) > 1)")
+    q["validate_orders"] = with_ctes(*BASE, select="\nUNION ALL ".join(parts))
+    li_rules = [(f"required:{c}", f"{c} IS NULL") for c in
+                ("product_id", "variant_id", "title", "price", "quantity", "total_discount")]
+    li_rules += [("required:compare_at_price", "price IS NULL"), ("positive:quantity", "quantity <= 0"),
+                 ("non_negative:price", "price < 0"), ("non_negative:total_discount", "total_discount < 0")]
+    q["validate_lineitems"] = with_ctes(*BASE, select="\nUNION ALL ".join(
+        f"SELECT 'lineitems' AS \"table\", '{r}' AS rule, COUNT(*) AS n_rows, "
+        f"COUNT(*) FILTER (WHERE {cond}) AS n_violations FROM sh_lines" for r, cond in li_rules))
+    q["ingest_clean"] = with_ctes(*BASE, select="""
+SELECT 'orders' AS frame, COUNT(*) AS n_rows, CAST(18 AS INTEGER) AS n_columns FROM sh_orders
+UNION ALL SELECT 'lineitems', COUNT(*), CAST(23 AS INTEGER) FROM sh_lines
+UNION ALL SELECT 'campaigns', COUNT(*), CAST(13 AS INTEGER) FROM sh_campaigns
+UNION ALL SELECT 'shop', CAST(1 AS BIGINT), CAST(6 AS INTEGER)""")
+
+    # -- contracts on derived frames -----------------------------------------------
+    def counts(table: str, frame: str, rules: list[tuple[str, str]]) -> str:
+        return "\nUNION ALL ".join(
+            f"SELECT '{table}' AS \"table\", '{r}' AS rule, COUNT(*) AS n_rows, "
+            f"COUNT(*) FILTER (WHERE COALESCE({cond}, FALSE)) AS n_violations FROM {frame}" for r, cond in rules)
+    q["product_profiles"] = with_ctes(*cls, select="""
+SELECT product_id, title, units_sold, revenue, gross_margin_alloc, margin_pct, velocity_per_day, movement_class,
+       data_sufficient,
+       'allocated_cost=' || CAST(CAST(allocated_cost AS DECIMAL(20,4)) AS VARCHAR)
+       || ';data_sufficient=' || CAST(data_sufficient AS VARCHAR)
+       || ';revenue=' || CAST(CAST(revenue AS DECIMAL(20,4)) AS VARCHAR)
+       || ';units_sold=' || CAST(units_sold AS VARCHAR)
+       || ';window_days=' || CAST(window_days AS VARCHAR) AS evidence
+FROM classified""")
+    q["contract_classes"] = with_ctes(*cls, select=counts("classified", "classified", [
+        ("domain:movement_class", "movement_class NOT IN ('fast', 'medium', 'slow') OR movement_class IS NULL"),
+        ("required:data_sufficient", "data_sufficient IS NULL")]))
+    q["contract_verdicts"] = with_ctes(*camp, select=counts("campaign_eval", "campaign_eval", [
+        ("domain:verdict", "verdict NOT IN ('success', 'flop', 'inconclusive') OR verdict IS NULL"),
+        ("range:confidence", "NOT (confidence BETWEEN 0.0 AND 1.0) OR confidence IS NULL"),
+        ("required:reason_code", "reason_code IS NULL"),
+        ("non_negative:window_days", "window_days < 0")]))
+    mech_list = ", ".join(lit(m) for m in MECHANIC_EFFORT)
+    q["contract_recommendations"] = with_ctes(*recs, select=counts("recommendations", "recommendations", [
+        ("domain:recommended_mechanic", f"recommended_mechanic NOT IN ({mech_list})"),
+        ("range:confidence", "NOT (confidence BETWEEN 0.0 AND 1.0) OR confidence IS NULL"),
+        ("finite:priority_score", "priority_score IS NULL OR isnan(priority_score) OR isinf(priority_score)"),
+        ("required:rationale", "rationale IS NULL"),
+        ("required:expected_effect", "expected_effect IS NULL")]))
+    q["contract_segments"] = with_ctes(*recs, seg, select=counts("segments", "segments", [
+        ("domain:discount_mechanic", f"discount_mechanic NOT IN ({mech_list})"),
+        ("range:priority", "NOT (priority BETWEEN 1 AND 5) OR priority IS NULL"),
+        ("non_empty:segment", "n_products <= 0")]))
+
+    # -- sinks -----------------------------------------------------------------------
+    q["sink_csv_roundtrip"] = with_ctes(*recs, select=f"""
+SELECT {rec_cols.replace("array_to_string(evidence_refs, ';') AS evidence_refs",
+                         "CAST(to_json(evidence_refs) AS VARCHAR) AS evidence_refs")} FROM recommendations""")
+    oc_struct = ("struct_pack(campaignId := oc_id, campaignName := 'Campaign ' || oc_id, "
+                 "campaignType := c.type, discountAmount := CAST(0.0 AS DOUBLE), "
+                 "shippingDiscountType := CAST(CASE WHEN c.type = 'shipping' THEN 1 END AS INTEGER), "
+                 "shippingDiscountValue := CAST(CASE WHEN c.type = 'shipping' THEN 9.99 END AS DOUBLE))")
+    q["flatten_complex_to_json"] = with_ctes(*BASE, select=f"""
+SELECT o.order_id, '[]' AS applied_campaigns,
+       CASE WHEN o.oc_id IS NULL THEN '[]' ELSE CAST(to_json([{oc_struct}]) AS VARCHAR) END AS order_campaigns
+FROM sh_orders o LEFT JOIN sh_campaigns c ON o.oc_id = c.id""")
+    q["json_records"] = with_ctes(*camp, select="SELECT * FROM campaign_eval")
+    q["bundle_sections"] = with_ctes(*recs, seg, select="""
+SELECT 'recommendations' AS section, COUNT(*) AS n_records FROM recommendations
+UNION ALL SELECT 'campaign_eval', COUNT(*) FROM campaign_eval
+UNION ALL SELECT 'segments', COUNT(*) FROM segments""")
     q["campaign_mechanics"] = with_ctes(*camp, select=f"""
 SELECT campaign_id, type, verdict, {case_map(CAMPAIGN_TYPE_TO_MECHANIC, "type")} AS mechanic FROM campaign_eval""")
     return q

@@ -13,10 +13,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import campaigns as CE
+from ..operators import flatten as FL
+from ..operators import privacy as PV
+from ..operators import validate as V
 from ..operators import classify as C
 from ..operators import metrics as M
 from ..operators import rules as R
 from ..operators import segments as S
+from ..session import staging_path
+from ..sources import export as EX
+from ..sources import sinks as SK
 from ..sources import testtables as tt
 from .pipeline import PromoPipeline
 
@@ -353,3 +359,158 @@ def q_segment_proposals(spark, sf_dir):
 @register("segment_members")
 def q_segment_members(spark, sf_dir):
     return S.segment_members(pipe(spark, sf_dir).kept_recommendations)
+
+
+# -- A/B/C: intake, personal data, validation, flattening, sinks ----------------------
+
+def export_orders(spark, sf_dir) -> DataFrame:
+    """Stand-in nested export orders (ORDER schema, personal e-mail included)."""
+    return tt.shop_export_orders(spark, sf_dir)
+
+
+def _ids(col: str) -> F.Column:
+    return F.array_join(F.transform(col, lambda x: x["campaignId"]), "|")
+
+
+@register("flatten_orders")
+def q_flatten_orders(spark, sf_dir):
+    orders = FL.to_orders(PV.minimize_orders(export_orders(spark, sf_dir)))
+    return present(orders.withColumn("applied_campaigns", _ids("applied_campaigns"))
+                   .withColumn("order_campaigns", _ids("order_campaigns")))
+
+
+@register("flatten_lineitems")
+def q_flatten_lineitems(spark, sf_dir):
+    items = FL.to_lineitems(PV.minimize_orders(export_orders(spark, sf_dir)))
+    return present(items.withColumn("active_campaign_ids", F.array_join("active_campaign_ids", "|"))
+                   .withColumn("campaign_discounts", _ids("campaign_discounts")))
+
+
+@register("src_export")
+def q_src_export(spark, sf_dir):
+    """Export orders written as JSON Lines, read back with the declared schema,
+    minimized and flattened to line items."""
+    path = staging_path(spark, "export-orders")
+    EX.write_entity(export_orders(spark, sf_dir), path, "json")
+    back = EX.read_entity(spark, path, "orders", "json")
+    items = FL.to_lineitems(PV.minimize_orders(back))
+    return present(items.select("order_id", "product_id", "quantity", "price", "total_discount",
+                                "createdAt", "active_campaign_id"))
+
+
+@register("pii_minimize")
+def q_pii_minimize(spark, sf_dir):
+    """E-mail scan of order text columns before and after minimization."""
+    raw = export_orders(spark, sf_dir)
+    clean = FL.to_orders(PV.minimize_orders(raw))
+    text = ["shop_id", "currency"]
+    return (PV.pii_value_scan(raw.select(*text, "customer_email"), "orders_raw")
+            .unionByName(PV.pii_value_scan(clean.select(*text), "orders_clean")))
+
+
+@register("pii_value_scan")
+def q_pii_value_scan(spark, sf_dir):
+    """Full e-mail scan of every text column of documents, conversations, pages."""
+    out = None
+    for t in ("documents", "conversations", "pages"):
+        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        df = df.select(*[f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)])
+        scan = PV.pii_value_scan(df, t)
+        out = scan if out is None else out.unionByName(scan)
+    return out
+
+
+@register("validate_orders")
+def q_validate_orders(spark, sf_dir):
+    return V.validate_orders(PV.minimize_orders(export_orders(spark, sf_dir)))
+
+
+@register("validate_lineitems")
+def q_validate_lineitems(spark, sf_dir):
+    return V.validate_lineitems(export_orders(spark, sf_dir))
+
+
+@register("ingest_clean")
+def q_ingest_clean(spark, sf_dir):
+    """Composite intake: minimize -> validate (strict) -> flatten -> audit.
+    Returns one row per clean frame."""
+    raw = export_orders(spark, sf_dir)
+    orders_nested = PV.minimize_orders(raw)
+    V.raise_on_violations(V.validate_orders(orders_nested))
+    V.raise_on_violations(V.validate_lineitems(orders_nested))
+    frames = {"orders": FL.to_orders(orders_nested), "lineitems": FL.to_lineitems(orders_nested),
+              "campaigns": FL.to_campaigns(tt.shop_campaigns(spark)),
+              "shop": PV.minimize_shop(tt.shop_record(spark))}
+    PV.assert_no_pii({k: v for k, v in frames.items() if k != "lineitems"})
+    out = None
+    for name, df in frames.items():
+        row = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("frame"), "n_rows", F.lit(len(df.columns)).alias("n_columns"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("product_profiles")
+def q_product_profiles(spark, sf_dir):
+    prof = V.product_profiles(pipe(spark, sf_dir).classified)
+    ev = F.array_join(F.transform(F.array_sort(F.map_entries("evidence")),
+                                  lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return prof.withColumn("evidence", ev)
+
+
+@register("contract_classes")
+def q_contract_classes(spark, sf_dir):
+    return V.violation_counts(pipe(spark, sf_dir).classified, "classified", V.class_rules())
+
+
+@register("contract_verdicts")
+def q_contract_verdicts(spark, sf_dir):
+    return V.violation_counts(pipe(spark, sf_dir).campaign_eval, "campaign_eval", V.verdict_rules())
+
+
+@register("contract_recommendations")
+def q_contract_recommendations(spark, sf_dir):
+    return V.violation_counts(pipe(spark, sf_dir).kept_recommendations, "recommendations",
+                              V.recommendation_rules())
+
+
+@register("contract_segments")
+def q_contract_segments(spark, sf_dir):
+    return V.violation_counts(pipe(spark, sf_dir).segments(), "segments", V.segment_rules())
+
+
+@register("sink_csv_roundtrip")
+def q_sink_csv_roundtrip(spark, sf_dir):
+    """Recommendations written as header CSV (lists as JSON text) and read back."""
+    recs = pipe(spark, sf_dir).kept_recommendations
+    path = staging_path(spark, "csv-recommendations")
+    SK.write_csv(recs, path)
+    return present(SK.read_csv(spark, path, SK.csv_schema(recs)))
+
+
+@register("flatten_complex_to_json")
+def q_flatten_complex_to_json(spark, sf_dir):
+    orders = tt.shop_orders(spark, sf_dir).select("order_id", "applied_campaigns", "order_campaigns")
+    return SK.flatten_complex_to_json(orders)
+
+
+@register("json_records")
+def q_json_records(spark, sf_dir):
+    """Campaign evaluation serialized to JSON records and restored."""
+    ce = pipe(spark, sf_dir).campaign_eval
+    return present(SK.restore_records(SK.json_records(ce), ce.schema))
+
+
+@register("bundle_sections")
+def q_bundle_sections(spark, sf_dir):
+    """Result bundle written as one JSON Lines dataset per section; counts read back."""
+    p = pipe(spark, sf_dir)
+    sections = {"recommendations": p.kept_recommendations, "campaign_eval": p.campaign_eval,
+                "segments": p.segments()}
+    paths = SK.write_bundle(sections, staging_path(spark, "bundle"))
+    back = SK.read_bundle(spark, paths, {k: v.schema for k, v in sections.items()})
+    out = None
+    for name, df in back.items():
+        row = df.agg(F.count(F.lit(1)).alias("n_records")).select(F.lit(name).alias("section"), "n_records")
+        out = row if out is None else out.unionByName(row)
+    return out
