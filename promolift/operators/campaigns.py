@@ -36,8 +36,8 @@ LINE_COLS = ("order_id", "product_id", "quantity", "line_margin_alloc", "created
 
 
 def _campaign_keys(campaigns: DataFrame) -> DataFrame:
-    return campaigns.select(F.col("id").alias("campaign_id"), F.col("type").alias("campaign_type")
-                            ).distinct()
+    # only used on the right of semi-joins, where duplicate keys are harmless
+    return campaigns.select(F.col("id").alias("campaign_id"), F.col("type").alias("campaign_type"))
 
 
 def order_campaign_pairs(orders: DataFrame) -> DataFrame:

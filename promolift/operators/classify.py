@@ -84,7 +84,10 @@ def velocity_classes(sufficient: DataFrame) -> DataFrame:
     """(velocity_per_day, tertile_class) for every distinct sufficient velocity,
     for the n >= 3 branches."""
     hist = value_histogram(sufficient, VELOCITY)
-    stats = as_scalar(tertile_stats(hist, VELOCITY))
+    return _histogram_classes(hist, as_scalar(tertile_stats(hist, VELOCITY)))
+
+
+def _histogram_classes(hist: DataFrame, stats: Column) -> DataFrame:
     cls = (F.when(stats["n_distinct"] == 1, F.lit("slow"))
            .when(edges_repeated(stats), rank_tertile(F.col("cum_before"), F.col("cnt"), F.col("n")))
            .otherwise(quantile_tertile(F.col(VELOCITY), stats)))
@@ -104,9 +107,11 @@ def classify_products(products: DataFrame, min_units: int = MIN_UNITS) -> DataFr
     require_columns(products)
     df = with_sufficiency(products, min_units)
     sufficient = df.where(F.col("data_sufficient"))
-    n_suff = sufficient.agg(F.count(F.lit(1)).alias("n")).scalar()
     top = as_scalar(top_velocity_product(sufficient))
-    classes = velocity_classes(sufficient)
+    hist = value_histogram(sufficient, VELOCITY)
+    stats = as_scalar(tertile_stats(hist, VELOCITY))
+    n_suff = F.coalesce(stats["n"], F.lit(0))
+    classes = _histogram_classes(hist, stats)
     joined = df.join(classes, VELOCITY, "left")
     is_top = (F.col("product_id") == top["product_id"]) & (F.col("title") == top["title"])
     movement = (F.when(~F.col("data_sufficient"), F.lit("slow"))
