@@ -493,6 +493,7 @@ SELECT order_id, product_id, quantity, {d("cost_total")} AS cost_total, {d("line
 SELECT order_id, product_id, quantity, {d("line_net_revenue")} AS line_net_revenue,
        {d("allocated_cost")} AS allocated_cost, {d("line_margin_alloc")} AS line_margin_alloc, active_campaign_id
 FROM lm""")
+    q["stream_line_margin"] = q["line_margin"]
     q["dataset_window"] = with_ctes(*BASE, select=(
         "SELECT dataset_first, dataset_last, CAST(window_days AS BIGINT) AS window_days FROM win"))
     q["products_by_velocity"] = with_ctes(*BASE, PRODUCTS, select=(

@@ -514,3 +514,17 @@ def q_bundle_sections(spark, sf_dir):
         row = df.agg(F.count(F.lit(1)).alias("n_records")).select(F.lit(name).alias("section"), "n_records")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@register("stream_line_margin")
+def q_stream_line_margin(spark, sf_dir):
+    """Export orders as JSON Lines files, ingested by a Structured Streaming run
+    (available-now trigger) into a Parquet line-margin table, read back."""
+    from ..streaming.incremental import start_line_margin_ingest
+    source = staging_path(spark, "stream-orders")
+    EX.write_entity(export_orders(spark, sf_dir), source, "json")
+    sink = staging_path(spark, "stream-line-margin")
+    start_line_margin_ingest(spark, source, sink).awaitTermination()
+    lm = spark.read.parquet(sink)
+    return present(lm.select("order_id", "product_id", "quantity", "line_net_revenue", "allocated_cost",
+                             "line_margin_alloc", "active_campaign_id"))
