@@ -222,3 +222,26 @@ def test_golden_refs_order(golden_recs):
     assert [x.split("|")[0] for x in campaign_refs] == ["campaign:k1", "campaign:k5", "campaign:k7", "campaign:k8"]
     rule0 = golden_recs[7000147758218].evidence_refs
     assert rule0[:3] == ["product_id:7000147758218", "units_sold:5", "rule0_insufficient_data"]
+
+
+def _join_count(df) -> int:
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Join ")
+
+
+def test_plan_does_not_grow_with_campaign_count(spark):
+    """9 or 900 campaigns: same joins in the plan, one row per campaign, and the
+    verdicts of the original campaigns do not change."""
+    lm = _lm(spark, [(o, 10 + o % 3, 1 + o % 4, 5 + o % 7, 1 + o % 27, f"c{o % 9}" if o % 2 else None)
+                     for o in range(1, 200)])
+    orders = _orders(spark, [(o, 1 + o % 27, 0, [f"c{o % 5}"] if o % 3 == 0 else []) for o in range(1, 200)])
+    small = _campaigns(spark, [(f"c{i}", "volume") for i in range(9)])
+    big = _campaigns(spark, [(f"c{i}", "volume") for i in range(900)])
+    e_small = CE.evaluate_campaigns(orders, lm, small)
+    e_big = CE.evaluate_campaigns(orders, lm, big)
+    assert _join_count(e_small) == _join_count(e_big)
+    assert e_big.count() == 900
+    key = ["campaign_id", "attributed_orders", "campaign_units", "baseline_units", "verdict", "reason_code"]
+    a = sorted(tuple(r) for r in e_small.select(*key).collect())
+    b = sorted(tuple(r) for r in e_big.where(F.col("campaign_pos") < 9).select(*key).collect())
+    assert a == b
