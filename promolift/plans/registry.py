@@ -8,6 +8,7 @@ compare cleanly with the SQL oracle.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -33,9 +34,16 @@ _REGISTRY: dict[str, Query] = {}
 
 
 def register(name: str):
+    """Register a query; it runs with the session time zone pinned to UTC (all
+    timestamps are UTC instants and day arithmetic must not see DST shifts)."""
     def deco(fn: Query) -> Query:
-        _REGISTRY[name] = fn
-        return fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+        _REGISTRY[name] = run
+        return run
     return deco
 
 

@@ -117,3 +117,39 @@ def test_class_domain_contract(spark):
     df = spark.createDataFrame([(1, "fast", True), (2, "warp", True)],
                                "product_id long, movement_class string, data_sufficient boolean")
     assert [r.product_id for r in C.class_domain_violations(df).collect()] == [2]
+
+
+def test_preconditions_name_missing_columns(spark):
+    bare = spark.createDataFrame([(1, 2)], "order_id long, quantity long")
+    with pytest.raises(ValueError, match="price"):
+        M.compute_line_revenue(bare)
+    with pytest.raises(ValueError, match="line_net_revenue"):
+        M.allocate_order_cost_to_lines(bare)
+    with pytest.raises(ValueError, match="velocity_per_day"):
+        C.classify_products(bare)
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.integers(min_value=0, max_value=40), min_size=3, max_size=40))
+def test_tertiles_property_vs_pandas(spark, units):
+    """Random velocity sets (with ties): qcut labels, or the rank fallback when
+    qcut's edges repeat, all-identical -> slow. (n-1) divisible by 3 is skipped:
+    there pandas' float position can move the boundary row (documented)."""
+    n = len(units)
+    if (n - 1) % 3 == 0:
+        return
+    vel = [round(u / 7, 6) for u in units]
+    s = pd.Series(vel)
+    if s.nunique() == 1:
+        expected = ["slow"] * n
+    else:
+        try:
+            expected = pd.qcut(s, q=3, labels=["slow", "medium", "fast"]).astype(str).tolist()
+        except ValueError:
+            r = s.rank(method="average")
+            expected = ["slow" if x <= n / 3 else "medium" if x <= 2 * n / 3 else "fast" for x in r]
+    out = C.classify_products(products(spark, vel), min_units=20)
+    assert classes(out) == expected
