@@ -28,8 +28,14 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import MONEY, as_double, elapsed_day_span, round_money
 from ..session import materialize
-from ..schemas import (MIN_BASELINE_DAYS, MIN_BASELINE_UNITS, MIN_CAMPAIGN_DAYS,
-                       MIN_CAMPAIGN_UNITS, PROFIT_LIFT, UNITS_LIFT)
+from ..schemas import (CAP_SHIPPING_BELOW, CAP_SHIPPING_FLOP, CAP_SHIPPING_SUCCESS, CONF_BASELINE_ZERO,
+                       CONF_BELOW_THRESHOLD, CONF_FLOP, CONF_INSUFFICIENT, CONF_MARGIN,
+                       CONF_MARGIN_AND_VOLUME, CONF_MARGIN_NO_VOLUME, FAIL_BASELINE_RATE,
+                       FAIL_BASELINE_VELOCITY, FAIL_CAMPAIGN_RATE, FAIL_NO_ORDERS, MIN_BASELINE_DAYS,
+                       MIN_BASELINE_UNITS, MIN_CAMPAIGN_DAYS, MIN_CAMPAIGN_UNITS, PROFIT_LIFT,
+                       REASON_BASELINE_ZERO, REASON_BELOW_THRESHOLD, REASON_EROSION, REASON_INSUFFICIENT,
+                       REASON_MARGIN, REASON_MARGIN_AND_VOLUME, REASON_MARGIN_NO_VOLUME,
+                       REASON_SHIPPING_SUFFIX, REASON_VOLUME_ERODED, UNITS_LIFT)
 
 LINE_COLS = ("order_id", "product_id", "quantity", "line_margin_alloc", "createdAt",
              "active_campaign_id")
@@ -117,9 +123,9 @@ def sufficiency_failures(cdays: Column, bdays: Column, cunits: Column, bunits: C
         _fmt_fail("baseline_days", bdays, MIN_BASELINE_DAYS),
         _fmt_fail("campaign_units", cunits, MIN_CAMPAIGN_UNITS),
         _fmt_fail("baseline_units", bunits, MIN_BASELINE_UNITS),
-        F.when(n_orders <= 0, F.lit("attributed_orders=0")),
-        F.when(bdays == 0, F.lit("baseline_margin_per_day_invalid")),
-        F.when(cdays == 0, F.lit("campaign_margin_per_day_invalid")),
+        F.when(n_orders <= 0, F.lit(FAIL_NO_ORDERS)),
+        F.when(bdays == 0, F.lit(FAIL_BASELINE_RATE)),
+        F.when(cdays == 0, F.lit(FAIL_CAMPAIGN_RATE)),
     ))
 
 
@@ -128,7 +134,7 @@ def verdict_struct(failures: Column, cmpd: Column, bmpd: Column, units_lift: Col
     """struct(verdict, confidence, reason_code) from unrounded rates."""
     lift = cmpd / bmpd
     ship = ctype == "shipping"
-    suffix = F.when(ship, F.lit("|shipping_order_level_attribution_coarse")).otherwise(F.lit(""))
+    suffix = F.when(ship, F.lit(REASON_SHIPPING_SUFFIX)).otherwise(F.lit(""))
 
     def capped(conf: float, cap: float) -> Column:
         return F.when(ship, F.lit(min(conf, cap))).otherwise(F.lit(conf))
@@ -139,22 +145,24 @@ def verdict_struct(failures: Column, cmpd: Column, bmpd: Column, units_lift: Col
 
     insufficient = F.size(failures) > 0
     return (
-        F.when(insufficient, out("inconclusive", F.lit(0.2),
-                                 F.concat(F.lit("low_n:"), F.array_join(failures, "|"))))
-        .when(bmpd == 0, out("inconclusive", F.lit(0.3), F.lit("baseline_margin_per_day_zero")))
+        F.when(insufficient, out("inconclusive", F.lit(CONF_INSUFFICIENT),
+                                 F.concat(F.lit(REASON_INSUFFICIENT), F.array_join(failures, "|"))))
+        .when(bmpd == 0, out("inconclusive", F.lit(CONF_BASELINE_ZERO), F.lit(REASON_BASELINE_ZERO)))
         .when(lift >= PROFIT_LIFT,
               F.when(units_lift > UNITS_LIFT,
-                     out("success", capped(0.85, 0.70), F.concat(F.lit("margin_lift|volume_lift"), suffix)))
+                     out("success", capped(CONF_MARGIN_AND_VOLUME, CAP_SHIPPING_SUCCESS),
+                         F.concat(F.lit(REASON_MARGIN_AND_VOLUME), suffix)))
               .when(units_lift <= 1.0,
-                    out("success", capped(0.60, 0.70),
-                        F.concat(F.lit("margin_gain_without_volume_lift"), suffix)))
-              .otherwise(out("success", capped(0.75, 0.70), F.concat(F.lit("margin_lift"), suffix))))
+                    out("success", capped(CONF_MARGIN_NO_VOLUME, CAP_SHIPPING_SUCCESS),
+                        F.concat(F.lit(REASON_MARGIN_NO_VOLUME), suffix)))
+              .otherwise(out("success", capped(CONF_MARGIN, CAP_SHIPPING_SUCCESS),
+                                  F.concat(F.lit(REASON_MARGIN), suffix))))
         .when(lift <= 1.0,
               F.when(units_lift > UNITS_LIFT,
-                     out("flop", capped(0.80, 0.65), F.concat(F.lit("volume_lift_margin_eroded"), suffix)))
-              .otherwise(out("flop", capped(0.80, 0.65), F.concat(F.lit("margin_erosion"), suffix))))
-        .otherwise(out("inconclusive", capped(0.50, 0.45),
-                       F.concat(F.lit("margin_lift_below_threshold"), suffix)))
+                     out("flop", capped(CONF_FLOP, CAP_SHIPPING_FLOP), F.concat(F.lit(REASON_VOLUME_ERODED), suffix)))
+              .otherwise(out("flop", capped(CONF_FLOP, CAP_SHIPPING_FLOP), F.concat(F.lit(REASON_EROSION), suffix))))
+        .otherwise(out("inconclusive", capped(CONF_BELOW_THRESHOLD, CAP_SHIPPING_BELOW),
+                       F.concat(F.lit(REASON_BELOW_THRESHOLD), suffix)))
     )
 
 
@@ -211,7 +219,7 @@ def with_verdicts(measures: DataFrame) -> DataFrame:
     fails = sufficiency_failures(F.col("window_days"), F.col("baseline_days"), F.col("campaign_units"),
                                  F.col("baseline_units"), F.col("attributed_orders"))
     fails = F.when((F.size(fails) == 0) & (F.col("baseline_velocity") == 0),
-                   F.array(F.lit("baseline_velocity_zero"))).otherwise(fails)
+                   F.array(F.lit(FAIL_BASELINE_VELOCITY))).otherwise(fails)
     df = measures.withColumn("sufficiency_failures", fails)
     v = verdict_struct(F.col("sufficiency_failures"), F.col("campaign_margin_per_day"),
                        F.col("baseline_margin_per_day"), F.col("units_lift"), F.col("type"))

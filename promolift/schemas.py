@@ -210,3 +210,41 @@ SHIPPING_GATED_FALLBACK = "Leave/minimal discount"
 
 # Mechanic domain of segment proposals.
 SEGMENT_MECHANICS = MECHANICS
+
+# Verdict reason codes, shipping suffix and sufficiency failure texts.
+REASON_INSUFFICIENT = "low_n:"
+REASON_BASELINE_ZERO = "baseline_margin_per_day_zero"
+REASON_MARGIN_AND_VOLUME = "margin_lift|volume_lift"
+REASON_MARGIN_NO_VOLUME = "margin_gain_without_volume_lift"
+REASON_MARGIN = "margin_lift"
+REASON_VOLUME_ERODED = "volume_lift_margin_eroded"
+REASON_EROSION = "margin_erosion"
+REASON_BELOW_THRESHOLD = "margin_lift_below_threshold"
+REASON_SHIPPING_SUFFIX = "|shipping_order_level_attribution_coarse"
+FAIL_NO_ORDERS = "attributed_orders=0"
+FAIL_BASELINE_RATE = "baseline_margin_per_day_invalid"
+FAIL_CAMPAIGN_RATE = "campaign_margin_per_day_invalid"
+FAIL_BASELINE_VELOCITY = "baseline_velocity_zero"
+
+# Verdict confidences (and caps for shipping campaigns).
+CONF_INSUFFICIENT = 0.2
+CONF_BASELINE_ZERO = 0.3
+CONF_MARGIN_AND_VOLUME = 0.85
+CONF_MARGIN_NO_VOLUME = 0.60
+CONF_MARGIN = 0.75
+CONF_FLOP = 0.80
+CONF_BELOW_THRESHOLD = 0.50
+CAP_SHIPPING_SUCCESS = 0.70
+CAP_SHIPPING_FLOP = 0.65
+CAP_SHIPPING_BELOW = 0.45
+
+# Evidence tags on recommendations.
+TAG_VETOED = "base_mechanic_vetoed:"
+TAG_VETOED_FALLBACK = "->fallback:"
+TAG_ALL_VETOED = "all_fallbacks_vetoed:terminal_safe"
+TAG_SUCCESS = "campaign_success_evidence:"
+TAG_FLOP = "campaign_flop_evidence:"
+TAG_SHIPPING_COARSE = "shipping_attribution_coarse"
+TAG_ERODED_RISK = "volume_lift_margin_eroded_risk"
+TAG_AFFINITY = "affinity_override_applied"
+TAG_RULE0 = "rule0_insufficient_data"
