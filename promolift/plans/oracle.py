@@ -551,6 +551,7 @@ SELECT campaign_id, array_to_string(sufficiency_failures, '|') AS sufficiency_fa
                 "rationale_code, rationale, expected_effect, priority_score, "
                 "array_to_string(evidence_refs, ';') AS evidence_refs")
     q["recommendations"] = with_ctes(*recs, select=f"SELECT {rec_cols} FROM recommendations")
+    q["pipeline_from_export"] = q["recommendations"]
     q["recommend_with_affinity"] = with_ctes(*recs_aff, select=f"SELECT {rec_cols} FROM recommendations")
     q["campaign_evidence"] = with_ctes(*recs, select="""
 SELECT array_to_string(success_types, '|') AS success_types, array_to_string(flop_types, '|') AS flop_types,

@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.quantiles import as_scalar
 from ..operators import campaigns as CE
 from ..operators import classify as C
+from ..operators import flatten as FL
 from ..operators import metrics as M
+from ..operators import privacy as PV
 from ..operators import rules as R
 from ..operators import segments as S
 from ..schemas import MIN_UNITS
@@ -41,6 +43,18 @@ class PromoPipeline:
         self.affinity = affinity
         self.materialized = materialized
 
+    @classmethod
+    def from_nested_orders(cls, orders: DataFrame, campaigns: DataFrame, min_units: int = MIN_UNITS,
+                           affinity: DataFrame | None = None, materialized: bool = True) -> "PromoPipeline":
+        """Start from export orders with nested line items (ORDER schema):
+        personal data dropped, lines exploded with each order's net revenue
+        folded from its own nested lines, so cost allocation needs no
+        order-level shuffle."""
+        clean = PV.minimize_orders(orders)
+        lines = FL.to_lineitems(clean, with_order_net=True)
+        return cls(lines, FL.to_orders(clean), FL.to_campaigns(campaigns), min_units=min_units,
+                   affinity=affinity, materialized=materialized)
+
     def _keep(self, df: DataFrame, label: str) -> DataFrame:
         return materialize(df, label) if self.materialized else df
 

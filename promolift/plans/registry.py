@@ -536,3 +536,12 @@ def q_stream_line_margin(spark, sf_dir):
     lm = spark.read.parquet(sink)
     return present(lm.select("order_id", "product_id", "quantity", "line_net_revenue", "allocated_cost",
                              "line_margin_alloc", "active_campaign_id"))
+
+
+@register("pipeline_from_export")
+def q_pipeline_from_export(spark, sf_dir):
+    """End to end from nested export orders: minimize -> flatten (order revenue
+    folded before exploding) -> metrics -> classes -> verdicts -> recommendations."""
+    p = PromoPipeline.from_nested_orders(export_orders(spark, sf_dir), tt.shop_campaigns(spark),
+                                         min_units=MIN_UNITS_DEFAULT)
+    return present_recs(p.recommendations)
