@@ -14,17 +14,19 @@ Per campaign c (one plan for every campaign, no per-campaign loop):
 
 Scale notes: attribution is an equi-join on campaign id (campaign table is
 small; Spark broadcasts it by size) and an order-id join for the order-level
-fallback. The baseline is a product-id join of organic lines with the
-(campaign, product) pairs followed by an anti-join on (campaign, order); both
-are shuffle joins AQE can split when a product or campaign is hot. Every
-aggregate is a hash aggregate with map-side partial sums, and count-distinct
-of orders shuffles on (campaign, order), so a hot campaign never lands its
-raw rows in one task.
+fallback. The evaluation never materializes the baseline line set (one row
+per campaign and organic line of a touched product, i.e. campaigns x lines
+for shop-wide campaigns): ``baseline_totals`` gets the same sums by
+subtraction and the first/last times from within-product ranks, in work
+linear in organic plus attributed lines. ``baseline_lines`` (the explicit set)
+remains for inspection. Every aggregate is a hash aggregate with map-side
+partial sums, and count-distinct of orders shuffles on (campaign, order), so a
+hot campaign never lands its raw rows in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import MONEY, as_double, elapsed_day_span, round_money
 from ..session import materialize
@@ -86,6 +88,86 @@ def baseline_lines(attributed: DataFrame, line_margin: DataFrame) -> DataFrame:
             .select("campaign_id", *LINE_COLS))
 
 
+def rank_within_product(organic_po: DataFrame) -> DataFrame:
+    """Add ``rank`` (1-based, by createdAt then order_id) within each product.
+
+    One global range sort on (product_id, createdAt, order_id): a hot product
+    spreads over many range partitions. Row ids are increasing in sort order;
+    a small table of (partition, product) first ids and counts turns them
+    into ranks (no window partitioned by product, so no single-task product).
+    """
+    # ids are stamped once and written, so both reads below see the same ids
+    ordered = materialize(organic_po.orderBy("product_id", "createdAt", "order_id")
+                          .withColumn("_rid", F.monotonically_increasing_id())
+                          .withColumn("_part", F.spark_partition_id()), "organic-sorted")
+    runs = ordered.groupBy("_part", "product_id").agg(F.min("_rid").alias("_first"),
+                                                     F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("product_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return (ordered.join(runs.select("_part", "product_id", "_first", "_offset"), ["_part", "product_id"])
+            .withColumn("rank", (F.col("_offset") + F.col("_rid") - F.col("_first") + 1).cast(T.LongType()))
+            .drop("_rid", "_part", "_first", "_offset"))
+
+
+def baseline_totals(attributed: DataFrame, line_margin: DataFrame) -> DataFrame:
+    """Per campaign: baseline units, margin, line count, first/last time --
+    the same numbers as aggregating ``baseline_lines`` -- without emitting one
+    row per (campaign, organic line).
+
+    * sums: organic totals of the campaign's products minus the organic lines
+      of those products inside the campaign's own orders;
+    * first/last: organic (product, order) rows ranked by time within product;
+      for each (campaign, product) the first surviving rank is the smallest
+      positive integer not among the excluded ranks (candidates 1 and r+1,
+      minus the excluded set), the last one symmetrically from the end; the
+      time is looked up at that rank.
+    Work is linear in organic lines plus attributed lines.
+    """
+    organic_po = (line_margin.where(F.col("active_campaign_id").isNull())
+                  .groupBy("product_id", "order_id")
+                  .agg(F.sum("quantity").alias("u"), F.sum("line_margin_alloc").alias("m"),
+                       F.count(F.lit(1)).alias("k"), F.min("createdAt").alias("createdAt"),
+                       F.max("createdAt").alias("createdAt_last")))
+    ranked = rank_within_product(organic_po)
+    per_product = ranked.groupBy("product_id").agg(
+        F.sum("u").alias("u"), F.sum("m").alias("m"), F.sum("k").alias("k"),
+        F.max("rank").alias("n_rank"))
+    pairs_cp = attributed.select("campaign_id", "product_id").distinct()
+    pairs_co = attributed.select("campaign_id", "order_id").distinct()
+    # organic (product, order) rows of touched products inside the campaign's own orders
+    excluded = (ranked.join(pairs_co, "order_id").join(pairs_cp, ["campaign_id", "product_id"], "left_semi")
+                .select("campaign_id", "product_id", "rank", "u", "m", "k"))
+
+    zero = F.lit(0).cast(MONEY)
+    gross = pairs_cp.join(per_product, "product_id").groupBy("campaign_id").agg(
+        F.sum("u").alias("gu"), F.sum("m").alias("gm"), F.sum("k").alias("gk"))
+    minus = excluded.groupBy("campaign_id").agg(
+        F.sum("u").alias("xu"), F.sum("m").alias("xm"), F.sum("k").alias("xk"))
+    sums = gross.join(minus, "campaign_id", "left").select(
+        "campaign_id",
+        (F.col("gu") - F.coalesce(F.col("xu"), F.lit(0))).cast(T.LongType()).alias("baseline_units"),
+        (F.col("gm") - F.coalesce(F.col("xm"), zero)).alias("baseline_margin"),
+        (F.col("gk") - F.coalesce(F.col("xk"), F.lit(0))).cast(T.LongType()).alias("baseline_lines"))
+
+    ex_ranks = excluded.select("campaign_id", "product_id", "rank")
+    with_n = pairs_cp.join(per_product.select("product_id", "n_rank"), "product_id")
+    first_cand = (with_n.select("campaign_id", "product_id", F.lit(1).cast(T.LongType()).alias("rank"))
+                  .unionByName(ex_ranks.select("campaign_id", "product_id", (F.col("rank") + 1).alias("rank"))))
+    last_cand = (with_n.select("campaign_id", "product_id", F.col("n_rank").alias("rank"))
+                 .unionByName(ex_ranks.select("campaign_id", "product_id", (F.col("rank") - 1).alias("rank"))))
+    keys = ["campaign_id", "product_id", "rank"]
+    first_rank = (first_cand.join(ex_ranks, keys, "left_anti").groupBy("campaign_id", "product_id")
+                  .agg(F.min("rank").alias("rank")))
+    last_rank = (last_cand.join(ex_ranks, keys, "left_anti").groupBy("campaign_id", "product_id")
+                 .agg(F.max("rank").alias("rank")))
+    times = ranked.select("product_id", "rank", "createdAt", "createdAt_last")
+    first = (first_rank.join(times, ["product_id", "rank"])   # rank beyond the product: no row
+             .groupBy("campaign_id").agg(F.min("createdAt").alias("baseline_first")))
+    last = (last_rank.join(times, ["product_id", "rank"])     # rank 0: no row
+            .groupBy("campaign_id").agg(F.max("createdAt_last").alias("baseline_last")))
+    return sums.join(first, "campaign_id", "left").join(last, "campaign_id", "left")
+
+
 def _totals(df: DataFrame, prefix: str, with_orders: bool) -> DataFrame:
     aggs = [F.sum("quantity").cast(T.LongType()).alias(f"{prefix}_units"),
             F.sum("line_margin_alloc").alias(f"{prefix}_margin"),
@@ -172,9 +254,8 @@ def campaign_measures(line_margin: DataFrame, orders: DataFrame, campaigns: Data
     # attributed lines feed four consumers (totals, both baseline pair sets,
     # shipping); write them once instead of re-deriving them for each
     attributed = materialize(attributed_lines(line_margin, orders, campaigns), "attributed")
-    baseline = baseline_lines(attributed, line_margin)
     camp = _totals(attributed, "campaign", True)
-    base = _totals(baseline, "baseline", False)
+    base = baseline_totals(attributed, line_margin)
     ship = shipping_impact(attributed, orders, campaigns)
     pos = F.col("campaign_pos") if "campaign_pos" in campaigns.columns else F.monotonically_increasing_id()
     c = campaigns.select(F.col("id").alias("campaign_id"), F.col("name").alias("campaign_name"),

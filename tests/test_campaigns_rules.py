@@ -245,3 +245,41 @@ def test_plan_does_not_grow_with_campaign_count(spark):
     a = sorted(tuple(r) for r in e_small.select(*key).collect())
     b = sorted(tuple(r) for r in e_big.where(F.col("campaign_pos") < 9).select(*key).collect())
     assert a == b
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_baseline_totals_equal_direct_join(spark, seed):
+    """The rank-based baseline totals equal aggregating the explicit baseline
+    lines, including a dominant product spread over several sort partitions
+    and products whose first or last organic orders are excluded."""
+    import random
+    rnd = random.Random(seed)
+    rows = []
+    for o in range(1, 400):
+        for _ in range(rnd.randint(1, 3)):
+            p = 10 if rnd.random() < 0.4 else rnd.randint(11, 30)      # product 10 is hot
+            camp = rnd.choice([None, None, "c1", "c2", "c3"])
+            rows.append((o, p, rnd.randint(1, 5), rnd.randint(-3, 9), 1 + (o * 7 + seed) % 28, camp))
+    lm = _lm(spark, rows).repartition(7)
+    orders = _orders(spark, [(o, 1, 0, ["c4"] if o % 5 == 0 else ["c5"] if o % 11 == 0 else [])
+                             for o in range(1, 400)])
+    camps = _campaigns(spark, [("c1", "volume"), ("c2", "general"), ("c3", "volume"), ("c4", "order"),
+                               ("c5", "shipping"), ("c6", "general")])
+    att = CE.attributed_lines(lm, orders, camps)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")          # keep several sort partitions
+    try:
+        organic = (lm.where(F.col("active_campaign_id").isNull()).groupBy("product_id", "order_id")
+                   .agg(F.min("createdAt").alias("createdAt")))
+        ranked = CE.rank_within_product(organic)
+        hot = ranked.where(F.col("product_id") == 10)
+        assert [r.rank for r in hot.orderBy("rank").collect()] == list(range(1, hot.count() + 1))
+        fast = {r.campaign_id: (r.baseline_units, float(r.baseline_margin), r.baseline_lines,
+                                r.baseline_first, r.baseline_last)
+                for r in CE.baseline_totals(att, lm).collect() if r.baseline_lines}
+    finally:
+        spark.conf.set(key, "true")
+    slow = {r.campaign_id: (r.baseline_units, float(r.baseline_margin), r.baseline_lines,
+                            r.baseline_first, r.baseline_last)
+            for r in CE._totals(CE.baseline_lines(att, lm), "baseline", False).collect()}
+    assert fast == slow and len(slow) >= 4
