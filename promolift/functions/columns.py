@@ -28,12 +28,6 @@ def safe_div(num: Column, den: Column, default: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(as_double(num), as_double(den)), F.lit(float(default)))
 
 
-def ratio_if_positive(num: Column, den: Column, default: float = 0.0) -> Column:
-    """num / den when den > 0, else ``default`` (DOUBLE)."""
-    return F.when(den > 0, F.try_divide(as_double(num), as_double(den))).otherwise(
-        F.lit(float(default)))
-
-
 def round_money(col: Column, scale: int) -> Column:
     """Round an exact DECIMAL and return it as DOUBLE."""
     return F.round(col, scale).cast(T.DoubleType())
@@ -55,11 +49,6 @@ def py_bool_text(col: Column) -> Column:
     return F.when(col, F.lit("True")).otherwise(F.lit("False"))
 
 
-def fixed4(col: Column) -> Column:
-    """Fixed 4-decimal text of a DOUBLE (``%.4f``)."""
-    return F.format_string("%.4f", col)
-
-
 def lookup(mapping: dict, key: Column, default=None) -> Column:
     """Literal map lookup with a default for missing keys."""
     pairs = []
