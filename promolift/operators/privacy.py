@@ -5,6 +5,8 @@
   The shop is reduced to an allow-list of six analytical fields.
 * ``pii_column_audit``: column names (nested fields included) containing a
   personal-data fragment -- a schema walk, no data read.
+* ``pii_column_value_audit``: the flagged top-level columns with their value
+  counts (the name audit joined with a scan of those columns).
 * ``pii_value_scan``: every value of every string column (complex columns as
   JSON text) tested against the e-mail pattern in ONE distributed pass; no
   sampling. Returns counts per column.
@@ -64,6 +66,27 @@ def pii_column_audit(spark: SparkSession, frames: dict[str, DataFrame]) -> DataF
     return spark.createDataFrame(rows, "table string, column string, fragment string")
 
 
+def pii_column_value_audit(frames: dict[str, DataFrame]) -> DataFrame:
+    """Column-name audit joined with the data: one row per (table, flagged
+    top-level column, fragment) with the column's non-null and e-mail-like
+    value counts (one aggregate pass per frame over its flagged columns)."""
+    out = None
+    for name, df in frames.items():
+        hits = [(col, frag) for _, col, frag in pii_column_hits(df, name) if "." not in col and "[" not in col]
+        if not hits:
+            continue
+        cols = sorted({c for c, _ in hits})
+        scan = pii_value_scan(df.select(*cols), name)
+        frag_rows = df.sparkSession.createDataFrame(hits, "column string, fragment string")
+        part = frag_rows.join(scan, "column").select("table", "column", "fragment", "n_values", "n_matches")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        spark = next(iter(frames.values())).sparkSession
+        out = spark.createDataFrame(
+            [], "table string, column string, fragment string, n_values bigint, n_matches bigint")
+    return out
+
+
 def _as_text(f: T.StructField) -> Column | None:
     c = F.col(f"`{f.name}`")
     if isinstance(f.dataType, T.StringType):

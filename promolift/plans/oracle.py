@@ -672,6 +672,12 @@ UNION ALL SELECT 'orders_clean', 'shop_id', COUNT(*), COUNT(*) FILTER (WHERE reg
        FROM sh_orders
 UNION ALL SELECT 'orders_clean', 'currency', COUNT(*), COUNT(*) FILTER (WHERE regexp_matches('USD', {em}))
        FROM sh_orders""")
+    q["pii_column_audit"] = with_ctes(*BASE, select=f"""
+SELECT 'orders_raw' AS "table", 'customer_email' AS "column", f.fragment, COUNT(*) AS n_values,
+       COUNT(*) FILTER (WHERE regexp_matches('buyer' || CAST(o.order_id AS VARCHAR) || '@example.com', {em}))
+         AS n_matches
+FROM sh_orders o CROSS JOIN (VALUES ('customer_email'), ('email')) AS f(fragment)
+GROUP BY f.fragment""")
     scans = []
     for t, cols in (("documents", ("text", "lang", "source")), ("conversations", ("role", "text")),
                     ("pages", ("url", "html"))):

@@ -416,6 +416,17 @@ def q_pii_minimize(spark, sf_dir):
             .unionByName(PV.pii_value_scan(clean.select(*text), "orders_clean")))
 
 
+@register("pii_column_audit")
+def q_pii_column_audit(spark, sf_dir):
+    """Personal-data column names in the raw and cleaned order frames, with the
+    value counts of each flagged column (clean frames yield no rows)."""
+    raw = export_orders(spark, sf_dir)
+    clean = PV.minimize_orders(raw)
+    return PV.pii_column_value_audit({"orders_raw": raw.drop("line_items"),
+                                      "orders_clean": FL.to_orders(clean),
+                                      "lineitems_clean": FL.to_lineitems(clean)})
+
+
 @register("pii_value_scan")
 def q_pii_value_scan(spark, sf_dir):
     """Full e-mail scan of every text column of documents, conversations, pages."""

@@ -145,3 +145,11 @@ def test_nested_order_revenue_matches_shuffle_path(spark, doc):
     a = M.allocate_order_cost_to_lines(M.compute_line_revenue(folded)).first().allocated_cost
     b = M.allocate_order_cost_to_lines(M.compute_line_revenue(FL.to_lineitems(orders))).first().allocated_cost
     assert a == b and float(a) == 20.0
+
+
+def test_column_value_audit(spark, doc):
+    orders = EX.document_orders(doc)
+    rows = {(r.table, r.column, r.fragment): (r.n_values, r.n_matches)
+            for r in PV.pii_column_value_audit({"raw": orders, "clean": PV.minimize_orders(orders)}).collect()}
+    assert rows == {("raw", "customer_email", "customer_email"): (1, 1), ("raw", "customer_email", "email"): (1, 1)}
+    assert PV.pii_column_value_audit({"clean": PV.minimize_orders(orders)}).count() == 0
