@@ -128,7 +128,7 @@ def baseline_totals(attributed: DataFrame, line_margin: DataFrame) -> DataFrame:
                   .agg(F.sum("quantity").alias("u"), F.sum("line_margin_alloc").alias("m"),
                        F.count(F.lit(1)).alias("k"), F.min("createdAt").alias("createdAt"),
                        F.max("createdAt").alias("createdAt_last")))
-    ranked = rank_within_product(organic_po)
+    ranked = materialize(rank_within_product(organic_po), "organic-ranked")   # read three times below
     per_product = ranked.groupBy("product_id").agg(
         F.sum("u").alias("u"), F.sum("m").alias("m"), F.sum("k").alias("k"),
         F.max("rank").alias("n_rank"))

@@ -74,4 +74,4 @@ def materialize(df, label: str):
     spark = df.sparkSession
     path = staging_path(spark, label)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)   # known schema: no footer-inference job
