@@ -151,21 +151,24 @@ def baseline_totals(attributed: DataFrame, line_margin: DataFrame) -> DataFrame:
 
     ex_ranks = excluded.select("campaign_id", "product_id", "rank")
     with_n = pairs_cp.join(per_product.select("product_id", "n_rank"), "product_id")
-    first_cand = (with_n.select("campaign_id", "product_id", F.lit(1).cast(T.LongType()).alias("rank"))
-                  .unionByName(ex_ranks.select("campaign_id", "product_id", (F.col("rank") + 1).alias("rank"))))
-    last_cand = (with_n.select("campaign_id", "product_id", F.col("n_rank").alias("rank"))
-                 .unionByName(ex_ranks.select("campaign_id", "product_id", (F.col("rank") - 1).alias("rank"))))
-    keys = ["campaign_id", "product_id", "rank"]
-    first_rank = (first_cand.join(ex_ranks, keys, "left_anti").groupBy("campaign_id", "product_id")
-                  .agg(F.min("rank").alias("rank")))
-    last_rank = (last_cand.join(ex_ranks, keys, "left_anti").groupBy("campaign_id", "product_id")
-                 .agg(F.max("rank").alias("rank")))
+    cp = ["campaign_id", "product_id"]
+    # candidates for the first surviving rank (lo: 1 and r+1) and the last (hi: n and r-1),
+    # searched together: drop excluded ranks, then min over lo / max over hi
+    candidates = (with_n.select(*cp, F.lit(1).cast(T.LongType()).alias("rank"), F.lit(True).alias("lo"))
+                  .unionByName(with_n.select(*cp, F.col("n_rank").alias("rank"), F.lit(False).alias("lo")))
+                  .unionByName(ex_ranks.select(*cp, (F.col("rank") + 1).alias("rank"), F.lit(True).alias("lo")))
+                  .unionByName(ex_ranks.select(*cp, (F.col("rank") - 1).alias("rank"), F.lit(False).alias("lo"))))
+    bounds = (candidates.join(ex_ranks, [*cp, "rank"], "left_anti").groupBy(*cp)
+              .agg(F.min(F.when(F.col("lo"), F.col("rank"))).alias("r_lo"),
+                   F.max(F.when(~F.col("lo"), F.col("rank"))).alias("r_hi")))
+    targets = (bounds.select(*cp, F.col("r_lo").alias("rank"), F.lit(True).alias("lo"))
+               .unionByName(bounds.select(*cp, F.col("r_hi").alias("rank"), F.lit(False).alias("lo"))))
     times = ranked.select("product_id", "rank", "createdAt", "createdAt_last")
-    first = (first_rank.join(times, ["product_id", "rank"])   # rank beyond the product: no row
-             .groupBy("campaign_id").agg(F.min("createdAt").alias("baseline_first")))
-    last = (last_rank.join(times, ["product_id", "rank"])     # rank 0: no row
-            .groupBy("campaign_id").agg(F.max("createdAt_last").alias("baseline_last")))
-    return sums.join(first, "campaign_id", "left").join(last, "campaign_id", "left")
+    # a rank past the product's end (all excluded) or 0 finds no row
+    ends = (targets.join(times, ["product_id", "rank"]).groupBy("campaign_id")
+            .agg(F.min(F.when(F.col("lo"), F.col("createdAt"))).alias("baseline_first"),
+                 F.max(F.when(~F.col("lo"), F.col("createdAt_last"))).alias("baseline_last")))
+    return sums.join(ends, "campaign_id", "left")
 
 
 def _totals(df: DataFrame, prefix: str, with_orders: bool) -> DataFrame:
