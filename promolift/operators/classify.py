@@ -17,7 +17,7 @@ velocity) and joined back to the products on the velocity value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.quantiles import as_scalar, edges_repeated, tertile_stats, value_histogram
 from ..schemas import MIN_UNITS, MOVEMENT_CLASSES

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..schemas import (LIST_FIELDS, MECHANICS, MOVEMENT_CLASSES, REQUIRED_FIELDS, SEGMENT_MECHANICS,
+from ..schemas import (MECHANICS, MOVEMENT_CLASSES, REQUIRED_FIELDS, SEGMENT_MECHANICS,
                        VERDICTS)
 
 Rules = dict[str, Column]

@@ -153,3 +153,14 @@ def test_column_value_audit(spark, doc):
             for r in PV.pii_column_value_audit({"raw": orders, "clean": PV.minimize_orders(orders)}).collect()}
     assert rows == {("raw", "customer_email", "customer_email"): (1, 1), ("raw", "customer_email", "email"): (1, 1)}
     assert PV.pii_column_value_audit({"clean": PV.minimize_orders(orders)}).count() == 0
+
+
+def test_campaign_validation(spark, doc):
+    camps = EX.document_campaigns(doc)
+    counts = {r.rule: r.n_violations for r in V.validate_campaigns(camps).collect()}
+    assert counts["required:id"] == 0 and counts["end_after_start"] == 0   # null endAt is allowed
+    bad = json.loads(json.dumps(MINIMAL))
+    del bad["campaigns"][0]["type"]
+    camps = EX.document_campaigns(EX.read_export_document(spark, _write(bad)))
+    counts = {r.rule: r.n_violations for r in V.validate_campaigns(camps).collect()}
+    assert counts["required:type"] == 1
