@@ -14,11 +14,13 @@ MONEY_SUM = T.DecimalType(38, 6)
 
 
 def money(col: Column | str) -> Column:
+    """Cast to the exact money type DECIMAL(28,6)."""
     c = F.col(col) if isinstance(col, str) else col
     return c.cast(MONEY)
 
 
 def as_double(col: Column | str) -> Column:
+    """Cast to DOUBLE."""
     c = F.col(col) if isinstance(col, str) else col
     return c.cast(T.DoubleType())
 

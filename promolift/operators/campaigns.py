@@ -331,6 +331,7 @@ def evaluate_campaigns(orders: DataFrame, line_margin: DataFrame, campaigns: Dat
 
 
 def verdict_counts(evaluation: DataFrame) -> DataFrame:
+    """Number of campaigns per verdict."""
     return evaluation.groupBy("verdict").agg(F.count(F.lit(1)).alias("n_campaigns"))
 
 

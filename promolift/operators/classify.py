@@ -28,12 +28,14 @@ REQUIRED = ("product_id", "title", "units_sold", VELOCITY, "revenue",
 
 
 def require_columns(df: DataFrame, cols=REQUIRED) -> None:
+    """Raise ValueError naming any required product column that is missing."""
     missing = sorted(set(cols) - set(df.columns))
     if missing:
         raise ValueError(f"classify: products are missing required columns {missing}")
 
 
 def with_sufficiency(products: DataFrame, min_units: int = MIN_UNITS) -> DataFrame:
+    """Add ``data_sufficient`` = units_sold >= min_units."""
     return products.withColumn("data_sufficient", F.col("units_sold") >= F.lit(min_units))
 
 
@@ -48,6 +50,7 @@ def rank_tertile(cum_before: Column, cnt: Column, n: Column) -> Column:
 
 
 def quantile_tertile(v: Column, stats: Column) -> Column:
+    """Tertile class of a velocity from the order statistics (v <= s_a slow, v <= s_c medium)."""
     return (F.when(v <= stats["sa"], F.lit("slow"))
             .when(v <= stats["sc"], F.lit("medium"))
             .otherwise(F.lit("fast")))
@@ -128,4 +131,5 @@ def class_domain_violations(classified: DataFrame) -> DataFrame:
 
 
 def class_counts(classified: DataFrame) -> DataFrame:
+    """Number of products per movement class."""
     return classified.groupBy("movement_class").agg(F.count(F.lit(1)).alias("n_products"))

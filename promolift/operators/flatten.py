@@ -89,4 +89,5 @@ def to_campaigns(campaigns: DataFrame) -> DataFrame:
 
 
 def drop_order_pii(orders: DataFrame) -> DataFrame:
+    """Orders without the customer e-mail field."""
     return orders.drop(ORDER_PII_KEY)

@@ -27,6 +27,7 @@ def minimize_shop(shop: DataFrame) -> DataFrame:
 
 
 def minimize_orders(orders: DataFrame) -> DataFrame:
+    """Orders without the customer e-mail field."""
     return orders.drop(ORDER_PII_KEY)
 
 
@@ -50,6 +51,7 @@ def _walk(dtype: T.DataType, prefix: str):
 
 
 def pii_column_hits(df: DataFrame, table: str) -> list[tuple[str, str, str]]:
+    """(table, column path, fragment) for every column name holding a personal-data fragment."""
     hits = []
     for path, leaf in _walk(df.schema, ""):
         low = leaf.lower()

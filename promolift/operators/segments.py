@@ -21,6 +21,7 @@ KEYS = ("movement_class", "margin_band", "recommended_mechanic")
 
 
 def segment_key() -> F.Column:
+    """Segment id: movement_class/margin_band/recommended_mechanic."""
     return F.concat_ws("/", *[F.col(k) for k in KEYS])
 
 

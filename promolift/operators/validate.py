@@ -44,6 +44,7 @@ def violations(df: DataFrame, table: str, rules: Rules, key: list[str] | None =
 
 
 def raise_on_violations(counts: DataFrame) -> None:
+    """Strict mode: raise ValueError for the first rule with violations."""
     bad = counts.where(F.col("n_violations") > 0).first()
     if bad is not None:
         raise ValueError(f"{bad['table']}: {bad['n_violations']} row(s) violate '{bad['rule']}'")
@@ -52,10 +53,12 @@ def raise_on_violations(counts: DataFrame) -> None:
 # -- source records ---------------------------------------------------------------
 
 def required_rules(fields, prefix: str = "") -> Rules:
+    """One null check per required field."""
     return {f"required:{f}": F.col(f"{prefix}{f}").isNull() for f in fields}
 
 
 def order_rules() -> Rules:
+    """Required fields and non-negative money of an order."""
     r = required_rules(REQUIRED_FIELDS["orders"])
     for f in ("subtotal_price", "total_price", "cost_total", "shipping_discount_amount"):
         r[f"non_negative:{f}"] = F.col(f) < 0
@@ -63,6 +66,7 @@ def order_rules() -> Rules:
 
 
 def lineitem_rules() -> Rules:
+    """Required fields, positive quantity and non-negative money of a line item."""
     r = required_rules(REQUIRED_FIELDS["lineitems"])
     r["positive:quantity"] = F.col("quantity") <= 0
     r["non_negative:price"] = F.col("price") < 0
@@ -71,6 +75,7 @@ def lineitem_rules() -> Rules:
 
 
 def campaign_rules() -> Rules:
+    """Required fields of a campaign; endAt may be null but not before startAt."""
     r = required_rules(REQUIRED_FIELDS["campaigns"])
     r["end_after_start"] = F.col("endAt") < F.col("startAt")
     return r
@@ -93,18 +98,21 @@ def validate_lineitems(orders: DataFrame) -> DataFrame:
 
 
 def validate_campaigns(campaigns: DataFrame) -> DataFrame:
+    """Counts per rule over campaign records."""
     return violation_counts(campaigns, "campaigns", campaign_rules())
 
 
 # -- derived frames ------------------------------------------------------------------
 
 def class_rules() -> Rules:
+    """Movement class in its domain; sufficiency flag present."""
     return {"domain:movement_class": ~F.col("movement_class").isin(*MOVEMENT_CLASSES)
             | F.col("movement_class").isNull(),
             "required:data_sufficient": F.col("data_sufficient").isNull()}
 
 
 def profile_rules() -> Rules:
+    """Product-profile contract: required fields and class domain."""
     r = {f"required:{c}": F.col(c).isNull() for c in
          ("product_id", "title", "units_sold", "revenue", "gross_margin_alloc", "margin_pct",
           "velocity_per_day", "data_sufficient")}
@@ -113,6 +121,7 @@ def profile_rules() -> Rules:
 
 
 def verdict_rules() -> Rules:
+    """Campaign-verdict contract: verdict domain, confidence in [0, 1]."""
     return {"domain:verdict": ~F.col("verdict").isin(*VERDICTS) | F.col("verdict").isNull(),
             "range:confidence": ~F.col("confidence").between(0.0, 1.0) | F.col("confidence").isNull(),
             "required:reason_code": F.col("reason_code").isNull(),
@@ -120,6 +129,7 @@ def verdict_rules() -> Rules:
 
 
 def recommendation_rules() -> Rules:
+    """Recommendation contract: mechanic domain, confidence range, finite priority."""
     score = F.col("priority_score")
     return {"domain:recommended_mechanic": ~F.col("recommended_mechanic").isin(*MECHANICS),
             "range:confidence": ~F.col("confidence").between(0.0, 1.0) | F.col("confidence").isNull(),
@@ -130,6 +140,7 @@ def recommendation_rules() -> Rules:
 
 
 def segment_rules() -> Rules:
+    """Segment contract: mechanic domain, priority 1-5, non-empty."""
     return {"domain:discount_mechanic": ~F.col("discount_mechanic").isin(*SEGMENT_MECHANICS),
             "range:priority": ~F.col("priority").between(1, 5) | F.col("priority").isNull(),
             "non_empty:segment": F.col("n_products") <= 0}

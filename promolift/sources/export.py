@@ -33,6 +33,7 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def require_path(spark: SparkSession, path: str) -> None:
+    """Raise FileNotFoundError when the path does not exist (any Hadoop file system)."""
     if not _path_exists(spark, path):
         raise FileNotFoundError(f"Data file not found: {path}")
 
@@ -70,6 +71,7 @@ def document_campaigns(doc: DataFrame) -> DataFrame:
 
 
 def document_shop(doc: DataFrame) -> DataFrame:
+    """The shop record of the export document(s)."""
     return doc.select("shop.*")
 
 

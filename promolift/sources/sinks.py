@@ -20,6 +20,7 @@ JSON_OPTIONS = {"ignoreNullFields": "false", "timestampFormat": TS_FORMAT}
 
 
 def flatten_complex_to_json(df: DataFrame) -> DataFrame:
+    """Array, struct and map columns as JSON text (chosen from the schema)."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -30,6 +31,7 @@ def flatten_complex_to_json(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
+    """Header CSV dataset with nested columns as JSON text."""
     (flatten_complex_to_json(df).write.mode("overwrite").option("header", True)
      .option("timestampFormat", TS_FORMAT).csv(path))
 
@@ -41,6 +43,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def csv_schema(df: DataFrame) -> T.StructType:
+    """Schema of the CSV form of ``df`` (nested columns as strings)."""
     return flatten_complex_to_json(df).schema
 
 
@@ -77,4 +80,5 @@ def write_bundle(sections: dict[str, DataFrame], path: str) -> dict[str, str]:
 
 
 def read_bundle(spark: SparkSession, paths: dict[str, str], schemas: dict[str, T.StructType]) -> dict[str, DataFrame]:
+    """Read the sections of a bundle back with their schemas."""
     return {name: spark.read.schema(schemas[name]).options(**JSON_OPTIONS).json(p) for name, p in paths.items()}
