@@ -63,18 +63,31 @@ class PromoPipeline:
         lm = M.prepare_line_margin(self.lines).select(*M.LINE_MARGIN_COLUMNS)
         return self._keep(lm, "line-margin")
 
+    # ``*_plan``: the stage as a lazy plan, for a caller that reads it once;
+    # the plain properties are the materialized stages other stages build on.
+    @cached_property
+    def products_plan(self) -> DataFrame:
+        return M.compute_product_metrics(self.line_margin)
+
     @cached_property
     def products(self) -> DataFrame:
-        return self._keep(M.compute_product_metrics(self.line_margin), "products")
+        return self._keep(self.products_plan, "products")
+
+    @cached_property
+    def classified_plan(self) -> DataFrame:
+        return C.classify_products(self.products, min_units=self.min_units)
 
     @cached_property
     def classified(self) -> DataFrame:
-        return self._keep(C.classify_products(self.products, min_units=self.min_units), "classified")
+        return self._keep(self.classified_plan, "classified")
+
+    @cached_property
+    def campaign_eval_plan(self) -> DataFrame:
+        return CE.evaluate_campaigns(self.orders, self.line_margin, self.campaigns)
 
     @cached_property
     def campaign_eval(self) -> DataFrame:
-        return self._keep(CE.evaluate_campaigns(self.orders, self.line_margin, self.campaigns),
-                          "campaign-eval")
+        return self._keep(self.campaign_eval_plan, "campaign-eval")
 
     @cached_property
     def banded(self) -> DataFrame:

@@ -123,12 +123,12 @@ def q_dataset_window(spark, sf_dir):
 
 @register("product_metrics")
 def q_product_metrics(spark, sf_dir):
-    return present(pipe(spark, sf_dir).products)
+    return present(pipe(spark, sf_dir).products_plan)
 
 
 @register("products_by_velocity")
 def q_products_by_velocity(spark, sf_dir):
-    ranked = M.products_by_velocity(pipe(spark, sf_dir).products)
+    ranked = M.products_by_velocity(pipe(spark, sf_dir).products_plan)
     return present(ranked.select("product_id", "title", "units_sold", "velocity_per_day"))
 
 
@@ -144,7 +144,7 @@ def sufficient_products(spark, sf_dir) -> DataFrame:
 
 @register("classify_products")
 def q_classify_products(spark, sf_dir):
-    return present(classified(spark, sf_dir))
+    return present(pipe(spark, sf_dir).classified_plan)
 
 
 @register("class_counts")
@@ -233,7 +233,7 @@ def q_campaign_sufficiency(spark, sf_dir):
 
 @register("campaign_eval")
 def q_campaign_eval(spark, sf_dir):
-    return present(campaign_eval(spark, sf_dir))
+    return present(pipe(spark, sf_dir).campaign_eval_plan)
 
 
 @register("verdict_counts")
