@@ -51,3 +51,25 @@ def worker_cache() -> dict:
     import types
 
     return sys.modules.setdefault("_llm_kept", types.ModuleType("_llm_kept")).__dict__
+
+
+KEY_ROWS = 200_000  # content keys that are broadcast at most
+
+
+def _keyed(docs: DataFrame, keys: DataFrame, how: str, id_col: str, text_col: str) -> DataFrame:
+    keys = F.broadcast(keys) if keys.count() <= KEY_ROWS else keys
+    same = docs[id_col].eqNullSafe(keys["_id"])
+    for found, name in zip(row_key(text_col, id_col)[1:], ("_hash", "_bytes")):
+        same &= found == keys[name]
+    return docs.join(keys, same, how)
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose content key (``row_key``) isn't in ``keys``.
+    Up to ``KEY_ROWS`` keys (counted) are broadcast, more are joined by shuffle."""
+    return _keyed(docs, cut(keys.distinct()), "left_anti", id_col, text_col)
+
+
+def only(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose content key is in ``keys``."""
+    return _keyed(docs, cut(keys.distinct()), "left_semi", id_col, text_col)

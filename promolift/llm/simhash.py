@@ -15,7 +15,7 @@ from itertools import product
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, only, row_key, without
 from .graph import components
 
 TILE = 1024  # expected fingerprints of a tile at most (8 KB)
@@ -23,7 +23,8 @@ TILE = 1024  # expected fingerprints of a tile at most (8 KB)
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): 64-bit SimHash of every row's whole text.
+    """(doc_id, _hash, _bytes, fp): 64-bit SimHash of every row's whole text,
+    with the row's content key.
 
     Words are runs of characters other than ASCII white space, A-Z in lower
     case; a bit is one if set in over half of the XXH64 hashes (seed 42) of the
@@ -53,13 +54,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id",
             return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little", signed=True)
 
         for batch in batches:
-            texts = batch.column(1)
-            yield pa.record_batch([batch.column(0), pa.array([fp(t.as_py()) for t in texts], pa.int64())],
-                                  names=["doc_id", "fp"])
+            yield pa.record_batch([*batch.columns[:3], pa.array([fp(t.as_py()) for t in batch.column(3)], pa.int64())],
+                                  names=["doc_id", "_hash", "_bytes", "fp"])
 
-    ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = ids.schema["doc_id"].dataType.simpleString()
-    return ids.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    ids = docs.select(*row_key(text_col, id_col), F.col(text_col).cast("string").alias("text"))
+    kind = ids.schema["_id"].dataType.simpleString()
+    return ids.mapInArrow(run, f"doc_id {kind}, _hash bigint, _bytes int, fp bigint")
 
 
 def _signature(fp):
@@ -162,8 +162,10 @@ def forest(near):
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id (the least id
-    reachable over links of at most ``radius`` differing bits, itself included).
+    """One row per row of ``docs``: doc_id, the content key (_hash, _bytes), fp,
+    root (a fingerprint that stands for the component) and component_id (the
+    least id reachable over links of at most ``radius`` differing bits, itself
+    included).
 
     Null and empty texts have fingerprint zero and link like any other; rows
     with equal fingerprints always share a component; null ids are never the
@@ -176,5 +178,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col:
     rooted = cut(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
                  .select("fp", F.coalesce("root", "fp").alias("root"), "least"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    owner = rooted.select("fp", "root").join(best, "root").select("fp", "component_id")
-    return prints.join(owner, "fp").select("doc_id", "fp", "component_id")
+    owner = rooted.select("fp", "root").join(best, "root")
+    return prints.join(owner, "fp").select("doc_id", "_hash", "_bytes", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of ``found`` (from
+    ``near_duplicates`` on the same rows): the one of the least id, nulls last;
+    of equal ids the least content key; of equal rows any one."""
+    found = cut(found.select("root", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("_id"),
+                                              "_hash", "_bytes").alias("key")))
+    best = found.groupBy("root").agg(F.min("key").alias("best"))
+    marked = found.join(best, "root").select("key", (F.col("key") == F.col("best")).alias("first"))
+    keys = cut(marked.groupBy("key", "first").agg(F.count("*").alias("rows")))
+    kept = without(docs, keys.where(~F.col("first")).select("key._id", "key._hash", "key._bytes"), id_col, text_col)
+    again = keys.where("first AND rows > 1").select("key._id", "key._hash", "key._bytes")
+    if again.isEmpty():
+        return kept
+    repeated = only(docs, again, id_col, text_col)
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    one = repeated.groupBy(*row_key(text_col, id_col)).agg(F.first(whole).alias("row")).select("row.*")
+    return without(kept, again, id_col, text_col).unionByName(one)
