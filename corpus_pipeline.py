@@ -6,12 +6,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from promolift.llm import decontaminate, packing, simhash
-from promolift.llm.common import without
+from promolift.llm import decontaminate, linededup, packing, simhash, toxicity
+from promolift.llm.common import held_out, without
 from promolift.llm.queries import tokenizer_path
 from promolift.session import materialize
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go. It learns from the
+    labels of documents whose crc32(doc_id as text) mod 5 is not 0."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("doc_id"), 5, 0))
+    found = toxicity.score(docs, model)
+    return without(docs, found.where("predicted = 1").select(F.col("doc_id").alias("_id"), "_hash", "_bytes"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of 50 words or more that an earlier document has go from the
+    later one; a document that loses every line goes. n_chars follows the text."""
+    out = linededup.dedup_lines(docs).where("n_deleted = 0 OR n_deleted < n_lines")
+    changed = F.col("n_deleted") > 0
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,6 +50,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", not_toxic),
+    ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
     ("decontaminate", decontaminated),
     ("pack", packed),

@@ -1,13 +1,12 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
 Words of a text are hashed in runs of ``GRAM`` words; of every ``WINDOW``
-consecutive hashes the least one (leftmost of equals) is kept with its
-position. ``GRAM + WINDOW - 1`` is the contract's window of 13 words, so each
-shared span of 13 words or more shares a kept fingerprint, at the same place
-inside the span. Kept document fingerprints are joined with those of the
-benchmark windows; every hit is extended to the whole window around it and
-compared word by word. Items shorter than a window are found through their
-first word in the same join.
+consecutive hashes the least one is kept with its position. ``GRAM + WINDOW -
+1`` is the contract's window of 13 words, so each shared span of 13 words or
+more shares a kept fingerprint, at the same place inside the span. Kept document
+fingerprints are joined with those of the benchmark windows; every hit is
+extended to the whole window around it and compared word by word. Items shorter
+than a window are found through their first word.
 """
 
 from __future__ import annotations
@@ -17,12 +16,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import ascii_lower, cut, row_key
 
 SPAN = 13
-GRAM = 5
+GRAM = 6
 WINDOW = SPAN - GRAM + 1
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 1 << 18  # benchmark windows that are broadcast at most
-
-_EMPTY = "cast(array() as array<int>)"
+PLACES = 1 << 24  # a fingerprint carries its position modulo this in its low bits
 
 
 def words_of(text: Column) -> Column:
@@ -30,20 +28,33 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NO_WORD), "")
 
 
-def _gram_hashes(words: Column) -> Column:
-    return F.when(F.size(words) >= SPAN, F.transform(
-        F.sequence(F.lit(1), F.size(words) - GRAM + 1), lambda i: F.xxhash64(F.slice(words, i, GRAM)))
-    ).otherwise(F.expr("cast(array() as array<bigint>)"))
+def _shifted(array: Column, by: int) -> Column:
+    return F.slice(array, by + 1, F.greatest(F.size(array) - by, F.lit(0)))
+
 
+def _with_hashes(rows: DataFrame) -> DataFrame:
+    """``rows`` with hashes: for each run of 6 words (column words) a hash whose
+    low bits are the run's position. Built by doubling, two words, four, six;
+    entries past the last whole run are cut off."""
+    pair = lambda x, y: F.xxhash64(x, y)
+    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    rows = rows.withColumn("two", F.zip_with("hashes", _shifted(F.col("hashes"), 1), pair))
+    rows = rows.withColumn("hashes", F.zip_with("two", _shifted(F.col("two"), 2), pair))
+    rows = rows.withColumn("hashes", F.zip_with("hashes", _shifted(F.col("two"), 4), pair)).drop("two")
+    whole = F.slice("hashes", 1, F.greatest(F.size("hashes") - GRAM + 1, F.lit(0)))
+    return rows.withColumn("hashes", F.transform(whole, lambda h, i: h.bitwiseAND(F.lit(-PLACES)).bitwiseOR(
+        (i % PLACES).cast("long"))))
 
-def _kept(hashes: Column) -> Column:
-    """Positions (from 1) of the winnowed hashes, ascending."""
-    def least(i):
-        part = F.slice(hashes, i, WINDOW)
-        return (i - 1 + F.array_position(part, F.array_min(part))).cast("int")
 
-    return F.when(F.size(hashes) >= WINDOW, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.size(hashes) - WINDOW + 1), least))).otherwise(F.expr(_EMPTY))
+def _with_kept(rows: DataFrame) -> DataFrame:
+    """``rows`` with kept: the distinct least hashes of 8 consecutive ones, by
+    doubling as well. Texts shorter than a window of words have none."""
+    least = lambda x, y: F.least(x, y)
+    rows = rows.withColumn("kept", F.col("hashes"))
+    for step in (1, 2, 4):
+        rows = rows.withColumn("kept", F.zip_with("kept", _shifted(F.col("kept"), step), least))
+    whole = F.slice("kept", 1, F.greatest(F.size("kept") - WINDOW + 1, F.lit(0)))
+    return rows.withColumn("kept", F.array_distinct(whole)).drop("hashes")
 
 
 def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -60,11 +71,13 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -
 
 def anchors(wins: DataFrame) -> DataFrame:
     """(kind, hash, spots): where a window may begin around a document position.
-    kind 0: a winnowed hash, kind 1: the first word of a short item."""
-    hashes = _gram_hashes(F.col("window"))
-    long = wins.where(F.col("len") == SPAN).select(hashes.alias("h")).select(
-        F.lit(0).alias("kind"), F.array_min("h").alias("hash"),
-        F.struct((F.array_position("h", F.array_min("h")) - 1).cast("int").alias("back"), F.lit(SPAN).alias("len")).alias("spot"))
+    kind 0: a winnowed hash (every place of the least one counts), kind 1: the
+    first word of a short item."""
+    high = lambda x: x.bitwiseAND(F.lit(-PLACES))
+    long = _with_hashes(wins.where(F.col("len") == SPAN).select(F.col("window").alias("words"))).select(
+        F.transform("hashes", high).alias("h"))
+    long = long.select(F.array_min("h").alias("hash"), F.posexplode("h").alias("back", "x")).where("x = hash").select(
+        F.lit(0).alias("kind"), "hash", F.struct("back", F.lit(SPAN).alias("len")).alias("spot"))
     short = wins.where(F.col("len") < SPAN).select(
         F.lit(1).alias("kind"), F.xxhash64(F.element_at("window", 1)).alias("hash"),
         F.struct(F.lit(0).alias("back"), F.col("len").alias("len")).alias("spot"))
@@ -95,36 +108,50 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     small, has_short = facts[0] <= broadcast_rows, facts[1] == 1
     hint = F.broadcast if small else (lambda df: df)
 
-    key = row_key(text_col, id_col)
-    rows = docs.select(*key, words_of(F.col(text_col)).alias("words"))
-    rows = rows.withColumn("hashes", _gram_hashes(F.col("words")))
-    # positions: 0 stands for the document itself, -i for word i, i for hash i
-    parts = [F.array(F.lit(0)), _kept(F.col("hashes"))]
-    if has_short:
-        parts.append(F.when(F.size("words") > 0, F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: -i))
-                     .otherwise(F.expr(_EMPTY)))
-    # never empty, and explode_outer adds no filter that would compute the arrays twice
-    rows = rows.withColumn("places", F.concat(*parts))
-    rows = rows.select("_id", "_hash", "_bytes", "words", "hashes", F.explode_outer("places").alias("place"))
-    at = F.abs("place")
-    context = F.col("words") if small else F.slice("words", F.greatest(at - WINDOW + 1, F.lit(1)), SPAN + WINDOW - 1)
-    shift = F.lit(0) if small else F.greatest(at - WINDOW, F.lit(0))
+    texts = docs.select(*row_key(text_col, id_col), words_of(F.col(text_col)).alias("words"))
+    key = ["_id", "_hash", "_bytes"]
+
+    def near(rows, at):
+        """What extension needs of a row at position ``at`` (from 1)."""
+        context = F.col("words") if small else F.slice("words", F.greatest(at - WINDOW + 1, F.lit(1)), SPAN + WINDOW - 1)
+        shift = F.lit(0) if small else F.greatest(at - WINDOW, F.lit(0))
+        return rows.select(*key, "n_words", context.alias("words"), shift.alias("shift"), at.alias("at"), "kind", "hash")
+
+    # a null place stands for the document itself; so no array is empty, and
+    # explode_outer adds no filter that would compute the arrays twice
+    rows = _with_kept(_with_hashes(texts)).withColumn("kept", F.array_append("kept", F.lit(None).cast("long")))
+    rows = rows.select(*key, "words", F.explode_outer("kept").alias("place"))
+    place = (F.col("place").bitwiseAND(F.lit(PLACES - 1)) + 1).cast("int")
     rows = rows.select(
-        "_id", "_hash", "_bytes", F.size("words").alias("n_words"), context.alias("words"), shift.alias("shift"),
-        at.alias("at"), F.when(F.col("place") > 0, 0).when(F.col("place") < 0, 1).otherwise(2).alias("kind"),
-        F.when(F.col("place") > 0, F.element_at("hashes", F.greatest("place", F.lit(1))))
-        .when(F.col("place") < 0, F.xxhash64(F.element_at("words", F.greatest(-F.col("place"), F.lit(1)))))
-        .otherwise(F.lit(0)).alias("hash"))
+        *key, "words", F.size("words").alias("n_words"), F.when(F.col("place").isNull(), 2).otherwise(0).alias("kind"),
+        F.coalesce(F.col("place").bitwiseAND(F.lit(-PLACES)), F.lit(0)).alias("hash"),
+        F.coalesce(place, F.lit(1)).alias("place"))
+
+    def later(rows, at):
+        """Beyond ``PLACES`` words, a position may stand for later ones as well."""
+        return rows.withColumn(at, F.explode_outer(F.when(
+            (F.col("kind") == 0) & (F.col("n_words") > PLACES), F.sequence(F.col(at), F.col("n_words"), F.lit(PLACES)))
+            .otherwise(F.array(at))))
+
+    rows = near(rows if small else later(rows, "place"), F.col("place"))
     # one mark stands for the documents themselves, so each stays in the result
     itself = marks.sparkSession.range(1).select(
         F.lit(2).alias("kind"), F.lit(0).cast("bigint").alias("hash"),
         F.expr("array(named_struct('back', 0, 'len', 0))").cast(marks.schema["spots"].dataType).alias("spots"))
-    found = rows.join(hint(marks.union(itself)), ["kind", "hash"])
-    found = found.withColumn("spot", F.explode("spots")).withColumn("start", F.col("at") - F.col("spot.back"))
+    found = rows.join(hint(marks.where("kind = 0").union(itself)), ["kind", "hash"])
+    if has_short:
+        firsts = texts.select(*key, "words", F.size("words").alias("n_words"), F.posexplode("words").alias("place", "word"))
+        firsts = near(firsts.select(*key, "words", "n_words", F.lit(1).alias("kind"), F.xxhash64("word").alias("hash"),
+                                    (F.col("place") + 1).alias("place")), F.col("place"))
+        found = found.unionByName(firsts.join(hint(marks.where("kind = 1")), ["kind", "hash"]))
+    found = found.withColumn("spot", F.explode("spots"))
+    if small:
+        found = later(found, "at")
+    found = found.withColumn("start", F.col("at") - F.col("spot.back"))
     found = found.where((F.col("kind") == 2) | (
         (F.col("start") >= 1) & (F.col("start") + F.col("spot.len") - 1 <= F.col("n_words"))))
     found = found.select(
-        "_id", "_hash", "_bytes", "n_words", "kind", "start", F.col("spot.len").alias("len"),
+        *key, "n_words", "kind", "start", F.col("spot.len").alias("len"),
         F.when(F.col("kind") < 2, F.slice("words", F.col("start") - F.col("shift"), F.col("spot.len"))).alias("window"))
     found = found.withColumn("whash", F.when(F.col("kind") < 2, F.xxhash64("window")))
     known = wins.select(F.col("whash").alias("k"), F.col("window").alias("same"), "items")

@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, sharding, simhash
+from . import (decontaminate, language, licenses, linededup, packing, quality, sharding, simhash, toxicity,
+               vptree)
+from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +24,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    known = language.learn(docs, ~held_out(F.col("doc_id"), 5, 0))
+    out = language.identify(docs, known)
+    return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 4, 2))
+    out = quality.score(docs, model, threshold=0.7)
+    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
+def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "text", "n_lines", "n_deleted", "owners")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -33,6 +58,18 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return vptree.nearest(rows.where(F.col("vec_id") % 100 == 0), rows, k=10)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
+    out = toxicity.score(docs, model, threshold=0.5)
+    return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign(_table(spark, sf_dir, "documents"), sharding.layout(24), sharding.layout(25, base=24))
     return out.withColumn("law", F.lit("key"))
@@ -44,4 +81,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_decontaminate, op6_pack, op9_shard, op10_simhash)}
+    return {f.__name__: f for f in (
+        op1_language, op2_quality, op3_license, op4_line_dedup, op5_decontaminate, op6_pack, op7_nearest, op8_toxicity,
+        op9_shard, op10_simhash)}
