@@ -2,8 +2,9 @@
 dictionary lets zstandard encode it in the fewest bytes.
 
 Each language's dictionary is raw text of a bounded sample of its labelled
-rows. A prediction whose margin over the second language is narrow is marked as
-rejected.
+rows. Texts and dictionaries are compared in lower case, without ASCII digits
+and punctuation. A prediction whose margin over the second language is narrow is
+marked as rejected.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ LEVEL = 3
 SHORT = 2048  # texts up to this size are compressed with ...
 SHORT_LEVEL = 19
 UNKNOWN = "und"
+MARKS = dict.fromkeys(map(ord, "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 
 
 def learn(docs: DataFrame, rows: Column, lang_col: str = "lang", text_col: str = "text") -> dict[str, bytes]:
-    """{language: dictionary} from the rows of ``docs`` where ``rows`` holds and
+    """{language: dictionary}, frequent languages first, from the rows of ``docs`` where ``rows`` holds and
     text and language aren't null. Of each language, distinct texts with the
     least hashes are joined until the dictionary is full; a language whose texts
     are all too large for the sample gives whole texts of any size."""
@@ -38,9 +40,9 @@ def learn(docs: DataFrame, rows: Column, lang_col: str = "lang", text_col: str =
     some = some.withColumn("n", F.row_number().over(first)).where(
         (F.col("n") <= SAMPLE) & ((F.col("bytes") <= SAMPLE_BYTES) | (F.col("n") <= 4)))
     out: dict[str, bytes] = {}
-    for r in some.orderBy("lang", "n").collect():
+    for r in some.join(F.broadcast(counts), "lang").orderBy(F.desc("rows"), "lang", "n").collect():
         if len(kept := out.get(r["lang"], b"")) < DICTIONARY:
-            out[r["lang"]] = kept + r["text"].encode("utf-8", "replace") + b"\n"
+            out[r["lang"]] = kept + r["text"].lower().translate(MARKS).encode("utf-8", "replace") + b"\n"
     return {k: v[:DICTIONARY] for k, v in out.items()}
 
 
@@ -51,12 +53,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     accepted (score from ``min_margin`` on).
 
     ``und`` with score 0 and not accepted where the text is null or has no
-    letter, or no dictionary is known. Of equal sizes the first language in
-    order of names wins with score 0. One known language always wins, with score
+    letter, or no dictionary is known. Of equal sizes the first language of
+    ``dictionaries`` wins with score 0. One known language always wins, with score
     1. Repeated rows get equal results; other columns are ignored; an empty
     table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(sorted(dictionaries.items()))
+    shared = docs.sparkSession.sparkContext.broadcast(list(dictionaries.items()))
 
     def run(batches):
         import pyarrow as pa
@@ -79,7 +81,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
         def one(text):
             if not names or text is None or not letter.search(text):
                 return UNKNOWN, 0.0
-            data = text.encode("utf-8", "replace")
+            data = text.lower().translate(MARKS).encode("utf-8", "replace")
             sizes = [len(c.compress(data)) for c in (short if len(data) <= SHORT else long)]
             order = sorted(range(len(names)), key=sizes.__getitem__)
             if len(order) == 1:
