@@ -10,7 +10,6 @@ from pyspark.sql import Column, functions as F, types as T
 # Money is summed exactly: line values are carried as DECIMAL with 6 places so
 # sums do not depend on the order rows arrive in (floating sums would).
 MONEY = T.DecimalType(28, 6)
-MONEY_SUM = T.DecimalType(38, 6)
 
 
 def money(col: Column | str) -> Column:
@@ -36,8 +35,12 @@ def round_money(col: Column, scale: int) -> Column:
 
 
 def calendar_day_span(first: Column, last: Column) -> Column:
-    """Calendar days between two timestamps, inclusive (date parts only)."""
-    return F.datediff(F.to_date(last), F.to_date(first)) + F.lit(1)
+    """UTC calendar days between two timestamps, inclusive, whatever the
+    session's time zone."""
+    def day(ts: Column) -> Column:
+        return F.floor(F.unix_micros(ts.cast(T.TimestampType())) / F.lit(86_400_000_000))
+
+    return (day(last) - day(first) + F.lit(1)).cast(T.LongType())
 
 
 def elapsed_day_span(first: Column, last: Column) -> Column:

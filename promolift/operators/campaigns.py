@@ -88,7 +88,7 @@ def baseline_lines(attributed: DataFrame, line_margin: DataFrame) -> DataFrame:
             .select("campaign_id", *LINE_COLS))
 
 
-def rank_within_product(organic_po: DataFrame) -> DataFrame:
+def rank_within_product(organic_po: DataFrame, staged: list[str] | None = None) -> DataFrame:
     """Add ``rank`` (1-based, by createdAt then order_id) within each product.
 
     One global range sort on (product_id, createdAt, order_id): a hot product
@@ -99,7 +99,7 @@ def rank_within_product(organic_po: DataFrame) -> DataFrame:
     # ids are stamped once and written, so both reads below see the same ids
     ordered = materialize(organic_po.orderBy("product_id", "createdAt", "order_id")
                           .withColumn("_rid", F.monotonically_increasing_id())
-                          .withColumn("_part", F.spark_partition_id()), "organic-sorted")
+                          .withColumn("_part", F.spark_partition_id()), "organic-sorted", staged)
     runs = ordered.groupBy("_part", "product_id").agg(F.min("_rid").alias("_first"),
                                                      F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("product_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,14 +109,15 @@ def rank_within_product(organic_po: DataFrame) -> DataFrame:
             .drop("_rid", "_part", "_first", "_offset"))
 
 
-def baseline_totals(attributed: DataFrame, line_margin: DataFrame) -> DataFrame:
+def baseline_totals(attributed: DataFrame, line_margin: DataFrame, staged: list[str] | None = None) -> DataFrame:
     """Per campaign: baseline units, margin, line count, first/last time --
     the same numbers as aggregating ``baseline_lines`` -- without emitting one
     row per (campaign, organic line).
 
     * sums: organic totals of the campaign's products minus the organic lines
       of those products inside the campaign's own orders;
-    * first/last: organic (product, order) rows ranked by time within product;
+    * first/last: organic (product, order, time) rows ranked by time within
+      product, so that an order id with several times counts at each of them;
       for each (campaign, product) the first surviving rank is the smallest
       positive integer not among the excluded ranks (candidates 1 and r+1,
       minus the excluded set), the last one symmetrically from the end; the
@@ -124,11 +125,10 @@ def baseline_totals(attributed: DataFrame, line_margin: DataFrame) -> DataFrame:
     Work is linear in organic lines plus attributed lines.
     """
     organic_po = (line_margin.where(F.col("active_campaign_id").isNull())
-                  .groupBy("product_id", "order_id")
+                  .groupBy("product_id", "order_id", "createdAt")
                   .agg(F.sum("quantity").alias("u"), F.sum("line_margin_alloc").alias("m"),
-                       F.count(F.lit(1)).alias("k"), F.min("createdAt").alias("createdAt"),
-                       F.max("createdAt").alias("createdAt_last")))
-    ranked = materialize(rank_within_product(organic_po), "organic-ranked")   # read three times below
+                       F.count(F.lit(1)).alias("k")))
+    ranked = materialize(rank_within_product(organic_po, staged), "organic-ranked", staged)   # read three times below
     per_product = ranked.groupBy("product_id").agg(
         F.sum("u").alias("u"), F.sum("m").alias("m"), F.sum("k").alias("k"),
         F.max("rank").alias("n_rank"))
@@ -163,11 +163,11 @@ def baseline_totals(attributed: DataFrame, line_margin: DataFrame) -> DataFrame:
                    F.max(F.when(~F.col("lo"), F.col("rank"))).alias("r_hi")))
     targets = (bounds.select(*cp, F.col("r_lo").alias("rank"), F.lit(True).alias("lo"))
                .unionByName(bounds.select(*cp, F.col("r_hi").alias("rank"), F.lit(False).alias("lo"))))
-    times = ranked.select("product_id", "rank", "createdAt", "createdAt_last")
+    times = ranked.select("product_id", "rank", "createdAt")
     # a rank past the product's end (all excluded) or 0 finds no row
     ends = (targets.join(times, ["product_id", "rank"]).groupBy("campaign_id")
             .agg(F.min(F.when(F.col("lo"), F.col("createdAt"))).alias("baseline_first"),
-                 F.max(F.when(~F.col("lo"), F.col("createdAt_last"))).alias("baseline_last")))
+                 F.max(F.when(~F.col("lo"), F.col("createdAt"))).alias("baseline_last")))
     return sums.join(ends, "campaign_id", "left")
 
 
@@ -217,7 +217,7 @@ def sufficiency_failures(cdays: Column, bdays: Column, cunits: Column, bunits: C
 def verdict_struct(failures: Column, cmpd: Column, bmpd: Column, units_lift: Column,
                    ctype: Column) -> Column:
     """struct(verdict, confidence, reason_code) from unrounded rates."""
-    lift = cmpd / bmpd
+    lift = F.try_divide(cmpd, bmpd)
     ship = ctype == "shipping"
     suffix = F.when(ship, F.lit(REASON_SHIPPING_SUFFIX)).otherwise(F.lit(""))
 
@@ -251,16 +251,23 @@ def verdict_struct(failures: Column, cmpd: Column, bmpd: Column, units_lift: Col
     )
 
 
-def campaign_measures(line_margin: DataFrame, orders: DataFrame, campaigns: DataFrame) -> DataFrame:
+def campaign_measures(line_margin: DataFrame, orders: DataFrame, campaigns: DataFrame,
+                      staged: list[str] | None = None) -> DataFrame:
     """One row per campaign (campaign table order kept in ``campaign_pos``) with
     unrounded totals, spans and rates (F5-F8)."""
     # attributed lines feed four consumers (totals, both baseline pair sets,
     # shipping); write them once instead of re-deriving them for each
-    attributed = materialize(attributed_lines(line_margin, orders, campaigns), "attributed")
+    attributed = materialize(attributed_lines(line_margin, orders, campaigns), "attributed", staged)
     camp = _totals(attributed, "campaign", True)
-    base = baseline_totals(attributed, line_margin)
+    base = baseline_totals(attributed, line_margin, staged)
     ship = shipping_impact(attributed, orders, campaigns)
-    pos = F.col("campaign_pos") if "campaign_pos" in campaigns.columns else F.monotonically_increasing_id()
+    # without an input position the start stands in (refs of equal positions go by
+    # their text): unlike a row number it doesn't depend on partitions
+    pos = F.lit(0).cast(T.LongType())
+    if "campaign_pos" in campaigns.columns:
+        pos = F.col("campaign_pos")
+    elif "startAt" in campaigns.columns:
+        pos = F.coalesce(F.unix_micros("startAt"), pos)
     c = campaigns.select(F.col("id").alias("campaign_id"), F.col("name").alias("campaign_name"),
                          "type", "status", F.col("totalRevenue").alias("reported_totalRevenue"),
                          F.col("marginPct").alias("reported_marginPct"), pos.alias("campaign_pos"))
@@ -310,10 +317,11 @@ def with_verdicts(measures: DataFrame) -> DataFrame:
     return df.withColumn("_v", v)
 
 
-def evaluate_campaigns(orders: DataFrame, line_margin: DataFrame, campaigns: DataFrame) -> DataFrame:
+def evaluate_campaigns(orders: DataFrame, line_margin: DataFrame, campaigns: DataFrame,
+                       staged: list[str] | None = None) -> DataFrame:
     """One row per campaign: the 19 evaluation columns plus campaign_pos and
-    baseline_days (F12)."""
-    df = with_verdicts(campaign_measures(line_margin, orders, campaigns))
+    baseline_days (F12). Paths of staged tables are added to ``staged``."""
+    df = with_verdicts(campaign_measures(line_margin, orders, campaigns, staged))
     return df.select(
         "campaign_id", "campaign_name", "type", "status", "window_days", "attributed_orders",
         "campaign_units", "baseline_units",
@@ -333,10 +341,3 @@ def evaluate_campaigns(orders: DataFrame, line_margin: DataFrame, campaigns: Dat
 def verdict_counts(evaluation: DataFrame) -> DataFrame:
     """Number of campaigns per verdict."""
     return evaluation.groupBy("verdict").agg(F.count(F.lit(1)).alias("n_campaigns"))
-
-
-def verdict_violations(evaluation: DataFrame) -> DataFrame:
-    """Rows breaking the verdict contract (domain, confidence in [0, 1])."""
-    bad_verdict = ~F.coalesce(F.col("verdict").isin("success", "flop", "inconclusive"), F.lit(False))
-    bad_conf = ~F.coalesce(F.col("confidence").between(0.0, 1.0), F.lit(False))
-    return evaluation.where(bad_verdict | bad_conf)

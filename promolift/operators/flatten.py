@@ -17,8 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import MONEY
-from ..schemas import (CAMPAIGN_COLUMNS, LINE_ITEM, LINEITEM_COLUMNS, ORDER, ORDER_COLUMNS,
-                       ORDER_PII_KEY)
+from ..schemas import (CAMPAIGN_COLUMNS, LINE_ITEM, LINEITEM_COLUMNS, ORDER, ORDER_COLUMNS)
 
 
 def _list_or_empty(name: str, dtype: T.DataType) -> Column:
@@ -86,8 +85,3 @@ def to_campaigns(campaigns: DataFrame) -> DataFrame:
     """Campaign records -> campaigns_clean (12 columns + campaign_pos)."""
     pos = ["campaign_pos"] if "campaign_pos" in campaigns.columns else []
     return campaigns.select(*CAMPAIGN_COLUMNS, *pos)
-
-
-def drop_order_pii(orders: DataFrame) -> DataFrame:
-    """Orders without the customer e-mail field."""
-    return orders.drop(ORDER_PII_KEY)

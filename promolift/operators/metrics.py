@@ -52,14 +52,16 @@ def allocate_order_cost_to_lines(lines_with_net: DataFrame) -> DataFrame:
 
     If the input already carries ``order_net_revenue`` (computed from the nested
     line array before exploding, which needs no shuffle) it is used as is;
-    otherwise the order sums are aggregated and joined back on order_id. The
+    otherwise the order sums are aggregated and joined back on order_id; lines
+    without an order id stay, with cost 0. The
     join is shuffle-based (AQE may broadcast it when the sums are small, and
     splits a skewed order partition)."""
     _require(lines_with_net, ("order_id", "line_net_revenue", "cost_total"),
              "allocate_order_cost_to_lines")
     df = lines_with_net
     if "order_net_revenue" not in df.columns:
-        df = df.join(order_net_revenue(df), "order_id")
+        # left: a line without an order id keeps its row and gets no cost
+        df = df.join(order_net_revenue(df), "order_id", "left")
     share = F.when(F.col("order_net_revenue") > 0,
                    as_double("line_net_revenue") / as_double("order_net_revenue")
                    ).otherwise(F.lit(0.0))

@@ -15,6 +15,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..schemas import (EMAIL_PATTERN, ORDER_PII_KEY, PII_COLUMN_FRAGMENTS, SHOP_COLUMNS,
@@ -70,17 +72,18 @@ def pii_column_audit(spark: SparkSession, frames: dict[str, DataFrame]) -> DataF
 
 def pii_column_value_audit(frames: dict[str, DataFrame]) -> DataFrame:
     """Column-name audit joined with the data: one row per (table, flagged
-    top-level column, fragment) with the column's non-null and e-mail-like
-    value counts (one aggregate pass per frame over its flagged columns)."""
+    column, fragment), nested columns by their path, with the non-null and
+    e-mail-like value counts of the top-level column that holds it (one
+    aggregate pass per frame over its flagged columns)."""
     out = None
     for name, df in frames.items():
-        hits = [(col, frag) for _, col, frag in pii_column_hits(df, name) if "." not in col and "[" not in col]
+        hits = [(path, re.split(r"[.\[{]", path)[0], frag) for _, path, frag in pii_column_hits(df, name)]
         if not hits:
             continue
-        cols = sorted({c for c, _ in hits})
-        scan = pii_value_scan(df.select(*cols), name)
-        frag_rows = df.sparkSession.createDataFrame(hits, "column string, fragment string")
-        part = frag_rows.join(scan, "column").select("table", "column", "fragment", "n_values", "n_matches")
+        tops = sorted({top for _, top, _ in hits})
+        scan = pii_value_scan(df.select(*tops), name).withColumnRenamed("column", "top")
+        frag_rows = df.sparkSession.createDataFrame(hits, "column string, top string, fragment string")
+        part = frag_rows.join(scan, "top").select("table", "column", "fragment", "n_values", "n_matches")
         out = part if out is None else out.unionByName(part)
     if out is None:
         spark = next(iter(frames.values())).sparkSession
@@ -123,9 +126,8 @@ def assert_no_pii(frames: dict[str, DataFrame]) -> None:
         hits = pii_column_hits(df, name)
         if hits:
             _, col, frag = hits[0]
-            raise ValueError(f"PII DETECTED in {name}: column '{col}' matches fragment '{frag}'.")
+            raise ValueError(f"{name}: the column name '{col}' points to personal data ('{frag}')")
     for name, df in frames.items():
         found = pii_value_scan(df, name).where(F.col("n_matches") > 0).first()
         if found is not None:
-            raise ValueError(f"PII DETECTED in {name}, column '{found['column']}': "
-                             f"{found['n_matches']} e-mail-like value(s).")
+            raise ValueError(f"{name}: {found['n_matches']} value(s) of '{found['column']}' look like e-mail addresses")

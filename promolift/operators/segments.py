@@ -3,7 +3,7 @@ recommended_mechanic), ranked into priorities 1-5.
 
 The grouping rule follows the original strategy step; the ranking rule is ours
 (the original leaves it to a language model): segments are ordered by their
-best priority_score, then size, and dense-ranked, capped at 5.
+best priority_score, then size, and the ranks spread evenly over 1 to 5.
 
 A segment can hold any number of products, so membership is a separate table
 (``segment_members``: one row per product) instead of an id list gathered into
@@ -15,8 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..schemas import MOVEMENT_CLASSES, SEGMENT_MECHANICS
-
 KEYS = ("movement_class", "margin_band", "recommended_mechanic")
 
 
@@ -39,7 +37,9 @@ def segment_proposals(recs: DataFrame) -> DataFrame:
         F.min("product_id").alias("first_product_id"),
         F.sum("units_sold").cast(T.LongType()).alias("units_sold"),
     )
+    # at most 81 segments: the two windows without partitions are bounded
     order = Window.orderBy(F.desc("max_priority_score"), F.desc("n_products"), *KEYS)
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     label = F.concat(F.col("margin_band"), F.lit("-margin "), F.col("movement_class"), F.lit(" movers"))
     return agg.select(
         segment_key().alias("segment_id"),
@@ -49,7 +49,9 @@ def segment_proposals(recs: DataFrame) -> DataFrame:
         "max_priority_score",
         F.round(F.col("_conf_sum").cast(T.DoubleType()) / F.col("n_products").cast(T.DoubleType()), 4)
          .alias("avg_confidence"),
-        F.least(F.lit(5), F.dense_rank().over(order)).cast(T.IntegerType()).alias("priority"),
+        F.row_number().over(order).alias("segment_rank"),
+        F.ceil(F.lit(5) * F.row_number().over(order) / F.count(F.lit(1)).over(everything))
+         .cast(T.IntegerType()).alias("priority"),
         F.concat(F.lit("Apply "), F.col("recommended_mechanic"), F.lit(" to "), label, F.lit(".")).alias("rationale"),
         F.concat(F.lit("Qualitative: "), F.col("recommended_mechanic"), F.lit(" expected to suit "),
                  F.col("n_products").cast("string"), F.lit(" products.")).alias("expected_impact"),
@@ -57,12 +59,3 @@ def segment_proposals(recs: DataFrame) -> DataFrame:
                 F.concat(F.lit("max_priority_score:"), F.col("max_priority_score").cast("string")),
                 F.concat(F.lit("mechanic:"), F.col("recommended_mechanic"))).alias("supporting_evidence_refs"),
     )
-
-
-def segment_violations(segments: DataFrame) -> DataFrame:
-    """Segments breaking the proposal contract (mechanic domain, priority 1-5,
-    movement class domain)."""
-    bad_mech = ~F.coalesce(F.col("discount_mechanic").isin(*SEGMENT_MECHANICS), F.lit(False))
-    bad_prio = ~F.coalesce(F.col("priority").between(1, 5), F.lit(False))
-    bad_class = ~F.coalesce(F.col("movement_class").isin(*MOVEMENT_CLASSES), F.lit(False))
-    return segments.where(bad_mech | bad_prio | bad_class)

@@ -1,5 +1,9 @@
 """Record validation and output contracts as data.
 
+Strict rules are the source contract: a record that doesn't parse (``type:``)
+or lacks a required field (``required:``). Everything else (signs, order of
+dates, duplicate ids) is a warning: counted, never raised.
+
 A rule is a named boolean Column that is TRUE when a row violates it. Checks
 run as one aggregate pass (counts per rule) or as a filter returning the
 offending rows; strict mode raises on any violation. This replaces per-row
@@ -10,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..schemas import (MECHANICS, MOVEMENT_CLASSES, REQUIRED_FIELDS, SEGMENT_MECHANICS,
+from ..schemas import (MECHANICS, MIN_UNITS, MOVEMENT_CLASSES, REQUIRED_FIELDS, SEGMENT_MECHANICS,
                        VERDICTS)
 
 Rules = dict[str, Column]
@@ -43,9 +47,16 @@ def violations(df: DataFrame, table: str, rules: Rules, key: list[str] | None =
             .select(F.lit(table).alias("table"), *key, F.explode("_failed").alias("rule")))
 
 
+STRICT = ("type:", "required:")
+
+
 def raise_on_violations(counts: DataFrame) -> None:
-    """Strict mode: raise ValueError for the first rule with violations."""
-    bad = counts.where(F.col("n_violations") > 0).first()
+    """Strict mode: raise ValueError for the first strict rule with violations;
+    warnings don't raise."""
+    strict = F.lit(False)
+    for prefix in STRICT:
+        strict |= F.col("rule").startswith(prefix)
+    bad = counts.where(strict & (F.col("n_violations") > 0)).first()
     if bad is not None:
         raise ValueError(f"{bad['table']}: {bad['n_violations']} row(s) violate '{bad['rule']}'")
 
@@ -85,7 +96,7 @@ def validate_orders(orders: DataFrame) -> DataFrame:
     """Counts per rule over nested orders (ORDER schema); also flags duplicate ids."""
     dup = (orders.groupBy("id").count().where(F.col("count") > 1)
            .agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")))
-    counts = violation_counts(orders, "orders", order_rules())
+    counts = violation_counts(orders, "orders", {**record_rules(orders), **order_rules()})
     dup_row = dup.select(F.lit("orders").alias("table"), F.lit("unique:id").alias("rule"),
                          F.lit(None).cast("bigint").alias("n_rows"), F.col("n").cast("bigint").alias("n_violations"))
     return counts.unionByName(dup_row)
@@ -97,9 +108,27 @@ def validate_lineitems(orders: DataFrame) -> DataFrame:
     return violation_counts(items, "lineitems", lineitem_rules())
 
 
+def record_rules(df: DataFrame) -> Rules:
+    """The parse rule of records read with ``record_ok`` (``sources.export``)."""
+    return {"type:record": ~F.col("record_ok")} if "record_ok" in df.columns else {}
+
+
 def validate_campaigns(campaigns: DataFrame) -> DataFrame:
     """Counts per rule over campaign records."""
-    return violation_counts(campaigns, "campaigns", campaign_rules())
+    return violation_counts(campaigns, "campaigns", {**record_rules(campaigns), **campaign_rules()})
+
+
+def validate_nested(orders: DataFrame) -> DataFrame:
+    """Counts per rule over the campaign records nested in orders and line items:
+    each needs its campaign id."""
+    out = None
+    items = orders.select(F.explode("line_items").alias("li"))
+    for table, lists in (("applied_campaigns", orders.select(F.explode("applied_campaigns").alias("r"))),
+                         ("order_campaigns", orders.select(F.explode("order_campaigns").alias("r"))),
+                         ("campaign_discounts", items.select(F.explode("li.campaign_discounts").alias("r")))):
+        counts = violation_counts(lists, table, {"required:campaignId": F.col("r.campaignId").isNull()})
+        out = counts if out is None else out.unionByName(counts)
+    return out
 
 
 # -- derived frames ------------------------------------------------------------------
@@ -131,7 +160,10 @@ def verdict_rules() -> Rules:
 def recommendation_rules() -> Rules:
     """Recommendation contract: mechanic domain, confidence range, finite priority."""
     score = F.col("priority_score")
-    return {"domain:recommended_mechanic": ~F.col("recommended_mechanic").isin(*MECHANICS),
+    return {"domain:recommended_mechanic": ~F.col("recommended_mechanic").isin(*MECHANICS)
+            | F.col("recommended_mechanic").isNull(),
+            "required:product_id": F.col("product_id").isNull(),
+            "required:title": F.col("title").isNull(),
             "range:confidence": ~F.col("confidence").between(0.0, 1.0) | F.col("confidence").isNull(),
             "finite:priority_score": score.isNull() | F.isnan(score)
             | (F.abs(score) == F.lit(float("inf"))),
@@ -141,19 +173,43 @@ def recommendation_rules() -> Rules:
 
 def segment_rules() -> Rules:
     """Segment contract: mechanic domain, priority 1-5, non-empty."""
-    return {"domain:discount_mechanic": ~F.col("discount_mechanic").isin(*SEGMENT_MECHANICS),
+    return {"domain:discount_mechanic": ~F.col("discount_mechanic").isin(*SEGMENT_MECHANICS)
+            | F.col("discount_mechanic").isNull(),
+            "required:segment_id": F.col("segment_id").isNull(),
+            "required:segment_label": F.col("segment_label").isNull(),
+            "required:rationale": F.col("rationale").isNull(),
             "range:priority": ~F.col("priority").between(1, 5) | F.col("priority").isNull(),
             "non_empty:segment": F.col("n_products") <= 0}
 
 
-def product_profiles(classified: DataFrame) -> DataFrame:
-    """Typed product profiles with an evidence map of the supporting numbers."""
+MARGIN_METHOD = "line net revenue less order cost allocated by revenue share"
+CLASS_METHOD = "tertiles of velocity over products with enough units"
+
+
+def product_profiles(classified: DataFrame, min_units: int = MIN_UNITS) -> DataFrame:
+    """Typed product profiles with an evidence map of the supporting numbers and
+    methods."""
+    def stamp(name: str) -> Column:
+        # UTC text, whatever the session's zone
+        seconds = F.floor(F.unix_micros(F.col(name)) / F.lit(1_000_000))
+        day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86_400).cast("int"))
+        return F.coalesce(day.cast("string"), F.lit(""))
+
     ev = F.create_map(
         F.lit("units_sold"), F.col("units_sold").cast("string"),
         F.lit("revenue"), F.col("revenue").cast(T.DecimalType(20, 4)).cast("string"),
         F.lit("allocated_cost"), F.col("allocated_cost").cast(T.DecimalType(20, 4)).cast("string"),
         F.lit("window_days"), F.col("window_days").cast("string"),
         F.lit("data_sufficient"), F.col("data_sufficient").cast("string"),
+        F.lit("velocity_per_day"), F.col("velocity_per_day").cast(T.DecimalType(20, 6)).cast("string"),
+        F.lit("margin_method"), F.lit(MARGIN_METHOD),
+        F.lit("classification_method"), F.lit(CLASS_METHOD),
+        F.lit("min_units"), F.lit(str(min_units)),
+        F.lit("first_order_date"), stamp("product_first_order_date"),
+        F.lit("last_order_date"), stamp("product_last_order_date"),
+        F.lit("insufficiency_note"), F.when(F.col("data_sufficient"), F.lit("")).otherwise(
+            F.concat(F.col("units_sold").cast("string"), F.lit(f" of {min_units} units"))),
+        F.lit("truth_caveat"), F.lit("structural per-line fields; indicative only"),
     )
     return classified.select("product_id", "title", "units_sold", "revenue", "gross_margin_alloc",
                              "margin_pct", "velocity_per_day", "movement_class", "data_sufficient",

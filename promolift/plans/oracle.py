@@ -615,8 +615,11 @@ segments AS (
          recommended_mechanic AS discount_mechanic, movement_class, margin_band, n_products, units_sold,
          first_product_id, max_priority_score,
          ROUND(CAST(conf_sum AS DOUBLE) / CAST(n_products AS DOUBLE), 4) AS avg_confidence,
-         CAST(LEAST(5, DENSE_RANK() OVER (ORDER BY max_priority_score DESC, n_products DESC, movement_class,
-                                           margin_band, recommended_mechanic)) AS INTEGER) AS priority,
+         CAST(ROW_NUMBER() OVER (ORDER BY max_priority_score DESC, n_products DESC, movement_class,
+                                 margin_band, recommended_mechanic) AS INTEGER) AS segment_rank,
+         CAST(ceil(5 * ROW_NUMBER() OVER (ORDER BY max_priority_score DESC, n_products DESC, movement_class,
+                                          margin_band, recommended_mechanic) / COUNT(*) OVER ()) AS INTEGER)
+           AS priority,
          'Apply ' || recommended_mechanic || ' to ' || margin_band || '-margin ' || movement_class || ' movers.'
            AS rationale,
          'Qualitative: ' || recommended_mechanic || ' expected to suit ' || CAST(n_products AS VARCHAR)
@@ -722,11 +725,23 @@ UNION ALL SELECT 'shop', CAST(1 AS BIGINT), CAST(6 AS INTEGER)""")
 SELECT product_id, title, units_sold, revenue, gross_margin_alloc, margin_pct, velocity_per_day, movement_class,
        data_sufficient,
        'allocated_cost=' || CAST(CAST(allocated_cost AS DECIMAL(20,4)) AS VARCHAR)
+       || ';classification_method=tertiles of velocity over products with enough units'
        || ';data_sufficient=' || CAST(data_sufficient AS VARCHAR)
+       || ';first_order_date=' || CAST(CAST(product_first_order_date AS DATE) AS VARCHAR)
+       || ';insufficiency_note=' || CASE WHEN data_sufficient THEN '' ELSE CAST(units_sold AS VARCHAR) || ' of 500 units' END
+       || ';last_order_date=' || CAST(CAST(product_last_order_date AS DATE) AS VARCHAR)
+       || ';margin_method=line net revenue less order cost allocated by revenue share'
+       || ';min_units=500'
        || ';revenue=' || CAST(CAST(revenue AS DECIMAL(20,4)) AS VARCHAR)
+       || ';truth_caveat=structural per-line fields; indicative only'
        || ';units_sold=' || CAST(units_sold AS VARCHAR)
+       || ';velocity_per_day=' || CAST(CAST(velocity_per_day AS DECIMAL(20,6)) AS VARCHAR)
        || ';window_days=' || CAST(window_days AS VARCHAR) AS evidence
 FROM classified""")
+    q["contract_profiles"] = with_ctes(*cls, select=counts("profiles", "classified", [
+        *[(f"required:{c}", f"{c} IS NULL") for c in ("product_id", "title", "units_sold", "revenue", "gross_margin_alloc",
+                                                      "margin_pct", "velocity_per_day", "data_sufficient")],
+        ("domain:movement_class", "movement_class NOT IN ('fast', 'medium', 'slow') OR movement_class IS NULL")]))
     q["contract_classes"] = with_ctes(*cls, select=counts("classified", "classified", [
         ("domain:movement_class", "movement_class NOT IN ('fast', 'medium', 'slow') OR movement_class IS NULL"),
         ("required:data_sufficient", "data_sufficient IS NULL")]))
@@ -737,13 +752,17 @@ FROM classified""")
         ("non_negative:window_days", "window_days < 0")]))
     mech_list = ", ".join(lit(m) for m in MECHANIC_EFFORT)
     q["contract_recommendations"] = with_ctes(*recs, select=counts("recommendations", "recommendations", [
-        ("domain:recommended_mechanic", f"recommended_mechanic NOT IN ({mech_list})"),
+        ("domain:recommended_mechanic",
+         f"recommended_mechanic NOT IN ({mech_list}) OR recommended_mechanic IS NULL"),
+        ("required:product_id", "product_id IS NULL"), ("required:title", "title IS NULL"),
         ("range:confidence", "NOT (confidence BETWEEN 0.0 AND 1.0) OR confidence IS NULL"),
         ("finite:priority_score", "priority_score IS NULL OR isnan(priority_score) OR isinf(priority_score)"),
         ("required:rationale", "rationale IS NULL"),
         ("required:expected_effect", "expected_effect IS NULL")]))
     q["contract_segments"] = with_ctes(*recs, seg, select=counts("segments", "segments", [
-        ("domain:discount_mechanic", f"discount_mechanic NOT IN ({mech_list})"),
+        ("domain:discount_mechanic", f"discount_mechanic NOT IN ({mech_list}) OR discount_mechanic IS NULL"),
+        ("required:segment_id", "segment_id IS NULL"), ("required:segment_label", "segment_label IS NULL"),
+        ("required:rationale", "rationale IS NULL"),
         ("range:priority", "NOT (priority BETWEEN 1 AND 5) OR priority IS NULL"),
         ("non_empty:segment", "n_products <= 0")]))
 

@@ -27,7 +27,9 @@ from ..operators import privacy as PV
 from ..operators import rules as R
 from ..operators import segments as S
 from ..schemas import MIN_UNITS
-from ..session import materialize
+from ..session import materialize, remove_staged
+from ..sources import sinks as SK
+from .intake import build_clean_frames
 
 
 class PromoPipeline:
@@ -42,6 +44,7 @@ class PromoPipeline:
         self.min_units = min_units
         self.affinity = affinity
         self.materialized = materialized
+        self.staged: list[str] = []
 
     @classmethod
     def from_nested_orders(cls, orders: DataFrame, campaigns: DataFrame, min_units: int = MIN_UNITS,
@@ -55,8 +58,48 @@ class PromoPipeline:
         return cls(lines, FL.to_orders(clean), FL.to_campaigns(campaigns), min_units=min_units,
                    affinity=affinity, materialized=materialized)
 
+    @classmethod
+    def from_export(cls, orders: DataFrame, campaigns: DataFrame, shop: DataFrame, min_units: int = MIN_UNITS,
+                    affinity: DataFrame | None = None, strict: bool = True) -> "PromoPipeline":
+        """``from_nested_orders`` behind the validating intake
+        (``intake.build_clean_frames``): nothing bad reaches the metrics silently."""
+        clean = build_clean_frames(orders, campaigns, shop, strict)
+        lines = FL.to_lineitems(clean.nested_orders, with_order_net=True)
+        out = cls(lines, clean.orders, clean.campaigns, min_units=min_units, affinity=affinity)
+        out.staged += clean.staged
+        return out
+
     def _keep(self, df: DataFrame, label: str) -> DataFrame:
-        return materialize(df, label) if self.materialized else df
+        return materialize(df, label, self.staged) if self.materialized else df
+
+    def close(self) -> None:
+        """Remove this run's staged tables. Results that were not written or
+        collected before can't be read afterwards."""
+        if self.staged:
+            remove_staged(self.lines.sparkSession, self.staged)
+            self.staged.clear()
+
+    def __enter__(self) -> "PromoPipeline":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def outputs(self) -> dict[str, DataFrame]:
+        """The seven result tables of a run."""
+        return {"orders_clean": self.orders, "lineitems_clean": self.lines.drop("order_net_revenue"),
+                "campaigns_clean": self.campaigns, "product_metrics": self.products,
+                "product_classification": self.classified, "campaign_eval": self.campaign_eval,
+                "recommendations": self.kept_recommendations}
+
+    def write_outputs(self, path: str) -> dict[str, str]:
+        """Write the seven result tables as CSV datasets under ``path``; returns
+        their folders."""
+        out = {}
+        for name, df in self.outputs().items():
+            out[name] = f"{path.rstrip('/')}/{name}"
+            SK.write_csv(df, out[name])
+        return out
 
     @cached_property
     def line_margin(self) -> DataFrame:
@@ -83,7 +126,7 @@ class PromoPipeline:
 
     @cached_property
     def campaign_eval_plan(self) -> DataFrame:
-        return CE.evaluate_campaigns(self.orders, self.line_margin, self.campaigns)
+        return CE.evaluate_campaigns(self.orders, self.line_margin, self.campaigns, self.staged)
 
     @cached_property
     def campaign_eval(self) -> DataFrame:

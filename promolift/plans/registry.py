@@ -8,8 +8,8 @@ compare cleanly with the SQL oracle.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -25,6 +25,7 @@ from ..session import staging_path
 from ..sources import export as EX
 from ..sources import sinks as SK
 from ..sources import testtables as tt
+from .intake import build_clean_frames
 from .pipeline import PromoPipeline
 
 MIN_UNITS_DEFAULT = 500
@@ -34,16 +35,11 @@ _REGISTRY: dict[str, Query] = {}
 
 
 def register(name: str):
-    """Register a query; it runs with the session time zone pinned to UTC (all
-    timestamps are UTC instants and day arithmetic must not see DST shifts)."""
+    """Register a query. Timestamps are UTC instants, days are UTC days, and
+    ``present`` shows UTC wall clock: results don't depend on the session's zone."""
     def deco(fn: Query) -> Query:
-        @functools.wraps(fn)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-                spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(spark, sf_dir)
-        _REGISTRY[name] = run
-        return run
+        _REGISTRY[name] = fn
+        return fn
     return deco
 
 
@@ -59,7 +55,8 @@ def present(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, T.DecimalType):
             c = c.cast(T.DoubleType())
         elif isinstance(f.dataType, T.TimestampType):
-            c = c.cast(T.TimestampNTZType())
+            seconds = (F.unix_micros(c).cast(T.DecimalType(18, 0)) * F.lit(Decimal("0.000001"))).cast(T.DecimalType(18, 6))
+            c = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
@@ -422,7 +419,7 @@ def q_pii_column_audit(spark, sf_dir):
     value counts of each flagged column (clean frames yield no rows)."""
     raw = export_orders(spark, sf_dir)
     clean = PV.minimize_orders(raw)
-    return PV.pii_column_value_audit({"orders_raw": raw.drop("line_items"),
+    return PV.pii_column_value_audit({"orders_raw": raw,
                                       "orders_clean": FL.to_orders(clean),
                                       "lineitems_clean": FL.to_lineitems(clean)})
 
@@ -451,16 +448,9 @@ def q_validate_lineitems(spark, sf_dir):
 
 @register("ingest_clean")
 def q_ingest_clean(spark, sf_dir):
-    """Composite intake: minimize -> validate (strict) -> flatten -> audit.
-    Returns one row per clean frame."""
-    raw = export_orders(spark, sf_dir)
-    orders_nested = PV.minimize_orders(raw)
-    V.raise_on_violations(V.validate_orders(orders_nested))
-    V.raise_on_violations(V.validate_lineitems(orders_nested))
-    frames = {"orders": FL.to_orders(orders_nested), "lineitems": FL.to_lineitems(orders_nested),
-              "campaigns": FL.to_campaigns(tt.shop_campaigns(spark)),
-              "shop": PV.minimize_shop(tt.shop_record(spark))}
-    PV.assert_no_pii({k: v for k, v in frames.items() if k != "lineitems"})
+    """Composite intake: minimize -> validate (strict) -> flatten -> audit of
+    every frame. Returns one row per clean frame."""
+    frames = build_clean_frames(export_orders(spark, sf_dir), tt.shop_campaigns(spark), tt.shop_record(spark)).frames()
     out = None
     for name, df in frames.items():
         row = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
@@ -471,12 +461,18 @@ def q_ingest_clean(spark, sf_dir):
 
 @register("product_profiles")
 def q_product_profiles(spark, sf_dir):
-    prof = V.product_profiles(pipe(spark, sf_dir).classified)
+    prof = V.product_profiles(pipe(spark, sf_dir).classified, MIN_UNITS_DEFAULT)
     ev = F.array_join(F.transform(F.array_sort(F.map_entries("evidence")),
                                   lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return prof.withColumn("evidence", ev)
 
 
+@register("contract_profiles")
+def q_contract_profiles(spark, sf_dir):
+    prof = V.product_profiles(pipe(spark, sf_dir).classified, MIN_UNITS_DEFAULT)
+    return V.violation_counts(prof, "profiles", V.profile_rules())
+
+
 @register("contract_classes")
 def q_contract_classes(spark, sf_dir):
     return V.violation_counts(pipe(spark, sf_dir).classified, "classified", V.class_rules())

@@ -108,10 +108,6 @@ REQUIRED_FIELDS: dict[str, tuple[str, ...]] = {
     "campaigns": ("id", "shopId", "name", "type", "status", "startAt", "ranAt",
                   "isDeleted", "totalRevenue", "orderCount", "marginPct", "createdAt"),
 }
-LIST_FIELDS: dict[str, tuple[str, ...]] = {
-    "orders": ("line_items", "applied_campaigns", "order_campaigns"),
-    "lineitems": ("active_campaign_ids", "campaign_discounts"),
-}
 
 # Clean output column orders.
 ORDER_COLUMNS = (
@@ -149,7 +145,6 @@ EMAIL_PATTERN = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 # Product classification.
 MIN_UNITS = 20
 MOVEMENT_CLASSES = ("fast", "medium", "slow")
-MARGIN_BANDS = ("high", "mid", "low")
 
 # Campaign evaluation thresholds.
 MIN_CAMPAIGN_DAYS = 3

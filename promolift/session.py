@@ -9,6 +9,7 @@ folder of the cluster).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -48,13 +49,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared file system folder and
-    is used as is. Only a bare local session (tests) gets a fresh temp folder.
+    is used as is; without one a cluster session is refused, because executors
+    don't see each other's local folders. A local session (tests) gets a fresh
+    temp folder.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder (master is {master})")
         configured = tempfile.mkdtemp(prefix="promolift-ckpt-")
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir()
@@ -66,12 +72,23 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{base}/promolift-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df, label: str):
+def remove_staged(spark: SparkSession, paths) -> None:
+    """Delete staged folders (any Hadoop file system); missing ones are skipped."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def materialize(df, label: str, staged: list[str] | None = None):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: cuts the lineage (a lost executor re-reads files instead of
     recomputing upstream joins) and gives later scans column pruning and
-    file statistics for join planning."""
+    file statistics for join planning. The path is added to ``staged``, for a
+    caller that removes its tables later (``remove_staged``)."""
     spark = df.sparkSession
     path = staging_path(spark, label)
+    if staged is not None:
+        staged.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)   # known schema: no footer-inference job

@@ -17,7 +17,7 @@ flatten step.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schemas import CAMPAIGN, EXPORT, ORDER, SHOP
 
@@ -25,6 +25,11 @@ ENTITY_SCHEMAS = {"orders": ORDER, "campaigns": CAMPAIGN, "shop": SHOP}
 REQUIRED_TOP_LEVEL = ("shop", "campaigns", "orders")
 
 
+def corrupt_schema(schema: T.StructType) -> T.StructType:
+    """The schema with a column for the text of records that don't fit it."""
+    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+
+
 def _path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
@@ -35,7 +40,7 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
 def require_path(spark: SparkSession, path: str) -> None:
     """Raise FileNotFoundError when the path does not exist (any Hadoop file system)."""
     if not _path_exists(spark, path):
-        raise FileNotFoundError(f"Data file not found: {path}")
+        raise FileNotFoundError(f"no such input: {path}")
 
 
 def read_export_document(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
@@ -57,7 +62,7 @@ def check_top_level(doc: DataFrame, path: str = "") -> None:
     row = doc.agg(*[F.count(F.when(F.col(k).isNull(), 1)).alias(k) for k in REQUIRED_TOP_LEVEL]).first()
     for key in REQUIRED_TOP_LEVEL:
         if row[key]:
-            raise ValueError(f"Missing required top-level key '{key}' in {path}.")
+            raise ValueError(f"{path}: {row[key]} document(s) lack the top-level key '{key}'")
 
 
 def document_orders(doc: DataFrame) -> DataFrame:
@@ -75,16 +80,31 @@ def document_shop(doc: DataFrame) -> DataFrame:
     return doc.select("shop.*")
 
 
+CORRUPT = "_corrupt_record"
+
+
+def with_record_ok(parsed: DataFrame) -> DataFrame:
+    """Replace the raw text of corrupt records by ``record_ok``: false where a
+    line is no JSON object or a value doesn't fit its declared type (such values
+    come back null). The raw text may hold personal data and isn't kept."""
+    return parsed.withColumn("record_ok", F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
 def read_entity(spark: SparkSession, path: str, entity: str, fmt: str = "json") -> DataFrame:
-    """One entity of the export as a splittable dataset (JSON Lines or Parquet)."""
+    """One entity of the export as a splittable dataset (JSON Lines or Parquet).
+
+    JSON Lines come with ``record_ok``. Spark parses only the columns a query
+    reads, so write all columns out (``build_clean_frames`` does) before relying
+    on the flag."""
     if entity not in ENTITY_SCHEMAS:
         raise ValueError(f"unknown entity {entity!r}; expected one of {sorted(ENTITY_SCHEMAS)}")
     require_path(spark, path)
-    reader = spark.read.schema(ENTITY_SCHEMAS[entity])
+    schema = ENTITY_SCHEMAS[entity]
     if fmt == "json":
-        return reader.option("mode", "PERMISSIVE").json(path)
+        return with_record_ok(spark.read.schema(corrupt_schema(schema)).option("mode", "PERMISSIVE")
+                              .option("columnNameOfCorruptRecord", CORRUPT).json(path))
     if fmt == "parquet":
-        return reader.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     raise ValueError(f"unsupported format {fmt!r}")
 
 

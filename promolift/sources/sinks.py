@@ -13,9 +13,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+# quotes are doubled inside quoted fields, as other CSV readers expect; a quoted
+# field may hold line ends
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "timestampFormat": TS_FORMAT,
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 JSON_OPTIONS = {"ignoreNullFields": "false", "timestampFormat": TS_FORMAT}
 
 
@@ -32,14 +36,12 @@ def flatten_complex_to_json(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Header CSV dataset with nested columns as JSON text."""
-    (flatten_complex_to_json(df).write.mode("overwrite").option("header", True)
-     .option("timestampFormat", TS_FORMAT).csv(path))
+    flatten_complex_to_json(df).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read a CSV table back with the flattened (JSON-text) schema."""
-    return (spark.read.schema(schema).option("header", True).option("timestampFormat", TS_FORMAT)
-            .csv(path))
+    return spark.read.schema(schema).options(**CSV_OPTIONS, multiLine="true").csv(path)
 
 
 def csv_schema(df: DataFrame) -> T.StructType:
@@ -47,14 +49,32 @@ def csv_schema(df: DataFrame) -> T.StructType:
     return flatten_complex_to_json(df).schema
 
 
+def _holds_fraction(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_fraction(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _holds_fraction(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _holds_fraction(kind.valueType)
+    return isinstance(kind, (T.DoubleType, T.FloatType))
+
+
+def _finite(c: Column, kind: T.DataType) -> Column:
+    """``c`` with NaN as null at every depth; other types stay as they are."""
+    if not _holds_fraction(kind):
+        return c
+    if isinstance(kind, T.StructType):
+        fields = [_finite(c[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: _finite(v, kind.valueType))
+    return F.when(F.isnan(c), F.lit(None).cast(kind)).otherwise(c)
+
+
 def _nan_to_null(df: DataFrame) -> DataFrame:
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(F.isnan(c), F.lit(None).cast(f.dataType)).otherwise(c)
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+    return df.select(*[_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def json_records(df: DataFrame) -> DataFrame:

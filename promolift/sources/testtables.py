@@ -43,7 +43,7 @@ CAMPAIGNS = (
 )
 SHOP_ID = "shop-test"
 SHIPPING_DISCOUNT = "9.99"
-STAND_IN_TIME = dt.datetime(1995, 1, 1)
+STAND_IN_TIME = dt.datetime(1995, 1, 1, tzinfo=dt.timezone.utc)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,12 @@ def _order_campaign_id() -> Column:
             .when((prio == "3-MEDIUM") & (F.col("o_orderkey") % 500 == 0), F.lit("k8")))
 
 
+def _utc(wall: Column) -> Column:
+    """A zone-less timestamp read as UTC, whatever the session's time zone."""
+    return F.make_timestamp(F.year(wall), F.month(wall), F.dayofmonth(wall), F.hour(wall), F.minute(wall),
+                            F.extract(F.lit("SECOND"), wall), F.lit("UTC"))
+
+
 def _orders_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     oc_id = _order_campaign_id()
     shipping = oc_id.isin("k6", "k8")
@@ -72,7 +78,7 @@ def _orders_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_orderstatus"),
-        F.col("o_orderdate").cast(T.TimestampType()).alias("createdAt"),
+        _utc(F.col("o_orderdate")).alias("createdAt"),
         total.alias("total_price"),
         (total * F.lit(0.2).cast(T.DecimalType(2, 1))).cast(T.DecimalType(16, 3)).alias("cost_total"),
         oc_id.alias("_oc_id"),

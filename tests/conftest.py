@@ -11,4 +11,4 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 @pytest.fixture(scope="session")
 def spark():
     from promolift.session import build_session
-    return build_session("local[4]", shuffle_partitions=4)
+    return build_session(os.environ.get("PROMOLIFT_TEST_MASTER", "local[4]"), shuffle_partitions=4)

@@ -116,7 +116,32 @@ def test_tertiles_match_pandas_qcut(spark, n):
 def test_class_domain_contract(spark):
     df = spark.createDataFrame([(1, "fast", True), (2, "warp", True)],
                                "product_id long, movement_class string, data_sufficient boolean")
-    assert [r.product_id for r in C.class_domain_violations(df).collect()] == [2]
+    from promolift.operators import validate as V
+    assert [(r.product_id, r.rule) for r in V.violations(df, "classes", V.class_rules(), ["product_id"]).collect()] == \
+        [(2, "domain:movement_class")]
+
+
+def test_lines_without_an_order_id_stay(spark):
+    rows = [(1, 10, 2, 5.0, 0.0, 4.0), (1, 11, 1, 10.0, 0.0, 4.0), (None, 12, 1, 7.0, 0.0, 9.0)]
+    lines = spark.createDataFrame(rows, "order_id long, product_id long, quantity long, price double, "
+                                        "total_discount double, cost_total double")
+    out = {r.product_id: float(r.allocated_cost) for r in M.allocate_order_cost_to_lines(M.compute_line_revenue(lines)).collect()}
+    assert out == {10: 2.0, 11: 2.0, 12: 0.0}
+
+
+def test_dataset_window_in_three_zones(spark):
+    import datetime as dt
+    utc = dt.timezone.utc
+    rows = [(dt.datetime(2024, 3, 1, 23, 30, tzinfo=utc),), (dt.datetime(2024, 3, 3, 0, 30, tzinfo=utc),)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spans = set()
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            spans.add(M.dataset_window(spark.createDataFrame(rows, "createdAt timestamp")).first().window_days)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert spans == {3}
 
 
 def test_preconditions_name_missing_columns(spark):
