@@ -12,28 +12,36 @@ and edge equalities reduce to equalities of order statistics. All decisions
 are integer rank arithmetic, independent of float rounding.
 
 The order statistics come from a value histogram (one row per distinct value,
-built by a distributed hash aggregate with map-side combine). Only the
-histogram, never the rows, is ordered in a single partition to get cumulative
-counts; its size is the number of distinct values (metrics are rounded, e.g.
-velocity to 6 places and margin_pct to 4, so it stays small even when the
-number of products is very large).
+built by a distributed hash aggregate with map-side combine). The histogram is
+range-sorted and written once; cumulative counts are windows inside each sorted
+partition plus the sums of the partitions before, so no task sees it whole.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..session import materialize
 
-def value_histogram(df: DataFrame, value: str) -> DataFrame:
-    """(value, cnt, cum_before, n) per distinct non-null value."""
+
+def value_histogram(df: DataFrame, value: str, staged: list[str] | None = None) -> DataFrame:
+    """(value, cnt, cum_before, n) per distinct non-null value. The path of the
+    sorted histogram is added to ``staged``."""
     hist = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("cnt"))
-    ordered = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return hist.select(
+    # partition numbers are stamped and written once, so that both reads agree on them
+    hist = materialize(hist.orderBy(value).withColumn("_part", F.spark_partition_id()), "histogram", staged)
+    sums = as_scalar(hist.groupBy("_part").agg(F.sum("cnt").alias("s")).agg(
+        F.collect_list(F.struct("_part", "s")).alias("parts"), F.coalesce(F.sum("s"), F.lit(0)).alias("n")))
+    # one entry per sorted partition; bound to a column first, as subqueries may not sit inside lambdas
+    marked = hist.withColumn("_sums", sums)
+    part = F.col("_part")
+    earlier = F.aggregate(F.filter(F.col("_sums.parts"), lambda p: p["_part"] < part), F.lit(0).cast(T.LongType()),
+                          lambda acc, p: acc + p["s"])
+    inside = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return marked.select(value, "cnt", earlier.alias("_earlier"), F.col("_sums.n").alias("n"), "_part").select(
         value, "cnt",
-        F.coalesce(F.sum("cnt").over(ordered), F.lit(0)).cast(T.LongType()).alias("cum_before"),
-        F.sum("cnt").over(everything).cast(T.LongType()).alias("n"),
-    )
+        (F.col("_earlier") + F.coalesce(F.sum("cnt").over(inside), F.lit(0))).cast(T.LongType()).alias("cum_before"),
+        F.col("n").cast(T.LongType()).alias("n"))
 
 
 def _value_at(value: str, rank: Column) -> Column:

@@ -83,38 +83,47 @@ def top_velocity_product(sufficient: DataFrame) -> DataFrame:
         F.negative(F.col("top.neg_v")).alias(VELOCITY))
 
 
-def _histogram_classes(hist: DataFrame, stats: Column) -> DataFrame:
-    cls = (F.when(stats["n_distinct"] == 1, F.lit("slow"))
-           .when(edges_repeated(stats), rank_tertile(F.col("cum_before"), F.col("cnt"), F.col("n")))
-           .otherwise(quantile_tertile(F.col(VELOCITY), stats)))
-    return hist.select(VELOCITY, cls.alias("tertile_class"))
+def _thresholds(hist: DataFrame, tertile: Column) -> Column:
+    """One-row struct of the largest slow and the largest medium velocity.
+    Classes never fall as velocity rises, so the two decide every row's class."""
+    return as_scalar(hist.select(VELOCITY, tertile.alias("c")).agg(
+        F.max(F.when(F.col("c") == "slow", F.col(VELOCITY))).alias("slow"),
+        F.max(F.when(F.col("c") == "medium", F.col(VELOCITY))).alias("medium")))
 
 
-def assign_tertiles_rank(sufficient: DataFrame) -> DataFrame:
+def _class_by(thresholds: Column) -> Column:
+    v = F.col(VELOCITY)
+    return (F.when(v <= thresholds["slow"], F.lit("slow"))
+            .when(v <= thresholds["medium"], F.lit("medium")).otherwise(F.lit("fast")))
+
+
+def assign_tertiles_rank(sufficient: DataFrame, staged: list[str] | None = None) -> DataFrame:
     """The rank-based tertile method applied directly (used as the fallback)."""
-    hist = value_histogram(sufficient, VELOCITY)
-    ranked = hist.select(VELOCITY, rank_tertile(F.col("cum_before"), F.col("cnt"), F.col("n"))
-                         .alias("rank_class"))
-    return sufficient.join(ranked, VELOCITY, "left")
+    hist = value_histogram(sufficient, VELOCITY, staged)
+    by = _thresholds(hist, rank_tertile(F.col("cum_before"), F.col("cnt"), F.col("n")))
+    return sufficient.select(VELOCITY, *[c for c in sufficient.columns if c != VELOCITY],
+                             F.when(F.col(VELOCITY).isNotNull(), _class_by(by)).alias("rank_class"))
 
 
-def classify_products(products: DataFrame, min_units: int = MIN_UNITS) -> DataFrame:
-    """Add ``data_sufficient`` and ``movement_class`` to product metrics."""
+def classify_products(products: DataFrame, min_units: int = MIN_UNITS, staged: list[str] | None = None) -> DataFrame:
+    """Add ``data_sufficient`` and ``movement_class`` to product metrics. Paths of
+    staged tables are added to ``staged``."""
     require_columns(products)
     df = with_sufficiency(products, min_units)
     sufficient = df.where(F.col("data_sufficient"))
     top = as_scalar(top_velocity_product(sufficient))
-    hist = value_histogram(sufficient, VELOCITY)
+    hist = value_histogram(sufficient, VELOCITY, staged)
     stats = as_scalar(tertile_stats(hist, VELOCITY))
     n_suff = F.coalesce(stats["n"], F.lit(0))
-    classes = _histogram_classes(hist, stats)
-    joined = df.join(classes, VELOCITY, "left")
+    tertile = (F.when(stats["n_distinct"] == 1, F.lit("slow"))
+               .when(edges_repeated(stats), rank_tertile(F.col("cum_before"), F.col("cnt"), F.col("n")))
+               .otherwise(quantile_tertile(F.col(VELOCITY), stats)))
+    by = _thresholds(hist, tertile)
     is_top = (F.col("product_id") == top["product_id"]) & (F.col("title") == top["title"])
     movement = (F.when(~F.col("data_sufficient"), F.lit("slow"))
                 .when(n_suff < 3, F.when(is_top, F.lit("fast")).otherwise(F.lit("slow")))
-                .otherwise(F.col("tertile_class")))
-    out = joined.withColumn("movement_class", movement).drop("tertile_class")
-    return out.select(*products.columns, "data_sufficient", "movement_class")
+                .when(F.col(VELOCITY).isNotNull(), _class_by(by)))
+    return df.select(*products.columns, "data_sufficient", movement.alias("movement_class"))
 
 
 def class_counts(classified: DataFrame) -> DataFrame:

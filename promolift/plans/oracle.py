@@ -422,7 +422,9 @@ crefs AS (
          'campaign:' || campaign_id || '|type:' || type || '|verdict:' || verdict || '|rc:' || reason_code AS ref
   FROM campaign_eval),
 policy_refs AS (
-  SELECT p.*, COALESCE((SELECT list(r.ref ORDER BY r.campaign_pos) FROM crefs r
+  SELECT p.*, p.margin_band || '/' || p.movement_class || CASE WHEN p.affinity THEN '/affinity' ELSE '/plain' END
+           AS policy_id,
+         COALESCE((SELECT list(r.ref ORDER BY r.campaign_pos) FROM crefs r
                         WHERE r.type = p.final_type OR r.verdict IN ('success', 'flop')), []) AS campaign_refs
   FROM policy p),
 {aff},
@@ -455,7 +457,9 @@ recommendations AS (
                                 'margin_pct:' || {fixed4("r.margin_pct")},
                                 'data_sufficient:' || CASE WHEN r.data_sufficient THEN 'True' ELSE 'False' END,
                                 'recommended_mechanic:' || p.recommended_mechanic,
-                                {lit(R.CAVEAT_STRUCTURAL)}], p.tags, p.campaign_refs) END AS evidence_refs
+                                {lit(R.CAVEAT_STRUCTURAL)}], p.tags) END AS evidence_refs,
+         CASE WHEN NOT rule0 THEN p.policy_id END AS policy_id,
+         CASE WHEN rule0 THEN [] ELSE p.campaign_refs END AS campaign_refs
   FROM (SELECT *, (NOT data_sufficient OR movement_class NOT IN ('fast', 'medium', 'slow')) AS rule0
         FROM recs0) r
   LEFT JOIN policy_refs p
@@ -548,7 +552,7 @@ SELECT campaign_id, array_to_string(sufficiency_failures, '|') AS sufficiency_fa
     recs_aff = (*cls_ce, rules_ctes(AFFINITY_SQL).replace("{min_units}", str(MIN_UNITS_DEFAULT)))
     rec_cols = ("product_id, title, margin_band, movement_class, data_sufficient, units_sold, velocity_per_day, "
                 "margin_pct, recommended_mechanic, margin_opportunity, confidence_label, confidence, "
-                "rationale_code, rationale, expected_effect, priority_score, "
+                "rationale_code, rationale, expected_effect, priority_score, policy_id, "
                 "array_to_string(evidence_refs, ';') AS evidence_refs")
     q["recommendations"] = with_ctes(*recs, select=f"SELECT {rec_cols} FROM recommendations")
     q["pipeline_from_export"] = q["recommendations"]
@@ -574,12 +578,15 @@ SELECT m.mechanic, {case_map(MECHANIC_TO_CAMPAIGN_TYPE, "m.mechanic")} AS campai
         WHERE p.vetoed AND p.start_mechanic = m.mechanic AND NOT (NOT r.data_sufficient)) AS n_products_vetoed
 FROM (VALUES {", ".join(f"({lit(k)})" for k in MECHANIC_EFFORT)}) AS m(mechanic) CROSS JOIN evidence""")
     q["policy_resolved"] = with_ctes(*recs, select="""
-SELECT margin_band, movement_class, affinity, start_mechanic, vetoed, recommended_mechanic, margin_opportunity,
-       confidence_label, confidence, priority_score, array_to_string(tags, ';') AS tags,
-       array_to_string(campaign_refs, ';') AS campaign_refs FROM policy_refs""")
+SELECT policy_id, margin_band, movement_class, affinity, start_mechanic, vetoed, recommended_mechanic,
+       margin_opportunity, confidence_label, confidence, priority_score, array_to_string(tags, ';') AS tags
+FROM policy_refs""")
+    q["policy_campaign_refs"] = with_ctes(*recs, select="""
+SELECT p.policy_id, CAST(r.campaign_pos AS BIGINT) AS pos, r.ref
+FROM policy_refs p JOIN crefs r ON r.type = p.final_type OR r.verdict IN ('success', 'flop')""")
     q["evidence_refs"] = with_ctes(*recs, select="""
-SELECT product_id, title, array_to_string(evidence_refs, ';') AS evidence_refs,
-       CAST(len(evidence_refs) AS INTEGER) AS n_refs FROM recommendations""")
+SELECT product_id, title, array_to_string(list_concat(evidence_refs, campaign_refs), ';') AS evidence_refs,
+       CAST(len(evidence_refs) + len(campaign_refs) AS INTEGER) AS n_refs FROM recommendations""")
     q["priority_scores"] = with_ctes(*recs, select="""
 SELECT product_id, title, recommended_mechanic, margin_opportunity, confidence_label, priority_score
 FROM recommendations""")

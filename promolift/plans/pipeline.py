@@ -118,7 +118,7 @@ class PromoPipeline:
 
     @cached_property
     def classified_plan(self) -> DataFrame:
-        return C.classify_products(self.products, min_units=self.min_units)
+        return C.classify_products(self.products, min_units=self.min_units, staged=self.staged)
 
     @cached_property
     def classified(self) -> DataFrame:
@@ -134,7 +134,7 @@ class PromoPipeline:
 
     @cached_property
     def banded(self) -> DataFrame:
-        return R.margin_bands(self.classified)
+        return R.margin_bands(self.classified, self.staged)
 
     @cached_property
     def evidence(self) -> DataFrame:
@@ -142,12 +142,16 @@ class PromoPipeline:
 
     @cached_property
     def policy(self) -> DataFrame:
-        return R.resolved_policy(self.banded, self.campaign_eval)
+        return R.resolved_policy(self.lines.sparkSession, self.campaign_eval)
+
+    @cached_property
+    def policy_campaign_refs(self) -> DataFrame:
+        return R.policy_campaign_refs(self.policy, self.campaign_eval)
 
     @cached_property
     def recommendations(self) -> DataFrame:
         return R.recommend_for_products(self.classified, self.campaign_eval, self.affinity,
-                                        min_units=self.min_units)
+                                        min_units=self.min_units, staged=self.staged)
 
     @cached_property
     def kept_recommendations(self) -> DataFrame:

@@ -315,14 +315,21 @@ def q_mechanic_vetoes(spark, sf_dir):
 @register("policy_resolved")
 def q_policy_resolved(spark, sf_dir):
     return policy_table(spark, sf_dir).select(
-        "margin_band", "movement_class", "affinity", "start_mechanic", "vetoed", "recommended_mechanic",
+        "policy_id", "margin_band", "movement_class", "affinity", "start_mechanic", "vetoed", "recommended_mechanic",
         "margin_opportunity", "confidence_label", "confidence", "priority_score",
-        F.array_join("tags", ";").alias("tags"), F.array_join("campaign_refs", ";").alias("campaign_refs"))
+        F.array_join("tags", ";").alias("tags"))
+
+
+@register("policy_campaign_refs")
+def q_policy_campaign_refs(spark, sf_dir):
+    return pipe(spark, sf_dir).policy_campaign_refs
 
 
 @register("evidence_refs")
 def q_evidence_refs(spark, sf_dir):
-    return recommendations(spark, sf_dir).select(
+    """Each product's whole evidence, its campaigns joined on request."""
+    p = pipe(spark, sf_dir)
+    return R.with_campaign_refs(p.recommendations, p.policy_campaign_refs).select(
         "product_id", "title", F.array_join("evidence_refs", ";").alias("evidence_refs"),
         F.size("evidence_refs").alias("n_refs"))
 

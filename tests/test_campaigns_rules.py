@@ -197,8 +197,10 @@ def golden_recs(spark):
         "product_id long, title string, units_sold long, velocity_per_day double, revenue double, "
         "gross_margin_alloc double, margin_pct double, window_days long")
     classified = C.classify_products(prods, min_units=20)
-    recs = R.recommend_for_products(classified, _eval(spark, GOLDEN_CAMPAIGNS), None, min_units=20)
-    return {r.product_id: r for r in recs.collect()}
+    evaluation = _eval(spark, GOLDEN_CAMPAIGNS)
+    recs = R.recommend_for_products(classified, evaluation, None, min_units=20)
+    refs = R.policy_campaign_refs(R.resolved_policy(spark, evaluation), evaluation)
+    return {r.product_id: r for r in R.with_campaign_refs(recs, refs).collect()}
 
 
 def test_golden_classes_and_bands(golden_recs):
@@ -224,6 +226,24 @@ def test_golden_refs_order(golden_recs):
     assert rule0[:3] == ["product_id:7000147758218", "units_sold:5", "rule0_insufficient_data"]
 
 
+def test_recommendations_don_t_grow_with_campaigns(spark):
+    prods = spark.createDataFrame([(i, f"t{i}", 100, 1.0 + i, 1.0, 0.5, i / 100, 371) for i in range(30)],
+        "product_id long, title string, units_sold long, velocity_per_day double, revenue double, "
+        "gross_margin_alloc double, margin_pct double, window_days long")
+    classified = C.classify_products(prods, min_units=20)
+    sizes = set()
+    for n in (9, 2000):
+        evaluation = spark.createDataFrame(
+            [(f"c{i}", "volume", "success" if i % 3 else "inconclusive", "r", i) for i in range(n)],
+            "campaign_id string, type string, verdict string, reason_code string, campaign_pos long")
+        recs = R.recommend_for_products(classified, evaluation, None, min_units=20).collect()
+        sizes.add(sum(len(repr(r)) for r in recs))
+        refs = R.policy_campaign_refs(R.resolved_policy(spark, evaluation), evaluation)
+        decided = sum(1 for i in range(n) if i % 3)
+        assert refs.where("ref LIKE '%success%'").count() == 18 * decided
+    assert len(sizes) == 1
+
+
 def _join_count(df) -> int:
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     return plan.count("Join ")
