@@ -6,8 +6,9 @@ of line hashes: the shortest run of lines from some line on that holds
 the earliest document with it, so every later document is paired with the
 owners of its runs, and pairs grow with the lines, not with the square of a
 group. Each pair's lines are then aligned by patience diff, again and again on
-what is left, and aligned common blocks of ``min_words`` words or more are
-deleted from the later document.
+what is left; a block that stands in another order than the rest is aligned by
+itself. Aligned common blocks of ``min_words`` words or more are deleted from
+the later document.
 
 Earlier means a smaller id (nulls last), then a smaller content key.
 """
@@ -121,6 +122,24 @@ def aligned(pairs, min_words: int):
                 todo.append((last_a, i, last_b, j))
                 last_a, last_b = i + 1, j + 1
 
+    def longest():
+        """The common block of the most words in what is left of both sequences."""
+        places = {}
+        for j, (_, line) in enumerate(b):
+            places.setdefault(line, []).append(j)
+        best, before = (0, None, None, 0), {}  # words, last positions, lines
+        for i, (at, line) in enumerate(a):
+            joined = i > 0 and a[i - 1][0] == at - 1
+            now = {}
+            for j in places.get(line, ()):
+                w, n = before.get(j - 1, (0, 0)) if joined and j > 0 and b[j - 1][0] == b[j][0] - 1 else (0, 0)
+                now[j] = (w + words[line], n + 1)
+                if now[j][0] > best[0]:
+                    best = (now[j][0], i, j, n + 1)
+            before = now
+        _, i, j, n = best
+        return [(i - k, j - k) for k in reversed(range(n))]
+
     words = [p[0] for p in pairs]
     a = sorted((i, k) for k, p in enumerate(pairs) for i in p[1])
     b = sorted((j, k) for k, p in enumerate(pairs) for j in p[2])
@@ -139,7 +158,11 @@ def aligned(pairs, min_words: int):
         blocks.append(now)
         found = [x for x in blocks if sum(words[a[i][1]] for i, _ in x) >= min_words]
         if not found:
-            break
+            # blocks that the order of the others kept apart
+            best = longest()
+            if not best or sum(words[a[i][1]] for i, _ in best) < min_words:
+                break
+            found = [best]
         ranges += [(a[x[0][0]][0], a[x[-1][0]][0]) for x in found]
         gone = {i for x in found for i, _ in x}
         a = [x for i, x in enumerate(a) if i not in gone]

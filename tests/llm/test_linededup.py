@@ -118,6 +118,11 @@ def test_aligned_ranges_are_common_blocks(a, b, least):
     for first, last in ranges:
         part = a[first:last + 1]
         assert len(part) >= least and any(b[j:j + len(part)] == part for j in range(len(b)))
+    # whatever is left has no common block of that size
+    gone = {i for first, last in ranges for i in range(first, last + 1)}
+    for i in range(len(a) - least + 1):
+        if not gone & set(range(i, i + least)):
+            assert not any(a[i:i + least] == b[j:j + least] for j in range(len(b)))
     longest = max((k for i in range(len(a)) for j in range(len(b)) for k in range(1, 15) if a[i:i + k] == b[j:j + k] and i + k <= len(a) and j + k <= len(b)), default=0)
     if longest < least:
         assert not ranges
