@@ -129,17 +129,20 @@ def baseline_totals(attributed: DataFrame, line_margin: DataFrame, staged: list[
                   .agg(F.sum("quantity").alias("u"), F.sum("line_margin_alloc").alias("m"),
                        F.count(F.lit(1)).alias("k")))
     ranked = materialize(rank_within_product(organic_po, staged), "organic-ranked", staged)   # read three times below
-    per_product = ranked.groupBy("product_id").agg(
-        F.sum("u").alias("u"), F.sum("m").alias("m"), F.sum("k").alias("k"),
-        F.max("rank").alias("n_rank"))
     pairs_cp = attributed.select("campaign_id", "product_id").distinct()
+    # totals of the products of each campaign; read twice below
+    per_product = materialize(pairs_cp.join(ranked.groupBy("product_id").agg(
+        F.sum("u").alias("u"), F.sum("m").alias("m"), F.sum("k").alias("k"),
+        F.max("rank").alias("n_rank")), "product_id"), "campaign-products", staged)
     pairs_co = attributed.select("campaign_id", "order_id").distinct()
     # organic (product, order) rows of touched products inside the campaign's own orders
-    excluded = (ranked.join(pairs_co, "order_id").join(pairs_cp, ["campaign_id", "product_id"], "left_semi")
-                .select("campaign_id", "product_id", "rank", "u", "m", "k"))
+    # (read three times below)
+    excluded = materialize(ranked.join(pairs_co, "order_id")
+                           .join(pairs_cp, ["campaign_id", "product_id"], "left_semi")
+                           .select("campaign_id", "product_id", "rank", "u", "m", "k"), "campaign-excluded", staged)
 
     zero = F.lit(0).cast(MONEY)
-    gross = pairs_cp.join(per_product, "product_id").groupBy("campaign_id").agg(
+    gross = per_product.groupBy("campaign_id").agg(
         F.sum("u").alias("gu"), F.sum("m").alias("gm"), F.sum("k").alias("gk"))
     minus = excluded.groupBy("campaign_id").agg(
         F.sum("u").alias("xu"), F.sum("m").alias("xm"), F.sum("k").alias("xk"))
@@ -150,19 +153,21 @@ def baseline_totals(attributed: DataFrame, line_margin: DataFrame, staged: list[
         (F.col("gk") - F.coalesce(F.col("xk"), F.lit(0))).cast(T.LongType()).alias("baseline_lines"))
 
     ex_ranks = excluded.select("campaign_id", "product_id", "rank")
-    with_n = pairs_cp.join(per_product.select("product_id", "n_rank"), "product_id")
     cp = ["campaign_id", "product_id"]
+
+    def either(first: Column, last: Column) -> Column:
+        """Two rows from one: a rank for the first time (lo) and one for the last."""
+        return F.inline(F.array(F.struct(first.cast(T.LongType()).alias("rank"), F.lit(True).alias("lo")),
+                                F.struct(last.cast(T.LongType()).alias("rank"), F.lit(False).alias("lo"))))
+
     # candidates for the first surviving rank (lo: 1 and r+1) and the last (hi: n and r-1),
     # searched together: drop excluded ranks, then min over lo / max over hi
-    candidates = (with_n.select(*cp, F.lit(1).cast(T.LongType()).alias("rank"), F.lit(True).alias("lo"))
-                  .unionByName(with_n.select(*cp, F.col("n_rank").alias("rank"), F.lit(False).alias("lo")))
-                  .unionByName(ex_ranks.select(*cp, (F.col("rank") + 1).alias("rank"), F.lit(True).alias("lo")))
-                  .unionByName(ex_ranks.select(*cp, (F.col("rank") - 1).alias("rank"), F.lit(False).alias("lo"))))
+    candidates = (per_product.select(*cp, either(F.lit(1), F.col("n_rank")))
+                  .unionByName(ex_ranks.select(*cp, either(F.col("rank") + 1, F.col("rank") - 1))))
     bounds = (candidates.join(ex_ranks, [*cp, "rank"], "left_anti").groupBy(*cp)
               .agg(F.min(F.when(F.col("lo"), F.col("rank"))).alias("r_lo"),
                    F.max(F.when(~F.col("lo"), F.col("rank"))).alias("r_hi")))
-    targets = (bounds.select(*cp, F.col("r_lo").alias("rank"), F.lit(True).alias("lo"))
-               .unionByName(bounds.select(*cp, F.col("r_hi").alias("rank"), F.lit(False).alias("lo"))))
+    targets = bounds.select(*cp, either(F.col("r_lo"), F.col("r_hi")))
     times = ranked.select("product_id", "rank", "createdAt")
     # a rank past the product's end (all excluded) or 0 finds no row
     ends = (targets.join(times, ["product_id", "rank"]).groupBy("campaign_id")

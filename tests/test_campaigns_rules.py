@@ -259,7 +259,7 @@ def test_plan_does_not_grow_with_campaign_count(spark):
     big = _campaigns(spark, [(f"c{i}", "volume") for i in range(900)])
     e_small = CE.evaluate_campaigns(orders, lm, small)
     e_big = CE.evaluate_campaigns(orders, lm, big)
-    assert _join_count(e_small) == _join_count(e_big)
+    assert _join_count(e_small) == _join_count(e_big) <= 12
     assert e_big.count() == 900
     key = ["campaign_id", "attributed_orders", "campaign_units", "baseline_units", "verdict", "reason_code"]
     a = sorted(tuple(r) for r in e_small.select(*key).collect())
