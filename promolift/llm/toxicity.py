@@ -18,7 +18,7 @@ from .common import sigmoid_scores
 
 BITS = 18
 GRAMS = (3, 5)
-SAMPLE = 1500  # labelled rows of each class that are fitted at most
+SAMPLE = 1000  # labelled rows of each class that are fitted at most
 SAMPLE_BYTES = 32_768  # texts beyond this size are scored but not fitted
 
 
@@ -94,8 +94,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
             yield pa.record_batch([batch.column(0), pa.array([features(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())],
                                   names=["label", "features"])
 
-    rows = picked.mapInArrow(run, "label int, features binary").distinct().collect()
-    rows = sorted((r["label"], bytes(r["features"])) for r in rows)
+    # made in parallel, then fetched in eight parts: at most 2 * sample rows of 64 Ki features
+    made = picked.mapInArrow(run, "label int, features binary").repartition(8)
+    rows = sorted({(r["label"], bytes(r["features"])) for r in made.toLocalIterator()})
     y = np.array([r[0] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return none
@@ -103,31 +104,38 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
 
 
 def _logistic(features, y, share: float, ridge: float = 1e-4, steps: int = 60, bits: int = BITS) -> Model:
-    """Accelerated gradient descent on the ridge-penalised logistic loss."""
+    """Accelerated gradient descent on the ridge-penalised logistic loss, over
+    blocks of rows so that temporary arrays stay small."""
     import numpy as np
 
-    size = 1 << bits
-    lengths = np.array([len(f) for f in features])
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    index = np.concatenate(features)
-    row = np.repeat(np.arange(len(y)), lengths)
-
-    def per_row(values):
-        total = np.concatenate([[0.0], np.cumsum(values)])
-        return total[ends[1:]] - total[ends[:-1]]
-
-    counts = [np.bincount(index, weights=(y == value)[row], minlength=size) for value in (0, 1)]
+    size, block = 1 << bits, 64
+    blocks = []
+    for at in range(0, len(y), block):
+        part = features[at:at + block]
+        lengths = np.array([len(f) for f in part])
+        blocks.append((slice(at, at + len(part)), np.concatenate(part), lengths, np.cumsum(lengths)))
+
+    def per_row(values, ends):
+        total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+        return np.diff(total[np.concatenate([[0], ends])])
+
+    counts = np.zeros((2, size))
+    for at, index, lengths, _ in blocks:
+        positive = np.repeat(y[at], lengths)
+        counts[1] += np.bincount(index, weights=positive, minlength=size)
+        counts[0] += np.bincount(index, weights=1 - positive, minlength=size)
     ratio = np.log((counts[1] + 1) / (y.sum() + 2)) - np.log((counts[0] + 1) / (len(y) - y.sum() + 2))
-    square = per_row(ratio[index] ** 2)
-    scale = 1 / np.sqrt(np.maximum(square, 1e-9))
+    scales = [1 / np.sqrt(np.maximum(per_row(ratio[index] ** 2, ends), 1e-9)) for _, index, _, ends in blocks]
     weight = np.where(y == 1, share / y.sum(), (1 - share) / (len(y) - y.sum()))
     v, bias = np.zeros(size), float(np.log(share / (1 - share)))
     z, z_bias, t = v, bias, 1.0
     for _ in range(steps):
-        p = sigmoid_scores(per_row((z * ratio)[index]) * scale + z_bias)
-        error = (p - y) * weight
-        slope = np.bincount(index, weights=(error * scale)[row], minlength=size) * ratio + ridge * z
-        new, new_bias = z - 80 * slope, z_bias - 2 * error.sum()
+        scaled, slope, bias_slope = z * ratio, np.zeros(size), 0.0
+        for (at, index, lengths, ends), scale in zip(blocks, scales):
+            error = (sigmoid_scores(per_row(scaled[index], ends) * scale + z_bias) - y[at]) * weight[at]
+            slope += np.bincount(index, weights=np.repeat(error * scale, lengths), minlength=size)
+            bias_slope += error.sum()
+        new, new_bias = z - 80 * (slope * ratio + ridge * z), z_bias - 2 * bias_slope
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, z_bias = new + (t - 1) / t_next * (new - v), new_bias + (t - 1) / t_next * (new_bias - bias)
         v, bias, t = new, new_bias, t_next
