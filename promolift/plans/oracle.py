@@ -493,6 +493,21 @@ SELECT order_id, product_id, quantity, {d("cost_total")} AS cost_total, {d("line
        {d("allocated_cost")} AS allocated_cost FROM la""")
     q["zero_revenue_orders"] = with_ctes(*BASE, select=(
         f"SELECT order_id, {d('order_net_revenue')} AS order_net_revenue FROM onr WHERE order_net_revenue = 0"))
+    clearance = (ADAPTER.replace("sh_lines AS (", "sh_lines0 AS ("), """
+sh_lines AS (
+  SELECT s.* REPLACE (CASE WHEN o.o_orderstatus = 'P'
+                           THEN CAST(CAST(s.quantity AS DECIMAL(6,0)) * s.price * 2 AS DECIMAL(18,4))
+                           ELSE s.total_discount END AS total_discount)
+  FROM sh_lines0 s JOIN o_x o USING (order_id))""", LINE_METRICS)
+    q["clearance_line_revenue"] = with_ctes(*clearance, select=f"""
+SELECT order_id, product_id, quantity, {d("total_discount")} AS total_discount,
+       {d("line_gross_revenue")} AS line_gross_revenue, {d("line_net_revenue")} AS line_net_revenue, net_clipped
+FROM lr""")
+    q["clearance_zero_revenue_orders"] = with_ctes(*clearance, select=(
+        f"SELECT order_id, {d('order_net_revenue')} AS order_net_revenue FROM onr WHERE order_net_revenue = 0"))
+    q["clearance_allocated_cost"] = with_ctes(*clearance, select=f"""
+SELECT order_id, product_id, quantity, {d("line_net_revenue")} AS line_net_revenue,
+       {d("allocated_cost")} AS allocated_cost FROM la""")
     q["line_margin"] = with_ctes(*BASE, select=f"""
 SELECT order_id, product_id, quantity, {d("line_net_revenue")} AS line_net_revenue,
        {d("allocated_cost")} AS allocated_cost, {d("line_margin_alloc")} AS line_margin_alloc, active_campaign_id
@@ -717,6 +732,21 @@ GROUP BY f.fragment""")
     q["validate_lineitems"] = with_ctes(*BASE, select="\nUNION ALL ".join(
         f"SELECT 'lineitems' AS \"table\", '{r}' AS rule, COUNT(*) AS n_rows, "
         f"COUNT(*) FILTER (WHERE {cond}) AS n_violations FROM sh_lines" for r, cond in li_rules))
+    broken = ord_req | {
+        "cost_total": "(CASE WHEN shipping_discount_amount > 0 THEN NULL ELSE cost_total END)",
+        "total_price": "(CASE WHEN oc_id IS NOT NULL THEN -total_price ELSE total_price END)"}
+    rules = [(f"required:{k}", f"{v} IS NULL") for k, v in broken.items()]
+    rules += [(f"non_negative:{k}", f"{broken[k]} < 0") for k in
+              ("subtotal_price", "total_price", "cost_total", "shipping_discount_amount")]
+    parts = [f"SELECT 'orders' AS \"table\", '{r}' AS rule, COUNT(*) AS n_rows, "
+             f"COUNT(*) FILTER (WHERE {cond}) AS n_violations FROM sh_orders" for r, cond in rules]
+    parts.append("SELECT 'orders', 'unique:id', CAST(NULL AS BIGINT), CAST(0 AS BIGINT)")
+    parts += [f"SELECT 'lineitems', '{r}', COUNT(*), COUNT(*) FILTER (WHERE {cond}) FROM sh_lines"
+              for r, cond in (("required:price", "quantity = 1"), ("positive:quantity", "quantity = 2"))]
+    parts += [f"SELECT 'lineitems', '{r}', COUNT(*), CAST(0 AS BIGINT) FROM sh_lines" for r in (
+        "required:product_id", "required:variant_id", "required:title", "required:quantity", "required:total_discount",
+        "required:compare_at_price", "non_negative:price", "non_negative:total_discount")]
+    q["validate_breaches"] = with_ctes(*BASE, select="\nUNION ALL ".join(parts))
     q["ingest_clean"] = with_ctes(*BASE, select="""
 SELECT 'orders' AS frame, COUNT(*) AS n_rows, CAST(18 AS INTEGER) AS n_columns FROM sh_orders
 UNION ALL SELECT 'lineitems', COUNT(*), CAST(23 AS INTEGER) FROM sh_lines
@@ -766,6 +796,15 @@ FROM classified""")
         ("finite:priority_score", "priority_score IS NULL OR isnan(priority_score) OR isinf(priority_score)"),
         ("required:rationale", "rationale IS NULL"),
         ("required:expected_effect", "expected_effect IS NULL")]))
+    q["contract_breaches"] = with_ctes(*recs, select="""
+SELECT 'recommendations' AS "table", t.rule, COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE
+    (t.rule = 'domain:recommended_mechanic' AND movement_class = 'slow')
+    OR (t.rule = 'required:title' AND margin_band = 'low')
+    OR (t.rule = 'range:confidence' AND movement_class = 'fast')
+    OR (t.rule = 'finite:priority_score' AND movement_class = 'medium')) AS n_violations
+FROM recommendations CROSS JOIN (VALUES ('domain:recommended_mechanic'), ('required:product_id'), ('required:title'),
+  ('range:confidence'), ('finite:priority_score'), ('required:rationale'), ('required:expected_effect')) AS t(rule)
+GROUP BY t.rule""")
     q["contract_segments"] = with_ctes(*recs, seg, select=counts("segments", "segments", [
         ("domain:discount_mechanic", f"discount_mechanic NOT IN ({mech_list}) OR discount_mechanic IS NULL"),
         ("required:segment_id", "segment_id IS NULL"), ("required:segment_label", "segment_label IS NULL"),

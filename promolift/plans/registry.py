@@ -106,6 +106,35 @@ def q_zero_revenue_orders(spark, sf_dir):
     return present(M.zero_revenue_orders(M.compute_line_revenue(lines(spark, sf_dir))))
 
 
+def clearance_lines(spark, sf_dir) -> DataFrame:
+    """Stand-in lines in which orders of status P are given away: their discounts
+    are twice the gross, so revenue is clipped and whole orders have none."""
+    free = (spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet").where("o_orderstatus = 'P'")
+            .select(F.col("o_orderkey").alias("order_id"), F.lit(True).alias("_free")))
+    gross = (F.col("quantity").cast(T.DecimalType(6, 0)) * F.col("price") * 2).cast(T.DecimalType(18, 4))
+    return lines(spark, sf_dir).join(free, "order_id", "left").withColumn(
+        "total_discount", F.when(F.col("_free"), gross).otherwise(F.col("total_discount"))).drop("_free")
+
+
+@register("clearance_line_revenue")
+def q_clearance_line_revenue(spark, sf_dir):
+    """Line revenue where discounts exceed the gross and the clip applies."""
+    return present(M.compute_line_revenue(clearance_lines(spark, sf_dir)).select(
+        "order_id", "product_id", "quantity", "total_discount", "line_gross_revenue", "line_net_revenue", "net_clipped"))
+
+
+@register("clearance_zero_revenue_orders")
+def q_clearance_zero_revenue_orders(spark, sf_dir):
+    return present(M.zero_revenue_orders(M.compute_line_revenue(clearance_lines(spark, sf_dir))))
+
+
+@register("clearance_allocated_cost")
+def q_clearance_allocated_cost(spark, sf_dir):
+    """Cost allocation with orders that have no revenue to share it by."""
+    alloc = M.allocate_order_cost_to_lines(M.compute_line_revenue(clearance_lines(spark, sf_dir)))
+    return present(alloc.select("order_id", "product_id", "quantity", "line_net_revenue", "allocated_cost"))
+
+
 @register("line_margin")
 def q_line_margin(spark, sf_dir):
     lm = M.prepare_line_margin(lines(spark, sf_dir))
@@ -453,6 +482,18 @@ def q_validate_lineitems(spark, sf_dir):
     return V.validate_lineitems(export_orders(spark, sf_dir))
 
 
+@register("validate_breaches")
+def q_validate_breaches(spark, sf_dir):
+    """Order and line-item rules on stand-in records that break some of them."""
+    item = lambda li: (li.withField("price", F.when(li["quantity"] != 1, li["price"]))
+                       .withField("quantity", F.when(li["quantity"] == 2, F.lit(0).cast("bigint")).otherwise(li["quantity"])))
+    orders = (PV.minimize_orders(export_orders(spark, sf_dir))
+              .withColumn("cost_total", F.when(~F.col("is_free_shipping"), F.col("cost_total")))
+              .withColumn("total_price", F.when(F.col("has_active_campaign"), -F.col("total_price")).otherwise(F.col("total_price")))
+              .withColumn("line_items", F.transform("line_items", item)))
+    return V.validate_orders(orders).unionByName(V.validate_lineitems(orders))
+
+
 @register("ingest_clean")
 def q_ingest_clean(spark, sf_dir):
     """Composite intake: minimize -> validate (strict) -> flatten -> audit of
@@ -496,6 +537,17 @@ def q_contract_recommendations(spark, sf_dir):
                               V.recommendation_rules())
 
 
+@register("contract_breaches")
+def q_contract_breaches(spark, sf_dir):
+    """The recommendation contract on recommendations that break it by class and band."""
+    moves, recs = F.col("movement_class"), pipe(spark, sf_dir).kept_recommendations
+    broken = (recs.withColumn("recommended_mechanic", F.when(moves != "slow", F.col("recommended_mechanic")))
+              .withColumn("confidence", F.when(moves == "fast", F.lit(1.5)).otherwise(F.col("confidence")))
+              .withColumn("priority_score", F.when(moves == "medium", F.lit(float("nan"))).otherwise(F.col("priority_score")))
+              .withColumn("title", F.when(F.col("margin_band") != "low", F.col("title"))))
+    return V.violation_counts(broken, "recommendations", V.recommendation_rules())
+
+
 @register("contract_segments")
 def q_contract_segments(spark, sf_dir):
     return V.violation_counts(pipe(spark, sf_dir).segments(), "segments", V.segment_rules())
