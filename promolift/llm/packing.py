@@ -105,14 +105,20 @@ def _encoder(path: str):
 
     chunks = Kept(chunk)
 
+    vocabulary = tokenizer.get_vocab()
+    last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids of tokens that end a word
+    last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
     def learn(new):
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            found = tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, owner = np.array(found.ids, "<u4"), np.array(found.word_ids)
-            ends = np.searchsorted(owner, np.arange(len(part)), side="right")
-            for word, start, end in zip(part, [0, *ends], ends):
-                words[word] = ids[start:end].tobytes()
+        for at in range(0, len(new), 500):
+            part = new[at:at + 500]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(last[ids]) + 1).tolist()
+            if len(ends) == len(part) and ends[-1] == len(ids):  # else the words are asked for one by one
+                data, start = ids.tobytes(), 0
+                for word, end in zip(part, ends):
+                    words[word] = data[4 * start:4 * end]
+                    start = end
 
     def encode(texts):
         for kept in (words, chunks):
