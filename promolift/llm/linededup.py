@@ -1,8 +1,9 @@
 """Line dedup by pairwise alignment.
 
 Lines are hashed. A pair of documents is a candidate if they share a rare run
-of line hashes: the shortest run of lines from some line on that holds
-``min_words`` words (a single long line is such a run). Each run has one owner,
+of line hashes: the shortest run of lines that starts or ends at some line and
+holds ``min_words`` words (a single long line is such a run). Every line of a
+common block lies in such a run within the block. Each run has one owner,
 the earliest document with it, so every later document is paired with the
 owners of its runs, and pairs grow with the lines, not with the square of a
 group. Each pair's lines are then aligned by patience diff, again and again on
@@ -25,7 +26,7 @@ MIN_WORDS = 50
 def profiles(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct content key: lines, an array of (hash, words, at:
     the numbers of the non-blank lines of that hash, from 0), and runs, the
-    hashes of the shortest runs of ``min_words`` words."""
+    hashes of the shortest runs of ``min_words`` words from and up to a line."""
 
     def run(batches):
         import pyarrow as pa
@@ -46,15 +47,24 @@ def profiles(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
             where = {}
             for i, h in enumerate(hashes):
                 where.setdefault(h, ([], words[i]))[0].append(i)
-            runs, end, total = set(), 0, 0
+            spans, end, total = set(), 0, 0
             for start in range(len(hashes)):
                 while end < len(hashes) and total < min_words:
                     total += words[end]
                     end += 1
                 if total < min_words:
                     break
-                runs.add(number(digest(b"".join(hashes[start:end]))))
+                spans.add((start, end))
                 total -= words[start]
+            start, total = 0, 0
+            for end in range(len(hashes)):
+                total += words[end]
+                while total - words[start] >= min_words:
+                    total -= words[start]
+                    start += 1
+                if total >= min_words:
+                    spans.add((start, end + 1))
+            runs = {number(digest(b"".join(hashes[start:end]))) for start, end in spans}
             return [{"hash": number(h), "words": n, "at": at} for h, (at, n) in where.items()], list(runs)
 
         for batch in batches:

@@ -38,6 +38,14 @@ def test_blocks_in_other_order_and_twice(spark):
     assert out[2].text == "keep\nkeep too" and out[1].n_deleted == 0
 
 
+def test_ends_of_blocks_that_fewer_documents_share(spark):
+    a = line("a", 60)
+    out = result(frame(spark, [(1, f"{a}\nshort x"), (2, f"{a}\nshort y"), (3, f"{a}\nshort y"),
+                               (4, f"short z\n{a}"), (5, f"short z\n{a}\nshort y")]))
+    assert {i: r.text for i, r in out.items()} == {1: f"{a}\nshort x", 2: "short y", 3: "", 4: "short z", 5: ""}
+    assert out[3].owners == [1, 2] and out[5].owners == [1, 2, 4]
+
+
 def test_blank_lines_go_with_their_block(spark):
     block = line("a", 30) + "\n\n" + line("b", 30)
     out = result(frame(spark, [(1, block + "\n\nend"), (2, "start\n\n" + block + "\n\nother")]))
