@@ -11,8 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SAMPLE = 200  # texts of each language that are looked at for its dictionary
-SAMPLE_BYTES = 8192  # larger texts are classified but not used for dictionaries
+SAMPLE = 200  # texts up to SAMPLE_BYTES of each language that are looked at for its dictionary
+SAMPLE_BYTES = 8192  # larger texts are used where those don't fill it
 DICTIONARY = 110_000  # bytes of each dictionary at most
 LEVEL = 3
 SHORT = 2048  # texts up to this size are compressed with ...
@@ -23,26 +23,39 @@ MARKS = dict.fromkeys(map(ord, "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 
 def learn(docs: DataFrame, rows: Column, lang_col: str = "lang", text_col: str = "text") -> dict[str, bytes]:
     """{language: dictionary}, frequent languages first, from the rows of ``docs`` where ``rows`` holds and
-    text and language aren't null. Of each language, distinct texts with the
-    least hashes are joined until the dictionary is full; a language whose texts
-    are all too large for the sample gives whole texts of any size."""
+    text and language aren't null. Of each language, up to ``SAMPLE`` distinct
+    texts of at most ``SAMPLE_BYTES``, those with the least hashes, are joined
+    until the dictionary is full; where they don't fill it, larger texts
+    follow."""
     lang, text = F.col(lang_col).cast("string"), F.col(text_col).cast("string")
     labelled = (docs.where(rows & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
                 .select(lang.alias("lang"), text.alias("text"), F.xxhash64(text).alias("hash"),
                         F.octet_length(text).alias("bytes")))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
-    # a hash below this share keeps about eight times the sample; copies collapse before any shuffle of text
-    share = F.least(F.lit(1.0), F.lit(8.0 * SAMPLE) / F.col("rows"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("hash").alias("texts"))
+    # a hash below this share keeps about eight times the sample of the distinct texts; copies collapse before any
+    # shuffle of text
+    share = F.least(F.lit(1.0), F.lit(8.0 * SAMPLE) / F.col("texts"))
     some = (labelled.join(F.broadcast(counts), "lang")
             .where(F.shiftrightunsigned("hash", 11) / F.lit(float(1 << 53)) <= share)
             .select("lang", "text", "hash", "bytes").distinct())
-    first = Window.partitionBy("lang").orderBy((F.col("bytes") > SAMPLE_BYTES), "hash", "text")
-    some = some.withColumn("n", F.row_number().over(first)).where(
-        (F.col("n") <= SAMPLE) & ((F.col("bytes") <= SAMPLE_BYTES) | (F.col("n") <= 4)))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            parts = [t.as_py().lower().translate(MARKS).encode("utf-8", "replace") + b"\n" for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array([p[:DICTIONARY] for p in parts], pa.binary()), *batch.columns[2:]],
+                                  names=["lang", "part", "hash", "bytes"])
+
+    parts = some.mapInArrow(run, "lang string, part binary, hash bigint, bytes int")
+    first = Window.partitionBy("lang").orderBy((F.col("bytes") > SAMPLE_BYTES), "hash", "part")
+    filled = F.coalesce(F.sum(F.octet_length("part")).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    needed = (parts.withColumn("n", F.row_number().over(first))
+              .where((F.col("n") <= SAMPLE) | (F.col("bytes") > SAMPLE_BYTES))
+              .withColumn("filled", filled).where(F.col("filled") < DICTIONARY))
     out: dict[str, bytes] = {}
-    for r in some.join(F.broadcast(counts), "lang").orderBy(F.desc("rows"), "lang", "n").collect():
-        if len(kept := out.get(r["lang"], b"")) < DICTIONARY:
-            out[r["lang"]] = kept + r["text"].lower().translate(MARKS).encode("utf-8", "replace") + b"\n"
+    for r in needed.join(F.broadcast(counts), "lang").orderBy(F.desc("rows"), "lang", "n").select("lang", "part").collect():
+        out[r["lang"]] = out.get(r["lang"], b"") + bytes(r["part"])
     return {k: v[:DICTIONARY] for k, v in out.items()}
 
 

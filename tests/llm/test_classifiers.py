@@ -60,6 +60,20 @@ def test_labels_of_held_out_rows_are_not_read(spark, tables):
     assert language.learn(docs, ~held_out(F.col("doc_id"), 5, 0)) == language.learn(other, ~held_out(F.col("doc_id"), 5, 0))
 
 
+def test_dictionaries_of_copies_and_of_long_texts(spark):
+    docs = spark.range(120_000).select(
+        F.when(F.col("id") < 60_000, "aa").otherwise("bb").alias("lang"),
+        F.when(F.col("id") % 60_000 >= 20, F.lit("copy"))
+        .otherwise(F.concat(F.lit("text"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))).alias("text"))
+    known = language.learn(docs, F.lit(True))
+    assert sorted(known) == ["aa", "bb"] and all(len(v.splitlines()) == 21 for v in known.values())
+    tiny = [("cc", f"tiny {'x' * i}") for i in range(1, 5)]
+    long = [("cc", " ".join(f"{chr(97 + i)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(600)) * 4) for i in range(20)]
+    assert all(len(t) > language.SAMPLE_BYTES for _, t in long)
+    known = language.learn(spark.createDataFrame(tiny + long, "lang string, text string"), F.lit(True))
+    assert len(known["cc"]) == language.DICTIONARY and b"tiny xxxx\n" in known["cc"]
+
+
 def test_bad_labels_are_not_read_by_quality(spark, tables):
     docs, labels = tables["documents"], tables["labels"]
     learn = ~held_out(F.col("doc_id"), 4, 2)
