@@ -69,7 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "qua
     trusted = (labels.where(F.col(id_col).isNotNull() & (F.col(label_col) == 1)).where(learn)
                .select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample))
     rows = docs.where(learn).select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
-    total = rows.count()
+    total = rows.agg(F.count_distinct(F.xxhash64("text"))).first()[0]
     share = min(1.0, sample / max(1, total))
     web = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53)) < share
     marked = rows.join(F.broadcast(trusted), F.col("_doc") == F.col("_id"), "left").select(
@@ -84,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "qua
 
     got = marked.mapInArrow(run, "trusted boolean, web boolean, x array<double>").distinct().collect()
     good = np.array(sorted(r["x"] for r in got if r["trusted"]), float)
-    web_x = np.array(sorted(r["x"] for r in got if r["web"]), float)
+    web_x = np.array(sorted({tuple(r["x"]) for r in got if r["web"]}), float)  # a trusted text's copies too count once
     if not len(good) or not len(web_x):
         return none
     edges = np.quantile(np.concatenate([good, web_x]), np.arange(1, BINS) / BINS, axis=0).T

@@ -81,6 +81,15 @@ def test_bad_labels_are_not_read_by_quality(spark, tables):
     assert np.array_equal(a.weights, b.weights)
 
 
+def test_unlabelled_sample_of_quality_counts_texts_without_copies(spark, monkeypatch):
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.expr("repeat('some word ', 1 + int(id % 100))").alias("text"))
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    sizes = []
+    monkeypatch.setattr(quality, "estimated_prior", lambda p, u: sizes.append((len(p), len(u))) or 0.5)
+    quality.fit(docs, labels, F.lit(True), sample=100)
+    assert sizes == [(20, 100)]
+
+
 def test_prior_is_estimated():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(0, 1, (3000, len(quality.NAMES))), rng.normal(2.5, 1, (900, len(quality.NAMES)))
