@@ -12,14 +12,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import sigmoid_scores
+from .common import cut, sigmoid_scores
 
 BITS = 18
 GRAMS = (3, 5)
-SAMPLE = 1000  # labelled rows of each class that are fitted at most
-SAMPLE_BYTES = 32_768  # texts beyond this size are scored but not fitted
+SAMPLE = 1000  # labelled texts of each class that are fitted at most
+SAMPLE_BYTES = 32_768  # larger texts are fitted only where a class has too few others
 
 
 @dataclass(frozen=True)
@@ -63,11 +63,14 @@ def featurizer():
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id",
         text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Fit on up to ``sample`` rows of each class: those of ``labels`` where
-    ``learn`` (a condition on the id column) holds with the least hashed ids.
-    Null labels and ids are left out; of several labels of an id the largest
-    counts; equal texts count once. Without both classes the model scores every
-    text with the share of label 1 (smoothed towards a quarter)."""
+    """Fit on up to ``sample`` texts of each class: those of ``docs`` whose id
+    has a label where ``learn`` (a condition on the id column) holds, with the
+    least hashed ids. Texts over ``SAMPLE_BYTES`` come after all others, until
+    the class's texts fill ``sample * SAMPLE_BYTES`` (a text counts for 2 **
+    (``BITS`` - 1) bytes at most). Null labels, ids and texts are left out; of
+    several labels of an id the largest counts; equal texts count once. Without
+    both classes the model scores every text with the share of label 1 (smoothed
+    towards a quarter)."""
     import numpy as np
 
     known = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).where(learn)
@@ -78,13 +81,24 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
     none = Model(np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior))))
     if not n1 or not n0:
         return none
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).alias("_doc"), text.alias("text"), F.xxhash64(text).alias("_hash"),
+                        F.octet_length(text).alias("_bytes")).where("text IS NOT NULL")
+    # one row per class and text, without the text
+    able = cut(texts.select("_doc", "_hash", "_bytes").join(known, F.col("_doc") == F.col("_id"))
+               .groupBy("_label", "_hash", "_bytes").agg(F.min(F.struct(F.xxhash64("_id").alias("order"), "_id")).alias("_first")))
+    first = [F.col("_bytes") > SAMPLE_BYTES, F.col("_first"), F.col("_hash"), F.col("_bytes")]
     chosen = None
     for value in (0, 1):
-        part = known.where(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+        part = able.where(F.col("_label") == value).orderBy(*first).limit(sample)
         chosen = part if chosen is None else chosen.union(part)
-    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.where(F.octet_length("text") <= SAMPLE_BYTES)
-    picked = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_label", "text")
+    size = F.least(F.col("_bytes"), F.lit(1 << BITS - 1)).cast("long")
+    before = Window.partitionBy("_label").orderBy(*first).rowsBetween(Window.unboundedPreceding, -1)
+    chosen = (chosen.withColumn("_before", F.coalesce(F.sum(size).over(before), F.lit(0)))
+              .where(F.col("_before") < sample * SAMPLE_BYTES)
+              .select("_label", F.col("_first._id").alias("_id"), F.col("_hash").alias("_h"), F.col("_bytes").alias("_b")))
+    picked = texts.join(F.broadcast(chosen), (F.col("_doc") == F.col("_id")) & (F.col("_hash") == F.col("_h"))
+                        & (F.col("_bytes") == F.col("_b"))).select("_label", "text")
 
     def run(batches):
         import pyarrow as pa

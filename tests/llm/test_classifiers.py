@@ -81,6 +81,23 @@ def test_bad_labels_are_not_read_by_quality(spark, tables):
     assert np.array_equal(a.weights, b.weights)
 
 
+def test_toxicity_replaces_ids_without_a_text_that_fits(spark, monkeypatch):
+    long = "long words " * 4000
+    rows = [(i, f"good text {i}") for i in range(100)] + [(i, None) for i in range(100, 150)]
+    rows += [(i, f"{long}{i}") for i in range(200, 300)] + [(i, f"awful text {i}") for i in range(300, 305)]
+    labels = [(i, 0) for i in range(200)] + [(i, 1) for i in range(200, 400)]  # 150.. and 305.. aren't in docs
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y, share: seen.append(([len(f) for f in x], sorted(y), share)))
+    docs = frame(spark, rows)
+    toxicity.fit(docs, labels, F.lit(True), sample=5)
+    lengths, y, share = seen.pop()
+    assert y == [0] * 5 + [1] * 5 and max(lengths) < 30 and share == 0.5  # short texts of both classes, although few
+    toxicity.fit(docs.where("doc_id < 300"), labels, F.lit(True), sample=5)
+    lengths, y, share = seen.pop()
+    assert y == [0] * 5 + [1] * 4  # only long ones: 44 kB each until 5 * 32 kB are full
+
+
 def test_unlabelled_sample_of_quality_counts_texts_without_copies(spark, monkeypatch):
     docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.expr("repeat('some word ', 1 + int(id % 100))").alias("text"))
     labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
