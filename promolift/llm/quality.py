@@ -15,7 +15,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import sigmoid_scores
+from .common import cut, sigmoid_scores
 
 SAMPLE = 4000  # positives, and unlabelled texts, that are fitted at most (about)
 BINS = 16
@@ -59,7 +59,7 @@ def statistics(text: str | None) -> list[float]:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id",
         text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Fit on up to ``sample`` positives (labels of 1 where ``learn`` holds,
-    least hashed ids first) and about as many texts of all of ``docs`` where
+    least hashed ids first, and of their texts no more than that) and about as many texts of all of ``docs`` where
     ``learn`` holds, chosen by hashed text and without copies. Null ids and
     labels are left out. Without positives, or without texts, every score is
     0.5."""
@@ -82,9 +82,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "qua
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([statistics(t.as_py()) for t in batch.column(2)], pa.list_(pa.float64()))],
                                   names=["trusted", "web", "x"])
 
-    got = marked.mapInArrow(run, "trusted boolean, web boolean, x array<double>").distinct().collect()
-    good = np.array(sorted(r["x"] for r in got if r["trusted"]), float)
-    web_x = np.array(sorted({tuple(r["x"]) for r in got if r["web"]}), float)  # a trusted text's copies too count once
+    made = cut(marked.mapInArrow(run, "trusted boolean, web boolean, x array<double>").distinct())
+    # a trusted id may be repeated with many texts: no more than the sample is fetched
+    least = made.where("trusted").select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(sample)
+    good = np.array(sorted(r["x"] for r in least.collect()), float)
+    # copies of trusted texts count once, too
+    web_x = np.array(sorted(r["x"] for r in made.where("web").select("x").distinct().collect()), float)
     if not len(good) or not len(web_x):
         return none
     edges = np.quantile(np.concatenate([good, web_x]), np.arange(1, BINS) / BINS, axis=0).T

@@ -98,7 +98,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
               .where(F.col("_before") < sample * SAMPLE_BYTES)
               .select("_label", F.col("_first._id").alias("_id"), F.col("_hash").alias("_h"), F.col("_bytes").alias("_b")))
     picked = texts.join(F.broadcast(chosen), (F.col("_doc") == F.col("_id")) & (F.col("_hash") == F.col("_h"))
-                        & (F.col("_bytes") == F.col("_b"))).select("_label", "text")
+                        & (F.col("_bytes") == F.col("_b")))
+    # repeated rows of a chosen id are one text
+    picked = picked.groupBy("_label", "_hash", "_bytes").agg(F.first("text").alias("text")).select("_label", "text")
 
     def run(batches):
         import pyarrow as pa
@@ -108,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
             yield pa.record_batch([batch.column(0), pa.array([features(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())],
                                   names=["label", "features"])
 
-    # made in parallel, then fetched in eight parts: at most 2 * sample rows of 64 Ki features
+    # made in parallel, then fetched in eight parts: at most 2 * sample rows, 2 * SAMPLE_BYTES features a row on average
     made = picked.mapInArrow(run, "label int, features binary").repartition(8)
     rows = sorted({(r["label"], bytes(r["features"])) for r in made.toLocalIterator()})
     y = np.array([r[0] for r in rows], float)

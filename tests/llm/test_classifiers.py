@@ -98,6 +98,25 @@ def test_toxicity_replaces_ids_without_a_text_that_fits(spark, monkeypatch):
     assert y == [0] * 5 + [1] * 4  # only long ones: 44 kB each until 5 * 32 kB are full
 
 
+def test_repeated_ids_send_no_more_than_the_sample(spark, monkeypatch):
+    text = F.when(F.col("id") % 3 == 0, F.expr("repeat('some word ', 1 + int(id % 500))")).otherwise(F.lit("repeated text"))
+    docs = spark.range(6000).select((F.col("id") % 2).alias("doc_id"), text.alias("text"))
+    labels = spark.createDataFrame([(0, 0, 1), (1, 1, 1)], "doc_id long, toxic int, quality int")
+    fetched, sizes, fetch = [], [], type(docs).toLocalIterator
+
+    def counted(df, *args, **more):
+        for row in fetch(df, *args, **more):
+            fetched.append(row)
+            yield row
+
+    monkeypatch.setattr(type(docs), "toLocalIterator", counted)
+    toxicity.fit(docs, labels, F.lit(True), sample=10)
+    assert 2 <= len(fetched) <= 20
+    monkeypatch.setattr(quality, "estimated_prior", lambda p, u: sizes.append(len(p)) or 0.5)
+    quality.fit(docs, labels, F.lit(True), sample=10)
+    assert sizes == [10]
+
+
 def test_unlabelled_sample_of_quality_counts_texts_without_copies(spark, monkeypatch):
     docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.expr("repeat('some word ', 1 + int(id % 100))").alias("text"))
     labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
