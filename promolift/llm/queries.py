@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (decontaminate, language, licenses, linededup, packing, quality, sharding, simhash, toxicity,
-               vptree)
+from . import (decontaminate, language, licenses, linededup, packing, quality, resampling, sharding, simhash, sitetree,
+               spelling, toxicity, vptree)
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +80,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(_table(spark, sf_dir, "documents"), min_letters=7, min_count=2, drop_every=31)
+    return spelling.group_variants(words, ratio=10)
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"),
+                               percent=10, min_words=20, seed=2024, buckets=10_000, longest=1)
+
+
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_language, op2_quality, op3_license, op4_line_dedup, op5_decontaminate, op6_pack, op7_nearest, op8_toxicity,
-        op9_shard, op10_simhash)}
+        op9_shard, op10_simhash, op11_spelling, op12_resample, op13_html)}
