@@ -160,11 +160,14 @@ class Page:
                 if tag in BLOCK:
                     flush()
                 if opened.get(tag):
-                    low = 0 if tag in BLOCK else block_at[-1]
-                    for k in range(len(stack) - 1, low, -1):
+                    for k in range(len(stack) - 1, 0, -1):
                         if stack[k][0] == tag:
+                            if stack[k][6]:
+                                flush()
                             pop_to(k)
                             break
+                        if tag not in BLOCK and stack[k][0] in BLOCK:  # an inline element ends inside its block
+                            break
                 continue
             if tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
