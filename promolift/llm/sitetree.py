@@ -306,24 +306,34 @@ def template_nodes(tree: DataFrame, threshold: float = THRESHOLD, min_pages: int
     the m pages. An element node's composite importance is
     (1 - ``decay``^l) S + ``decay``^l C: S is the entropy of its l styles in
     units of ln m, C the mean importance of its texts by length. Element nodes
-    of fewer than ``min_pages`` pages are kept."""
-    m = tree.where("kind = 1").groupBy("site", "node").agg(F.countDistinct("page").alias("m"))
+    of fewer than ``min_pages`` pages are kept. The others are broadcast up to
+    ``NOISE_KEYS`` of them (counted) and joined by shuffle beyond."""
+    from .common import cut
+
     n = F.col("n").cast("double")
     each = tree.groupBy("site", "node", "kind", "feature").agg(
         F.sum(n).alias("total"), F.sum(n * F.log(n)).alias("spread"), F.max("size").alias("size"))
-    cover = F.exp(F.log("total") - F.col("spread") / F.col("total")) / F.col("m")
-    content = (each.where("kind = 0").join(m, ["site", "node"]).where(F.col("m") >= min_pages)
-               .select("site", "node", "feature", (1 - F.least(cover, F.lit(1.0))).alias("importance"),
-                       (F.col("total") * F.col("size")).alias("mass")))
+    each = cut(each.select("site", "node", "kind", "feature", "total", "size",
+                           F.exp(F.log("total") - F.col("spread") / F.col("total")).alias("covered")))
+    # all three are sums over a node's features or pages, so a node that most rows share is added up in every task
+    m = tree.where("kind = 1").groupBy("site", "node").agg(F.countDistinct("page").alias("m"))
+    mass = F.col("total") * F.col("size")
+    texts = each.where("kind = 0").groupBy("site", "node").agg(
+        (F.sum(F.col("covered") * mass) / F.sum(mass)).alias("covered_mean"))
     styles = each.where("kind = 1").groupBy("site", "node").agg(
         F.count("*").alias("l"), (F.log(F.sum("total")) - F.sum(F.col("total") * F.log("total")) / F.sum("total")).alias("h"))
-    texts = content.groupBy("site", "node").agg(
-        (F.sum(F.col("importance") * F.col("mass")) / F.sum("mass")).alias("c"))
     weight = F.pow(F.lit(decay), F.col("l"))
-    composite = (1 - weight) * F.least(F.col("h") / F.log("m"), F.lit(1.0)) + weight * F.col("c")
-    nodes = (texts.join(styles, ["site", "node"]).join(m, ["site", "node"]).where(composite <= threshold)
-             .select("site", "node", F.lit(None).cast("bigint").alias("feature")))
-    return content.where(F.col("importance") <= threshold).select("site", "node", "feature").unionByName(nodes)
+    composite = ((1 - weight) * F.least(F.col("h") / F.log("m"), F.lit(1.0))
+                 + weight * (1 - F.least(F.col("covered_mean") / F.col("m"), F.lit(1.0))))
+    nodes = cut(m.where(F.col("m") >= min_pages).join(texts, ["site", "node"]).join(styles, ["site", "node"])
+                .select("site", "node", "m", composite.alias("composite")))
+    known = F.broadcast(nodes) if nodes.count() <= NOISE_KEYS else nodes
+    content = (each.where((F.col("kind") == 0) & (F.col("covered") >= (1 - threshold) * min_pages * (1 - 1e-9)))
+               .join(known, ["site", "node"])
+               .where(1 - F.least(F.col("covered") / F.col("m"), F.lit(1.0)) <= threshold)
+               .select("site", "node", "feature"))
+    return content.unionByName(nodes.where(F.col("composite") <= threshold)
+                               .select("site", "node", F.lit(None).cast("bigint").alias("feature")))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
