@@ -1,7 +1,8 @@
 """Record validation and output contracts as data.
 
-Strict rules are the source contract: a record that doesn't parse (``type:``)
-or lacks a required field (``required:``). Everything else (signs, order of
+Strict rules are the source contract: a record that doesn't parse (``type:``,
+``syntax:``), lacks a required field (``required:``, ``missing:``, ``absent:``,
+``null:``), or isn't the only one of its kind (``single:``). Everything else (signs, order of
 dates, duplicate ids) is a warning: counted, never raised.
 
 A rule is a named boolean Column that is TRUE when a row violates it. Checks
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from . import contracts
 from ..schemas import (MECHANICS, MIN_UNITS, MOVEMENT_CLASSES, REQUIRED_FIELDS, SEGMENT_MECHANICS,
                        VERDICTS)
 
@@ -47,7 +49,7 @@ def violations(df: DataFrame, table: str, rules: Rules, key: list[str] | None =
             .select(F.lit(table).alias("table"), *key, F.explode("_failed").alias("rule")))
 
 
-STRICT = ("type:", "required:")
+STRICT = ("type:", "required:", "missing:", "absent:", "null:", "syntax:", "single:")
 
 
 def raise_on_violations(counts: DataFrame) -> None:
@@ -94,7 +96,7 @@ def campaign_rules() -> Rules:
 
 def validate_orders(orders: DataFrame) -> DataFrame:
     """Counts per rule over nested orders (ORDER schema); also flags duplicate ids."""
-    dup = (orders.groupBy("id").count().where(F.col("count") > 1)
+    dup = (orders.where(F.col("id").isNotNull()).groupBy("id").count().where(F.col("count") > 1)
            .agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")))
     counts = violation_counts(orders, "orders", {**record_rules(orders), **order_rules()})
     dup_row = dup.select(F.lit("orders").alias("table"), F.lit("unique:id").alias("rule"),
@@ -119,16 +121,27 @@ def validate_campaigns(campaigns: DataFrame) -> DataFrame:
 
 
 def validate_nested(orders: DataFrame) -> DataFrame:
-    """Counts per rule over the campaign records nested in orders and line items:
-    each needs its campaign id."""
-    out = None
-    items = orders.select(F.explode("line_items").alias("li"))
-    for table, lists in (("applied_campaigns", orders.select(F.explode("applied_campaigns").alias("r"))),
-                         ("order_campaigns", orders.select(F.explode("order_campaigns").alias("r"))),
-                         ("campaign_discounts", items.select(F.explode("li.campaign_discounts").alias("r")))):
-        counts = violation_counts(lists, table, {"required:campaignId": F.col("r.campaignId").isNull()})
-        out = counts if out is None else out.unionByName(counts)
-    return out
+    """Counts per list and required field that campaign records nested in orders
+    and line items lack (one walk of the contract, see ``contracts``). Fields
+    that no record lacks have no row."""
+    found = contracts.row_breaches(orders.drop("record_ok"), "orders")
+    parts = F.regexp_extract_all("path", F.lit(r"(\w+)(?:\[\d+\])?"), F.lit(1))
+    inner = (found.select(F.try_element_at(parts, F.lit(-2)).alias("table"), F.concat(F.lit("required:"), F.try_element_at(parts, F.lit(-1))).alias("rule"))
+             .where(F.col("table").isin("applied_campaigns", "order_campaigns", "campaign_discounts")))
+    return counts_as_rules(inner.groupBy("table", "rule").agg(F.count("*").alias("n_violations")))
+
+
+def counts_as_rules(counts: DataFrame) -> DataFrame:
+    """Breach counts in the columns of ``violation_counts``."""
+    return counts.select("table", "rule", F.lit(None).cast("bigint").alias("n_rows"), "n_violations")
+
+
+def single_record(df: DataFrame, table: str) -> DataFrame:
+    """The rule that there is exactly one record; with another number, that many
+    (one at least) count as violations."""
+    return df.agg(F.count("*").alias("n")).select(
+        F.lit(table).alias("table"), F.lit("single:record").alias("rule"), F.col("n").alias("n_rows"),
+        F.when(F.col("n") == 1, F.lit(0)).otherwise(F.greatest("n", F.lit(1))).cast("bigint").alias("n_violations"))
 
 
 # -- derived frames ------------------------------------------------------------------

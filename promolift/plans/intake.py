@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, functions as F
 
+from ..operators import contracts as CT
 from ..operators import flatten as FL
 from ..operators import privacy as PV
 from ..operators import validate as V
+from ..schemas import SHOP_COLUMNS
 from ..session import materialize, remove_staged
 
 
 @dataclass
 class CleanFrames:
-    """Clean tables of one shop, with the rule and audit counts of the intake."""
+    """Clean tables of one shop, with the rule and audit counts of the intake.
+
+    ``breaches`` has a row for each breach of the record contract (table, row_id,
+    path, reason); ``observed`` the records read and rejected per table, counted
+    in the pass that wrote them."""
 
     orders: DataFrame
     lineitems: DataFrame
@@ -23,6 +30,8 @@ class CleanFrames:
     nested_orders: DataFrame
     rule_counts: DataFrame
     audit_counts: DataFrame
+    breaches: DataFrame
+    observed: dict[str, dict[str, int]] = field(default_factory=dict)
     staged: list[str] = field(default_factory=list)
 
     def frames(self) -> dict[str, DataFrame]:
@@ -35,30 +44,55 @@ class CleanFrames:
             self.staged.clear()
 
 
+def _union(parts) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _kept(df: DataFrame, table: str, staged: list[str], observed: dict[str, dict[str, int]]) -> DataFrame:
+    """Records without personal fields and with their breaches, written once."""
+    if CT.RECORD not in df.columns:
+        if table == "orders":
+            df = PV.minimize_orders(df)
+        elif table == "shop":
+            df = df.select(*SHOP_COLUMNS, *[c for c in ("record_ok",) if c in df.columns])
+    seen = Observation(f"intake-{table}")
+    out = CT.listed(df, table).observe(
+        seen, F.count(F.lit(1)).alias("records"), F.count(F.when(F.size(CT.FOUND) > 0, 1)).alias("rejected"))
+    out = materialize(out, f"clean-{table}", staged)
+    observed[table] = dict(seen.get)
+    return out
+
+
 def build_clean_frames(orders: DataFrame, campaigns: DataFrame, shop: DataFrame, strict: bool = True) -> CleanFrames:
     """Drop personal fields, validate every record, flatten, and audit every
     clean frame (line items included) for personal data.
 
-    ``orders`` and ``campaigns`` are export records, with ``record_ok`` where
-    they were read from JSON Lines. Minimized orders are written out once: all
-    columns are parsed, so wrong types show, and rules, audits and flattening
-    read files. ``strict`` raises a ValueError on the first record that doesn't
-    parse or lacks a required field, and on any personal data found; without it
-    the counts say what was found and bad records stay in the frames with nulls.
-    Warnings (signs, date order, duplicate ids) never raise.
+    The three inputs are export records: VARIANT records (``read_records``), or
+    typed rows, with ``record_ok`` where they were read from JSON Lines. Each is
+    read once: its declared columns, without personal fields, are written with
+    the list of its breaches, and rules, audits and flattening read files.
+    ``strict`` raises a ValueError on the first breach of the record contract at
+    any depth, if there isn't exactly one shop, and on any personal data found;
+    without it the counts say what was found and bad values stay in the frames as
+    nulls. Warnings (signs, date order, duplicate ids) never raise.
     """
     staged: list[str] = []
-    nested = materialize(PV.minimize_orders(orders), "clean-orders", staged)
-    camps = materialize(campaigns, "clean-campaigns", staged)
-    rules = V.validate_orders(nested).unionByName(V.validate_lineitems(nested)).unionByName(
-        V.validate_nested(nested)).unionByName(V.validate_campaigns(camps))
-    out = CleanFrames(FL.to_orders(nested), FL.to_lineitems(nested), FL.to_campaigns(camps), PV.minimize_shop(shop),
-                      nested, rules, rules, staged)
-    audit = None
-    for name, df in out.frames().items():
-        counts = PV.pii_value_scan(df, name)
-        audit = counts if audit is None else audit.unionByName(counts)
-    out.audit_counts = audit
+    observed: dict[str, dict[str, int]] = {}
+    given = {"orders": orders, "campaigns": campaigns, "shop": shop}
+    kept = {table: _kept(df, table, staged, observed) for table, df in given.items()}
+    nested, camps, store = (kept[t].drop(CT.FOUND) for t in given)
+    found = _union(CT.listed_breaches(kept[t], t) for t in given)
+    rules = _union([V.validate_orders(nested), V.validate_lineitems(nested), V.validate_campaigns(camps)])
+    by_walk = [t for t in given if CT.RECORD in given[t].columns]
+    if "orders" not in by_walk:
+        rules = rules.unionByName(V.validate_nested(nested))
+    rules = rules.where(~(F.col("rule").startswith("required:") & F.col("table").isin(
+        *by_walk, *(["lineitems"] if "orders" in by_walk else []))))
+    rules = rules.unionByName(V.single_record(store, "shop")).unionByName(V.counts_as_rules(
+        CT.breach_counts(found.where(F.col("table").isin("shop", *by_walk)))))
+    out = CleanFrames(FL.to_orders(nested), FL.to_lineitems(nested), FL.to_campaigns(camps), PV.minimize_shop(store),
+                      nested, rules, rules, found, observed, staged)
+    out.audit_counts = _union(PV.pii_value_scan(df, name) for name, df in out.frames().items())
     if strict:
         try:
             V.raise_on_violations(rules)

@@ -478,6 +478,28 @@ def with_ctes(*fragments: str, select: str) -> str:
 BASE = (ADAPTER, LINE_METRICS)
 
 
+BREACHED = """
+read_orders AS (SELECT *, order_id % 31 <> 0 AND order_id % 37 <> 0 AS readable FROM sh_orders),
+read_lines AS (
+  SELECT l.*, row_number() OVER (PARTITION BY l.order_id ORDER BY l.product_id, l.variant_id, l.title, l.price, l.quantity,
+                                 l.total_discount, l.active_campaign_id NULLS FIRST) - 1 AS pos
+  FROM sh_lines l JOIN read_orders o USING (order_id) WHERE o.readable),
+breach_orders AS (
+  SELECT order_id, CASE WHEN order_id % 37 = 0 THEN 'syntax:' ELSE 'type:' END AS rule FROM read_orders WHERE NOT readable
+  UNION ALL SELECT order_id, 'absent:currency' FROM read_orders WHERE readable AND order_id % 7 = 0
+  UNION ALL SELECT order_id, 'type:total_price' FROM read_orders WHERE readable AND order_id % 11 = 0
+  UNION ALL SELECT order_id, 'null:has_partial_cost' FROM read_orders WHERE readable AND order_id % 13 = 0
+  UNION ALL SELECT order_id, 'null:applied_campaigns' FROM read_orders WHERE readable AND order_id % 17 = 0
+  UNION ALL SELECT order_id, 'absent:order_campaigns[].campaignName' FROM read_orders
+            WHERE readable AND order_id % 2 = 0 AND oc_id = 'k6'),
+breach_lines AS (
+  SELECT order_id, pos, 'absent:line_items[].quantity' AS rule FROM read_lines WHERE order_id % 19 = 0
+  UNION ALL SELECT order_id, pos, 'type:line_items[].variant_id' FROM read_lines WHERE order_id % 23 = 0
+  UNION ALL SELECT order_id, pos, 'null:line_items[].campaign_discounts[].discountAmount' FROM read_lines
+            WHERE order_id % 3 = 0 AND active_campaign_id IN ('k2', 'k4'))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["product_metrics"] = with_ctes(*BASE, PRODUCTS, select="SELECT * FROM products")
@@ -758,6 +780,45 @@ UNION ALL SELECT 'shop', CAST(1 AS BIGINT), CAST(6 AS INTEGER)""")
         return "\nUNION ALL ".join(
             f"SELECT '{table}' AS \"table\", '{r}' AS rule, COUNT(*) AS n_rows, "
             f"COUNT(*) FILTER (WHERE COALESCE({cond}, FALSE)) AS n_violations FROM {frame}" for r, cond in rules)
+    # breaches seeded by order id: a record that is no object (31) or cut off (37) has no others; both: [1] cut off
+    q["intake_breaches"] = with_ctes(*BASE, BREACHED, select="""
+SELECT "table", rule, CAST(SUM(n) AS BIGINT) AS n_violations FROM (
+  SELECT 'orders' AS "table", rule, 1 AS n FROM breach_orders
+  UNION ALL SELECT 'orders', rule, 1 FROM breach_lines
+  UNION ALL SELECT 'shop', rule, n FROM (VALUES
+    ('absent:shopifyDomain', 2), ('absent:country', 1), ('absent:currency', 1), ('absent:planName', 2),
+    ('absent:createdAt', 2), ('type:country', 1), ('null:currency', 1), ('syntax:', 1)) AS t(rule, n))
+GROUP BY 1, 2""")
+    q["intake_breach_rows"] = with_ctes(*BASE, BREACHED, select="""
+SELECT CAST(order_id AS VARCHAR) AS row_id,
+       'line_items[' || CAST(pos AS VARCHAR) || '].' || replace(substr(rule, strpos(rule, '[].') + 3), '[]', '[0]') AS path,
+       split_part(rule, ':', 1) AS reason
+FROM breach_lines""")
+    q["ingest_report"] = with_ctes(*BASE, BREACHED, select="""
+SELECT 'observed' AS section, 'orders' AS "table", 'records' AS item, COUNT(*) AS n FROM sh_orders
+UNION ALL SELECT 'observed', 'orders', 'rejected', COUNT(DISTINCT order_id) FROM (
+  SELECT order_id FROM breach_orders UNION ALL SELECT order_id FROM breach_lines)
+UNION ALL SELECT 'rule', 'orders', rule, COUNT(*) FROM (
+  SELECT rule FROM breach_orders UNION ALL SELECT rule FROM breach_lines) GROUP BY rule
+UNION ALL SELECT 'frame', 'orders', 'rows', COUNT(*) FROM sh_orders
+UNION ALL SELECT 'frame', 'lineitems', 'rows', COUNT(*) FROM read_lines
+UNION ALL SELECT 'audit', 'orders', item, COUNT(*) FILTER (WHERE held)
+FROM (SELECT item, item IN ('applied_campaigns', 'order_campaigns') OR (readable AND (item = 'shop_id' OR order_id % 7 <> 0)) AS held
+      FROM read_orders, (VALUES ('shop_id'), ('currency'), ('applied_campaigns'), ('order_campaigns')) AS i(item)) GROUP BY item
+UNION ALL SELECT 'audit', 'lineitems', item, COUNT(*) FILTER (WHERE (item <> 'currency' OR order_id % 7 <> 0)
+                                                              AND (item <> 'active_campaign_id' OR active_campaign_id IS NOT NULL))
+FROM read_lines, (VALUES ('shop_id'), ('currency'), ('title'), ('active_campaign_id'), ('active_campaign_ids'),
+                         ('campaign_discounts')) AS i(item) GROUP BY item
+UNION ALL SELECT * FROM (VALUES
+  ('observed', 'campaigns', 'records', 9), ('observed', 'campaigns', 'rejected', 0), ('observed', 'shop', 'records', 3),
+  ('observed', 'shop', 'rejected', 3), ('frame', 'campaigns', 'rows', 9), ('frame', 'shop', 'rows', 3),
+  ('rule', 'shop', 'single:record', 3), ('rule', 'shop', 'absent:shopifyDomain', 2), ('rule', 'shop', 'absent:country', 1),
+  ('rule', 'shop', 'absent:currency', 1), ('rule', 'shop', 'absent:planName', 2), ('rule', 'shop', 'absent:createdAt', 2),
+  ('rule', 'shop', 'type:country', 1), ('rule', 'shop', 'null:currency', 1), ('rule', 'shop', 'syntax:', 1),
+  ('audit', 'campaigns', 'id', 9), ('audit', 'campaigns', 'shopId', 9), ('audit', 'campaigns', 'name', 9),
+  ('audit', 'campaigns', 'type', 9), ('audit', 'campaigns', 'status', 9), ('audit', 'shop', 'id', 2),
+  ('audit', 'shop', 'shopifyDomain', 0), ('audit', 'shop', 'country', 0), ('audit', 'shop', 'currency', 0),
+  ('audit', 'shop', 'planName', 0)) AS t(section, "table", item, n)""")
     q["product_profiles"] = with_ctes(*cls, select="""
 SELECT product_id, title, units_sold, revenue, gross_margin_alloc, margin_pct, velocity_per_day, movement_class,
        data_sufficient,

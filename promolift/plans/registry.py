@@ -14,6 +14,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import campaigns as CE
+from ..operators import contracts as CT
 from ..operators import flatten as FL
 from ..operators import privacy as PV
 from ..operators import validate as V
@@ -432,7 +433,7 @@ def q_src_export(spark, sf_dir):
     """Export orders written as JSON Lines, read back with the declared schema,
     minimized and flattened to line items."""
     path = staging_path(spark, "export-orders")
-    EX.write_entity(export_orders(spark, sf_dir), path, "json")
+    EX.write_entity(PV.minimize_orders(export_orders(spark, sf_dir)), path, "json")   # no e-mails on shared storage
     back = EX.read_entity(spark, path, "orders", "json")
     items = FL.to_lineitems(PV.minimize_orders(back))
     return present(items.select("order_id", "product_id", "quantity", "price", "total_discount",
@@ -507,6 +508,53 @@ def q_ingest_clean(spark, sf_dir):
     return out
 
 
+def _records(spark, text: DataFrame, name: str) -> DataFrame:
+    """JSON Lines text written to a folder and read back as VARIANT records."""
+    path = staging_path(spark, name)
+    text.write.text(path)
+    return EX.read_records(spark, path)
+
+
+def _breached_intake(spark, sf_dir):
+    """Intake, not strict, of stand-in records that breach the contract at every level."""
+    return build_clean_frames(_records(spark, tt.breached_order_text(spark, sf_dir), "breached-orders"),
+                              _records(spark, tt.record_text(tt.shop_campaigns(spark).drop("campaign_pos")), "campaigns"),
+                              _records(spark, tt.breached_shop_text(spark), "breached-shop"), strict=False)
+
+
+@register("intake_breaches")
+def q_intake_breaches(spark, sf_dir):
+    """Breaches of the record contract per field and reason, found by walking
+    VARIANT records: absent, null, of another type, no object, no JSON."""
+    return CT.breach_counts(_breached_intake(spark, sf_dir).breaches)
+
+
+@register("intake_breach_rows")
+def q_intake_breach_rows(spark, sf_dir):
+    """Every breach of the orders, by record and path."""
+    found = _breached_intake(spark, sf_dir).breaches
+    return found.where("table = 'orders' AND path LIKE 'line_items[%].%'").select("row_id", "path", "reason")
+
+
+@register("ingest_report")
+def q_ingest_report(spark, sf_dir):
+    """What an intake reports: records read and rejected (counted while they are
+    written), rows per clean frame, violated rules, text values scanned for e-mails."""
+    clean = _breached_intake(spark, sf_dir)
+    seen = spark.createDataFrame(
+        [("observed", t, name, n) for t, counts in clean.observed.items() for name, n in counts.items()],
+        "section string, table string, item string, n bigint")
+    rules = clean.rule_counts.where("n_violations > 0").select(
+        F.lit("rule").alias("section"), "table", F.col("rule").alias("item"), F.col("n_violations").alias("n"))
+    audit = clean.audit_counts.select(
+        F.lit("audit").alias("section"), "table", F.col("column").alias("item"), F.col("n_values").alias("n"))
+    out = seen.unionByName(rules).unionByName(audit)
+    for name, df in clean.frames().items():
+        out = out.unionByName(df.agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit("frame").alias("section"), F.lit(name).alias("table"), F.lit("rows").alias("item"), "n"))
+    return out
+
+
 @register("product_profiles")
 def q_product_profiles(spark, sf_dir):
     prof = V.product_profiles(pipe(spark, sf_dir).classified, MIN_UNITS_DEFAULT)
@@ -596,7 +644,7 @@ def q_stream_line_margin(spark, sf_dir):
     (available-now trigger) into a Parquet line-margin table, read back."""
     from ..streaming.incremental import start_line_margin_ingest
     source = staging_path(spark, "stream-orders")
-    EX.write_entity(export_orders(spark, sf_dir), source, "json")
+    EX.write_entity(PV.minimize_orders(export_orders(spark, sf_dir)), source, "json")
     sink = staging_path(spark, "stream-line-margin")
     start_line_margin_ingest(spark, source, sink).awaitTermination()
     lm = spark.read.parquet(sink)
@@ -606,8 +654,9 @@ def q_stream_line_margin(spark, sf_dir):
 
 @register("pipeline_from_export")
 def q_pipeline_from_export(spark, sf_dir):
-    """End to end from nested export orders: minimize -> flatten (order revenue
-    folded before exploding) -> metrics -> classes -> verdicts -> recommendations."""
-    p = PromoPipeline.from_nested_orders(export_orders(spark, sf_dir), tt.shop_campaigns(spark),
-                                         min_units=MIN_UNITS_DEFAULT)
+    """End to end from nested export orders through the strict intake: minimize ->
+    validate -> flatten (order revenue folded before exploding) -> audit -> metrics
+    -> classes -> verdicts -> recommendations."""
+    p = PromoPipeline.from_export(export_orders(spark, sf_dir), tt.shop_campaigns(spark), tt.shop_record(spark),
+                                  min_units=MIN_UNITS_DEFAULT)
     return present_recs(p.recommendations)

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
-# Nested export document (one JSON object: meta, shop, campaigns[], orders[])
+# Nested export document (one JSON object: meta, shop, campaigns[], orders[]).
+# FIXED VALUES: field names, types and required fields of the wire format.
 # ---------------------------------------------------------------------------
 
 CAMPAIGN_DISCOUNT = T.StructType([
@@ -107,6 +108,9 @@ REQUIRED_FIELDS: dict[str, tuple[str, ...]] = {
                   "total_discount", "compare_at_price"),
     "campaigns": ("id", "shopId", "name", "type", "status", "startAt", "ranAt",
                   "isDeleted", "totalRevenue", "orderCount", "marginPct", "createdAt"),
+    # records of line_items[].campaign_discounts, applied_campaigns and order_campaigns
+    "discounts": ("campaignId", "campaignName", "campaignType", "discountAmount"),
+    "shop": ("id", "shopifyDomain", "country", "currency", "planName", "createdAt"),
 }
 
 # Clean output column orders.

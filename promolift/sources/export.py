@@ -1,6 +1,6 @@
 """Readers for the shop export.
 
-Two intakes:
+Three intakes:
 
 * ``read_export_document`` -- the original single JSON document
   ``{meta, shop, campaigns[], orders[]}`` read with a declared schema. A
@@ -9,6 +9,8 @@ Two intakes:
 * ``read_entity`` -- the scalable path: one JSON Lines (or Parquet) dataset
   per entity (orders with nested line items, campaigns, shop), split across
   tasks like any other file source.
+* ``read_records`` -- the same JSON Lines as VARIANT records, for an intake that
+  says what is wrong with a record and where.
 
 Unknown fields are ignored (the declared schema drives parsing); absent
 optional fields come back null and absent lists are defaulted to [] by the
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.contracts import RECORD
 from ..schemas import CAMPAIGN, EXPORT, ORDER, SHOP
 
 ENTITY_SCHEMAS = {"orders": ORDER, "campaigns": CAMPAIGN, "shop": SHOP}
@@ -46,20 +49,52 @@ def require_path(spark: SparkSession, path: str) -> None:
 def read_export_document(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """One row per export document with columns meta, shop, campaigns, orders.
 
-    With ``check`` the top-level contract is verified: the file exists, and
-    every document has shop, campaigns and orders (a missing key raises a
-    ValueError naming it)."""
+    With ``check`` the top-level contract is verified: the file exists, every
+    file holds one JSON object and nothing else, and every document has shop,
+    campaigns and orders (a missing key raises a ValueError naming it)."""
     require_path(spark, path)
     doc = spark.read.schema(EXPORT).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     if check:
+        check_roots(document_roots(spark, path), path)
         check_top_level(doc, path)
     return doc
 
 
+def document_roots(spark: SparkSession, path: str) -> DataFrame:
+    """(file, root): what each file of single documents holds: ``object``,
+    ``array``, ``scalar``, ``empty``, or ``text`` where it is no JSON value or
+    more than one. A document is one task's work by nature; this reads it once."""
+    files = spark.read.text(path, wholetext=True)
+    text = F.regexp_replace("value", r"^[\s\uFEFF]+", "")
+    inside = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    root = (F.when(text == "", "empty").when(inside.isNull() | (F.size(inside) != 1), "text")
+            .when(text.startswith("{"), "object").when(text.startswith("["), "array").otherwise("scalar"))
+    read = files.select(F.col("_metadata.file_path").alias("_read"), root.alias("root"))
+    listed = spark.createDataFrame([(name,) for name in files.inputFiles()], "file string")   # empty files give no row
+
+    def plain(name):
+        return F.regexp_replace(F.url_decode(name), "^file:/+", "file:/")
+
+    return (listed.join(read, plain("file") == plain("_read"), "left")
+            .select("file", F.coalesce("root", F.lit("empty")).alias("root")))
+
+
+def check_roots(roots: DataFrame, path: str = "") -> None:
+    """Raise ValueError unless there is a file and every file holds one object."""
+    row = roots.agg(F.count("*").alias("n"), F.min(F.when(F.col("root") != "object", F.struct("file", "root"))).alias("bad")).first()
+    if row["bad"] is not None:
+        raise ValueError(f"{row['bad']['file']}: expected one JSON object, found {row['bad']['root']}")
+    if not row["n"]:
+        raise ValueError(f"{path}: no document")
+
+
 def check_top_level(doc: DataFrame, path: str = "") -> None:
     """Raise ValueError naming the first required top-level key that is
-    missing (null) in any document. One small aggregate job."""
-    row = doc.agg(*[F.count(F.when(F.col(k).isNull(), 1)).alias(k) for k in REQUIRED_TOP_LEVEL]).first()
+    missing (null) in any document, or if there is no document. One small
+    aggregate job."""
+    row = doc.agg(F.count("*").alias("_n"), *[F.count(F.when(F.col(k).isNull(), 1)).alias(k) for k in REQUIRED_TOP_LEVEL]).first()
+    if not row["_n"]:
+        raise ValueError(f"{path}: no document")
     for key in REQUIRED_TOP_LEVEL:
         if row[key]:
             raise ValueError(f"{path}: {row[key]} document(s) lack the top-level key '{key}'")
@@ -108,6 +143,15 @@ def read_entity(spark: SparkSession, path: str, entity: str, fmt: str = "json")
     raise ValueError(f"unsupported format {fmt!r}")
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """JSON Lines as they are: one VARIANT column ``record``, null for a line
+    that is no JSON. Splittable like any line file. ``operators.contracts`` tells
+    what is wrong with a record and gives its declared columns; the VARIANT holds
+    personal fields too, so it isn't staged."""
+    require_path(spark, path)
+    return spark.read.option("singleVariantColumn", RECORD).option("mode", "PERMISSIVE").json(path)
+
+
 def write_entity(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Write one entity as JSON Lines (ISO timestamps) or Parquet."""
     writer = df.write.mode("overwrite")

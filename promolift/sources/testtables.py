@@ -228,3 +228,45 @@ def shop_export_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         else:
             cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
     return nested.select(*cols)
+
+
+def _json(df: DataFrame) -> Column:
+    return F.to_json(F.struct(*df.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"}).alias("value")
+
+
+def record_text(df: DataFrame) -> DataFrame:
+    """Records as JSON Lines text (column ``value``); null fields are absent."""
+    return df.select(_json(df))
+
+
+# FIXED VALUES: breaches put into the stand-in order records, as (order ids of
+# which multiple, pattern in the JSON text, replacement).
+ORDER_BREACHES = (
+    (7, '"currency":"USD",', ""),                                        # absent:currency
+    (11, '"total_price":([0-9.E]+)', '"total_price":"$1"'),              # type:total_price
+    (13, '"has_partial_cost":false', '"has_partial_cost":null'),         # null:has_partial_cost
+    (17, '"applied_campaigns":\\[\\]', '"applied_campaigns":null'),        # null:applied_campaigns
+    (19, '"quantity":[0-9]+,', ""),                                      # absent:line_items[].quantity
+    (23, '"variant_id":([0-9]+)', '"variant_id":$1.5'),                  # type:line_items[].variant_id
+    (2, '"campaignName":"Campaign k6",', ""),                            # absent:order_campaigns[].campaignName
+    (3, '("campaignType":"volume","discountAmount":)[0-9.E-]+', "$1null"),  # null:line_items[].campaign_discounts[]...
+    (31, "^.*$", "[1]"),                                                 # type: (no object)
+    (37, "^(.*).$", "$1"),                                               # syntax:
+)
+SHOP_BREACHES = ('{"id":"shop-test"}', '{"id":"shop-test","country":7,"currency":null}', "no json")
+
+
+def breached_order_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export orders as JSON Lines text, without e-mails, with ``ORDER_BREACHES``."""
+    orders = (shop_export_orders(spark, sf_dir).drop("customer_email")
+              .withColumn("line_items", F.sort_array("line_items")))   # a fixed order, so that paths are
+    text = orders.select("id", _json(orders))
+    for every, pattern, new in ORDER_BREACHES:
+        text = text.withColumn("value", F.when(F.col("id") % every == 0, F.regexp_replace("value", pattern, new))
+                               .otherwise(F.col("value")))
+    return text.select("value")
+
+
+def breached_shop_text(spark: SparkSession) -> DataFrame:
+    """Shop records that breach the contract, as JSON Lines text."""
+    return spark.createDataFrame([(r,) for r in SHOP_BREACHES], "value string")
