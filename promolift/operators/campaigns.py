@@ -19,7 +19,8 @@ per campaign and organic line of a touched product, i.e. campaigns x lines
 for shop-wide campaigns): ``baseline_totals`` gets the same sums by
 subtraction and the first/last times from within-product ranks, in work
 linear in organic plus attributed lines. ``baseline_lines`` (the explicit set)
-remains for inspection. Every aggregate is a hash aggregate with map-side
+remains for inspection; ``baseline_runs`` is the same set as runs of ranks, in
+linear size. Every aggregate is a hash aggregate with map-side
 partial sums, and count-distinct of orders shuffles on (campaign, order), so a
 hot campaign never lands its raw rows in one task.
 """
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions.ordered import with_previous
 from ..functions.columns import MONEY, as_double, elapsed_day_span, round_money
 from ..session import materialize
 from ..schemas import (CAP_SHIPPING_BELOW, CAP_SHIPPING_FLOP, CAP_SHIPPING_SUCCESS, CONF_BASELINE_ZERO,
@@ -109,6 +111,51 @@ def rank_within_product(organic_po: DataFrame, staged: list[str] | None = None)
             .drop("_rid", "_part", "_first", "_offset"))
 
 
+def ranked_organic(line_margin: DataFrame, staged: list[str] | None = None) -> DataFrame:
+    """Organic lines added up by (product, order, time): units u, margin m, lines
+    k, and the rank in time within the product. Written once."""
+    organic_po = (line_margin.where(F.col("active_campaign_id").isNull())
+                  .groupBy("product_id", "order_id", "createdAt")
+                  .agg(F.sum("quantity").alias("u"), F.sum("line_margin_alloc").alias("m"),
+                       F.count(F.lit(1)).alias("k")))
+    return materialize(rank_within_product(organic_po, staged), "organic-ranked", staged)
+
+
+def baseline_runs(attributed: DataFrame, ranked: DataFrame, staged: list[str] | None = None) -> DataFrame:
+    """(campaign_id, product_id, first_rank, last_rank): each campaign's baseline
+    as runs of ranks in ``ranked`` (``ranked_organic``). A run ends where an order
+    of the campaign's own interrupts it.
+
+    There are at most as many runs as touched products plus attributed organic
+    rows, whatever the number of baseline lines: linear where ``baseline_lines``
+    is campaigns x lines. Gaps are found with the previous excluded rank in a
+    global sort, so a product that a campaign sold very often is no one task's."""
+    cp = ["campaign_id", "product_id"]
+    touched = attributed.select(*cp).distinct().join(
+        ranked.groupBy("product_id").agg(F.max("rank").alias("n_rank")), "product_id")
+    own = attributed.select("campaign_id", "order_id").distinct()
+    excluded = (ranked.select("product_id", "order_id", "rank").join(own, "order_id")
+                .join(attributed.select(*cp).distinct(), cp, "left_semi").select(*cp, "rank"))
+    marked = with_previous(excluded, cp, "rank", "previous_rank", staged)
+    between = marked.select(*cp, (F.coalesce("previous_rank", F.lit(0)) + 1).alias("first_rank"), (F.col("rank") - 1).alias("last_rank"))
+    after = (touched.join(marked.groupBy(*cp).agg(F.max("rank").alias("_last")), cp, "left")
+             .select(*cp, (F.coalesce("_last", F.lit(0)) + 1).alias("first_rank"), F.col("n_rank").alias("last_rank")))
+    runs = between.unionByName(after).where(F.col("first_rank") <= F.col("last_rank"))
+    return runs.select(*cp, F.col("first_rank").cast(T.LongType()), F.col("last_rank").cast(T.LongType()))
+
+
+def expand_runs(runs: DataFrame, ranked: DataFrame, line_margin: DataFrame) -> DataFrame:
+    """The baseline lines behind ``runs`` (of the campaigns asked for), as
+    ``baseline_lines`` gives them."""
+    ranks = runs.select("campaign_id", "product_id", F.explode(F.sequence("first_rank", "last_rank")).alias("rank"))
+    at = ranks.join(ranked.select("product_id", "rank", "order_id", "createdAt"), ["product_id", "rank"]).select(
+        "campaign_id", F.col("product_id").alias("_p"), F.col("order_id").alias("_o"), F.col("createdAt").alias("_t"))
+    organic = line_margin.select(*LINE_COLS).where(F.col("active_campaign_id").isNull())
+    same = (F.col("product_id").eqNullSafe(F.col("_p")) & F.col("order_id").eqNullSafe(F.col("_o"))
+            & F.col("createdAt").eqNullSafe(F.col("_t")))
+    return organic.join(at, same).select("campaign_id", *LINE_COLS)
+
+
 def baseline_totals(attributed: DataFrame, line_margin: DataFrame, staged: list[str] | None = None) -> DataFrame:
     """Per campaign: baseline units, margin, line count, first/last time --
     the same numbers as aggregating ``baseline_lines`` -- without emitting one
@@ -124,11 +171,7 @@ def baseline_totals(attributed: DataFrame, line_margin: DataFrame, staged: list[
       time is looked up at that rank.
     Work is linear in organic lines plus attributed lines.
     """
-    organic_po = (line_margin.where(F.col("active_campaign_id").isNull())
-                  .groupBy("product_id", "order_id", "createdAt")
-                  .agg(F.sum("quantity").alias("u"), F.sum("line_margin_alloc").alias("m"),
-                       F.count(F.lit(1)).alias("k")))
-    ranked = materialize(rank_within_product(organic_po, staged), "organic-ranked", staged)   # read three times below
+    ranked = ranked_organic(line_margin, staged)   # read three times below
     pairs_cp = attributed.select("campaign_id", "product_id").distinct()
     # totals of the products of each campaign; read twice below
     per_product = materialize(pairs_cp.join(ranked.groupBy("product_id").agg(

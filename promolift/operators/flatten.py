@@ -64,10 +64,11 @@ def to_lineitems(orders: DataFrame, with_order_net: bool = False) -> DataFrame:
     """Nested orders -> lineitems_clean (23 columns), one row per line item.
 
     ``with_order_net`` also carries ``order_net_revenue`` folded from the
-    nested array, so cost allocation needs no order-level aggregation."""
+    nested array, so cost allocation needs no order-level aggregation, and
+    ``first_line``, which marks one line of each order."""
     parent = [F.col(src).alias(dst) for dst, src in PARENT.items()]
     extra = [order_net_from_items(F.col("line_items")).alias("order_net_revenue")] if with_order_net else []
-    exploded = orders.select(*parent, *extra, F.explode("line_items").alias("li"))
+    exploded = orders.select(*parent, *extra, F.posexplode("line_items").alias("_at", "li"))
     item_cols = []
     for c in LINEITEM_COLUMNS:
         if c in PARENT:
@@ -76,9 +77,9 @@ def to_lineitems(orders: DataFrame, with_order_net: bool = False) -> DataFrame:
             item_cols.append(F.coalesce(F.col(f"li.{c}"), F.array().cast(LINE_ITEM[c].dataType)).alias(c))
         else:
             item_cols.append(F.col(f"li.{c}").alias(c))
-    out = exploded.select(*[F.col(c) for c in PARENT], *item_cols,
-                          *([F.col("order_net_revenue")] if with_order_net else []))
-    return out.select(*LINEITEM_COLUMNS, *(["order_net_revenue"] if with_order_net else []))
+    more = [F.col("order_net_revenue"), (F.col("_at") == 0).alias("first_line")] if with_order_net else []
+    out = exploded.select(*[F.col(c) for c in PARENT], *item_cols, *more)
+    return out.select(*LINEITEM_COLUMNS, *(["order_net_revenue", "first_line"] if with_order_net else []))
 
 
 def to_campaigns(campaigns: DataFrame) -> DataFrame:

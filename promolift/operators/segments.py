@@ -59,3 +59,38 @@ def segment_proposals(recs: DataFrame) -> DataFrame:
                 F.concat(F.lit("max_priority_score:"), F.col("max_priority_score").cast("string")),
                 F.concat(F.lit("mechanic:"), F.col("recommended_mechanic"))).alias("supporting_evidence_refs"),
     )
+
+
+def segment_evidence(recs: DataFrame, campaign_refs: DataFrame, k: int = 5) -> DataFrame:
+    """(segment_id, product_ids, evidence_refs): of each segment the ``k`` products
+    with the highest priority score (ties: smaller id, then title), with their
+    scores, and the first ``k`` campaigns behind its recommendations, in input
+    order. ``campaign_refs`` are the campaigns of each policy
+    (``rules.policy_campaign_refs``).
+
+    The limit on the rank is applied in every task before the shuffle, so a
+    segment with most of the products sends ``k`` rows per task, never its
+    members; the lists hold at most 2 ``k`` entries."""
+    def first(df: DataFrame, *order) -> DataFrame:
+        ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy("segment_id").orderBy(*order)))
+        return ranked.where(F.col("_rank") <= k)
+
+    keyed = recs.select(segment_key().alias("segment_id"), "product_id", "title", "priority_score", "policy_id")
+    products = first(keyed, F.desc("priority_score"), "product_id", "title").select(
+        "segment_id", F.lit(0).alias("_kind"), "_rank", "product_id",
+        F.concat(F.lit("product:"), F.col("product_id").cast("string"), F.lit(":"), F.col("priority_score").cast("string")).alias("ref"))
+    policies = keyed.where(F.col("policy_id").isNotNull()).select("segment_id", "policy_id").distinct()
+    campaigns = first(policies.join(campaign_refs, "policy_id").select("segment_id", "pos", "ref").distinct(), "pos", "ref").select(
+        "segment_id", F.lit(1).alias("_kind"), "_rank", F.lit(None).cast("bigint").alias("product_id"), "ref")
+    listed = products.unionByName(campaigns).groupBy("segment_id").agg(
+        F.array_sort(F.collect_list(F.struct("_kind", "_rank", "product_id", "ref"))).alias("_e"))
+    return listed.select(
+        "segment_id", F.transform(F.filter("_e", lambda e: e["_kind"] == 0), lambda e: e["product_id"]).alias("product_ids"),
+        F.transform("_e", lambda e: e["ref"]).alias("evidence_refs"))
+
+
+def with_evidence(proposals: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Proposals with ``product_ids`` and the evidence added to their own refs."""
+    out = proposals.join(evidence, "segment_id", "left")
+    return out.withColumn("supporting_evidence_refs", F.concat(
+        "supporting_evidence_refs", F.coalesce("evidence_refs", F.array().cast("array<string>")))).drop("evidence_refs")

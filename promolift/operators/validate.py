@@ -195,6 +195,16 @@ def segment_rules() -> Rules:
             "non_empty:segment": F.col("n_products") <= 0}
 
 
+def segment_evidence_rules() -> Rules:
+    """The segment contract with evidence: products, impact and refs are given."""
+    def none_in(name):
+        return F.col(name).isNull() | (F.size(name) == 0) | F.exists(name, lambda x: x.isNull())
+
+    return {**segment_rules(), "required:expected_impact": F.col("expected_impact").isNull(),
+            "non_empty:product_ids": none_in("product_ids"),
+            "non_empty:supporting_evidence_refs": none_in("supporting_evidence_refs")}
+
+
 MARGIN_METHOD = "line net revenue less order cost allocated by revenue share"
 CLASS_METHOD = "tertiles of velocity over products with enough units"
 

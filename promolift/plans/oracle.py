@@ -892,4 +892,81 @@ UNION ALL SELECT 'campaign_eval', COUNT(*) FROM campaign_eval
 UNION ALL SELECT 'segments', COUNT(*) FROM segments""")
     q["campaign_mechanics"] = with_ctes(*camp, select=f"""
 SELECT campaign_id, type, verdict, {case_map(CAMPAIGN_TYPE_TO_MECHANIC, "type")} AS mechanic FROM campaign_eval""")
+    q["observed_counts"] = with_ctes(*clearance, select="""
+SELECT 'lines' AS metric, COUNT(*) AS n FROM lr
+UNION ALL SELECT 'clipped_lines', COUNT(*) FILTER (WHERE net_clipped) FROM lr
+UNION ALL SELECT 'orders', COUNT(*) FROM onr
+UNION ALL SELECT 'zero_revenue_orders', COUNT(*) FILTER (WHERE order_net_revenue = 0) FROM onr""")
+    ranked = """
+organic AS (
+  SELECT product_id, order_id, createdAt, row_number() OVER (PARTITION BY product_id ORDER BY createdAt, order_id) AS rank
+  FROM lm WHERE active_campaign_id IS NULL GROUP BY 1, 2, 3),
+surviving AS (
+  SELECT DISTINCT b.campaign_id, b.product_id, o.rank
+  FROM base b JOIN organic o ON b.product_id = o.product_id AND b.order_id = o.order_id AND b.createdAt = o.createdAt),
+islands AS (
+  SELECT *, rank - row_number() OVER (PARTITION BY campaign_id, product_id ORDER BY rank) AS island FROM surviving)
+"""
+    q["baseline_runs"] = with_ctes(*camp, ranked, select="""
+SELECT campaign_id, product_id, CAST(MIN(rank) AS BIGINT) AS first_rank, CAST(MAX(rank) AS BIGINT) AS last_rank
+FROM islands GROUP BY campaign_id, product_id, island""")
+    q["baseline_expanded"] = with_ctes(*camp, select=(
+        f"SELECT campaign_id, {line_cols} FROM base WHERE campaign_id IN ('k4', 'k7')"))
+    evidence = """
+seg_rec AS (
+  SELECT concat_ws('/', movement_class, margin_band, recommended_mechanic) AS segment_id, * FROM recommendations),
+seg_top AS (
+  SELECT segment_id, product_id, 0 AS kind, 'product:' || CAST(product_id AS VARCHAR) || ':' || CAST(priority_score AS VARCHAR) AS ref,
+         row_number() OVER (PARTITION BY segment_id ORDER BY priority_score DESC, product_id, title) AS nth FROM seg_rec),
+seg_camp AS (
+  SELECT segment_id, ref, row_number() OVER (PARTITION BY segment_id ORDER BY campaign_pos, ref) AS nth
+  FROM (SELECT DISTINCT s.segment_id, r.campaign_pos, r.ref FROM (SELECT DISTINCT segment_id, policy_id FROM seg_rec) s
+        JOIN policy_refs p ON p.policy_id = s.policy_id
+        JOIN crefs r ON r.type = p.final_type OR r.verdict IN ('success', 'flop'))),
+seg_all AS (
+  SELECT segment_id, kind, nth, product_id, ref FROM seg_top WHERE nth <= 5
+  UNION ALL SELECT segment_id, 1, nth, NULL, ref FROM seg_camp WHERE nth <= 5)
+"""
+    q["segment_evidence"] = with_ctes(*recs, evidence, select="""
+SELECT segment_id, string_agg(CAST(product_id AS VARCHAR), '|' ORDER BY nth) FILTER (WHERE kind = 0) AS product_ids,
+       string_agg(ref, ';' ORDER BY kind, nth) AS evidence_refs
+FROM seg_all GROUP BY segment_id""")
+    breach = """
+b_cls AS (
+  SELECT * REPLACE (CASE WHEN product_id % 5 <> 0 THEN movement_class ELSE 'steady' END AS movement_class,
+                    CASE WHEN product_id % 7 <> 0 THEN data_sufficient END AS data_sufficient) FROM classified),
+b_prof AS (
+  SELECT * REPLACE (CASE WHEN product_id % 3 <> 0 THEN title END AS title,
+                    CASE WHEN product_id % 11 <> 0 THEN margin_pct END AS margin_pct) FROM b_cls)
+"""
+    q["contract_breaches_derived"] = with_ctes(*recs, seg, breach, select="\nUNION ALL ".join([
+        counts("classified", "b_cls", [
+            ("domain:movement_class", "movement_class NOT IN ('fast', 'medium', 'slow')"),
+            ("required:data_sufficient", "data_sufficient IS NULL")]),
+        counts("profiles", "b_prof", [
+            *[(f"required:{c}", f"{c} IS NULL") for c in ("product_id", "title", "units_sold", "revenue", "gross_margin_alloc",
+                                                          "margin_pct", "velocity_per_day", "data_sufficient")],
+            ("domain:movement_class", "movement_class NOT IN ('fast', 'medium', 'slow')")]),
+        counts("campaign_eval", "campaign_eval", [
+            ("domain:verdict", "type = 'volume'"), ("range:confidence", "type = 'shipping'"),
+            ("required:reason_code", "type = 'general'"), ("non_negative:window_days", "type = 'order'")]),
+        counts("segments", "segments", [
+            ("domain:discount_mechanic", "FALSE"), ("required:segment_id", "FALSE"),
+            ("required:segment_label", "movement_class <> 'fast' AND margin_band <> 'high'"), ("required:rationale", "FALSE"),
+            ("range:priority", "margin_band = 'high'"), ("non_empty:segment", "FALSE"),
+            ("required:expected_impact", "movement_class = 'fast'"), ("non_empty:product_ids", "margin_band = 'high'"),
+            ("non_empty:supporting_evidence_refs", "movement_class = 'fast'")])]))
+    q["bundle_document"] = with_ctes(*recs, seg, select="""
+SELECT 'recommendations' AS section, CAST(product_id AS VARCHAR) AS key, recommended_mechanic AS label,
+       priority_score AS amount FROM recommendations
+UNION ALL SELECT 'campaign_eval', campaign_id, verdict, units_lift_ratio FROM campaign_eval
+UNION ALL SELECT 'segments', segment_id, discount_mechanic, avg_confidence FROM segments""")
+    q["export_outputs"] = with_ctes(*recs, select="""
+SELECT 'orders_clean' AS "table", COUNT(*) AS n_rows, CAST(CAST(SUM(total_price) AS DECIMAL(18,4)) AS DOUBLE) AS total FROM sh_orders
+UNION ALL SELECT 'lineitems_clean', COUNT(*), CAST(SUM(quantity) AS DOUBLE) FROM sh_lines
+UNION ALL SELECT 'campaigns_clean', COUNT(*), CAST(0 AS DOUBLE) FROM sh_campaigns
+UNION ALL SELECT 'product_metrics', COUNT(*), CAST(SUM(units_sold) AS DOUBLE) FROM products
+UNION ALL SELECT 'product_classification', COUNT(*), CAST(SUM(units_sold) AS DOUBLE) FROM classified
+UNION ALL SELECT 'campaign_eval', COUNT(*), CAST(SUM(attributed_orders) AS DOUBLE) FROM campaign_eval
+UNION ALL SELECT 'recommendations', COUNT(*), CAST(SUM(CAST(priority_score AS DECIMAL(18,4))) AS DOUBLE) FROM recommendations""")
     return q

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.quantiles import as_scalar
 from ..operators import campaigns as CE
@@ -45,6 +45,8 @@ class PromoPipeline:
         self.affinity = affinity
         self.materialized = materialized
         self.staged: list[str] = []
+        # lines, clipped_lines, orders (with lines), zero_revenue_orders: counted in the pass that writes line margins
+        self.observed: dict[str, int] = {}
 
     @classmethod
     def from_nested_orders(cls, orders: DataFrame, campaigns: DataFrame, min_units: int = MIN_UNITS,
@@ -87,7 +89,7 @@ class PromoPipeline:
 
     def outputs(self) -> dict[str, DataFrame]:
         """The seven result tables of a run."""
-        return {"orders_clean": self.orders, "lineitems_clean": self.lines.drop("order_net_revenue"),
+        return {"orders_clean": self.orders, "lineitems_clean": self.lines.drop("order_net_revenue", "first_line"),
                 "campaigns_clean": self.campaigns, "product_metrics": self.products,
                 "product_classification": self.classified, "campaign_eval": self.campaign_eval,
                 "recommendations": self.kept_recommendations}
@@ -103,8 +105,24 @@ class PromoPipeline:
 
     @cached_property
     def line_margin(self) -> DataFrame:
-        lm = M.prepare_line_margin(self.lines).select(*M.LINE_MARGIN_COLUMNS)
-        return self._keep(lm, "line-margin")
+        lines, seen_orders = M.compute_line_revenue(self.lines), None
+        if "order_net_revenue" not in lines.columns:
+            seen_orders = Observation("order-revenue")
+            sums = M.order_net_revenue(lines).observe(
+                seen_orders, F.count(F.col("order_id")).alias("orders"),
+                F.count(F.when(F.col("order_id").isNotNull() & (F.col("order_net_revenue") == 0), 1)).alias("zero_revenue_orders"))
+            lines = lines.join(sums, "order_id", "left")
+        seen = Observation("line-margin")
+        counts = [F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("net_clipped"), 1)).alias("clipped_lines")]
+        if "first_line" in lines.columns:   # nested intake: an order is counted at its first line
+            counts += [F.count(F.when(F.col("first_line"), 1)).alias("orders"),
+                       F.count(F.when(F.col("first_line") & (F.col("order_net_revenue") == 0), 1)).alias("zero_revenue_orders")]
+        lm = M.prepare_line_margin(lines.observe(seen, *counts)).select(*M.LINE_MARGIN_COLUMNS)
+        if not self.materialized:
+            return lm
+        out = materialize(lm, "line-margin", self.staged)
+        self.observed = dict(seen.get) | (dict(seen_orders.get) if seen_orders is not None else {})
+        return out
 
     # ``*_plan``: the stage as a lazy plan, for a caller that reads it once;
     # the plain properties are the materialized stages other stages build on.
@@ -160,6 +178,10 @@ class PromoPipeline:
     def segments(self) -> DataFrame:
         return S.segment_proposals(self.kept_recommendations)
 
+    def segments_with_evidence(self, k: int = 5) -> DataFrame:
+        """Segments with their best products and the campaigns behind them."""
+        return S.with_evidence(self.segments(), S.segment_evidence(self.kept_recommendations, self.policy_campaign_refs, k))
+
     def summary(self) -> DataFrame:
         """One row of headline counts over every stage (G16)."""
         recs = self.kept_recommendations

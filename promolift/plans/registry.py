@@ -136,6 +136,15 @@ def q_clearance_allocated_cost(spark, sf_dir):
     return present(alloc.select("order_id", "product_id", "quantity", "line_net_revenue", "allocated_cost"))
 
 
+@register("observed_counts")
+def q_observed_counts(spark, sf_dir):
+    """Lines, clipped lines, orders and orders without revenue, observed while
+    the line margins of the clearance shop are written."""
+    p = PromoPipeline(clearance_lines(spark, sf_dir), tt.shop_orders(spark, sf_dir), tt.shop_campaigns(spark))
+    p.line_margin.schema   # the pass that counts
+    return spark.createDataFrame(sorted(p.observed.items()), "metric string, n bigint")
+
+
 @register("line_margin")
 def q_line_margin(spark, sf_dir):
     lm = M.prepare_line_margin(lines(spark, sf_dir))
@@ -225,6 +234,22 @@ def q_baseline_lines(spark, sf_dir):
     return present(CE.baseline_lines(CE.attributed_lines(p.line_margin, p.orders, p.campaigns), p.line_margin))
 
 
+@register("baseline_runs")
+def q_baseline_runs(spark, sf_dir):
+    """Every campaign's baseline as runs of time ranks within products."""
+    p = pipe(spark, sf_dir)
+    return CE.baseline_runs(CE.attributed_lines(p.line_margin, p.orders, p.campaigns), CE.ranked_organic(p.line_margin))
+
+
+@register("baseline_expanded")
+def q_baseline_expanded(spark, sf_dir):
+    """The runs of two campaigns expanded to their baseline lines."""
+    p = pipe(spark, sf_dir)
+    ranked = CE.ranked_organic(p.line_margin)
+    runs = CE.baseline_runs(CE.attributed_lines(p.line_margin, p.orders, p.campaigns), ranked)
+    return present(CE.expand_runs(runs.where(F.col("campaign_id").isin("k4", "k7")), ranked, p.line_margin))
+
+
 @register("campaign_windows")
 def q_campaign_windows(spark, sf_dir):
     return campaign_measures(spark, sf_dir).select("campaign_id", "window_days", "baseline_days")
@@ -398,6 +423,15 @@ def q_segment_proposals(spark, sf_dir):
     return seg.withColumn("supporting_evidence_refs", F.array_join("supporting_evidence_refs", ";"))
 
 
+@register("segment_evidence")
+def q_segment_evidence(spark, sf_dir):
+    """Best products and campaigns of each segment."""
+    p = pipe(spark, sf_dir)
+    found = S.segment_evidence(p.kept_recommendations, p.policy_campaign_refs, 5)
+    return found.select("segment_id", F.array_join("product_ids", "|").alias("product_ids"),
+                        F.array_join("evidence_refs", ";").alias("evidence_refs"))
+
+
 @register("segment_members")
 def q_segment_members(spark, sf_dir):
     return S.segment_members(pipe(spark, sf_dir).kept_recommendations)
@@ -596,6 +630,33 @@ def q_contract_breaches(spark, sf_dir):
     return V.violation_counts(broken, "recommendations", V.recommendation_rules())
 
 
+@register("contract_breaches_derived")
+def q_contract_breaches_derived(spark, sf_dir):
+    """The profile, class, verdict and segment contracts on rows that break them."""
+    p = pipe(spark, sf_dir)
+    pid, kind = F.col("product_id"), F.col("type")
+    classes = p.classified.withColumns({
+        "movement_class": F.when(pid % 5 != 0, F.col("movement_class")).otherwise("steady"),
+        "data_sufficient": F.when(pid % 7 != 0, F.col("data_sufficient"))})
+    profiles = V.product_profiles(classes.withColumns({
+        "title": F.when(pid % 3 != 0, F.col("title")), "margin_pct": F.when(pid % 11 != 0, F.col("margin_pct"))}), MIN_UNITS_DEFAULT)
+    verdicts = p.campaign_eval.withColumns({
+        "verdict": F.when(kind == "volume", "maybe").otherwise(F.col("verdict")),
+        "confidence": F.when(kind == "shipping", 1.5).otherwise(F.col("confidence")),
+        "reason_code": F.when(kind != "general", F.col("reason_code")),
+        "window_days": F.when(kind == "order", -1).otherwise(F.col("window_days"))})
+    fast, high = F.col("movement_class") == "fast", F.col("margin_band") == "high"
+    segments = p.segments_with_evidence().withColumns({
+        "expected_impact": F.when(~fast, F.col("expected_impact")), "priority": F.when(high, 9).otherwise(F.col("priority")),
+        "product_ids": F.when(~high, F.col("product_ids")).otherwise(F.array().cast("array<bigint>")),
+        "supporting_evidence_refs": F.when(fast, F.array(F.lit(None).cast("string"))).otherwise(F.col("supporting_evidence_refs")),
+        "segment_label": F.when(fast | high, F.col("segment_label"))})
+    return (V.violation_counts(classes, "classified", V.class_rules())
+            .unionByName(V.violation_counts(profiles, "profiles", V.profile_rules()))
+            .unionByName(V.violation_counts(verdicts, "campaign_eval", V.verdict_rules()))
+            .unionByName(V.violation_counts(segments, "segments", V.segment_evidence_rules())))
+
+
 @register("contract_segments")
 def q_contract_segments(spark, sf_dir):
     return V.violation_counts(pipe(spark, sf_dir).segments(), "segments", V.segment_rules())
@@ -638,6 +699,43 @@ def q_bundle_sections(spark, sf_dir):
     return out
 
 
+@register("bundle_document")
+def q_bundle_document(spark, sf_dir):
+    """The results as one JSON document of bounded size, read back record by record."""
+    p = pipe(spark, sf_dir)
+    sections = {"recommendations": p.kept_recommendations, "campaign_eval": p.campaign_eval, "segments": p.segments()}
+    path = staging_path(spark, "document")
+    SK.write_document(sections, path)
+    back = SK.read_document(spark, path, {k: v.schema for k, v in sections.items()})
+
+    def records(name, key, label, amount):
+        return back[name].select(F.lit(name).alias("section"), F.col(key).cast("string").alias("key"),
+                                 F.col(label).alias("label"), F.col(amount).cast("double").alias("amount"))
+
+    return (records("recommendations", "product_id", "recommended_mechanic", "priority_score")
+            .unionByName(records("campaign_eval", "campaign_id", "verdict", "units_lift_ratio"))
+            .unionByName(records("segments", "segment_id", "discount_mechanic", "avg_confidence")))
+
+
+@register("export_outputs")
+def q_export_outputs(spark, sf_dir):
+    """The whole run behind the strict intake, its seven tables written as CSV and
+    read back: rows and a total of each."""
+    p = PromoPipeline.from_export(export_orders(spark, sf_dir), tt.shop_campaigns(spark), tt.shop_record(spark),
+                                  min_units=MIN_UNITS_DEFAULT)
+    paths = p.write_outputs(staging_path(spark, "outputs"))
+    totals = {"orders_clean": "total_price", "lineitems_clean": "quantity", "campaigns_clean": "orderCount",
+              "product_metrics": "units_sold", "product_classification": "units_sold", "campaign_eval": "attributed_orders",
+              "recommendations": "priority_score"}
+    out = None
+    for name, df in p.outputs().items():
+        back = SK.read_csv(spark, paths[name], SK.csv_schema(df))
+        row = back.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col(totals[name]).cast("decimal(20,4)")).cast("double").alias("total"))
+        row = row.select(F.lit(name).alias("table"), "n_rows", "total")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @register("stream_line_margin")
 def q_stream_line_margin(spark, sf_dir):
     """Export orders as JSON Lines files, ingested by a Structured Streaming run

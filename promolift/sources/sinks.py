@@ -13,6 +13,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -102,3 +104,37 @@ def write_bundle(sections: dict[str, DataFrame], path: str) -> dict[str, str]:
 def read_bundle(spark: SparkSession, paths: dict[str, str], schemas: dict[str, T.StructType]) -> dict[str, DataFrame]:
     """Read the sections of a bundle back with their schemas."""
     return {name: spark.read.schema(schemas[name]).options(**JSON_OPTIONS).json(p) for name, p in paths.items()}
+
+
+DOCUMENT_BYTES = 64 << 20  # largest result that is written as one document
+
+
+def write_document(sections: dict[str, DataFrame], path: str, max_bytes: int = DOCUMENT_BYTES) -> int:
+    """Write the sections as one JSON document ``{section: [records]}`` and return
+    its size in bytes. The records are added up first: beyond ``max_bytes`` a
+    ValueError is raised and nothing written, as one document is one task's work
+    (``write_bundle`` has no bound). Records are ordered by their text."""
+    if not sections:
+        raise ValueError("a document needs a section")
+    records = {name: json_records(df) for name, df in sections.items()}
+    size = 2
+    for name, found in records.items():
+        row = found.agg(F.coalesce(F.sum(F.octet_length("record")), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+        size += row["bytes"] + row["n"] + len(name) + 6
+    if size > max_bytes:
+        raise ValueError(f"a document of {size} bytes exceeds the {max_bytes} allowed: write the sections as a bundle")
+    parts = []
+    for i, (name, found) in enumerate(records.items()):
+        listed = found.agg(F.array_join(F.array_sort(F.collect_list("record")), ",").alias("records")).scalar()
+        parts += [F.lit(f'{"," if i else ""}{json.dumps(name)}:['), listed, F.lit("]")]
+    spark = next(iter(sections.values())).sparkSession
+    document = spark.range(1).select(F.concat(F.lit("{"), *parts, F.lit("}")).alias("value"))
+    document.coalesce(1).write.mode("overwrite").text(path)
+    return size
+
+
+def read_document(spark: SparkSession, path: str, schemas: dict[str, T.StructType]) -> dict[str, DataFrame]:
+    """The sections of a document, one row per record."""
+    whole = T.StructType([T.StructField(n, T.ArrayType(s)) for n, s in schemas.items()])
+    doc = spark.read.schema(whole).options(**JSON_OPTIONS).option("multiLine", True).json(path)
+    return {name: doc.select(F.explode(name).alias("r")).select("r.*") for name in schemas}
