@@ -27,6 +27,54 @@ def test_factor_one_is_exact(dim, leaf):
     assert (np.diff(d, axis=1) >= 0).all()
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3])
+def test_factor_one_is_exact_on_grids(dim):
+    """Many equal distances whose computed differences don't come out equal."""
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        points = rng.integers(0, 60, (400, dim)) / 1000 + 0.001
+        ids = rng.permutation(400)
+        _, i = V.walk(points, ids, points[::4], ids[::4], 5, 1.0, 4)
+        assert {int(q): row.tolist() for q, row in zip(ids[::4], i)} == brute(points, ids, points[::4], ids[::4], 5)
+
+
+def test_limits_keep_what_is_within():
+    rng = np.random.default_rng(3)
+    points, ids = rng.normal(size=(900, 5)), np.arange(900)
+    full, wanted = V.walk(points, ids, points[:50], ids[:50], 10, 1.0, 8)
+    d, i = V.walk(points, ids, points[:50], ids[:50], 10, 1.0, 8, limits=full[:, -1])
+    assert (i == wanted).all() and (d == full).all()
+
+
+@pytest.mark.parametrize("dim", [1, 3, 24])
+def test_regions_lose_nothing(spark, dim):
+    """Factor one over many regions, shards and blocks equals all pairs; ids repeat with other vectors."""
+    rng = np.random.default_rng(dim)
+    centres = 4 * rng.normal(size=(12, dim))
+    points = np.round(centres[rng.integers(0, 12, 1200)] + rng.normal(size=(1200, dim)), 2) + 0.005
+    ids = rng.integers(0, 900, 1200)
+    table = {(int(i), tuple(p.tolist())) for i, p in zip(ids, points)}
+    df = spark.createDataFrame([(i, list(p)) for i, p in table] * 2, "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in V.nearest(df.where("vec_id % 10 = 0"), df, k=7, relax=1.0, shard_rows=40, block_rows=16).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    rows = sorted(table)
+    at, names = np.array([p for _, p in rows]), np.array([i for i, _ in rows])
+    want = {}
+    for n, (i, p) in enumerate(rows):
+        if i % 10 == 0:
+            d = np.sqrt(((at - np.array(p)) ** 2).sum(1))
+            order = [j for j in np.lexsort((names, d)) if j != n][:7]
+            want.setdefault(i, []).extend((k + 1, float(d[j]), int(names[j])) for k, j in enumerate(order))
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}
+
+
+def test_vectors_of_one_id_are_rows(spark):
+    df = spark.createDataFrame([(1, [0.5]), (1, [1.0]), (2, [0.1])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in V.nearest(df.where("vec_id = 2"), df).collect())
+    assert got == [(2, 1, 1, 0.4), (2, 2, 1, 0.9)]
+
+
 def test_relaxed_walks_skip_work_and_keep_recall():
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(20, 16))
