@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 GRAM = 3
 WINDOW = 2
-BAND = 6
+LEAST_BAND = 2
 MAX_TEMPLATE_WORDS = 200_000  # of all templates; more are refused
 
 # Wording of public licence notices.
@@ -61,6 +61,13 @@ TEMPLATES = {
 WORD = r"[^\W_]+"
 
 
+def band_of(template: list[int]) -> int:
+    """Words by which an alignment may leave its diagonal: a quarter of the
+    template, so that a long notice may have as many words put into it, and less
+    than any template's length, so that the next copy of a notice is out of reach."""
+    return max(LEAST_BAND, len(template) // 4)
+
+
 def align(template: list[int], words: list[int], band: int):
     """Banded alignment of a template with a stretch of words that begins
     ``band`` words before the template's expected place: the most template words
@@ -145,31 +152,33 @@ class Index:
         """[(template name, coverage, first and last character, end exclusive)]."""
         from itertools import repeat
 
-        lowered = (text or "").lower()
-        found = self.word.findall(lowered)
+        text = text or ""
+        lowered = text.lower()
+        if len(lowered) == len(text):
+            found = self.word.findall(lowered)
+        else:  # a letter whose lower case is longer: words and places of the text itself
+            lowered = text
+            found = [w.lower() for w in self.word.findall(text)]
         ids = list(map(self.vocabulary.get, found, repeat(0)))
-        places: dict[tuple[int, int], set[int]] = {}
+        starts: dict[int, set[int]] = {}
         for at, gram in self.fingerprints(ids):
             for t, place in self.entries.get(gram, ()):
-                places.setdefault((t, (at - place) // BAND), set()).add(at - place)
-        if not places:
-            return []
+                starts.setdefault(t, set()).add(at - place)
         out = {}
-        for (t, _), starts in places.items():
-            template = self.words[t]
-            for start in {min(starts), max(starts)}:
-                begin = start - BAND
-                stretch = [0] * max(0, -begin) + ids[max(0, begin):start + len(template) + BAND]
-                matched, first, last = align(template, stretch, BAND)
+        for t, mine in starts.items():
+            template, band = self.words[t], band_of(self.words[t])
+            for start in mine:
+                begin = start - band
+                stretch = [0] * max(0, -begin) + ids[max(0, begin):max(0, start + len(template) + band)]
+                matched, first, last = align(template, stretch, band)
                 if matched / len(template) >= min_coverage:
-                    first, last = first + begin, last + begin
-                    out[t, first, last] = matched / len(template)
+                    out[t, first + begin, last + begin] = matched / len(template)
         if not out:
             return []
         spans = [m.span() for m in self.word.finditer(lowered)]
-        # of overlapping matches of one template the best one stays
+        # of overlapping matches of one template the best one stays, of equal ones the tightest
         kept = []
-        for (t, first, last), coverage in sorted(out.items(), key=lambda x: (x[0][0], -x[1], x[0][1], x[0][2])):
+        for (t, first, last), coverage in sorted(out.items(), key=lambda x: (x[0][0], -x[1], x[0][2] - x[0][1], x[0][1])):
             if not any(k[0] == t and first <= k[3] and k[2] <= last for k in kept):
                 kept.append((t, coverage, first, last))
         return sorted((self.names[t], c, spans[a][0], spans[b][1]) for t, c, a, b in kept)

@@ -31,6 +31,29 @@ def test_edited_and_absent(spark):
     assert [g[1] for g in got if g[0] == 5] == ["gpl-3.0"]
 
 
+def test_repeated_notices_are_all_found(spark):
+    names = ["all-rights-reserved", "mit", "gpl-3.0", "mit-text"]
+    rows = [(10 * i + n, " ".join([L.TEMPLATES[name]] * n)) for i, name in enumerate(names) for n in (1, 2, 3, 4, 6)]
+    got = found(spark, rows)
+    for i, name in enumerate(names):
+        for n in (1, 2, 3, 4, 6):
+            mine = [g for g in got if g[0] == 10 * i + n and g[1] == name]
+            assert len(mine) == n and all(g[2] == 1.0 for g in mine)
+            assert all(a[4] <= b[3] for a, b in zip(mine, mine[1:]))
+
+
+def test_words_put_into_a_long_notice(spark):
+    words = L.TEMPLATES["mit-text"].split()
+    for extra in (10, 20):
+        text = " ".join(words[:45] + ["added"] * extra + words[45:])
+        assert [(g[1], g[2]) for g in found(spark, [(1, text)]) if g[1] == "mit-text"] == [("mit-text", 1.0)]
+
+
+def test_spans_are_places_of_the_text(spark):
+    rows = [(i, "İ" * i + " before. " + L.TEMPLATES["mit"]) for i in range(5)]
+    assert [rows[g[0]][1][g[3]:g[4]] for g in found(spark, rows) if g[1] == "mit"] == [L.TEMPLATES["mit"].rstrip(".")] * 5
+
+
 def test_equals_plain_search_on_documents(tables):
     """Notices in the test documents are verbatim, so plain search finds the same ones."""
     rows = [tuple(r) for r in tables["documents"].select("doc_id", "text").collect()]
