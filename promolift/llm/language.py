@@ -14,9 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SAMPLE = 200  # texts up to SAMPLE_BYTES of each language that are looked at for its dictionary
 SAMPLE_BYTES = 8192  # larger texts are used where those don't fill it
 DICTIONARY = 110_000  # bytes of each dictionary at most
-LEVEL = 3
-SHORT = 2048  # texts up to this size are compressed with ...
-SHORT_LEVEL = 19
+LEVEL = 12  # of every text, so that sizes and margins compare
 UNKNOWN = "und"
 MARKS = dict.fromkeys(map(ord, "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 
@@ -78,24 +76,19 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
         import regex
         import zstandard
 
-        def compressors(level):
-            made = []
-            for _, raw in shared.value:
-                data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                data.precompute_compress(level=level)
-                made.append(zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False,
-                                                     write_dict_id=False, write_checksum=False))
-            return made
-
-        names = [name for name, _ in shared.value]
-        long, short = compressors(LEVEL), compressors(SHORT_LEVEL)
+        names, compressors = [name for name, _ in shared.value], []
+        for _, raw in shared.value:
+            data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            data.precompute_compress(level=LEVEL)
+            compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False,
+                                                        write_dict_id=False, write_checksum=False))
         letter = regex.compile(r"\p{L}")
 
         def one(text):
             if not names or text is None or not letter.search(text):
                 return UNKNOWN, 0.0
             data = text.lower().translate(MARKS).encode("utf-8", "replace")
-            sizes = [len(c.compress(data)) for c in (short if len(data) <= SHORT else long)]
+            sizes = [len(c.compress(data)) for c in compressors]
             order = sorted(range(len(names)), key=sizes.__getitem__)
             if len(order) == 1:
                 return names[0], 1.0
