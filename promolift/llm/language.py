@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SAMPLE = 200  # texts up to SAMPLE_BYTES of each language that are looked at for its dictionary
 SAMPLE_BYTES = 8192  # larger texts are used where those don't fill it
 DICTIONARY = 110_000  # bytes of each dictionary at most
-LEVEL = 12  # of every text, so that sizes and margins compare
+LEVEL = 6  # of every text, so that sizes and margins compare
 UNKNOWN = "und"
 MARKS = dict.fromkeys(map(ord, "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 
