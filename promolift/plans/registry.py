@@ -476,12 +476,12 @@ def q_src_export(spark, sf_dir):
 
 @register("pii_minimize")
 def q_pii_minimize(spark, sf_dir):
-    """E-mail scan of order text columns before and after minimization."""
+    """E-mail scan of every text-bearing column, nested ones as JSON text, of the
+    orders before and after minimization and of the line items."""
     raw = export_orders(spark, sf_dir)
-    clean = FL.to_orders(PV.minimize_orders(raw))
-    text = ["shop_id", "currency"]
-    return (PV.pii_value_scan(raw.select(*text, "customer_email"), "orders_raw")
-            .unionByName(PV.pii_value_scan(clean.select(*text), "orders_clean")))
+    clean = PV.minimize_orders(raw)
+    return (PV.pii_value_scan(raw, "orders_raw").unionByName(PV.pii_value_scan(FL.to_orders(clean), "orders_clean"))
+            .unionByName(PV.pii_value_scan(FL.to_lineitems(clean), "lineitems_clean")))
 
 
 @register("pii_column_audit")
