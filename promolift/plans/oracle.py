@@ -971,4 +971,6 @@ UNION ALL SELECT 'product_metrics', COUNT(*), CAST(SUM(units_sold) AS DOUBLE) FR
 UNION ALL SELECT 'product_classification', COUNT(*), CAST(SUM(units_sold) AS DOUBLE) FROM classified
 UNION ALL SELECT 'campaign_eval', COUNT(*), CAST(SUM(attributed_orders) AS DOUBLE) FROM campaign_eval
 UNION ALL SELECT 'recommendations', COUNT(*), CAST(SUM(CAST(priority_score AS DECIMAL(18,4))) AS DOUBLE) FROM recommendations""")
+    q["input_positions"] = with_ctes(*BASE, select=(
+        "SELECT order_id, row_number() OVER (ORDER BY order_id) - 1 AS pos FROM sh_orders"))
     return q

@@ -474,6 +474,15 @@ def q_src_export(spark, sf_dir):
                                 "createdAt", "active_campaign_id"))
 
 
+@register("input_positions")
+def q_input_positions(spark, sf_dir):
+    """Export orders written in the order of their ids as JSON Lines in many
+    files, and the place of each found again while they are read in splits."""
+    path = staging_path(spark, "ordered-orders")
+    EX.write_entity(PV.minimize_orders(export_orders(spark, sf_dir)).orderBy("id"), path, "json")
+    return EX.read_entity(spark, path, "orders", position="pos").select(F.col("id").alias("order_id"), "pos")
+
+
 @register("pii_minimize")
 def q_pii_minimize(spark, sf_dir):
     """E-mail scan of every text-bearing column, nested ones as JSON text, of the

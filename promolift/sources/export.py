@@ -19,10 +19,11 @@ flatten step.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..operators.contracts import RECORD
-from ..schemas import CAMPAIGN, EXPORT, ORDER, SHOP
+from ..schemas import CAMPAIGN, EXPORT, ORDER, ORDER_PII_KEY, SHOP, SHOP_PII_KEYS
+from ..session import materialize
 
 ENTITY_SCHEMAS = {"orders": ORDER, "campaigns": CAMPAIGN, "shop": SHOP}
 REQUIRED_TOP_LEVEL = ("shop", "campaigns", "orders")
@@ -125,8 +126,35 @@ def with_record_ok(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("record_ok", F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
-def read_entity(spark: SparkSession, path: str, entity: str, fmt: str = "json") -> DataFrame:
+PERSONAL = frozenset((ORDER_PII_KEY, *SHOP_PII_KEYS))
+
+
+def with_input_position(read: DataFrame, name: str, staged: list[str] | None = None) -> DataFrame:
+    """``read`` (rows straight from a file source) with the place of each row in
+    the input, from 0: files in the order of their paths, rows in that of the
+    file, however the input is split.
+
+    A row's place is the number of rows in earlier splits, from a table with one
+    row per split, plus its place in its own. The rows are written once, without
+    personal fields, so that ids and counts are of one reading; the path is added
+    to ``staged``."""
+    kept = [c for c in read.columns if c not in PERSONAL and c != "_metadata"]
+    rows = materialize(read.select(
+        *kept, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_row")), "positioned", staged)
+    splits = rows.groupBy("_file", "_start").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)   # one row per split
+    splits = splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return (rows.join(F.broadcast(splits), ["_file", "_start"])
+            .select(*kept, (F.col("_before") + F.col("_row") - F.col("_first")).cast("bigint").alias(name)))
+
+
+def read_entity(spark: SparkSession, path: str, entity: str, fmt: str = "json", position: str | None = None,
+                staged: list[str] | None = None) -> DataFrame:
     """One entity of the export as a splittable dataset (JSON Lines or Parquet).
+    ``position`` names a column for each record's place in the input
+    (``campaign_pos``: evidence then names campaigns in input order); personal
+    fields are then dropped.
 
     JSON Lines come with ``record_ok``. Spark parses only the columns a query
     reads, so write all columns out (``build_clean_frames`` does) before relying
@@ -135,12 +163,18 @@ def read_entity(spark: SparkSession, path: str, entity: str, fmt: str = "json")
         raise ValueError(f"unknown entity {entity!r}; expected one of {sorted(ENTITY_SCHEMAS)}")
     require_path(spark, path)
     schema = ENTITY_SCHEMAS[entity]
+    if fmt not in ("json", "parquet"):
+        raise ValueError(f"unsupported format {fmt!r}")
     if fmt == "json":
-        return with_record_ok(spark.read.schema(corrupt_schema(schema)).option("mode", "PERMISSIVE")
-                              .option("columnNameOfCorruptRecord", CORRUPT).json(path))
-    if fmt == "parquet":
-        return spark.read.schema(schema).parquet(path)
-    raise ValueError(f"unsupported format {fmt!r}")
+        read = (spark.read.schema(corrupt_schema(schema)).option("mode", "PERMISSIVE")
+                .option("columnNameOfCorruptRecord", CORRUPT).json(path))
+    else:
+        read = spark.read.schema(schema).parquet(path)
+    if position is not None:
+        # the text of corrupt records may hold personal data: only the flag is written
+        flag = [F.col(CORRUPT).isNull().alias("record_ok")] if fmt == "json" else []
+        return with_input_position(read.select(*schema.names, *flag, "_metadata"), position, staged).drop("_metadata")
+    return with_record_ok(read) if fmt == "json" else read
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

@@ -250,6 +250,36 @@ def test_personal_data_in_lines_and_campaigns_raises(spark):
         _frames(spark, MINIMAL["orders"], [dict(PROMO, orderCount="many")])
 
 
+@pytest.mark.parametrize("n_files, split", [(1, 1 << 27), (1, 600), (9, 1 << 27), (9, 600)])
+def test_input_positions(spark, n_files, split):
+    """Places in the input don't depend on files, splits or partitions."""
+    folder = tempfile.mkdtemp(prefix="promolift-test-")
+    rows = [dict(PROMO, id=f"p-{(7 * k) % 60}") for k in range(60)]
+    for n in range(n_files):
+        part = rows[n * 60 // n_files:(n + 1) * 60 // n_files]
+        with open(os.path.join(folder, f"part-{n:03d}.json"), "w") as fh:
+            fh.write("".join(json.dumps(r) + "\n" for r in part))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, split)
+        staged = []
+        read = EX.read_entity(spark, folder, "campaigns", position="campaign_pos", staged=staged)
+        got = [r.id for r in read.orderBy("campaign_pos").collect()]
+        places = sorted(r.campaign_pos for r in read.collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == [r["id"] for r in rows] and places == list(range(60)) and len(staged) == 1
+    assert "campaign_pos" in FL.to_campaigns(read).columns and read.where("record_ok").count() == 60
+
+
+def test_positions_drop_personal_fields(spark):
+    read = EX.read_entity(spark, _lines(MINIMAL["orders"]), "orders", position="pos")
+    assert "customer_email" not in read.columns
+    assert [r.id for r in read.orderBy("pos").collect()] == [o["id"] for o in MINIMAL["orders"]]
+
+
 def test_stream_sets_bad_orders_aside(spark):
     from promolift.streaming.incremental import start_line_margin_ingest, start_quarantine_ingest
     source = os.path.dirname(_lines([*MINIMAL["orders"], _order(8, line_items="no list"), "{broken",
