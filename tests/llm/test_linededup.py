@@ -108,14 +108,41 @@ def test_every_common_run_of_random_documents_goes(spark):
             at = rng.randrange(len(pool) - 5)
             lines += pool[at:at + rng.randint(2, 5)]
         rows.append((doc, lines))
-    out = result(frame(spark, [(d, "\n".join(x)) for d, x in rows]))
+    docs = frame(spark, [(d, "\n".join(x)) for d, x in rows])
+    out = result(docs)
+    cuts = {r.doc["_id"]: r.ranges for r in L.deletions(L.profiles(docs)).collect()}
     want = brute(rows, 50)
-    for doc, lines in rows:
-        left = out[doc].text.split("\n") if out[doc].n_deleted < out[doc].n_lines else []
-        must = [x for i, x in enumerate(lines) if i not in want[doc]]
-        # whatever stays holds no line of a common run beyond those that stayed elsewhere in it
-        assert len(left) >= len(must) - 0 or set(left) <= set(lines)
-        assert out[doc].n_deleted <= len(want[doc]) and (out[doc].n_deleted > 0) == bool(want[doc])
+    assert any(want.values()) and not all(want.values())
+    for n, (doc, lines) in enumerate(rows):
+        gone = {i for r in cuts.get(doc, []) for i in range(r["first"], r["last"] + 1)}
+        assert gone <= want[doc]  # only lines of common runs go
+        assert out[doc].text == "\n".join(x for i, x in enumerate(lines) if i not in gone) and out[doc].n_deleted == len(gone)
+        # and no run of that size stays: what goes is replaced by a line that no document has
+        stays = [f"gone {doc} {i}" if i in gone else x for i, x in enumerate(lines)]
+        assert not brute([*rows[:n], (doc, stays)], 50)[doc]
+
+
+def test_many_owners_make_few_rows(spark):
+    passages = [line(f"p{k}x", 55) for k in range(200)]
+    docs = frame(spark, [*enumerate(passages), (1000, "\n".join(passages))])
+    profile = L.profiles(docs)
+    hits = L.deletions(profile)
+    assert [len(r.ranges) for r in hits.collect()] == [200]
+    out = result(docs)[1000]
+    assert out.text == "" and out.owners == list(range(200))
+
+
+def test_repeated_lines_are_aligned_in_near_linear_time():
+    import random as r
+    import time
+
+    rng = r.Random(5)
+    for make, common in ((lambda i: i % 2, True), (lambda i: rng.randrange(3), False), (lambda i: 0, True), (lambda i: i % 1000, True)):
+        a, b = [make(i) for i in range(50_000)], [make(i + 1) for i in range(50_000)]
+        pairs = [(2, [i for i, x in enumerate(a) if x == v], [i for i, x in enumerate(b) if x == v]) for v in sorted(set(a) & set(b))]
+        start = time.time()
+        assert bool(L.aligned(pairs, 50)) == common  # random lines share no run of 25
+        assert time.time() - start < 20
 
 
 @settings(max_examples=200, deadline=None)
