@@ -23,6 +23,7 @@ from .common import cut, worker_cache
 CAPACITY = 4096
 END = 1
 CACHE = 500_000  # words, and chunks, whose ids a Python worker keeps, give or take one call's
+KEPT_LENGTH = 64  # characters of a word or chunk that is kept at most
 
 
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id",
@@ -31,9 +32,10 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col:
     piece's number among those of its length in its partition.
 
     A row's ids are those that ``tokenizers`` gives its whole text with the
-    file ``tokenizer``, then id 1; a null text counts as empty. The tokenizer
-    drops white space and never joins across it, so texts are split at blanks
-    and line ends and each worker keeps the ids of frequent words.
+    file ``tokenizer``, then id 1; a null text counts as empty. Where its parts
+    say that it lower-cases, drops white space and never joins across it
+    (``_splits_at_blanks``), texts are split at blanks and line ends and each
+    worker keeps the ids of frequent words; others get whole texts.
     """
 
     def run(batches):
@@ -68,31 +70,78 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col:
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, nth bigint")
 
 
+def _parts(node: dict | None, inner: str) -> list[dict]:
+    """The steps of a tokenizer's normalizer or pre-tokenizer, in order."""
+    if not node:
+        return []
+    return [x for n in node[inner] for x in _parts(n, inner)] if node["type"] == "Sequence" else [node]
+
+
+def _splits_at_blanks(spec: dict) -> bool:
+    """True if a tokenizer (its JSON form) surely gives a text the ids of its
+    chunks between blanks and line ends, one after another, and ids of a word of
+    letters whatever its case: normalized by composition, white space to a blank
+    and lower case only, split by a pattern whose matches alone stay and hold
+    runs of letters and no white space, words ended by ``</w>``, and no added
+    token that holds white space or takes it from beside it."""
+    normal = [(n["type"], (n.get("pattern") or {}).get("Regex"), n.get("content")) for n in _parts(spec.get("normalizer"), "normalizers")]
+    if [n[0] for n in normal if n[0] != "NFC"] not in (["Replace", "Lowercase"], ["Lowercase"]):
+        return False
+    if any(n[0] == "Replace" and n[1:] != ("\\s+", " ") for n in normal):
+        return False
+    split, *rest = _parts(spec.get("pre_tokenizer"), "pretokenizers") or [{"type": None}]
+    pattern = (split.get("pattern") or {}).get("Regex") or ""
+    branches = set(pattern.split("|"))
+    plain = {b for b in branches if not set(b) & set("[]\\.(){}^$*+?")}
+    if (split["type"], split.get("behavior"), split.get("invert")) != ("Split", "Removed", True):
+        return False
+    if branches - plain != {"[\\p{L}]+", "[\\p{N}]", "[^\\s\\p{L}\\p{N}]+"} or any(c.isspace() for b in plain for c in b):
+        return False
+    if any(r["type"] != "ByteLevel" or r.get("use_regex") or r.get("add_prefix_space") for r in rest):
+        return False
+    model = spec["model"]
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>" or model.get("dropout"):
+        return False
+    return not spec.get("post_processor") and not spec.get("truncation") and not spec.get("padding") and not any(
+        t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"])
+        for t in spec.get("added_tokens") or [])
+
+
 def _encoder(path: str):
     """texts -> their ids as little-endian 32-bit numbers. The worker process
-    keeps the ids of up to ``CACHE`` chunks and words; new words of a call are
-    tokenized together, as words between blanks don't affect each other."""
+    keeps the ids of up to ``CACHE`` chunks and words of up to ``KEPT_LENGTH``
+    characters; new words of a call are tokenized together, as words between
+    blanks don't affect each other. A tokenizer of another kind gets whole texts."""
     kept_here = worker_cache()
     if path in kept_here:
         return kept_here[path]
+    import json
     import re
 
     import numpy as np
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
     # letters whose lower case and composition are one to one, then plain punctuation
     plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)\\Z")
 
     def ask(text):
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    if not _splits_at_blanks(json.loads(tokenizer.to_str())):
+        kept_here[path] = lambda texts: [ask(t) for t in texts]
+        return kept_here[path]
+
     class Kept(dict):
         def __init__(self, make):
             self.make = make
 
         def __missing__(self, key):
-            ids = self[key] = self.make(key)
+            ids = self.make(key)
+            if len(key) <= KEPT_LENGTH:
+                self[key] = ids
             return ids
 
     words = Kept(ask)
@@ -128,7 +177,7 @@ def _encoder(path: str):
         new = set()
         for s in split:
             new.update(filterfalse(chunks.__contains__, s))
-        learn(list({m[1].lower() for m in map(plain.match, new) if m} - words.keys()))
+        learn(list({m[1].lower() for m in map(plain.match, new) if m and len(m[1]) <= KEPT_LENGTH} - words.keys()))
         return [b"".join(map(chunks.__getitem__, s)) for s in split]
 
     kept_here[path] = encode

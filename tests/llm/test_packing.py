@@ -99,3 +99,36 @@ def test_encoder_equals_the_tokenizer(monkeypatch):
     encode = P._encoder(PATH)
     for text, ids in zip(texts, encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_those_of_whole_texts_for_any_tokenizer(name):
+    path = PATH.replace("word_bpe_49k.json", name)
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["The quick  brown fox's den, 2024!\n\nÉtude İß \u00a0x", "", "  lead and trail \n", "<|endoftext|> a<|endoftext|>b",
+             "漢字" * 300 + " " + "x" * 300, "e\u0301 don't I'LL 3.14\t\u2028end \u200b", "a" * 65 + " " + "B" * 64]
+    encode = P._encoder(path)
+    for _ in range(2):  # the second time from what the worker keeps
+        for text, ids in zip(texts, encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_only_tokenizers_known_to_split_at_blanks_are_split():
+    import json
+
+    spec = json.load(open(PATH))
+    assert P._splits_at_blanks(spec)
+    for change in ({"normalizer": None}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "WhitespaceSplit"}},
+                   {"model": spec["model"] | {"end_of_word_suffix": None}},
+                   {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]},
+                   {"added_tokens": [spec["added_tokens"][0] | {"content": "two words"}]}):
+        assert not P._splits_at_blanks(spec | change), change
+
+
+def test_long_chunks_are_not_kept():
+    encode = P._encoder(PATH)
+    kept = encode.__closure__
+    sizes = lambda: [len(c.cell_contents) for c in kept if isinstance(c.cell_contents, dict)]
+    before = sizes()
+    encode([" ".join("漢字仮名" * 100 + str(i) for i in range(50))])
+    assert sizes() == before
