@@ -22,7 +22,7 @@ from .common import cut, worker_cache
 
 CAPACITY = 4096
 END = 1
-CACHE = 500_000  # words, and chunks, whose ids a Python worker keeps, give or take one call's
+CACHE = 1_000_000  # words and chunks whose ids a Python worker keeps, give or take one call's
 KEPT_LENGTH = 64  # characters of a word or chunk that is kept at most
 
 
@@ -135,24 +135,15 @@ def _encoder(path: str):
         return kept_here[path]
 
     class Kept(dict):
-        def __init__(self, make):
-            self.make = make
+        """text -> its ids, for words, punctuation and whole chunks alike."""
 
-        def __missing__(self, key):
-            ids = self.make(key)
-            if len(key) <= KEPT_LENGTH:
-                self[key] = ids
+        def __missing__(self, text):
+            ids = ask(text)
+            if len(text) <= KEPT_LENGTH:
+                self[text] = ids
             return ids
 
-    words = Kept(ask)
-
-    def chunk(text):
-        found = plain.match(text)
-        if not found:
-            return ask(text) if text else b""
-        return words[found[1].lower()] + (words[found[2]] if found[2] else b"")
-
-    chunks = Kept(chunk)
+    kept = Kept()
 
     vocabulary = tokenizer.get_vocab()
     last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids of tokens that end a word
@@ -166,19 +157,31 @@ def _encoder(path: str):
             if len(ends) == len(part) and ends[-1] == len(ids):  # else the words are asked for one by one
                 data, start = ids.tobytes(), 0
                 for word, end in zip(part, ends):
-                    words[word] = data[4 * start:4 * end]
+                    kept[word] = data[4 * start:4 * end]
                     start = end
 
     def encode(texts):
-        for kept in (words, chunks):
-            if len(kept) > CACHE:
-                kept.clear()
+        if len(kept) > CACHE:
+            kept.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = set()
         for s in split:
-            new.update(filterfalse(chunks.__contains__, s))
-        learn(list({m[1].lower() for m in map(plain.match, new) if m and len(m[1]) <= KEPT_LENGTH} - words.keys()))
-        return [b"".join(map(chunks.__getitem__, s)) for s in split]
+            new.update(filterfalse(kept.__contains__, s))
+        words, made = set(), []
+        for chunk in new:
+            if len(chunk) > KEPT_LENGTH:
+                continue  # asked where it stands
+            if chunk.isascii() and chunk.isalpha() and chunk.islower():
+                words.add(chunk)
+            elif found := plain.match(chunk):
+                word = found[1].lower()
+                made.append((chunk, word, found[2]))
+                if word not in kept:
+                    words.add(word)
+        learn(list(words))
+        for chunk, word, marks in made:
+            kept[chunk] = kept[word] + kept[marks] if marks else kept[word]
+        return [b"".join(map(kept.__getitem__, s)) for s in split]
 
     kept_here[path] = encode
     return encode
