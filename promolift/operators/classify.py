@@ -11,15 +11,15 @@ Branches (decided from one stats row, never by collecting data to the driver):
                                        r <= n/3 slow, r <= 2n/3 medium, else fast
 * >= 3 otherwise                    -> v <= q(1/3) slow, v <= q(2/3) medium, else fast
 
-Per-value classes are computed on the velocity histogram (one row per distinct
-velocity) and joined back to the products on the velocity value.
+Classes never fall as velocity rises, so two thresholds from one row of exact
+order statistics (``functions.quantiles``) decide every product's class.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.quantiles import as_scalar, edges_repeated, tertile_stats, value_histogram
+from ..functions.quantiles import as_scalar, edges_repeated, tertile_stats
 from ..schemas import MIN_UNITS
 
 VELOCITY = "velocity_per_day"
@@ -39,26 +39,10 @@ def with_sufficiency(products: DataFrame, min_units: int = MIN_UNITS) -> DataFra
     return products.withColumn("data_sufficient", F.col("units_sold") >= F.lit(min_units))
 
 
-def rank_tertile(cum_before: Column, cnt: Column, n: Column) -> Column:
-    """Rank-fallback class of a value with ``cnt`` ties after ``cum_before``
-    smaller values among n: average rank r = cum_before + (cnt + 1) / 2, compared
-    with n/3 and 2n/3 in exact integer arithmetic (6r = 6cb + 3cnt + 3)."""
-    six_r = 6 * cum_before + 3 * cnt + 3
-    return (F.when(six_r <= 2 * n, F.lit("slow"))
-            .when(six_r <= 4 * n, F.lit("medium"))
-            .otherwise(F.lit("fast")))
-
-
-def quantile_tertile(v: Column, stats: Column) -> Column:
-    """Tertile class of a velocity from the order statistics (v <= s_a slow, v <= s_c medium)."""
-    return (F.when(v <= stats["sa"], F.lit("slow"))
-            .when(v <= stats["sc"], F.lit("medium"))
-            .otherwise(F.lit("fast")))
-
-
 def classification_plan(sufficient: DataFrame) -> DataFrame:
     """One row describing the branch the classifier takes for these velocities."""
-    stats = tertile_stats(value_histogram(sufficient, VELOCITY), VELOCITY)
+    distinct = sufficient.agg(F.count_distinct(VELOCITY).alias("d")).scalar()
+    stats = tertile_stats(sufficient, VELOCITY).withColumn("n_distinct", distinct)
     s = F.struct(*[F.col(c) for c in stats.columns])
     method = (F.when(F.col("n") == 0, F.lit("none_sufficient"))
               .when(F.col("n") < 3, F.lit("top_one_fast"))
@@ -83,46 +67,34 @@ def top_velocity_product(sufficient: DataFrame) -> DataFrame:
         F.negative(F.col("top.neg_v")).alias(VELOCITY))
 
 
-def _thresholds(hist: DataFrame, tertile: Column) -> Column:
-    """One-row struct of the largest slow and the largest medium velocity.
-    Classes never fall as velocity rises, so the two decide every row's class."""
-    return as_scalar(hist.select(VELOCITY, tertile.alias("c")).agg(
-        F.max(F.when(F.col("c") == "slow", F.col(VELOCITY))).alias("slow"),
-        F.max(F.when(F.col("c") == "medium", F.col(VELOCITY))).alias("medium")))
-
-
-def _class_by(thresholds: Column) -> Column:
+def _class_by(slow: Column, medium: Column) -> Column:
+    """Class of a velocity from the greatest slow and the greatest medium one."""
     v = F.col(VELOCITY)
-    return (F.when(v <= thresholds["slow"], F.lit("slow"))
-            .when(v <= thresholds["medium"], F.lit("medium")).otherwise(F.lit("fast")))
+    return F.when(v <= slow, F.lit("slow")).when(v <= medium, F.lit("medium")).otherwise(F.lit("fast"))
 
 
-def assign_tertiles_rank(sufficient: DataFrame, staged: list[str] | None = None) -> DataFrame:
+def assign_tertiles_rank(sufficient: DataFrame) -> DataFrame:
     """The rank-based tertile method applied directly (used as the fallback)."""
-    hist = value_histogram(sufficient, VELOCITY, staged)
-    by = _thresholds(hist, rank_tertile(F.col("cum_before"), F.col("cnt"), F.col("n")))
+    stats = as_scalar(tertile_stats(sufficient, VELOCITY))
+    by = _class_by(stats["rank_slow"], stats["rank_medium"])
     return sufficient.select(VELOCITY, *[c for c in sufficient.columns if c != VELOCITY],
-                             F.when(F.col(VELOCITY).isNotNull(), _class_by(by)).alias("rank_class"))
+                             F.when(F.col(VELOCITY).isNotNull(), by).alias("rank_class"))
 
 
-def classify_products(products: DataFrame, min_units: int = MIN_UNITS, staged: list[str] | None = None) -> DataFrame:
-    """Add ``data_sufficient`` and ``movement_class`` to product metrics. Paths of
-    staged tables are added to ``staged``."""
+def classify_products(products: DataFrame, min_units: int = MIN_UNITS) -> DataFrame:
+    """Add ``data_sufficient`` and ``movement_class`` to product metrics."""
     require_columns(products)
     df = with_sufficiency(products, min_units)
     sufficient = df.where(F.col("data_sufficient"))
     top = as_scalar(top_velocity_product(sufficient))
-    hist = value_histogram(sufficient, VELOCITY, staged)
-    stats = as_scalar(tertile_stats(hist, VELOCITY))
-    n_suff = F.coalesce(stats["n"], F.lit(0))
-    tertile = (F.when(stats["n_distinct"] == 1, F.lit("slow"))
-               .when(edges_repeated(stats), rank_tertile(F.col("cum_before"), F.col("cnt"), F.col("n")))
-               .otherwise(quantile_tertile(F.col(VELOCITY), stats)))
-    by = _thresholds(hist, tertile)
+    stats = as_scalar(tertile_stats(sufficient, VELOCITY))
+    identical, repeated = stats["s0"] == stats["smax"], edges_repeated(stats)
+    slow = F.when(identical, stats["smax"]).when(repeated, stats["rank_slow"]).otherwise(stats["sa"])
+    medium = F.when(repeated, stats["rank_medium"]).otherwise(stats["sc"])
     is_top = (F.col("product_id") == top["product_id"]) & (F.col("title") == top["title"])
     movement = (F.when(~F.col("data_sufficient"), F.lit("slow"))
-                .when(n_suff < 3, F.when(is_top, F.lit("fast")).otherwise(F.lit("slow")))
-                .when(F.col(VELOCITY).isNotNull(), _class_by(by)))
+                .when(F.coalesce(stats["n"], F.lit(0)) < 3, F.when(is_top, F.lit("fast")).otherwise(F.lit("slow")))
+                .when(F.col(VELOCITY).isNotNull(), _class_by(slow, medium)))
     return df.select(*products.columns, "data_sufficient", movement.alias("movement_class"))
 
 
