@@ -8,12 +8,54 @@ to DOUBLE at the end (DECIMAL(18,s) first, so the conversion is exact).
 
 from __future__ import annotations
 
-from ..operators import rules as R
-from ..schemas import (CAMPAIGN_TYPE_TO_MECHANIC, CONFIDENCE_WEIGHT, EMAIL_PATTERN, FALLBACK_ORDER,
-                       MECHANIC_EFFORT, MECHANIC_TO_CAMPAIGN_TYPE, OPPORTUNITY_VALUE, POLICY_MATRIX)
-
 MIN_UNITS_DEFAULT = 500
 
+# Fixed values, written out here and not imported, so that a wrong value in the
+# library shows as a difference.
+POLICY_MATRIX = (
+    ("high", "fast", "Leave/minimal discount", "medium", "high"),
+    ("high", "medium", "Volume/Bundle", "medium", "medium"),
+    ("high", "slow", "BXGY", "high", "high"),
+    ("mid", "fast", "Leave/minimal discount", "medium", "medium"),
+    ("mid", "medium", "Leave/minimal discount", "low", "medium"),
+    ("mid", "slow", "Volume/Bundle", "medium", "medium"),
+    ("low", "fast", "Free Shipping", "medium", "medium"),
+    ("low", "medium", "Avoid deeper discounts", "medium", "medium"),
+    ("low", "slow", "Avoid deeper discounts", "low", "medium"),
+)
+RATIONALE = {
+    ("high", "fast"): ("keep_price_fast_high_margin",
+                       "Demand already carries this product and its margin is among the best: leave the price alone."),
+    ("high", "medium"): ("bundle_medium_high_margin",
+                         "Average demand with a wide margin: pay for extra units through bundles or volume steps."),
+    ("high", "slow"): ("bxgy_slow_high_margin",
+                       "Weak demand with a wide margin: give units away with purchases rather than cutting the price."),
+    ("mid", "fast"): ("keep_price_fast_mid_margin",
+                      "Strong demand at an average margin: keep the price until a campaign result speaks for a change."),
+    ("mid", "medium"): ("no_specific_rule", "Average demand at an average margin: nothing calls for an offer yet."),
+    ("mid", "slow"): ("bundle_slow_mid_margin", "Weak demand at an average margin: try bundles or volume steps first."),
+    ("low", "fast"): ("shipping_or_keep_fast_low_margin",
+                      "Strong demand at a small margin: at most help with shipping, never with the item price."),
+    ("low", "medium"): ("avoid_discount_low_margin", "Average demand at a small margin: no offer that costs margin."),
+    ("low", "slow"): ("avoid_discount_slow_low_margin",
+                      "Weak demand at a small margin: an offer would lose money on every unit."),
+}
+CAVEAT_STRUCTURAL = "caveat:product_fields_are_structural"
+CAVEAT_TEXT = "Product-level figures rest on structural per-line fields; read them as indicative."
+SHIPPING_TEXT = "Shipping is attributed at order level, so its effect is approximate."
+ERODED_TEXT = "A past campaign lifted volume but eroded margin; watch margin on volume promotions."
+CAMPAIGN_TYPE_TO_MECHANIC = {"shipping": "Free Shipping", "buy_one_get_one": "BXGY", "volume": "Volume/Bundle",
+                             "order": "Order-level Discount", "general": "Generic Discount"}
+MECHANIC_TO_CAMPAIGN_TYPE = {"Free Shipping": "shipping", "BXGY": "buy_one_get_one", "Volume/Bundle": "volume",
+                             "Order-level Discount": "order", "Generic Discount": "general"}
+MECHANIC_EFFORT = {"Leave/minimal discount": 1.0, "Free Shipping": 2.0, "BXGY": 3.0, "Volume/Bundle": 3.0,
+                   "Bundle/Cross-sell": 4.0, "Collect more data": 1.0, "Avoid deeper discounts": 1.0,
+                   "Order-level Discount": 2.0, "Generic Discount": 2.0}
+OPPORTUNITY_VALUE = {"high": 3.0, "medium": 2.0, "low": 1.0}
+CONFIDENCE_WEIGHT = {"high": 1.0, "medium": 0.6, "low": 0.3}
+FALLBACK_ORDER = ("Volume/Bundle", "BXGY", "Free Shipping", "Avoid deeper discounts", "Leave/minimal discount")
+EMAIL_PATTERN = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+
 # -- stand-in shop input ------------------------------------------------------
 
 ADAPTER = """
@@ -326,8 +368,8 @@ banded AS (
 
 def rules_ctes(affinity_sql: str | None) -> str:
     cells = ", ".join(
-        f"({lit(b)}, {lit(c)}, {lit(m)}, {lit(o)}, {lit(conf)}, {lit(R.RATIONALE[(b, c)][0])}, "
-        f"{lit(R.RATIONALE[(b, c)][1])})" for b, c, m, o, conf in POLICY_MATRIX)
+        f"({lit(b)}, {lit(c)}, {lit(m)}, {lit(o)}, {lit(conf)}, {lit(RATIONALE[(b, c)][0])}, "
+        f"{lit(RATIONALE[(b, c)][1])})" for b, c, m, o, conf in POLICY_MATRIX)
     fb = " ".join(
         f"WHEN NOT ({lit(f)} = 'Free Shipping' AND NOT shipping_roi_positive) AND NOT {vetoed_sql(lit(f))} "
         f"THEN {lit(f)}" for f in FALLBACK_ORDER)
@@ -410,10 +452,10 @@ policy AS (
                    CASE WHEN affinity THEN {lit("Strong purchase affinity: bundle it with its partner products.")} END,
                    CASE WHEN vetoed THEN 'Campaign results ruled out ' || start_mechanic || '; using '
                                          || recommended_mechanic || ' instead.' END,
-                   CASE WHEN succ AND final_type = 'shipping' THEN {lit(R.SHIPPING_TEXT)} END) AS rationale,
-         concat_ws(' ', {lit(R.CAVEAT_TEXT)},
-                   CASE WHEN list_contains(tags, 'shipping_attribution_coarse') THEN {lit(R.SHIPPING_TEXT)} END,
-                   CASE WHEN volume_lift_margin_eroded THEN {lit(R.ERODED_TEXT)} END) AS expected_effect,
+                   CASE WHEN succ AND final_type = 'shipping' THEN {lit(SHIPPING_TEXT)} END) AS rationale,
+         concat_ws(' ', {lit(CAVEAT_TEXT)},
+                   CASE WHEN list_contains(tags, 'shipping_attribution_coarse') THEN {lit(SHIPPING_TEXT)} END,
+                   CASE WHEN volume_lift_margin_eroded THEN {lit(ERODED_TEXT)} END) AS expected_effect,
          tags,
          {prio("margin_opportunity", "confidence_label", "recommended_mechanic")} AS priority_score
   FROM pol7),
@@ -442,13 +484,13 @@ recommendations AS (
          CASE WHEN rule0 THEN 'Too few units sold to judge (' || CAST(r.units_sold AS VARCHAR)
                               || ' of ' || {{min_units}} || ' needed); no discount call is made on product-level figures.'
               ELSE p.rationale END AS rationale,
-         CASE WHEN rule0 THEN {lit("Sample too small for product-level claims. " + R.CAVEAT_TEXT)}
+         CASE WHEN rule0 THEN {lit("Sample too small for product-level claims. " + CAVEAT_TEXT)}
               ELSE p.expected_effect END AS expected_effect,
          CASE WHEN rule0 THEN {prio("'low'", "'low'", "'Collect more data'")} ELSE p.priority_score END
            AS priority_score,
          CASE WHEN rule0 THEN ['product_id:' || CAST(r.product_id AS VARCHAR),
                                'units_sold:' || CAST(r.units_sold AS VARCHAR),
-                               'rule0_insufficient_data', {lit(R.CAVEAT_STRUCTURAL)}]
+                               'rule0_insufficient_data', {lit(CAVEAT_STRUCTURAL)}]
               ELSE list_concat(['product_id:' || CAST(r.product_id AS VARCHAR),
                                 'movement_class:' || r.movement_class,
                                 'margin_band:' || r.margin_band,
@@ -457,7 +499,7 @@ recommendations AS (
                                 'margin_pct:' || {fixed4("r.margin_pct")},
                                 'data_sufficient:' || CASE WHEN r.data_sufficient THEN 'True' ELSE 'False' END,
                                 'recommended_mechanic:' || p.recommended_mechanic,
-                                {lit(R.CAVEAT_STRUCTURAL)}], p.tags) END AS evidence_refs,
+                                {lit(CAVEAT_STRUCTURAL)}], p.tags) END AS evidence_refs,
          CASE WHEN NOT rule0 THEN p.policy_id END AS policy_id,
          CASE WHEN rule0 THEN [] ELSE p.campaign_refs END AS campaign_refs
   FROM (SELECT *, (NOT data_sufficient OR movement_class NOT IN ('fast', 'medium', 'slow')) AS rule0
