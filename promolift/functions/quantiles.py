@@ -29,9 +29,9 @@ MARGIN = 8 / ACCURACY   # half width of a band, as a share of the rows
 def banded_counts(df: DataFrame, value: str) -> DataFrame:
     """(part, low, high, cnt, cum_before, n) of the non-null values, in order:
     parts 1 and 3 are the bands around the first and second tertile edge, one
-    row per distinct value; parts 0, 2 and 4 one row each at most. The rows in
-    order are summed in one task: about 4 * ``MARGIN`` of the values at most,
-    apart from ties at a band's ends (one row each)."""
+    row per distinct value; parts 0, 2 and 4 one row each at most. A band's rows
+    are summed in order in one task: about 2 * ``MARGIN`` of the values, apart
+    from ties at its ends (one row each)."""
     rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
     edges = [1 / 3 - MARGIN, 1 / 3 + MARGIN, 2 / 3 - MARGIN, 2 / 3 + MARGIN]
     bounds = rows.agg(F.percentile_approx("v", edges, ACCURACY).alias("b")).select("b").scalar()
@@ -40,11 +40,15 @@ def banded_counts(df: DataFrame, value: str) -> DataFrame:
     marked = rows.withColumn("_bounds", bounds).select("v", part.alias("part"))
     counts = marked.groupBy("part", F.when(F.col("part") % 2 == 1, v).alias("at")).agg(
         F.count(F.lit(1)).alias("cnt"), F.min("v").alias("low"), F.max("v").alias("high"))
-    before = Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("low").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return counts.select("part", "low", "high", "cnt",
-                         F.coalesce(F.sum("cnt").over(before), F.lit(0)).cast(T.LongType()).alias("cum_before"),
-                         F.sum("cnt").over(whole).cast(T.LongType()).alias("n"))
+    totals = as_scalar(counts.agg(*[F.coalesce(F.sum(F.when(F.col("part") == k, F.col("cnt"))), F.lit(0)).alias(f"p{k}")
+                                    for k in range(5)]))
+    marked = counts.withColumn("_totals", totals)
+    size = [F.col("_totals")[f"p{k}"] for k in range(5)]
+    inside = Window.partitionBy("part").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sum((F.when(F.col("part") > k, size[k]).otherwise(F.lit(0)) for k in range(4)), F.lit(0))
+    return marked.select("part", "low", "high", "cnt",
+                         (earlier + F.coalesce(F.sum("cnt").over(inside), F.lit(0))).cast(T.LongType()).alias("cum_before"),
+                         sum(size, F.lit(0)).cast(T.LongType()).alias("n"))
 
 
 def _undecided(kind: str) -> Column:
