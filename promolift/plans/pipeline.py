@@ -94,13 +94,13 @@ class PromoPipeline:
                 "product_classification": self.classified, "campaign_eval": self.campaign_eval,
                 "recommendations": self.kept_recommendations}
 
-    def write_outputs(self, path: str) -> dict[str, str]:
-        """Write the seven result tables as CSV datasets under ``path``; returns
-        their folders."""
+    def write_outputs(self, path: str, compression: str | None = None) -> dict[str, str]:
+        """Write the seven result tables as CSV datasets under ``path``, compressed
+        if a codec is given; returns their folders."""
         out = {}
         for name, df in self.outputs().items():
             out[name] = f"{path.rstrip('/')}/{name}"
-            SK.write_csv(df, out[name])
+            SK.write_csv(df, out[name], compression)
         return out
 
     @cached_property

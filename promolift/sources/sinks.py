@@ -36,9 +36,10 @@ def flatten_complex_to_json(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Header CSV dataset with nested columns as JSON text."""
-    flatten_complex_to_json(df).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+def write_csv(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """Header CSV dataset with nested columns as JSON text, its files compressed
+    by the codec ``compression`` if one is given."""
+    flatten_complex_to_json(df).write.mode("overwrite").options(**CSV_OPTIONS).csv(path, compression=compression)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
