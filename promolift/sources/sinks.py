@@ -14,9 +14,12 @@
 from __future__ import annotations
 
 import json
+import urllib.parse
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..session import materialize, remove_staged
+
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 # quotes are doubled inside quoted fields, as other CSV readers expect; a quoted
 # field may hold line ends
@@ -107,14 +110,17 @@ def read_bundle(spark: SparkSession, paths: dict[str, str], schemas: dict[str, T
     return {name: spark.read.schema(schemas[name]).options(**JSON_OPTIONS).json(p) for name, p in paths.items()}
 
 
-DOCUMENT_BYTES = 64 << 20  # largest result that is written as one document
+DOCUMENT_BYTES = 64 << 20  # largest document that one task writes as one file
 
 
-def write_document(sections: dict[str, DataFrame], path: str, max_bytes: int = DOCUMENT_BYTES) -> int:
+def write_document(sections: dict[str, DataFrame], path: str, max_bytes: int | None = None) -> int:
     """Write the sections as one JSON document ``{section: [records]}`` and return
-    its size in bytes. The records are added up first: beyond ``max_bytes`` a
-    ValueError is raised and nothing written, as one document is one task's work
-    (``write_bundle`` has no bound). Records are ordered by their text."""
+    its size in bytes, which is added up first: beyond ``max_bytes``, if given, a
+    ValueError is raised and nothing written. Records are ordered by their text.
+
+    Up to ``DOCUMENT_BYTES`` the document is one file. A larger one is written by
+    many tasks: a folder per section, a line per record, and the files in the order
+    of their paths, one after the other, are the document."""
     if not sections:
         raise ValueError("a document needs a section")
     records = {name: json_records(df) for name, df in sections.items()}
@@ -122,8 +128,11 @@ def write_document(sections: dict[str, DataFrame], path: str, max_bytes: int = D
     for name, found in records.items():
         row = found.agg(F.coalesce(F.sum(F.octet_length("record")), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
         size += row["bytes"] + row["n"] + len(name) + 6
-    if size > max_bytes:
+    if max_bytes is not None and size > max_bytes:
         raise ValueError(f"a document of {size} bytes exceeds the {max_bytes} allowed: write the sections as a bundle")
+    if size > DOCUMENT_BYTES:
+        _write_parts(records, path)
+        return size
     parts = []
     for i, (name, found) in enumerate(records.items()):
         listed = found.agg(F.array_join(F.array_sort(F.collect_list("record")), ",").alias("records")).scalar()
@@ -134,8 +143,46 @@ def write_document(sections: dict[str, DataFrame], path: str, max_bytes: int = D
     return size
 
 
+def _part_name(name: str) -> str:
+    return urllib.parse.quote(name, safe="").replace("*", "%2A")
+
+
+def _write_parts(records: dict[str, DataFrame], path: str) -> None:
+    """The sections as sorted lines; every record but a section's first has a comma before it."""
+    for i, (name, found) in enumerate(records.items()):
+        spark, staged = found.sparkSession, []
+        # written once: both reads below see the same numbers
+        rows = materialize(found.withColumn("_n", F.monotonically_increasing_id()), "document-records", staged)
+        first = rows.agg(F.min(F.struct("record", "_n")).alias("_first")).select("_first._n").scalar()
+        lines = rows.select(F.lit(1).alias("_kind"), "record", "_n", F.concat(
+            F.when(F.col("_n") == first, "").otherwise(","), F.col("record")).alias("value"))
+        ends = [(0, None, None, f'{"," if i else "{"}{json.dumps(name)}:['), (2, None, None, "]}" if i == len(records) - 1 else "]")]
+        lines = lines.unionByName(spark.createDataFrame(ends, "_kind int, record string, _n long, value string"))
+        lines.orderBy("_kind", "record", "_n").select("value").write.mode("overwrite").text(f"{path.rstrip('/')}/{i:05d}-{_part_name(name)}")
+        remove_staged(spark, staged)
+
+
+def _part_path(spark: SparkSession, path: str, name: str) -> str | None:
+    """The pattern of a section's folder in a document written by many tasks."""
+    pattern = f"{path.rstrip('/')}/{'[0-9]' * 5}-{_part_name(name)}"
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hpath)
+    return pattern if found is not None and len(found) else None
+
+
 def read_document(spark: SparkSession, path: str, schemas: dict[str, T.StructType]) -> dict[str, DataFrame]:
     """The sections of a document, one row per record."""
+    folders = {name: _part_path(spark, path, name) for name in schemas}
+    if any(folders.values()):
+        out = {}
+        for name, schema in schemas.items():
+            if folders[name] is None:
+                out[name] = spark.createDataFrame([], schema)
+                continue
+            # the lines that open and close a section end or begin with a bracket
+            lines = spark.read.text(folders[name]).where(F.col("value").endswith("}") & F.col("value").rlike(r"^,?\{"))
+            out[name] = restore_records(lines.select(F.regexp_replace("value", "^,", "").alias("record")), schema)
+        return out
     whole = T.StructType([T.StructField(n, T.ArrayType(s)) for n, s in schemas.items()])
     doc = spark.read.schema(whole).options(**JSON_OPTIONS).option("multiLine", True).json(path)
     return {name: doc.select(F.explode(name).alias("r")).select("r.*") for name in schemas}

@@ -1,6 +1,7 @@
 """The nested export and the staged texts at size: what is shuffled, gathered and written."""
 
 import glob
+import json
 import os
 import tempfile
 
@@ -68,3 +69,22 @@ def test_walk_takes_no_record_out_whole():
     assert CT._apart(order["line_items"].dataType).startswith("array<struct<`product_id`: variant")
     source = open(CT.__file__).read()
     assert "map<string,variant>" not in source
+
+
+def test_document_written_by_many_tasks(spark, monkeypatch):
+    """Beyond the size of one file the document is whole, in the same order, duplicates and empty sections included."""
+    monkeypatch.setattr(SK, "DOCUMENT_BYTES", 100)
+    path = os.path.join(tempfile.mkdtemp(prefix="promolift-test-"), "doc")
+    rows = [(k % 40, f'l{{"[,\n{k % 40}', None if k % 2 else float("nan")) for k in range(60)]
+    sections = {"a b": spark.createDataFrame(rows, "k long, s string, x double").repartition(5),
+                "none": spark.createDataFrame([], "k long"), "b": spark.createDataFrame([(1, [])], "k long, l array<int>")}
+    size = SK.write_document(sections, path)
+    files = sorted(glob.glob(f"{path}/*/part-*"))
+    text = "".join(open(f, encoding="utf-8").read() for f in files)
+    found = json.loads(text)
+    assert size > 100 and [*found] == ["a b", "none", "b"] and found["none"] == [] and found["b"] == [{"k": 1, "l": []}]
+    texts = [json.dumps(r, separators=(",", ":")) for r in found["a b"]]
+    assert texts == sorted(texts) and sorted((r["k"], r["s"]) for r in found["a b"]) == sorted((k, t) for k, t, _ in rows)
+    back = SK.read_document(spark, path, {n: df.schema for n, df in sections.items()})
+    assert sorted((r.k, r.s) for r in back["a b"].collect()) == sorted((k, t) for k, t, _ in rows)
+    assert back["none"].count() == 0 and back["b"].collect()[0].l == []
