@@ -107,6 +107,9 @@ class PromoPipeline:
     def line_margin(self) -> DataFrame:
         lines, seen_orders = M.compute_line_revenue(self.lines), None
         if "order_net_revenue" not in lines.columns:
+            if self.materialized:   # read twice below
+                used = [c for c in lines.columns if c in M.LINE_MARGIN_COLUMNS or c == "net_clipped"]
+                lines = materialize(lines.select(*used), "line-revenue", self.staged)
             seen_orders = Observation("order-revenue")
             sums = M.order_net_revenue(lines).observe(
                 seen_orders, F.count(F.col("order_id")).alias("orders"),

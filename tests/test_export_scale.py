@@ -88,3 +88,14 @@ def test_document_written_by_many_tasks(spark, monkeypatch):
     back = SK.read_document(spark, path, {n: df.schema for n, df in sections.items()})
     assert sorted((r.k, r.s) for r in back["a b"].collect()) == sorted((k, t) for k, t, _ in rows)
     assert back["none"].count() == 0 and back["b"].collect()[0].l == []
+
+
+def test_flat_lines_are_joined_once(spark, shop):
+    """The order sums and the line margins read one staged table, not the lines' joins twice."""
+    from promolift.plans.pipeline import PromoPipeline
+
+    p = PromoPipeline(tt.shop_lines(spark, shop), tt.shop_orders(spark, shop), tt.shop_campaigns(spark))
+    assert p.line_margin.count() == tt.shop_lines(spark, shop).count()
+    assert [s for s in p.staged if "line-revenue" in s]
+    assert p.observed["lines"] == p.line_margin.count()
+    p.close()
