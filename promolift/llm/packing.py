@@ -14,7 +14,7 @@ pieces stay on the executors.
 from __future__ import annotations
 
 from collections import defaultdict
-from itertools import batched, filterfalse
+from itertools import filterfalse
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -22,7 +22,8 @@ from .common import cut, worker_cache
 
 CAPACITY = 4096
 END = 1
-CACHE = 1_000_000  # words and chunks whose ids a Python worker keeps, give or take one call's
+CACHE = 300_000  # words and chunks whose ids a Python worker keeps at most, give or take one call's
+AT_ONCE = 256  # texts that a Python worker takes out of a batch at a time
 KEPT_LENGTH = 64  # characters of a word or chunk that is kept at most
 
 
@@ -49,8 +50,8 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col:
         nth = defaultdict(int)
         for batch in batches:
             out = {k: [] for k in ("row", "piece", "start", "length", "crc", "nth")}
-            texts = (t or "" for t in batch.column(1).to_pylist())
-            for k, ids in enumerate(ids for part in batched(texts, 256) for ids in encode(part)):
+            parts = (batch.column(1).slice(at, AT_ONCE).to_pylist() for at in range(0, batch.num_rows, AT_ONCE))
+            for k, ids in enumerate(ids for part in parts for ids in encode([t or "" for t in part])):
                 ids += end
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
@@ -108,10 +109,13 @@ def _splits_at_blanks(spec: dict) -> bool:
 
 
 def _encoder(path: str):
-    """texts -> their ids as little-endian 32-bit numbers. The worker process
-    keeps the ids of up to ``CACHE`` chunks and words of up to ``KEPT_LENGTH``
-    characters; new words of a call are tokenized together, as words between
-    blanks don't affect each other. A tokenizer of another kind gets whole texts."""
+    """texts -> their ids as little-endian 32-bit numbers. Texts of ASCII and
+    accented Latin letters are lower-cased and split as the tokenizer does, others
+    at blanks. The worker process keeps the ids of up to ``CACHE`` words and chunks
+    of up to ``KEPT_LENGTH`` characters, in two halves: when the newer one is full,
+    it takes the place of the older, from which words that are met again come back.
+    New words of a call are tokenized together, as words between blanks don't
+    affect each other. A tokenizer of another kind gets whole texts."""
     kept_here = worker_cache()
     if path in kept_here:
         return kept_here[path]
@@ -130,10 +134,26 @@ def _encoder(path: str):
     def ask(text):
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    if not _splits_at_blanks(json.loads(tokenizer.to_str())):
+    spec = json.loads(tokenizer.to_str())
+    if not _splits_at_blanks(spec):
         kept_here[path] = lambda texts: [ask(t) for t in texts]
         return kept_here[path]
 
+    # the tokenizer's own split, for lower-cased texts of these letters and ASCII
+    letters, space = "a-zß-öø-ÿ", "\\t-\\r "
+    latin = re.compile("[\\x00-\\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
+    is_word = re.compile(f"[{letters}]+").fullmatch
+    own = {"[\\p{L}]+": f"[{letters}]+", "[\\p{N}]": "[0-9]", "[^\\s\\p{L}\\p{N}]+": f"[^{space}0-9{letters}]+"}
+    branches = _parts(spec["pre_tokenizer"], "pretokenizers")[0]["pattern"]["Regex"].split("|")
+    words_of = re.compile("|".join(own.get(b) or re.escape(b) for b in branches)).findall
+    added = [t["content"] for t in spec.get("added_tokens") or []]
+
+    def chunks(text):
+        low = text.lower()
+        if latin(text) and not any(t in text or t in low for t in added):
+            return words_of(low)
+        return text.replace("\n", " ").split(" ")
+
     class Kept(dict):
         """text -> its ids, for words, punctuation and whole chunks alike."""
 
@@ -143,7 +163,7 @@ def _encoder(path: str):
                 self[text] = ids
             return ids
 
-    kept = Kept()
+    kept, older = Kept(), {}
 
     vocabulary = tokenizer.get_vocab()
     last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids of tokens that end a word
@@ -161,17 +181,22 @@ def _encoder(path: str):
                     start = end
 
     def encode(texts):
-        if len(kept) > CACHE:
+        nonlocal older
+        if len(kept) > CACHE // 2:
+            older = dict(kept)
             kept.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [chunks(t) for t in texts]
         new = set()
         for s in split:
             new.update(filterfalse(kept.__contains__, s))
+        again = new & older.keys()
+        kept.update((chunk, older[chunk]) for chunk in again)
+        new -= again
         words, made = set(), []
         for chunk in new:
             if len(chunk) > KEPT_LENGTH:
                 continue  # asked where it stands
-            if chunk.isascii() and chunk.isalpha() and chunk.islower():
+            if is_word(chunk):
                 words.add(chunk)
             elif found := plain.match(chunk):
                 word = found[1].lower()
@@ -344,11 +369,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, groups: int
     spark = docs.sparkSession
     pieces = cut(tokenized(docs, tokenizer, capacity, id_col, text_col)
                  .withColumn("part", F.spark_partition_id()))
-    counts = cut(pieces.groupBy("part", "length").agg(F.count("*").alias("rows")))
+    # read twice: summed again from the written pieces, which is less than to write it
+    counts = pieces.groupBy("part", "length").agg(F.count("*").alias("rows"))
     histogram = {r["length"]: r["rows"] for r in counts.groupBy("length").agg(F.sum("rows").alias("rows")).collect()}
     runs, _ = plan(histogram, capacity, groups)
     before = F.sum("rows").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = pieces.join(counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before")), ["part", "length"])
+    starts = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
+    ranked = pieces.join(starts.hint("shuffle_hash"), ["part", "length"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     table = spark.sparkContext.broadcast(sorted(runs))
 

@@ -132,3 +132,28 @@ def test_long_chunks_are_not_kept():
     before = sizes()
     encode([" ".join("漢字仮名" * 100 + str(i) for i in range(50))])
     assert sizes() == before
+
+
+def test_forms_of_a_word_are_kept_once():
+    encode = P._encoder(PATH)
+    size = lambda: sum(len(c.cell_contents) for c in encode.__closure__ if isinstance(c.cell_contents, dict))
+    forms = ["straßenöl", "Straßenöl", "STRASSENÖL", "straßenöl,", "Straßenöl!!", "(straßenöl)", "straßenöl-straßenöl"]
+    encode(["strassenöl straßenöl , !! ( ) -"])
+    before = size()
+    tokenizer = Tokenizer.from_file(PATH)
+    for text, ids in zip(forms, encode(forms)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert size() == before
+
+
+def test_a_worker_keeps_few_words_and_frequent_ones_stay(monkeypatch):
+    monkeypatch.setattr(P, "CACHE", 40)
+    encode = P._encoder(PATH)
+    tokenizer = Tokenizer.from_file(PATH)
+    for i in range(20):
+        name = "".join(chr(97 + int(d)) for d in str(1000 + i))
+        text = " ".join(["often"] + [name + "q" * k for k in range(10)])
+        assert np.frombuffer(encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        held = [c.cell_contents for c in encode.__closure__ if isinstance(c.cell_contents, dict)]
+        assert any("often" in d for d in held)
+        assert i < 4 or sum(map(len, held)) <= 40 + 2 * 11
