@@ -10,7 +10,7 @@ partitioning or the order rows arrive in.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import (MONEY, as_double, calendar_day_span, money, round_money,
                                  safe_div)
@@ -46,6 +46,25 @@ def order_net_revenue(lines_with_net: DataFrame) -> DataFrame:
             .agg(F.sum("line_net_revenue").alias("order_net_revenue")))
 
 
+def with_order_net_revenue(lines_with_net: DataFrame) -> DataFrame:
+    """Lines with their order's ``order_net_revenue`` (null without an order id)
+    and ``first_line``, true for one line of each order.
+
+    ``order_net_revenue`` on the lines themselves: lines that come from a join on
+    order_id are not shuffled again. An order's lines meet in one task, which
+    spills beyond its memory; lines without an order id are dealt out."""
+    _require(lines_with_net, ("order_id", "line_net_revenue"), "with_order_net_revenue")
+    known = F.col("order_id").isNotNull()
+    others = [c for c in ("product_id", "createdAt") if c in lines_with_net.columns]
+    spread = F.when(~known, F.xxhash64(*others) if others else F.rand())
+    order = Window.partitionBy("order_id", "_spread").orderBy("_spread")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return (lines_with_net.withColumn("_spread", spread)
+            .withColumn("order_net_revenue", F.when(known, F.sum("line_net_revenue").over(whole)))
+            .withColumn("first_line", known & (F.row_number().over(order) == 1))
+            .drop("_spread"))
+
+
 def allocate_order_cost_to_lines(lines_with_net: DataFrame) -> DataFrame:
     """Add ``allocated_cost`` = cost_total x line_net / order_net (0 when the
     order's net revenue is 0), rounded to 6 places.

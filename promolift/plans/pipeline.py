@@ -105,26 +105,21 @@ class PromoPipeline:
 
     @cached_property
     def line_margin(self) -> DataFrame:
-        lines, seen_orders = M.compute_line_revenue(self.lines), None
+        lines = M.compute_line_revenue(self.lines)
         if "order_net_revenue" not in lines.columns:
-            if self.materialized:   # read twice below
-                used = [c for c in lines.columns if c in M.LINE_MARGIN_COLUMNS or c == "net_clipped"]
-                lines = materialize(lines.select(*used), "line-revenue", self.staged)
-            seen_orders = Observation("order-revenue")
-            sums = M.order_net_revenue(lines).observe(
-                seen_orders, F.count(F.col("order_id")).alias("orders"),
-                F.count(F.when(F.col("order_id").isNotNull() & (F.col("order_net_revenue") == 0), 1)).alias("zero_revenue_orders"))
-            lines = lines.join(sums, "order_id", "left")
+            # one pass: order sums on the lines as they lie by order, nothing written or joined back for them
+            used = [c for c in lines.columns if c in M.LINE_MARGIN_COLUMNS or c == "net_clipped"]
+            lines = M.with_order_net_revenue(lines.select(*used))
         seen = Observation("line-margin")
         counts = [F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("net_clipped"), 1)).alias("clipped_lines")]
-        if "first_line" in lines.columns:   # nested intake: an order is counted at its first line
-            counts += [F.count(F.when(F.col("first_line"), 1)).alias("orders"),
-                       F.count(F.when(F.col("first_line") & (F.col("order_net_revenue") == 0), 1)).alias("zero_revenue_orders")]
+        # an order is counted at its first line
+        counts += [F.count(F.when(F.col("first_line"), 1)).alias("orders"),
+                   F.count(F.when(F.col("first_line") & (F.col("order_net_revenue") == 0), 1)).alias("zero_revenue_orders")]
         lm = M.prepare_line_margin(lines.observe(seen, *counts)).select(*M.LINE_MARGIN_COLUMNS)
         if not self.materialized:
             return lm
-        out = materialize(lm, "line-margin", self.staged)
-        self.observed = dict(seen.get) | (dict(seen_orders.get) if seen_orders is not None else {})
+        out = materialize(lm, "line-revenue-margin", self.staged)
+        self.observed = dict(seen.get)
         return out
 
     # ``*_plan``: the stage as a lazy plan, for a caller that reads it once;

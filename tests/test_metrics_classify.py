@@ -2,6 +2,7 @@
 not reach."""
 
 import datetime as dt
+from decimal import Decimal
 
 import pandas as pd
 import pytest
@@ -178,3 +179,25 @@ def test_tertiles_property_vs_pandas(spark, units):
             expected = ["slow" if x <= n / 3 else "medium" if x <= 2 * n / 3 else "fast" for x in r]
     out = C.classify_products(products(spark, vel), min_units=20)
     assert classes(out) == expected
+
+
+def test_order_revenue_on_lines_in_one_pass(spark):
+    """Order sums on the lines as ``order_net_revenue`` gives them; no order id, no sum; one first line per order."""
+    rows = [(k % 7 if k % 5 else None, k, Decimal(k % 4)) for k in range(60)] + [(9, 1, Decimal(0)), (9, 1, Decimal(0))]
+    lines = spark.createDataFrame(rows, "order_id long, product_id long, line_net_revenue decimal(28,6)").repartition(3)
+    sums = {r.order_id: r.order_net_revenue for r in M.order_net_revenue(lines).collect() if r.order_id is not None}
+    found = M.with_order_net_revenue(lines).collect()
+    assert sorted((r.order_id is None, r.order_id or 0, r.product_id) for r in found) == sorted(
+        (o is None, o or 0, p) for o, p, _ in rows)
+    assert all(r.order_net_revenue == sums.get(r.order_id) for r in found)
+    assert sorted(r.order_id for r in found if r.first_line) == sorted(sums)
+    assert not [r for r in found if r.order_id is None and r.first_line]
+
+
+def test_line_margins_shuffle_lines_by_order_once(spark):
+    """Lines joined to their orders stay where they are for the order sums."""
+    lines = spark.range(100).select((F.col("id") % 10).alias("order_id"), F.col("id").alias("product_id"),
+                                    F.lit(1).cast("decimal(28,6)").alias("line_net_revenue"))
+    orders = spark.range(10).select(F.col("id").alias("order_id"))
+    plan = M.with_order_net_revenue(lines.join(orders.hint("merge"), "order_id"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("SortMergeJoin") == 1
